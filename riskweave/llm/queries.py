@@ -44,3 +44,32 @@ def token_digests(spark, docs):
 @query("op2_byte_bpe")
 def op2(spark, sf_dir):
     return token_digests(spark, table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op10_substring_dedup",
+    r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+win AS (
+  SELECT doc_id, i, md5(array_to_string(ws[i:i + 34], ' ')) AS h
+  FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 33)) AS i FROM w)),
+rep AS (
+  SELECT doc_id, i FROM win WHERE h IN (SELECT h FROM win GROUP BY h HAVING count(*) > 1)),
+cov AS (
+  SELECT DISTINCT doc_id, i + j AS p FROM rep, (SELECT unnest(range(0, 35)) AS j)),
+word AS (
+  SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS p FROM w),
+kept AS (
+  SELECT word.doc_id, string_agg(word, ' ' ORDER BY word.p) AS kept, count(*) AS n
+  FROM word LEFT JOIN cov ON word.doc_id = cov.doc_id AND word.p = cov.p
+  WHERE cov.p IS NULL GROUP BY word.doc_id)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed,
+  sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN kept ON w.doc_id = kept.doc_id""",
+)
+def op10(spark, sf_dir):
+    from . import substrings
+
+    out = substrings.remove_repeated(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
