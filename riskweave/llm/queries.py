@@ -73,3 +73,11 @@ def op10(spark, sf_dir):
 
     out = substrings.remove_repeated(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op5_simhash")
+def op5(spark, sf_dir):
+    from . import simhash
+
+    out = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
