@@ -81,3 +81,13 @@ def op5(spark, sf_dir):
 
     out = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
+
+
+@query("op1_decontamination")
+def op1(spark, sf_dir):
+    """Documents and the benchmark items that they cover."""
+    from . import decontaminate
+
+    out = decontaminate.with_leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    out = out.select("doc_id", F.explode("leaks").alias("leak"))
+    return out.select("doc_id", "leak.item_id", F.round("leak.coverage", 6).alias("coverage"), "leak.tiles")
