@@ -91,3 +91,31 @@ def op1(spark, sf_dir):
     out = decontaminate.with_leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     out = out.select("doc_id", F.explode("leaks").alias("leak"))
     return out.select("doc_id", "leak.item_id", F.round("leak.coverage", 6).alias("coverage"), "leak.tiles")
+
+
+@query("op9_language_id")
+def op9(spark, sf_dir):
+    from . import langid
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    network = langid.train(langid.sample(docs))
+    out = langid.predict(docs.select("doc_id", "text"), network)
+    return out.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+
+
+def span_text(spans):
+    """kind:start:end, joined by commas."""
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+def span_digests(df, kinds):
+    """doc_id, a count of each kind, the digest of the base spans, and all spans."""
+    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in kinds]
+    return df.select("doc_id", *counts, F.sha2(span_text(F.col("base")), 256).alias("base_sha256"), span_text(F.col("spans")).alias("spans"))
+
+
+@query("op8_pii")
+def op8(spark, sf_dir):
+    from . import pii
+
+    return span_digests(pii.with_spans(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False), pii.KINDS)
