@@ -119,3 +119,46 @@ def op8(spark, sf_dir):
     from . import pii
 
     return span_digests(pii.with_spans(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False), pii.KINDS)
+
+
+#: Rules of the URL filter, and sites that are listed: names under each of the example domains.
+URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
+LISTED_SITES = ["adult-x", "ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm"]
+LISTED_DOMAINS = ["example.com", "example.net", "example.org"]
+
+
+@query(
+    "op6_url_filter",
+    r"""
+WITH u AS (
+  SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest
+  FROM pages),
+h AS (
+  SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+r AS (
+  SELECT *, CASE
+    WHEN ('.' || host) LIKE '%.example.org' AND starts_with(path, '/en/1') THEN 'example.org/en/1'
+    WHEN ('.' || host) LIKE '%.example.org' AND starts_with(path, '/es/') THEN 'example.org/es/'
+    WHEN ('.' || host) LIKE '%.com' AND starts_with(path, '/fr/') THEN 'com/fr/'
+    WHEN ('.' || host) LIKE '%.com' AND starts_with(path, '/de/') THEN 'com/de/'
+    WHEN ('.' || host) LIKE '%.org' AND starts_with(path, '/') THEN 'org/' END AS rule FROM h)
+SELECT page_id, host, path, rule, CASE
+  WHEN rule IN ('example.org/en/1', 'example.org/es/', 'com/de/') THEN 'block'
+  WHEN rule IS NOT NULL THEN 'allow'
+  WHEN regexp_matches(host, '(^|\.)(adult-x|ads-track|casino-win|cheap-pills|free-bets|spam-farm)\.example\.(com|net|org)$') THEN 'block'
+  ELSE 'allow' END AS verdict FROM r""",
+)
+def op6(spark, sf_dir):
+    from . import urls
+
+    listed = spark.createDataFrame([(f"{s}.{d}/",) for s in LISTED_SITES for d in LISTED_DOMAINS], "form string")
+    return urls.judge(table(spark, sf_dir, "pages").select("page_id", "url"), listed, URL_RULES).drop("url")
+
+
+@query("op7_html_text")
+def op7(spark, sf_dir):
+    from . import html
+
+    out = html.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html")).drop("html")
+    return out.withColumn("n_chars", F.length("text").cast("long"))
