@@ -162,3 +162,29 @@ def op7(spark, sf_dir):
 
     out = html.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html")).drop("html")
     return out.withColumn("n_chars", F.length("text").cast("long"))
+
+
+@query("op3_secrets")
+def op3(spark, sf_dir):
+    from . import secrets
+
+    return span_digests(secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text")), secrets.KINDS)
+
+
+@query("op4_fingerprints")
+def op4(spark, sf_dir):
+    from . import fingerprints as fp
+
+    out = fp.edited(table(spark, sf_dir, "documents"))
+    a, b, c = F.col("sketch"), F.col("edited_sketch"), F.col("next_sketch")
+    return out.select(
+        "doc_id",
+        F.length("text").cast("long").alias("n_chars"),
+        F.sha2("edited", 256).alias("edited_sha256"),
+        fp.as_text(a).alias("fingerprint"),
+        fp.as_text(b).alias("edited_fingerprint"),
+        fp.likeness(a, b).alias("near_edited"),
+        fp.likeness(a, c).alias("near_next"),
+        fp.containment(a, b).alias("within_edited"),
+        fp.containment(a, c).alias("within_next"),
+    )

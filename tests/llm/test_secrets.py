@@ -1,0 +1,52 @@
+import math
+import random
+import re
+from collections import Counter
+
+from pyspark.sql import functions as F
+
+from riskweave.llm import secrets as S
+
+BASE = {
+    "assign": (r"(?i:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", lambda m: len(m[2]) >= 6),
+    "access": (r"AKIA[A-Z0-9]+", lambda m: len(m[0]) >= 20),
+    "hex": (r"[0-9a-f]+", lambda m: len(m[0]) >= 24),
+}
+
+
+def brute(text):
+    found = [(m.start(), i, m.end(), k) for i, (k, (p, ok)) in enumerate(BASE.items()) for m in re.finditer(p, text or "", re.A) if ok(m)]
+    return [(k, a, b) for a, _, b, k in sorted(found)]
+
+
+def entropy(s):
+    return max(-sum(c / 20 * math.log2(c / 20) for c in Counter(s[i : i + 20]).values()) for i in range(len(s) - 19))
+
+
+def test_base_and_edges(spark):
+    r = random.Random(3)
+    bits = ["password", "Token", "API_KEY", "apikey", "=", ":", " ", '"', "'", "abc", "abcdef1", "AKIA", "ABCDEFGHIJKLMNOPQ", "0123456789abcdef", "deadbeef", "é", "🙂", "\n", "secret", ".", "passwd: "]
+    texts = [None, "", "x" * 40000, "token=token\":abcdefg", "🙂 token = '" + "9f" * 20 + "'"]
+    texts += ["".join(r.choice(bits) for _ in range(r.randint(1, 16))) for _ in range(1500)] + [" ".join(["token=abcdef"] * 700)]
+    df = spark.createDataFrame([(i, t, "b", 1) for i, t in enumerate(texts)], "doc_id long, text string, base string, spans int")
+    out = S.scan(df)
+    assert out.columns == ["doc_id", "text", "base", "spans"]
+    for x in out.collect():
+        assert [tuple(s) for s in x.base] == brute(texts[x.doc_id]), texts[x.doc_id]
+        assert {tuple(s) for s in x.base} <= {tuple(s) for s in x.spans}
+    assert S.scan(df.limit(0)).count() == 0
+
+
+def test_entropy_of_windows(spark):
+    r = random.Random(1)
+    values = ["".join(r.choice("abcdefABC0123456789+/_-xyzXYZ"[: r.randint(1, 29)]) for _ in range(r.randint(20, 70))) for _ in range(200)]
+    got = spark.createDataFrame([(v,) for v in values], "v string").select("v", S.best_window(F.col("v")).alias("h")).collect()
+    assert all(abs(x.h - entropy(x.v)) < 1e-9 for x in got)
+
+
+def test_candidates_and_allow_list(spark):
+    bad = "q7Rk2LmZx9PvT4bWc8Yd1Nf5"
+    texts = {0: f"key {bad} end", 1: "id 123e4567-e89b-12d3-a456-426614174000", 2: "on 2024-01-02-03-04-05-06-07", 3: "see /usr/share/lib/python3/dist/a1b2", 4: "averyveryverylongwordindeed2", 5: f"token={bad}", 6: "abcdefgh1abcdefgh1abcdefgh1"}
+    got = {x.doc_id: [tuple(s) for s in x.spans] for x in S.scan(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got[0] == [("entropy", 4, 28)] and got[5] == [("assign", 0, 30)]
+    assert all(got[i] == [] for i in (1, 2, 3, 4, 6))
