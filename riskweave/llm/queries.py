@@ -110,7 +110,9 @@ def span_text(spans):
 
 def span_digests(df, kinds):
     """doc_id, a count of each kind, the digest of the base spans, and all spans."""
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in kinds]
+    # a lambda's second parameter would be the index
+    of = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
+    counts = [of(k) for k in kinds]
     return df.select("doc_id", *counts, F.sha2(span_text(F.col("base")), 256).alias("base_sha256"), span_text(F.col("spans")).alias("spans"))
 
 
