@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed, scores, text
 from ..functions.columns import empty, lookup
+from ..lineage import streamed_groups
 
 
 def severity_order(severity: Column) -> Column:
@@ -210,22 +211,21 @@ def clusters(findings: DataFrame) -> DataFrame:
     directory. The order decides, so a scan is one group (its findings are a report's, not a
     corpus's); clusters of one are left out."""
 
-    def of(pdf):
-        import pandas as pd
-
-        pdf = pdf.sort_values("finding_id")
-        free, out, n = list(pdf.itertuples(index=False)), [], 0
+    def of(scan, rows):
+        free, out, n = rows, [], 0
         while free:
-            seed, rest = free[0], free[1:]
-            parent = lambda p: p.rsplit("/", 1)[0] if "/" in p else None
-            near = [f for f in rest if f.file_path == seed.file_path or f.category == seed.category or (parent(f.file_path) and parent(f.file_path) == parent(seed.file_path))]
+            _, finding, path, category = free[0]
+            home = path.rsplit("/", 1)[0] if "/" in path else None
+            near = [f for f in free[1:] if f[2] == path or f[3] == category or home and f[2].startswith(home + "/") and "/" not in f[2][len(home) + 1 :]]
             if near:
-                out += [(seed.scan_id, n, f.finding_id) for f in (seed, *near)]
+                out += [(scan, n, f) for f in (finding, *[x[1] for x in near])]
                 n += 1
-            free = [f for f in rest if f not in near]
-        return pd.DataFrame(out, columns=["scan_id", "cluster", "finding_id"])
+            taken = {id(f) for f in near}
+            free = [f for f in free[1:] if id(f) not in taken]
+        return out
 
-    return findings.select("scan_id", "finding_id", "file_path", "category").groupBy("scan_id").applyInPandas(of, "scan_id long, cluster int, finding_id long")
+    rows = findings.select("scan_id", "finding_id", F.coalesce("file_path", F.lit("")).alias("file_path"), F.coalesce("category", F.lit("")).alias("category"))
+    return streamed_groups(rows, "scan_id", "finding_id", of, "scan_id long, cluster int, finding_id long")
 
 
 def guardrails(findings: DataFrame, context: Column) -> DataFrame:

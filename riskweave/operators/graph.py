@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..lineage import cut
+
 
 def resolve_calls(calls: DataFrame, symbols: DataFrame, imports: DataFrame) -> DataFrame:
     """Call sites (caller_file, enclosing, callee_name, callee_object, line) to definitions: in the
@@ -52,11 +54,15 @@ def reach(edges: DataFrame, starts: DataFrame, hops: int, backward: bool = False
     a, b = ("callee", "caller") if backward else ("caller", "callee")
     steps = edges.groupBy(F.col(a).alias("at"), F.col(b).alias("to")).agg(F.min("edge_id").alias("edge_id"))
     seen = starts.select(F.col("node").alias("start"), "node", F.lit(0).alias("hops"), F.array("node").alias("path"), F.array().cast("array<bigint>").alias("edges")).distinct()
-    front = seen
+    front = seen = cut(seen)
+    steps = cut(steps)
     for i in range(1, hops + 1):
+        if front.isEmpty():
+            break
         grown = front.join(steps, front.node == steps.at).select("start", F.col("to").alias("node"), F.lit(i).alias("hops"), F.array_append("path", F.col("to")).alias("path"), F.array_append("edges", F.col("edge_id")).alias("edges"))
         first = grown.withColumn("_r", F.row_number().over(Window.partitionBy("start", "node").orderBy("edges"))).where("_r = 1").drop("_r")
-        front = first.join(seen.select("start", "node"), ["start", "node"], "left_anti").select(*seen.columns)
+        # without the cut every hop would compute all hops before it again
+        front = cut(first.join(seen.select("start", "node"), ["start", "node"], "left_anti").select(*seen.columns))
         seen = seen.unionByName(front)
     return seen
 

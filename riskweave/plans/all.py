@@ -1,3 +1,4 @@
 """Registers every query by importing its module."""
 
 from . import column_queries  # noqa: F401
+from . import finding_queries  # noqa: F401

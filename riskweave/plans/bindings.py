@@ -9,7 +9,7 @@ from ..session import table
 
 FINDINGS = {
     "scan_id": "l_orderkey",
-    "finding_id": "l_orderkey * 10 + l_linenumber",
+    "finding_id": "(l_orderkey * 10 + l_linenumber) * 100000000 + l_partkey * 1000 + l_suppkey % 1000",
     "title": "concat('Finding number ', cast(l_partkey % 97 as string), ' in module ', cast(l_suppkey % 7 as string))",
     "severity": "case when l_quantity > 45 then 'critical' when l_quantity > 35 then 'high' when l_quantity > 20 then 'medium' when l_quantity > 8 then 'low' when l_quantity > 2 then 'info' else 'odd' end",
     "confidence": "cast(1.0 - l_discount * 5 as double)",
