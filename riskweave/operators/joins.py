@@ -32,7 +32,8 @@ def audit(dependencies: DataFrame, advisories: DataFrame) -> DataFrame:
     the join splits, and the window holds a dependency's matches only."""
     from ..functions.columns import lookup
 
-    probes = dependencies.select("id", F.lower("ecosystem").alias("ecosystem"), "name", "version", F.explode(packages.lookup_keys(F.col("name"), F.col("ecosystem"))).alias("k"))
+    low = dependencies.withColumn("ecosystem", F.lower("ecosystem"))
+    probes = low.withColumn("k", F.explode(packages.lookup_keys(F.col("name"), F.col("ecosystem"))))
     probes = probes.select("id", "ecosystem", "name", "version", "k.key", "k.match_type")
     built = advisory_keys(advisories.withColumn("ecosystem", F.lower("ecosystem")))
     pairs = probes.join(built.select("ecosystem", "key", F.col("id").alias("advisory_id")), ["ecosystem", "key"])
@@ -77,7 +78,8 @@ def vulnerable_calls(calls: DataFrame, index: DataFrame, imports: DataFrame, dep
     pairs = hits.select("file", "advisory_id", "package", "ecosystem").distinct().join(imports.where("is_external").select(F.col("source_file").alias("file"), "import_module"), "file")
     sure = pairs.withColumn("m", packages.import_match(F.col("package"), F.col("ecosystem"), F.col("import_module"))).where("m is not null")
     sure = sure.groupBy("file", "advisory_id").agg(F.max("m.confidence").alias("import_confidence"))
-    owned = dependencies.select(F.lower("ecosystem").alias("ecosystem"), F.explode(packages.index_keys(F.col("name"), F.col("ecosystem"))).alias("key")).distinct()
+    low = dependencies.withColumn("ecosystem", F.lower("ecosystem"))
+    owned = low.select("ecosystem", F.explode(packages.index_keys(F.col("name"), F.col("ecosystem"))).alias("key")).distinct()
     known = index.select("advisory_id", "ecosystem", F.explode(packages.index_keys(F.col("package"), F.col("ecosystem"))).alias("key")).join(owned, ["ecosystem", "key"], "left_semi").select("advisory_id").distinct()
     out = hits.join(sure, ["file", "advisory_id"], "left").join(known.withColumn("_known", F.lit(True)), "advisory_id", "left")
     strength = F.when(F.col("import_confidence").isNotNull() & F.col("_known"), 3).when(F.col("import_confidence").isNotNull(), 2).otherwise(1)
