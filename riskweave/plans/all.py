@@ -2,3 +2,4 @@
 
 from . import column_queries  # noqa: F401
 from . import finding_queries  # noqa: F401
+from . import text_queries  # noqa: F401
