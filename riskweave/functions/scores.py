@@ -144,7 +144,8 @@ def normal_reachability(value: Column) -> Column:
 def dependency_risk(severity: Column, cvss: Column, reach: Column, rel: Column, function_hit: Column, is_dev: Column, fixed_version: Column, hot: Column) -> Column:
     """(score, factors) of a vulnerable dependency, 0 to 1000."""
     base = lookup(F.lower(F.coalesce(severity, F.lit("medium"))), fixed.DEPENDENCY_BASE, 300.0)
-    base = F.greatest(base, F.least(F.lit(900.0), cvss * 100.0))
+    # greatest and least pass over nulls, so an unknown score must not become the cap
+    base = F.greatest(base, F.when(cvss.isNotNull(), F.least(F.lit(900.0), cvss * 100.0)))
     bonus = lambda c, v: F.when(F.coalesce(c, F.lit(False)), v).otherwise(0.0)
     always = {"base": base, "reachability": lookup(reach, fixed.REACHABILITY_BONUS, 0.0), "relevance": lookup(rel, fixed.RELEVANCE_BONUS, 0.0)}
     maybe = {"vulnerable_function_match": bonus(function_hit, 120.0), "dev_dependency": bonus(is_dev, -120.0), "fix_available": bonus(F.coalesce(fixed_version, F.lit("")) != "", 25.0), "hot_file_usage": bonus(hot, 40.0)}

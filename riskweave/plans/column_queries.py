@@ -294,7 +294,7 @@ def reachability(spark, sf_dir):
 DEPENDENCY_RISK_SQL = f"""
 WITH d AS (SELECT *, {_RELEVANCE} AS relevance, id % 3 = 0 AS hit FROM {sql(DEPENDENCIES)}),
 r AS (SELECT *, CASE WHEN is_dev OR relevance = 'test_only' THEN 'not_applicable' WHEN hit THEN 'reachable' WHEN relevance IN ('used', 'likely_used') THEN 'potentially_reachable' ELSE 'no_path_found' END AS status FROM d)
-SELECT id, severity, ecosystem, name, relevance, status, round(greatest(0, least(1000, greatest({_case("coalesce(severity, 'medium')", fixed.DEPENDENCY_BASE, '300')}, coalesce(least(900, cvss_score * 100), 0))
+SELECT id, severity, ecosystem, name, relevance, status, round(greatest(0, least(1000, greatest({_case("coalesce(severity, 'medium')", fixed.DEPENDENCY_BASE, '300')}, CASE WHEN cvss_score IS NULL THEN 0 ELSE least(900, cvss_score * 100) END)
   + {_case('status', fixed.REACHABILITY_BONUS, '0')} + {_case('relevance', fixed.RELEVANCE_BONUS, '0')} + CASE WHEN hit THEN 120 ELSE 0 END - CASE WHEN is_dev THEN 120 ELSE 0 END + CASE WHEN fixed_version <> '' THEN 25 ELSE 0 END + CASE WHEN id % 7 = 0 THEN 40 ELSE 0 END)), 1)::DOUBLE AS score FROM r"""
 
 
