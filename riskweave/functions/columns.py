@@ -21,6 +21,11 @@ def sum_of(columns) -> Column:
     return out
 
 
+def let(value: Column, fn) -> Column:
+    """fn(value), with the value computed once however often fn uses it."""
+    return F.element_at(F.transform(F.array(value), lambda v: fn(v)), 1)
+
+
 def any_of(columns) -> Column:
     out = F.lit(False)
     for c in columns:

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import fixed, paths
-from .columns import any_of, lookup, sum_of
+from .columns import any_of, let, lookup, sum_of
 
 
 def severity_rank(severity: Column) -> Column:
@@ -57,48 +57,64 @@ def file_score(path: Column, lines: Column, hits: Column, dependency_risk: Colum
 
 
 def obfuscation(content: Column, path: Column, language: Column) -> Column:
-    """(score, label, analysable, avg_line, max_line) of a source text; lines end at ``\\n``."""
+    """(score, label, analysable, avg_line, max_line) of a source text; lines end at ``\\n``. Each
+    pattern runs once over the text, then the score is built from the counts."""
     text, low = F.coalesce(content, F.lit("")), F.lower(path)
     lines = F.transform(F.split(F.regexp_replace(text, "\n$", ""), "\n", -1), lambda x: F.length(x))
-    count, total, longest = F.size(lines), F.aggregate(lines, F.lit(0), lambda a, b: a + b), F.array_max(lines)
-    average, blank = total / count, F.length(text) - F.length(F.translate(text, " \t\n", ""))
-    share, times = blank / total, lambda p: F.regexp_count(text, F.lit(p))
-    hexes, unicodes, names, words = times(fixed.HEX_ESCAPE), times(fixed.UNICODE_ESCAPE), times(fixed.HEX_NAME), times(fixed.IDENTIFIER)
-    packed = any_of([text.rlike(p) for p in fixed.PACKERS])
+    times = lambda p: F.regexp_count(text, F.lit(p))
+    java = language.isin("java", "kotlin")
+    only_java = lambda c: F.when(java, c).otherwise(0)
+    facts = F.struct(
+        lines.alias("lines"), (F.length(text) - F.length(F.translate(text, " \t\n", ""))).alias("blank"), any_of([text.rlike(p) for p in fixed.PACKERS]).alias("packed"),
+        times(fixed.HEX_ESCAPE).alias("hexes"), times(fixed.UNICODE_ESCAPE).alias("unicodes"), times(fixed.HEX_NAME).alias("names"), times(fixed.DENSE).alias("dense"),
+        F.transform(F.regexp_extract_all(text, F.lit(fixed.IDENTIFIER), F.lit(0)), lambda w: F.length(w)).alias("words"),
+        F.array_max(F.transform(F.regexp_extract_all(text, F.lit(fixed.BASE64_RUN), F.lit(0)), lambda x: F.length(x))).alias("base64"),
+        only_java(times(r"\bgoto\b")).alias("jumps"), only_java(F.when(text.rlike("/\\* JADX|// JADX"), times("JADX")).otherwise(0)).alias("marks"),
+        only_java(times(r"import\s+[a-z](\.[a-z]){2,};")).alias("short_imports"), (java & text.rlike(r"\bclass\s+[a-z]\b")).alias("short_class"),
+        text.rlike(fixed.SOURCE_MAP).alias("mapped"), (~text.rlike(r"\S")).alias("void"),
+    )
+    more = lambda f: F.struct(
+        F.size(f["lines"]).alias("count"), F.aggregate(f["lines"], F.lit(0), lambda a, b: a + b).alias("total"), F.array_max(f["lines"]).alias("longest"),
+        F.size(f["words"]).alias("words"), F.size(F.filter(f["words"], lambda n: n == 1)).alias("single"), f.alias("f"),
+    )
     bundle, vendor = low.rlike(r"\.bundled?\."), low.rlike("vendor/|third_party/|third-party/")
-    single = F.size(F.filter(F.regexp_extract_all(text, F.lit(fixed.IDENTIFIER), F.lit(0)), lambda w: F.length(w) == 1)) / words
-    coded, java = language.isin("javascript", "typescript", "java", "kotlin"), language.isin("java", "kotlin")
-    jumps = times(r"\bgoto\b")
-    marks = F.when(text.rlike("/\\* JADX|// JADX"), times("JADX")).otherwise(0) + F.when(jumps > 3, jumps).otherwise(0)
-    base64 = F.array_max(F.transform(F.regexp_extract_all(text, F.lit(fixed.BASE64_RUN), F.lit(0)), lambda x: F.length(x)))
+    coded = language.isin("javascript", "typescript", "java", "kotlin")
     when = lambda *steps: F.coalesce(*[F.when(c, F.lit(v)) for c, v in steps], F.lit(0.0))
-    score = sum_of([
-        when((low.contains(".min."), 0.6)),
-        when((bundle, 0.3)),
-        when((vendor, 0.2)),
-        when((low.rlike("/dist/|/build/"), 0.15)),
-        when((longest > 5000, 0.5), ((longest > 1000) & (count < 20), 0.4), (average > 200, 0.3)),
-        when(((share < 0.05) & (total > 500), 0.4), ((share < 0.10) & (total > 1000), 0.2)),
-        when((packed, 0.5)),
-        when((hexes > 20, 0.3), (hexes > 5, 0.1)),
-        when((unicodes > 50, 0.2)),
-        when((names > 5, 0.5), (names > 0, 0.2)),
-        when((coded & (total > 500) & (single > 0.3) & (words > 50), 0.3), (coded & (total > 500) & (single > 0.2) & (words > 100), 0.15)),
-        when((java & (times(r"import\s+[a-z](\.[a-z]){2,};") > 3), 0.3)),
-        when((java & text.rlike(r"\bclass\s+[a-z]\b"), 0.2)),
-        when((java & (marks > 5), 0.15)),
-        when((base64 > 500, 0.3), (base64 > 100, 0.1)),
-        when((text.rlike(fixed.SOURCE_MAP), 0.1)),
-        when(((times(fixed.DENSE) > 20) & (average > 100), 0.15)),
-    ])
-    score = F.least(F.lit(1.0), score)
-    label = F.when((score >= 0.7) & (packed | (names > 0)), "obfuscated").when((score >= 0.5) & (bundle | vendor), "vendor_bundle").when(score >= 0.4, "minified").when(score >= 0.15, "possibly_minified").otherwise("clean")
-    void, mapped = ~text.rlike(r"\S"), path.endswith(".map")
-    score = F.when(void, 0.0).when(mapped, 1.0).otherwise(score)
-    return F.struct(
-        score.alias("score"), F.when(void, "empty").when(mapped, "source_map").otherwise(label).alias("label"), (~void & ~mapped & (score < 0.7)).alias("analysable"),
-        F.when(void | mapped, 0.0).otherwise(average).alias("avg_line"), F.when(void | mapped, 0).otherwise(longest).alias("max_line"),
-    )
+
+    def total_score(m: Column) -> Column:
+        f, total, words = m["f"], m["total"], m["words"]
+        average, share, single = F.try_divide(total, m["count"]), F.try_divide(f["blank"], total), F.try_divide(m["single"], words)
+        marks = f["marks"] + F.when(f["jumps"] > 3, f["jumps"]).otherwise(0)
+        score = sum_of([
+            when((low.contains(".min."), 0.6)),
+            when((bundle, 0.3)),
+            when((vendor, 0.2)),
+            when((low.rlike("/dist/|/build/"), 0.15)),
+            when((m["longest"] > 5000, 0.5), ((m["longest"] > 1000) & (m["count"] < 20), 0.4), (average > 200, 0.3)),
+            when(((share < 0.05) & (total > 500), 0.4), ((share < 0.10) & (total > 1000), 0.2)),
+            when((f["packed"], 0.5)),
+            when((f["hexes"] > 20, 0.3), (f["hexes"] > 5, 0.1)),
+            when((f["unicodes"] > 50, 0.2)),
+            when((f["names"] > 5, 0.5), (f["names"] > 0, 0.2)),
+            when((coded & (total > 500) & (single > 0.3) & (words > 50), 0.3), (coded & (total > 500) & (single > 0.2) & (words > 100), 0.15)),
+            when((f["short_imports"] > 3, 0.3)),
+            when((f["short_class"], 0.2)),
+            when((marks > 5, 0.15)),
+            when((f["base64"] > 500, 0.3), (f["base64"] > 100, 0.1)),
+            when((f["mapped"], 0.1)),
+            when(((f["dense"] > 20) & (average > 100), 0.15)),
+        ])
+        return F.struct(F.least(F.lit(1.0), score).alias("score"), average.alias("average"), m["longest"].alias("longest"), (f["packed"] | (f["names"] > 0)).alias("coded"), f["void"].alias("void"))
+
+    def verdict(x: Column) -> Column:
+        score, void, source_map = x["score"], x["void"], path.endswith(".map")
+        label = F.when((score >= 0.7) & x["coded"], "obfuscated").when((score >= 0.5) & (bundle | vendor), "vendor_bundle").when(score >= 0.4, "minified").when(score >= 0.15, "possibly_minified").otherwise("clean")
+        return F.struct(
+            F.when(void, 0.0).when(source_map, 1.0).otherwise(score).alias("score"), F.when(void, "empty").when(source_map, "source_map").otherwise(label).alias("label"), (~void & ~source_map & (score < 0.7)).alias("analysable"),
+            F.when(void | source_map, 0.0).otherwise(x["average"]).alias("avg_line"), F.when(void | source_map, 0).otherwise(x["longest"]).alias("max_line"),
+        )
+
+    return let(let(let(facts, more), total_score), verdict)
 
 
 def obfuscation_severity(score: Column) -> Column:

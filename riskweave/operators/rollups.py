@@ -60,18 +60,20 @@ def attack_surface(findings: DataFrame, hit_counts: DataFrame | None = None) ->
 
 
 def in_component(findings: DataFrame, components: DataFrame, separator: bool) -> DataFrame:
-    """Findings with the components whose path begins theirs, each component once. Paths are exploded
-    into their prefixes, so the prefix test is an equi-join: at a separator, or at any character."""
+    """Findings with the components whose path begins theirs, each component once. The distinct paths
+    are exploded into their prefixes, so the prefix test is an equi-join: at a separator, or at any
+    character that a component's path ends at."""
+    files = findings.select("file_path").distinct()
+    parted = components.select("component", F.explode("files").alias("_prefix"))
     path = F.col("file_path")
     if separator:
         parts = F.split(path, "/")
         cuts = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
-        parted = components.withColumn("_prefix", F.explode("files"))
-        return findings.withColumn("_prefix", F.explode(cuts)).join(parted, "_prefix").drop("_prefix", "files").dropDuplicates(["finding_id", "component"])
-    parted = components.withColumn("_prefix", F.explode("files")).withColumn("_n", F.length("_prefix"))
-    lengths = parted.agg(F.sort_array(F.collect_set("_n")).alias("ns")).first().ns
-    cuts = F.transform(F.array(*[F.lit(n) for n in lengths]) if lengths else F.array().cast("array<int>"), lambda n: F.when(F.length(path) >= n, F.substring(path, F.lit(1), n)))
-    return findings.withColumn("_prefix", F.explode(F.array_compact(cuts))).join(parted, "_prefix").drop("_prefix", "_n", "files").dropDuplicates(["finding_id", "component"])
+    else:
+        lengths = parted.agg(F.sort_array(F.collect_set(F.length("_prefix"))).alias("ns")).first().ns
+        cuts = F.array_compact(F.array(*[F.when(F.length(path) >= n, F.substring(path, 1, n)) for n in lengths])) if lengths else F.array().cast("array<string>")
+    owners = files.withColumn("_prefix", F.explode(cuts)).join(parted, "_prefix").select("file_path", "component").distinct()
+    return findings.join(owners, "file_path").join(components.drop("files"), "component")
 
 
 def component_scores(findings: DataFrame, components: DataFrame) -> DataFrame:

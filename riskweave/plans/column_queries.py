@@ -105,12 +105,13 @@ def _times(p: str) -> str:
     return f"len(regexp_extract_all(t, '{p}'))"
 
 
+# Word boundaries know all letters here, but only ASCII ones in DuckDB: words with others are blanked.
 OBFUSCATION_SQL = rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, lower({_obfuscation_path()}) AS low FROM documents),
 l AS (SELECT *, list_transform(string_split(regexp_replace(t, '\n$', ''), chr(10)), lambda x: length(x)) AS ls FROM d),
 m AS (SELECT *, len(ls) AS n, list_sum(ls)::BIGINT AS total, list_max(ls) AS longest, length(t) - length(translate(t, ' ' || chr(9) || chr(10), '')) AS blank,
   {_times(fixed.HEX_ESCAPE)} AS hexes, {_times(fixed.UNICODE_ESCAPE)} AS unicodes, {_times(fixed.HEX_NAME)} AS names,
-  regexp_extract_all(t, '{fixed.IDENTIFIER}') AS words, list_max(list_transform(regexp_extract_all(t, '{fixed.BASE64_RUN}'), lambda x: length(x))) AS b64,
+  regexp_extract_all(regexp_replace(t, '[\p{{L}}\p{{N}}_]*[^\x00-\x7F][\p{{L}}\p{{N}}_]*', ' ', 'g'), '{fixed.IDENTIFIER}') AS words, list_max(list_transform(regexp_extract_all(t, '{fixed.BASE64_RUN}'), lambda x: length(x))) AS b64,
   ({' OR '.join(f"regexp_matches(t, '{p}')" for p in fixed.PACKERS)}) AS packed FROM l),
 s AS (SELECT *, len(list_filter(words, lambda w: length(w) = 1)) / len(words) AS single FROM m),
 r AS (SELECT *, least(1.0, 0.0::DOUBLE + CASE WHEN contains(low, '.min.') THEN 0.6 ELSE 0 END::DOUBLE + CASE WHEN regexp_matches(low, '\.bundled?\.') THEN 0.3 ELSE 0 END::DOUBLE

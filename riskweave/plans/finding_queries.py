@@ -78,7 +78,8 @@ def components(spark):
 @query(
     "q161_component_scores",
     f"""
-WITH m AS (SELECT DISTINCT finding_id, component, severity, confidence FROM {FIND} f JOIN {COMPONENTS_SQL} ON starts_with(f.file_path, c.prefix) WHERE {LIVE}),
+WITH o AS (SELECT DISTINCT file_path, component FROM {FIND} f JOIN {COMPONENTS_SQL} ON starts_with(f.file_path, c.prefix)),
+m AS (SELECT component, severity, confidence FROM {FIND} f JOIN o ON f.file_path = o.file_path WHERE {LIVE}),
 p AS (SELECT component, round(sum(({weighed(fixed.COMPONENT_PENALTY, 3)}) * confidence), 6) AS p, count(*) AS n FROM m GROUP BY 1),
 r AS (SELECT c.component, greatest(0, 100 - coalesce(p, 0))::DOUBLE AS raw, coalesce(n, 0) AS n FROM (SELECT DISTINCT component FROM {COMPONENTS_SQL}) c LEFT JOIN p ON p.component = c.component)
 SELECT component, round(raw, 1) AS score, CASE WHEN raw >= 90 THEN 'A' WHEN raw >= 75 THEN 'B' WHEN raw >= 55 THEN 'C' WHEN raw >= 35 THEN 'D' ELSE 'F' END AS grade, n FROM r""",
@@ -90,7 +91,8 @@ def component_scores(spark, sf_dir):
 @query(
     "q162_component_hotspots",
     f"""
-WITH m AS (SELECT DISTINCT finding_id, component, severity FROM {FIND} f JOIN {COMPONENTS_SQL} ON f.file_path = c.prefix OR starts_with(f.file_path, c.prefix || '/') WHERE {LIVE})
+WITH o AS (SELECT DISTINCT file_path, component FROM {FIND} f JOIN {COMPONENTS_SQL} ON f.file_path = c.prefix OR starts_with(f.file_path, c.prefix || '/')),
+m AS (SELECT component, severity FROM {FIND} f JOIN o ON f.file_path = o.file_path WHERE {LIVE})
 SELECT component, count(*) FILTER (severity = 'critical') AS critical, count(*) FILTER (severity = 'high') AS high, count(*) AS n, arg_max(severity, {RANK}) AS max_severity FROM m GROUP BY 1 ORDER BY 2 DESC, 3 DESC, 4 DESC, 1 LIMIT 8""",
 )
 def component_hotspots(spark, sf_dir):
@@ -127,8 +129,12 @@ KEY_SQL = "concat_ws('|', lower(file_path), nullif(substr(lower(trim(category)),
 
 @query("q185_canonical_key", f"SELECT finding_id, {KEY_SQL} AS canonical_key FROM {FIND}")
 def canonical_key(spark, sf_dir):
+    return keyed(spark, sf_dir).select("finding_id", "canonical_key")
+
+
+def keyed(spark, sf_dir):
     key = ops.canonical_key(F.col("file_path"), F.col("category"), F.format_string("%d-%d", "start_line", "end_line"), F.array_compact(F.array("cwe")), F.array().cast("array<string>"), F.col("title"))
-    return found(spark, sf_dir).select("finding_id", key.alias("canonical_key"))
+    return found(spark, sf_dir).withColumn("canonical_key", key)
 
 
 @query(
@@ -138,8 +144,7 @@ SELECT canonical_key, arg_max(severity, {RANK}) AS severity, max(confidence) AS
 FROM (SELECT *, {KEY_SQL} AS canonical_key FROM {FIND}) GROUP BY 1""",
 )
 def merge_by_key(spark, sf_dir):
-    keyed = found(spark, sf_dir).join(canonical_key(spark, sf_dir), "finding_id")
-    return ops.merge_by_key(keyed, ["canonical_key"]).drop("title")
+    return ops.merge_by_key(keyed(spark, sf_dir), ["canonical_key"]).drop("title")
 
 
 @query("q183_greedy_merge")
