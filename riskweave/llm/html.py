@@ -35,10 +35,26 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Words of a class, id or role that mark what is not the article.
 WORDS = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments contentinfo cookie cookies complementary consent dialog disclaimer disqus footer gdpr header masthead menu menubar modal nav navbar navigation navigationbar newsletter notice notices notification pager pagination popup promo promotion promoted related replies search share sharing sidebar sidebars sidenav signup social sponsor sponsored subscribe toolbar topbar widget widgets login alert respond discussion".split())
 ARTICLE = frozenset(["articlebody"])
-
-
-def _marks(attributes: str) -> tuple[bool, bool]:
-    """Do a tag's attributes mark boilerplate; do they mark an article?"""
+#: Words that say that an element has such a part, or lacks it, not that it is one; words that inside
+#: an article may mark its own head.
+ABOUT, HEADS = frozenset("has have no with without hide show is".split()), frozenset("header masthead banner".split())
+#: Names that templates also give to the article, and the least text for which that is believed.
+VAGUE, LEAST_VAGUE = frozenset("widget widgets search share social modal dialog".split()), 200
+#: What is still dropped where the tag itself says article or main.
+FOREIGN = frozenset("comment comments replies respond discussion related promo promoted sponsored ad ads advert adverts".split())
+
+
+def _named(value: str, words: frozenset) -> bool:
+    """Does a class, id or role hold one of the words, not just speak about it?"""
+    for name in value.split():
+        parts = _part.findall(name)
+        if any(w in words and not (i and parts[i - 1] in ABOUT) for i, w in enumerate(parts)):
+            return True
+    return False
+
+
+def _marks(attributes: str, words: frozenset) -> tuple[bool, bool]:
+    """Do a tag's attributes mark boilerplate, by the words; do they mark an article?"""
     drop = article = False
     for name, *values in _attribute.findall(attributes):
         value = next((v for v in values if v), "").lower()
@@ -50,13 +66,13 @@ def _marks(attributes: str) -> tuple[bool, bool]:
             drop |= value == "comment"
         else:
             article |= name == "role" and value in ("main", "article")
-            drop |= any(w in WORDS for w in _part.findall(value))
+            drop |= _named(value, words)
     return drop, article
 
 
-def lines(page: str) -> list[tuple[str, int, bool]]:
+def lines(page: str, words: frozenset = WORDS) -> list[tuple[str, int, bool]]:
     """(text, characters inside links, in a marked article) of each block; blank ones for what is
-    stripped."""
+    stripped: by its tag, or by the words in its class, id or role."""
     out: list[tuple[str, int, bool]] = []
     buffer: list[str] = []
     link = linked = articles = 0
@@ -116,7 +132,8 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
                 closing.pop()
                 articles -= 1
             continue
-        drop, article = _marks(attributes) if attributes else (False, False)
+        own = words & FOREIGN if name in ("article", "main") else words - HEADS if articles else words
+        drop, article = _marks(attributes, own) if attributes else (False, False)
         if name == "header":
             drop = drop or not articles
         if name not in VOID and not (attributes.endswith("/") and name not in BLOCKS) and name not in ("html", "body") and (drop or name in DROPPED):
@@ -163,7 +180,14 @@ def kept(rows: list[tuple[str, int, bool]], window: int = WINDOW, surge: int = S
 
 
 def main_text(page: str | None) -> str:
-    return "\n\n".join(kept(lines(page))) if page else ""
+    if not page:
+        return ""
+    found = kept(lines(page))
+    if not found and not re.search("<(?:article|main)[\\s>]", page, re.I):
+        # a page all of whose text stands in a part of a vague name
+        found = kept(lines(page, WORDS - VAGUE))
+        found = found if sum(map(len, found)) >= LEAST_VAGUE else []
+    return "\n\n".join(found)
 
 
 def extract(df: DataFrame, html_col: str = "html", output: str = "text") -> DataFrame:

@@ -19,6 +19,16 @@ def test_unmarked_page():
     assert H.main_text(page) == "\n\n".join([one, "Short.", one])
 
 
+def test_names_that_only_speak_about_parts():
+    one = " ".join(LONG.split())
+    assert H.main_text(f'<div class="page has-sidebar"><main class="content-search"><p>{LONG}</p></main></div>') == one
+    assert H.main_text(f'<article><div class="post-header"><h1>Title</h1></div><p>{LONG}</p><article class="comment">No {LONG}</article></article>') == f"Title\n\n{one}"
+    assert H.main_text(f'<div class="widget"><p>{LONG}</p></div>') == one
+    assert H.main_text('<div class="cookie-banner">Accept</div><div class="modal">Join</div><p>Text</p>') == "Text"
+    assert H.main_text('<article></article><div class="ad">Buy</div><div class="widget">W</div>') == ""
+    assert H.main_text(f'<div class="cookie-banner">{LONG}</div><div class="widget">W</div>') == ""
+
+
 def test_broken_and_empty():
     assert H.main_text(None) == H.main_text("") == H.main_text("<nav>x</nav>") == ""
     assert H.main_text("<p>a < b &amp; c &am") == "a < b & c &am"
