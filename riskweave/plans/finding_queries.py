@@ -319,7 +319,7 @@ def index_files(spark, sf_dir):
     return files.select("file_id", indexed_as_test(F.col("path")).alias("is_test"))
 
 
-@query("q145_component_of_pages", "SELECT page_id, list_sort(list_distinct(list_transform(range(1, len(p) + 1), lambda i: array_to_string(p[1:i], '/')))) AS prefixes FROM (SELECT page_id, string_split(regexp_extract(url, '://([^?#]*)', 1), '/') AS p FROM pages)")
+@query("q009_path_tree", "SELECT page_id, list_sort(list_distinct(list_transform(range(1, len(p) + 1), lambda i: array_to_string(p[1:i], '/')))) AS prefixes FROM (SELECT page_id, string_split(regexp_extract(url, '://([^?#]*)', 1), '/') AS p FROM pages)")
 def component_of_pages(spark, sf_dir):
     parts = F.split(F.regexp_extract("url", "://([^?#]*)", 1), "/")
     made = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))

@@ -82,14 +82,14 @@ def relevant_flows(spark, sf_dir):
     return joins.relevant_flows(found, flows)
 
 
-@query("q310_event_props", "SELECT event_id, json_extract_string(props, '$.' || k) AS v FROM (SELECT event_id, props, json_keys(props)[1] AS k FROM events)")
+@query("q308_event_props", "SELECT event_id, json_extract_string(props, '$.' || k) AS v FROM (SELECT event_id, props, json_keys(props)[1] AS k FROM events)")
 def event_props(spark, sf_dir):
     """The first property of each event's open JSON."""
     key = F.json_object_keys("props")[0]
     return table(spark, sf_dir, "events").select("event_id", F.try_element_at(F.from_json("props", "map<string,string>"), key).alias("v"))
 
 
-@query("q099_labels_of_documents", "SELECT source, count(*) AS n, count(quality) AS labelled, sum(toxic)::BIGINT AS toxic FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1")
+@query("q163_labels_by_source", "SELECT source, count(*) AS n, count(quality) AS labelled, sum(toxic)::BIGINT AS toxic FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1")
 def labels_of_documents(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "source").join(table(spark, sf_dir, "labels"), "doc_id", "left")
     return docs.groupBy("source").agg(F.count("*").alias("n"), F.count("quality").alias("labelled"), F.sum("toxic").alias("toxic"))
