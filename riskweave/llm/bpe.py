@@ -151,7 +151,8 @@ def _encode_long(df: DataFrame, vocabulary: Vocabulary, text_col: str, with_byte
                 names = named([tuple(r.values()) for r in part.to_pylist()], seen, TaskContext.get().partitionId())
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names, pa.string())], schema=pa.schema([*part.schema, pa.field("_uid", pa.string())]))
 
-    rows = df.mapInArrow(tag, T.StructType([*df.schema.fields, *uid]))
+    # Written, because both the chunks and the last join read the names: a row must keep its own.
+    rows = common.written(df.mapInArrow(tag, T.StructType([*df.schema.fields, *uid])))
 
     def cut(batches):
         for batch in batches:
@@ -183,7 +184,7 @@ def _encode_long(df: DataFrame, vocabulary: Vocabulary, text_col: str, with_byte
             for r in batch.to_pylist():
                 ids = [] if r["_whole"] else encoding.encode_ordinary(r["_chunk"][r["_a"] : r["_b"]])
                 rest = r["_chunk"][:size] if r["_whole"] else ""
-                yield pa.RecordBatch.from_pydict({"_uid": [r["_uid"]], "_k": pa.array([r["_k"]], pa.int32()), "_ids": pa.array([ids], pa.list_(pa.int32())), "_rest": [rest if not r["_whole"] else r["_chunk"][: size]]})
+                yield pa.RecordBatch.from_pydict({"_uid": [r["_uid"]], "_k": pa.array([r["_k"]], pa.int32()), "_ids": pa.array([ids], pa.list_(pa.int32())), "_rest": [rest]})
 
     done = pieces.mapInArrow(encode_pieces, T.StructType([*uid, T.StructField("_k", T.IntegerType()), T.StructField("_ids", ints), T.StructField("_rest", T.StringType())]))
 

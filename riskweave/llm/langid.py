@@ -25,7 +25,12 @@ from . import common
 WIDTHS, FILTERS, LENGTH = (2, 3, 4), 8, 256
 PER_LANG, SNIPPET, EPOCHS, BATCH, RATE = 400, 1200, 12, 64, 0.02
 UNKNOWN = "und"
-_letter = re.compile(r"[^\W\d_]")
+_word = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str | None) -> bool:
+    """Is there a letter? Numbers that are no digits (fractions, say) are word characters, too."""
+    return bool(text) and any(m[0].isalpha() for m in _word.finditer(text))
 
 
 def windows(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -76,7 +81,7 @@ class Network:
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         langs, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
-        at = [i for i, x in enumerate(texts) if x and _letter.search(x)] if self.langs else []
+        at = [i for i, x in enumerate(texts) if has_letter(x)] if self.langs else []
         if not at:
             return langs, scores
         x, n = windows([texts[i] for i in at])

@@ -15,7 +15,7 @@ def text(lang, n, r):
 def test_held_out_accuracy_and_edges(spark):
     r = random.Random(4)
     rows = [(i, text(l := r.choice(list(WORDS)), r.randint(3, 200), r), l, "x", 1.5) for i in range(600)]
-    rows += [(1000, None, "en", "x", 0.0), (1001, "", None, "x", 0.0), (1002, "12 34 !?", "en", "x", 0.0), (1003, "the of it " * 20000, None, "x", 0.0), (None, "der die und", None, None, None)]
+    rows += [(1000, None, "en", "x", 0.0), (1001, "", None, "x", 0.0), (1002, "12 34 !? ½²_", "en", "x", 0.0), (1003, "the of it " * 20000, None, "x", 0.0), (None, "der die und", None, None, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, lang_pred string, score double")
     got = {x.doc_id: x for x in L.identify(df).collect()}
     assert len(got) == len(rows) and set(got[0].asDict()) == {"doc_id", "text", "lang", "lang_pred", "score"}
