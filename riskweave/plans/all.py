@@ -4,3 +4,4 @@ from . import column_queries  # noqa: F401
 from . import finding_queries  # noqa: F401
 from . import text_queries  # noqa: F401
 from . import planning_queries  # noqa: F401
+from . import source_queries  # noqa: F401

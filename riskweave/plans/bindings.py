@@ -39,7 +39,8 @@ DEPENDENCIES = {
     "fixed_version": "case when p_partkey % 2 = 0 then '2.0.0' else '' end",
     "source_file": "concat('m', cast(p_partkey % 3 as string), '/package.json')",
 }
-EDGES = {"edge_id": "l_orderkey * 10 + l_linenumber", "caller": "concat('f', cast(l_suppkey % 60 as string))", "callee": "concat('f', cast(l_partkey % 120 as string))"}
+_NODE = "(l_suppkey * 31 + l_partkey) % 997"
+EDGES = {"edge_id": "l_orderkey * 10 + l_linenumber", "caller": f"concat('f', cast({_NODE} as string))", "callee": f"concat('f', cast({_NODE} + 1 + l_linenumber % 3 as string))"}
 
 
 def select(binding: dict) -> str:
@@ -57,7 +58,3 @@ def sql(binding: dict, where: str = "") -> str:
 
 def frame(spark: SparkSession, sf_dir: str, binding: dict, where: str = "true") -> DataFrame:
     return table(spark, sf_dir, source(binding)).where(where).selectExpr(*[f"{e} AS {n}" for n, e in binding.items()])
-
-
-#: A sparse part of the lines, so that bounded searches differ in depth.
-SPARSE_EDGES = "l_orderkey % 40 = 0 AND l_linenumber < 3"

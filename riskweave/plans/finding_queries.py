@@ -8,7 +8,7 @@ from ..functions import fixed, text
 from ..operators import findings as ops
 from ..operators import graph, joins, rollups
 from ..session import table
-from .bindings import DEPENDENCIES, EDGES, FILES, FINDINGS, SPARSE_EDGES, frame, sql
+from .bindings import DEPENDENCIES, EDGES, FILES, FINDINGS, frame, select, sql
 from .column_queries import DEPENDENCY_RISK_SQL, dependency_risks
 from .registry import query
 
@@ -162,19 +162,28 @@ def title_similarity(spark, sf_dir):
     return pairs.where(text.jaccard(F.col("a.w"), F.col("b.w")) >= 0.9).select(F.col("a.finding_id").alias("a"), F.col("b.finding_id").alias("b"))
 
 
-HITS = "(SELECT l_orderkey * 10 + l_linenumber AS hit_id, " + FINDINGS["file_path"] + " AS file_path, cast(l_suppkey % 190 + 1 as int) AS start_line, cast(l_suppkey % 190 + 3 as int) AS end_line, concat('rule/', l_returnflag) AS rule_id, case l_partkey % 3 when 0 then 'SQL query built from input' when 1 then 'weak cipher' else 'note' end AS message, 'semgrep' AS scanner FROM lineitem WHERE l_orderkey % 50 = 1)"
-SOME = "scan_id % 50 = 2"
+#: Findings and hits of one project and file meet.
+HIT_PATH = "concat('p', cast(l_orderkey % 500 as string), '/', " + FINDINGS["file_path"] + ")"
+HIT = {
+    "hit_id": "l_orderkey * 10 + l_linenumber",
+    "file_path": HIT_PATH,
+    "start_line": "cast(l_suppkey % 190 + 1 as int)",
+    "end_line": "cast(l_suppkey % 190 + 3 as int)",
+    "rule_id": "concat('rule/', l_returnflag)",
+    "message": "case l_partkey % 3 when 0 then 'SQL query built from input' when 1 then 'weak cipher' else 'note' end",
+    "scanner": "'semgrep'",
+}
 
 
 @query(
     "q138_match_hits",
     f"""
 SELECT finding_id, hit_id, rule_id FROM (SELECT a.finding_id, b.hit_id, b.rule_id, row_number() OVER (PARTITION BY a.finding_id ORDER BY b.hit_id) AS r
-FROM (SELECT * FROM {FIND} WHERE {SOME}) a JOIN {HITS} b ON a.file_path = b.file_path AND ((a.start_line <= b.end_line AND b.start_line <= a.end_line) OR (a.category = 'crypto' AND b.message = 'weak cipher'))) WHERE r <= 5""",
+FROM (SELECT {select(FINDINGS | {"file_path": HIT_PATH})} FROM lineitem) a JOIN (SELECT {select(HIT)} FROM lineitem) b ON a.file_path = b.file_path AND ((a.start_line <= b.end_line AND b.start_line <= a.end_line) OR (a.category = 'crypto' AND b.message = 'weak cipher'))) WHERE r <= 5""",
 )
 def match_hits(spark, sf_dir):
-    hits = table(spark, sf_dir, "lineitem").where("l_orderkey % 50 = 1").selectExpr("l_orderkey * 10 + l_linenumber AS hit_id", FINDINGS["file_path"] + " AS file_path", "cast(l_suppkey % 190 + 1 as int) AS start_line", "cast(l_suppkey % 190 + 3 as int) AS end_line", "concat('rule/', l_returnflag) AS rule_id", "case l_partkey % 3 when 0 then 'SQL query built from input' when 1 then 'weak cipher' else 'note' end AS message", "'semgrep' AS scanner")
-    return ops.match_hits(found(spark, sf_dir).where(SOME), hits)
+    of = lambda binding: table(spark, sf_dir, "lineitem").selectExpr(*[f"{e} AS {n}" for n, e in binding.items()])
+    return ops.match_hits(of(FINDINGS | {"file_path": HIT_PATH}), of(HIT))
 
 
 @query("q113_project_scan_counts", "SELECT c_custkey, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY 1")
@@ -201,10 +210,10 @@ def files_of_findings(spark, sf_dir):
     return rows.groupBy("scan_id").agg(F.sort_array(F.collect_set("p_name")).alias("files"))
 
 
-@query("q206_dependency_order", f"SELECT id, score FROM ({DEPENDENCY_RISK_SQL}) WHERE id % 2 = 0 ORDER BY score DESC NULLS LAST, {ORDER}, lower(name), id LIMIT 50")
+@query("q206_dependency_order", f"SELECT id, score FROM ({DEPENDENCY_RISK_SQL}) ORDER BY score DESC NULLS LAST, {ORDER}, lower(name), id")
 def dependency_order(spark, sf_dir):
-    rows = dependency_risks(spark, sf_dir).where("id % 2 = 0").select("id", "severity", "name", F.col("risk.score").alias("risk_score"))
-    return rows.orderBy(*ops.dependency_order(), "id").limit(50).select("id", F.col("risk_score").alias("score"))
+    rows = dependency_risks(spark, sf_dir).select("id", "severity", "name", F.col("risk.score").alias("risk_score"))
+    return rows.orderBy(*ops.dependency_order(), "id").select("id", F.col("risk_score").alias("score"))
 
 
 @query("q163_dependency_summary", f"SELECT count(*) AS total, count(*) FILTER (status = 'reachable') AS reachable, count(*) FILTER (relevance IN ('used', 'likely_used')) AS active, count(*) FILTER (score >= 700) AS high_risk FROM ({DEPENDENCY_RISK_SQL})")
@@ -247,14 +256,14 @@ def top_per_group(spark, sf_dir):
     return ops.top_per_group(rows, ["l_suppkey"], [F.desc("l_extendedprice"), F.col("l_orderkey"), F.col("l_linenumber")], 3).drop("l_extendedprice")
 
 
-BOOSTS = "(SELECT l_partkey AS file_id, CASE WHEN l_linenumber = 1 THEN -1.0 ELSE l_linenumber / 2.0 END AS boost FROM lineitem WHERE l_orderkey % 7 = 0)"
+BOOSTS = "(SELECT l_partkey AS file_id, CASE WHEN l_linenumber = 1 THEN -1.0 ELSE l_linenumber / 2.0 END AS boost FROM lineitem)"
 
 
 @query("q208_reprioritise", f"SELECT p_partkey AS file_id, round(p_size + coalesce(sum(boost), 0), 4)::DOUBLE AS effective, count(boost) AS referenced FROM part LEFT JOIN {BOOSTS} b ON p_partkey = b.file_id WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 49) GROUP BY p_partkey, p_size")
 def reprioritise(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem")
     files = table(spark, sf_dir, "part").selectExpr("p_partkey AS file_path", "cast(p_size as double) AS score")
-    boosts = lines.where("l_orderkey % 7 = 0").selectExpr("l_partkey AS file_path", "cast(CASE WHEN l_linenumber = 1 THEN -1.0 ELSE l_linenumber / 2.0 END as double) AS boost")
+    boosts = lines.selectExpr("l_partkey AS file_path", "cast(CASE WHEN l_linenumber = 1 THEN -1.0 ELSE l_linenumber / 2.0 END as double) AS boost")
     out = ops.reprioritised(files, boosts, lines.where("l_quantity > 49").select(F.col("l_partkey").alias("file_path")))
     return out.select(F.col("file_path").alias("file_id"), F.round("effective", 4).alias("effective"), "referenced")
 
@@ -274,10 +283,10 @@ def progress_state(spark, sf_dir):
 
 
 def edges(spark, sf_dir):
-    return frame(spark, sf_dir, EDGES, SPARSE_EDGES)
+    return frame(spark, sf_dir, EDGES)
 
 
-EDGE = sql(EDGES, SPARSE_EDGES)
+EDGE = sql(EDGES)
 
 
 @query("q168_in_degree", f"SELECT callee, count(*) AS calls FROM {EDGE} GROUP BY 1")
@@ -299,9 +308,9 @@ def find_path(spark, sf_dir):
     return graph.find_path(edges(spark, sf_dir), pairs, 6).select("source", "target", "hops")
 
 
-@query("q225_entry_points", REACH_SQL.format(a="callee", b="caller", edge=EDGE, starts="(SELECT unnest(['f5', 'f70', 'f110']) AS s)", hops=8, out="s AS target, n AS entry, hops::INT AS hops", where=f"hops > 0 AND hops < 8 AND n NOT IN (SELECT callee FROM {EDGE})"))
+@query("q225_entry_points", REACH_SQL.format(a="callee", b="caller", edge=EDGE, starts="(SELECT unnest(['f5', 'f12', 'f20']) AS s)", hops=8, out="s AS target, n AS entry, hops::INT AS hops", where=f"hops > 0 AND hops < 8 AND n NOT IN (SELECT callee FROM {EDGE})"))
 def entry_points(spark, sf_dir):
-    targets = spark.createDataFrame([("f5",), ("f70",), ("f110",)], "node string")
+    targets = spark.createDataFrame([("f5",), ("f12",), ("f20",)], "node string")
     return graph.entry_points(edges(spark, sf_dir), targets, 8).select("target", "entry", "hops")
 
 
@@ -310,12 +319,12 @@ def callers(spark, sf_dir):
     return edges(spark, sf_dir).where("callee = 'f7'").select("caller", "callee", "edge_id")
 
 
-@query("q001_index_files", f"SELECT file_id, regexp_matches(lower(path), 'test|spec|__test__|fixture|mock') AS is_test FROM {sql(FILES)} WHERE line_count <= 1500 ORDER BY path, file_id LIMIT 1000")
+@query("q001_index_files", f"SELECT file_id, regexp_matches(lower(path), 'test|spec|__test__|fixture|mock') AS is_test FROM {sql(FILES)} WHERE line_count <= 1500 ORDER BY path, file_id LIMIT 10000")
 def index_files(spark, sf_dir):
     """The size test, the flags and the cap of the file index, in a fixed order."""
     from ..functions.paths import indexed_as_test
 
-    files = frame(spark, sf_dir, FILES).where("line_count <= 1500").orderBy("path", "file_id").limit(1000)
+    files = frame(spark, sf_dir, FILES).where("line_count <= 1500").orderBy("path", "file_id").limit(10000)
     return files.select("file_id", indexed_as_test(F.col("path")).alias("is_test"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .. import sinks
@@ -20,11 +21,11 @@ def query_findings(spark, sf_dir):
     return found(spark, sf_dir).where("status = 'candidate' and severity = 'high'").select("finding_id", "severity", F.substring("title", 1, 10).alias("title"))
 
 
-@query("q099_dependency_findings", f"SELECT id, severity, score FROM ({DEPENDENCY_RISK_SQL}) WHERE relevance = 'used' ORDER BY score DESC NULLS LAST, severity DESC NULLS LAST, id LIMIT 60")
+@query("q099_dependency_findings", f"SELECT id, severity, score FROM ({DEPENDENCY_RISK_SQL}) WHERE relevance = 'used' ORDER BY score DESC NULLS LAST, severity DESC NULLS LAST, id")
 def dependency_findings(spark, sf_dir):
     """The order of the read interface: risk, then severity as text."""
     rows = dependency_risks(spark, sf_dir).where("relevance = 'used'").select("id", "severity", F.col("risk.score").alias("score"))
-    return rows.orderBy(F.desc_nulls_last("score"), F.desc_nulls_last("severity"), "id").limit(60)
+    return rows.orderBy(F.desc_nulls_last("score"), F.desc_nulls_last("severity"), "id")
 
 
 @query("q098_taint_flows", "SELECT l_orderkey AS flow_id, count(*) AS hops, list_sort(list(l_partkey))[1:6] AS chain FROM lineitem GROUP BY 1 HAVING bool_and(l_returnflag <> 'R')")
@@ -47,9 +48,11 @@ def scan_history(spark, sf_dir):
     return rows.where(hit).groupBy(F.col("o_orderstatus").alias("status")).agg(F.count("*").alias("n"))
 
 
-@query("q106_list_scans", "SELECT o_orderkey, o_orderdate FROM orders WHERE o_custkey % 50 = 7 ORDER BY o_orderdate DESC, o_orderkey LIMIT 200")
+@query("q106_list_scans", "SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey)::INT AS place FROM orders")
 def list_scans(spark, sf_dir):
-    return table(spark, sf_dir, "orders").where("o_custkey % 50 = 7").select("o_orderkey", "o_orderdate").orderBy(F.desc("o_orderdate"), "o_orderkey").limit(200)
+    """The scans of every project, newest first."""
+    w = Window.partitionBy("o_custkey").orderBy(F.desc("o_orderdate"), "o_orderkey")
+    return table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.row_number().over(w).alias("place"))
 
 
 @query("q192_persist_new", "SELECT DISTINCT l_partkey, l_returnflag FROM lineitem WHERE l_orderkey % 2 = 0 AND (l_partkey, l_returnflag) NOT IN (SELECT (l_partkey, l_returnflag) FROM lineitem WHERE l_orderkey % 2 = 1)")
@@ -88,9 +91,9 @@ def iteration_budget(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", b["reads"].alias("reads"), b["passes"].alias("passes"))
 
 
-@query("q209_hot_files", "SELECT l_partkey AS file_path, sum(l_linenumber)::DOUBLE AS dynamic FROM lineitem WHERE l_orderkey % 9 = 0 GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
+@query("q209_hot_files", "SELECT l_partkey AS file_path, sum(l_linenumber)::DOUBLE AS dynamic FROM lineitem GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
 def hot_files(spark, sf_dir):
-    boosts = table(spark, sf_dir, "lineitem").where("l_orderkey % 9 = 0").selectExpr("l_partkey AS file_path", "cast(l_linenumber as double) AS boost")
+    boosts = table(spark, sf_dir, "lineitem").selectExpr("l_partkey AS file_path", "cast(l_linenumber as double) AS boost")
     files = table(spark, sf_dir, "part").selectExpr("p_partkey AS file_path", "0.0D AS score")
     none = files.limit(0)
     return ops.hot_files(ops.reprioritised(files, boosts, none), 10).select("file_path", "dynamic")
@@ -136,9 +139,9 @@ def sbom_export(spark, sf_dir):
     return sinks.cyclonedx(_sbom(spark, sf_dir))
 
 
-@query("q324_evidence_rows", f"SELECT finding_id, kind, ordinal, description FROM (SELECT finding_id, 'supporting' AS kind, unnest([title, category]) AS description, unnest([0, 1]) AS ordinal FROM {FIND} WHERE scan_id % 40 = 1 UNION ALL SELECT finding_id, 'opposing', status, 0 FROM {FIND} WHERE scan_id % 40 = 1)")
+@query("q324_evidence_rows", f"SELECT finding_id, kind, ordinal, description FROM (SELECT finding_id, 'supporting' AS kind, unnest([title, category]) AS description, unnest([0, 1]) AS ordinal FROM {FIND} UNION ALL SELECT finding_id, 'opposing', status, 0 FROM {FIND})")
 def evidence_rows(spark, sf_dir):
-    rows = frame(spark, sf_dir, FINDINGS).where("scan_id % 40 = 1").select("finding_id", F.array("title", "category").alias("supporting_evidence"), F.array("status").alias("opposing_evidence"))
+    rows = frame(spark, sf_dir, FINDINGS).select("finding_id", F.array("title", "category").alias("supporting_evidence"), F.array("status").alias("opposing_evidence"))
     return sinks.evidence_rows(rows)
 
 

@@ -55,7 +55,7 @@ WITH d AS (SELECT id, ecosystem, lower(trim(name)) AS name, p_size % 5 AS major
 a AS (SELECT {ADVISORY} AS advisory_id, concat('left-pad', cast(s_suppkey % 60 as string)) AS package, s_suppkey % 4 AS below FROM supplier)
 SELECT id, advisory_id, 'exact_package_match' AS match_type FROM d JOIN a ON d.name = a.package WHERE d.major < a.below""")
 def package_audit(spark, sf_dir):
-    deps = frame(spark, sf_dir, DEPENDENCIES).where("ecosystem = 'npm'").withColumn("version", packages.clean_version(F.col("version"))).where("version <> ''")
+    deps = frame(spark, sf_dir, DEPENDENCIES).withColumn("version", packages.clean_version(F.col("version"))).where("version <> ''")
     low = table(spark, sf_dir, "supplier").selectExpr(f"{ADVISORY} AS id", "'npm' AS ecosystem", "concat('Left-Pad', cast(s_suppkey % 60 as string)) AS package", "'high' AS severity", "'' AS details", "array('u') AS references", "cast(null as array<string>) AS affected_ranges", "concat('<', cast(s_suppkey % 4 as string), '.0.0') AS affected_range", "cast(null as array<string>) AS affected_versions")
     return joins.audit(deps, low).select("id", "advisory_id", "match_type")
 
@@ -67,18 +67,18 @@ def by_weakness(spark, sf_dir):
     return joins.by_weakness(found, low).select("finding_id", "advisory_id")
 
 
-@query("q139_enclosing_symbol", "WITH s AS (SELECT l_suppkey AS file, l_orderkey * 10 + l_linenumber AS name, l_partkey % 400 AS a, l_partkey % 400 + 5 + l_linenumber * 9 AS b FROM lineitem WHERE l_orderkey % 20 = 3), l AS (SELECT l_orderkey * 10 + l_linenumber AS line_id, l_suppkey AS file, l_partkey % 450 AS line FROM lineitem WHERE l_orderkey % 20 = 4) SELECT DISTINCT line_id, name FROM (SELECT *, row_number() OVER (PARTITION BY line_id ORDER BY b - a, a DESC, name) AS r FROM (SELECT l.line_id, s.name, a, b FROM l JOIN s ON l.file = s.file AND a <= line AND line <= b)) WHERE r = 1")
+@query("q139_enclosing_symbol", "WITH s AS (SELECT l_orderkey AS file, l_linenumber * 1000000 + l_partkey AS name, l_partkey % 400 AS a, l_partkey % 400 + 5 + l_linenumber * 9 AS b FROM lineitem) SELECT DISTINCT line_id, name FROM (SELECT *, row_number() OVER (PARTITION BY line_id ORDER BY b - a, a DESC, name) AS r FROM (SELECT o_orderkey AS line_id, s.name, a, b FROM orders JOIN s ON o_orderkey = s.file AND a <= o_custkey % 450 AND o_custkey % 450 <= b)) WHERE r = 1")
 def enclosing_symbol(spark, sf_dir):
-    lines = table(spark, sf_dir, "lineitem")
-    symbols = lines.where("l_orderkey % 20 = 3").selectExpr("l_suppkey AS file", "l_orderkey * 10 + l_linenumber AS name", "l_partkey % 400 AS start_line", "l_partkey % 400 + 5 + l_linenumber * 9 AS end_line")
-    spots = lines.where("l_orderkey % 20 = 4").selectExpr("l_orderkey * 10 + l_linenumber AS line_id", "l_suppkey AS file", "l_partkey % 450 AS line")
+    """Of every order's line number, the narrowest of its lines' ranges around it."""
+    symbols = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS file", "l_linenumber * 1000000 + l_partkey AS name", "l_partkey % 400 AS start_line", "l_partkey % 400 + 5 + l_linenumber * 9 AS end_line")
+    spots = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS line_id", "o_orderkey AS file", "o_custkey % 450 AS line")
     return joins.enclosing_symbols(spots, symbols).select("line_id", "name").distinct()
 
 
-@query("q154_relevant_flows", "SELECT DISTINCT o_orderkey AS finding_id, event_id AS flow_id FROM (SELECT * FROM orders WHERE o_orderkey % 10 = 0) JOIN (SELECT * FROM events WHERE event_id % 10 = 0) ON o_custkey = user_id OR o_custkey = user_id + 7")
+@query("q154_relevant_flows", "SELECT DISTINCT o_orderkey AS finding_id, event_id AS flow_id FROM orders JOIN events ON o_custkey = user_id OR o_custkey = user_id + 7")
 def relevant_flows(spark, sf_dir):
-    found = table(spark, sf_dir, "orders").where("o_orderkey % 10 = 0").selectExpr("o_orderkey AS finding_id", "o_custkey AS file_path")
-    flows = table(spark, sf_dir, "events").where("event_id % 10 = 0").selectExpr("event_id AS flow_id", "user_id AS source_file", "user_id + 7 AS sink_file")
+    found = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS finding_id", "o_custkey AS file_path")
+    flows = table(spark, sf_dir, "events").selectExpr("event_id AS flow_id", "user_id AS source_file", "user_id + 7 AS sink_file")
     return joins.relevant_flows(found, flows)
 
 
