@@ -103,14 +103,19 @@ def by_weakness(findings: DataFrame, advisories: DataFrame, limit: int = 5, cap:
     return first.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
 
 
+#: Languages with rules of their own; others are resolved by file names.
+RESOLVED = ("python", "javascript", "typescript", "java", "kotlin", "go", "ruby", "php", "rust")
+
+
 def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
     """Imports (id, source_file, module, language) to files (path): candidate paths of the language
-    in order of confidence, the best that exists. Suffix rules take the least path of several."""
+    in order, the first that exists. Suffix rules take the least path of several; a Go module is the
+    directory of its last part, a name without a path the only file of that name."""
     m, src = F.col("module"), F.col("source_file")
     parent = F.regexp_extract(src, "^(.*/)?[^/]*$", 1)
     stem = F.when(F.col("language").isin("python", "java", "kotlin"), F.replace(m, F.lit("."), F.lit("/"))).otherwise(m)
     up = F.regexp_replace(stem, "/[^/]*$", "")
-    option = lambda p, c: F.struct(p.alias("path"), F.lit(c).alias("confidence"))
+    option = lambda p, c, is_dir=False: F.struct(p.alias("path"), F.lit(c).alias("confidence"), F.lit(is_dir).alias("is_dir"))
     python = F.array(option(F.concat(stem, F.lit(".py")), 1.0), option(F.concat(stem, F.lit(".pyi")), 1.0), option(F.concat(stem, F.lit("/__init__.py")), 0.9), option(F.concat(up, F.lit(".py")), 0.8), option(F.concat(up, F.lit("/__init__.py")), 0.7))
     # relative modules: dots climb from the source's directory, ./ and ../ are resolved by segments
     dots = F.length(F.regexp_extract(m, r"^(\.*)", 1))
@@ -127,9 +132,21 @@ def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
     base = F.array_join(F.aggregate(raw, F.array().cast("array<string>"), settle), "/")
     script = F.array(*[option(F.concat(base, F.lit(e)), 1.0) for e in (".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs")], *[option(F.concat(base, F.lit(f"/index{e}")), 0.9) for e in (".ts", ".tsx", ".js", ".jsx")], option(base, 1.0))
     own = F.when((F.col("language") == "python") & m.startswith("."), relative).when(F.col("language") == "python", python)
-    own = own.when(F.col("language").isin("javascript", "typescript") & m.rlike(r"^[./]"), script).otherwise(F.array().cast("array<struct<path:string,confidence:double>>"))
-    exact = imports.select("id", F.posexplode(own).alias("place", "o")).select("id", "place", "o.path", "o.confidence").join(files.select("path"), "path")
-    best = exact.groupBy("id").agg(F.min_by(F.struct("path", "confidence"), F.struct(-F.col("confidence"), F.col("place"))).alias("x"))
+    own = own.when(F.col("language").isin("javascript", "typescript") & m.rlike(r"^[./]"), script)
+    crate = F.replace(F.regexp_replace(m, "^(crate|super)::", ""), F.lit("::"), F.lit("/"))
+    above = F.regexp_replace(F.regexp_extract(parent, "^(.*/)?[^/]+/$", 1), "/$", "")
+    rust = F.array(*[option(F.concat(F.lit(at), crate, F.lit(end)), c) for at in ("src/", "") for end, c in ((".rs", 0.9), ("/mod.rs", 0.8))])
+    own = own.when((F.col("language") == "rust") & m.startswith("crate::"), rust)
+    own = own.when((F.col("language") == "rust") & m.startswith("super::"), F.array(option(F.concat_ws("/", F.nullif(above, F.lit("")), F.concat(crate, F.lit(".rs"))), 0.9)))
+    own = own.when((F.col("language") == "ruby") & m.rlike(r"^\.\.?/"), F.array(option(F.concat(base, F.lit(".rb")), 1.0), option(base, 1.0)))
+    own = own.when(F.col("language").isin("java", "kotlin") & m.endswith(".*"), F.array(option(F.regexp_replace(stem, r"/\*$", ""), 0.7, True)))
+    own = own.otherwise(F.array().cast("array<struct<path:string,confidence:double,is_dir:boolean>>"))
+    levels = F.split(F.col("path"), "/")
+    above_file = F.when(F.size(levels) > 1, F.transform(F.sequence(F.lit(1), F.greatest(F.size(levels) - 1, F.lit(1))), lambda i: F.array_join(F.slice(levels, 1, i), "/"))).otherwise(F.array().cast("array<string>"))
+    dirs = files.select(F.explode(above_file).alias("path")).distinct()
+    there = files.select("path", F.lit(False).alias("is_dir")).union(dirs.select("path", F.lit(True)))
+    exact = imports.select("id", F.posexplode(own).alias("place", "o")).select("id", "place", "o.*").join(there, ["path", "is_dir"])
+    best = exact.groupBy("id").agg(F.min_by(F.struct("path", "confidence"), "place").alias("x"))
     # suffixes of the files meet the module's path by equality
     parts = F.split(F.col("path"), "/")
     suffixes = files.select("path", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/"))).alias("suffix"))
@@ -141,9 +158,21 @@ def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
             rows = imports.where(F.col("language") == language).select("id", F.concat(wanted, F.lit(end)).alias("suffix"), F.lit(place).alias("place"), F.lit(0.8 if language == "php" else 0.9).alias("confidence"))
             by_suffix = rows if by_suffix is None else by_suffix.unionByName(rows)
     tails = by_suffix.join(suffixes, "suffix").groupBy("id").agg(F.min_by(F.struct("path", "confidence"), F.struct("place", "path")).alias("y"))
-    out = imports.join(best, "id", "left").join(tails, "id", "left")
-    hit = F.coalesce("x", "y")
-    outside = (F.col("language") == "python") & ~m.startswith(".") | F.col("language").isin("javascript", "typescript") & ~m.rlike(r"^[./]") | F.col("language").isin("java", "kotlin", "php")
+    # a Go module ends in its directory's name; each distinct module meets the directories once
+    last = F.element_at(F.split(F.btrim(m, F.lit('"')), "/"), -1)
+    homes = dirs.select(F.col("path").alias("home"), F.element_at(F.split("path", "/"), -1).alias("last"))
+    modules = imports.where("language = 'go'").select("module", last.alias("last")).distinct().join(homes, "last")
+    modules = modules.groupBy("module").agg(F.min_by("home", F.struct(~F.col("module").endswith(F.concat(F.lit("/"), F.col("home"))), F.col("home"))).alias("home"))
+    # names: a Ruby module's own, else the last part of any other language's, with the endings in order
+    named = F.when(F.col("language") == "ruby", F.array(F.struct(F.concat(m, F.lit(".rb")).alias("base"), F.lit(0.6).alias("confidence"))))
+    word = F.element_at(F.split(m, r"\.|/|::"), -1)
+    named = named.when(~F.col("language").isin(*RESOLVED), F.array(*[F.struct(F.concat(word, F.lit(e)).alias("base"), F.lit(0.4).alias("confidence")) for e in (".py", ".js", ".ts", ".java", ".go", ".rs", ".rb", ".php")]))
+    single = files.groupBy(paths.name(F.col("path")).alias("base")).agg(F.count("*").alias("n"), F.min("path").alias("path")).where("n = 1").drop("n")
+    names = imports.where("language <> 'go'").select("id", F.posexplode(named).alias("place", "o")).select("id", "place", "o.*").join(single, "base")
+    names = names.groupBy("id").agg(F.min_by(F.struct("path", "confidence"), "place").alias("z"))
+    out = imports.join(best, "id", "left").join(tails, "id", "left").join(names, "id", "left").join(modules.withColumn("language", F.lit("go")), ["language", "module"], "left")
+    hit = F.coalesce("x", "y", "z", F.when(F.col("home").isNotNull(), F.struct(F.col("home").alias("path"), F.lit(0.7).alias("confidence"))))
+    outside = ~((F.col("language") == "python") & m.startswith(".") | F.col("language").isin("javascript", "typescript") & m.rlike(r"^[./]"))
     return out.select("id", hit["path"].alias("resolved_path"), F.coalesce(hit["confidence"], F.when(outside, 0.0).when(F.col("language") == "python", 0.3).otherwise(0.2)).alias("confidence"), (hit.isNull() & outside).alias("is_external"))
 
 

@@ -6,11 +6,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import fixed, text
-from ..operators import graph, joins
+from ..functions import fixed, paths, patterns, text
+from ..functions.columns import lookup
+from ..operators import findings, graph, joins, planning
 from ..session import table
-from ..sources import manifests, scanners
-from .bindings import DEPENDENCIES, FINDINGS, frame, sql
+from ..sources import advisories, manifests, repo, rules, scanners, structure
+from .bindings import DEPENDENCIES, FILES, FINDINGS, frame, sql
 from .column_queries import NORMAL_SQL
 from .registry import query
 
@@ -119,6 +120,10 @@ IMPORTS = [
     ("q130_script_imports", "javascript", "web/a/x.js", "../modKEY", "web/modKEY.ts", 1.0, 0.2, False),
     ("q131_java_imports", "java", "A.java", "com.acme.ModKEY", "src/main/java/com/acme/ModKEY.java", 0.9, 0.0, True),
     ("q132_kotlin_imports", "kotlin", "A.kt", "com.acme.ModKEY", "src/com/acme/ModKEY.kt", 0.9, 0.0, True),
+    ("q133_go_imports", "go", "a.go", "github.com/x/y/modKEY", "internal/modKEY", 0.7, 0.0, True),
+    ("q134_ruby_imports", "ruby", "a.rb", "modKEY", "lib/modKEY.rb", 0.6, 0.0, True),
+    ("q136_rust_imports", "rust", "src/a.rs", "crate::net::modKEY", "src/net/modKEY.rs", 0.9, 0.0, True),
+    ("q137_named_imports", "swift", "a.swift", "App.modKEY", "x/modKEY.go", 0.4, 0.0, True),
     ("q135_php_imports", "php", "a.php", "App\\ModKEY", "lib/App/ModKEY.php", 0.8, 0.0, True),
 ]
 
@@ -129,7 +134,8 @@ def _imports(name: str, language: str, source: str, module: str, path: str, ther
     @query(name, f"SELECT o_orderkey AS id, CASE WHEN {found} THEN {filled_sql(path, 'o_custkey')} END AS resolved_path, (CASE WHEN {found} THEN {there} ELSE {missing} END)::DOUBLE AS confidence, {external} AND NOT {found} AS is_external FROM orders")
     def resolve(spark, sf_dir):
         imports = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.lit(source).alias("source_file"), filled(module, F.col("o_custkey")).alias("module"), F.lit(language).alias("language"))
-        here = F.when(F.col("c_custkey") % 2 == 0, filled(path, F.col("c_custkey"))).otherwise(filled("other/KEY.txt", F.col("c_custkey")))
+        file = path + "/x.go" if language == "go" else path
+        here = F.when(F.col("c_custkey") % 2 == 0, filled(file, F.col("c_custkey"))).otherwise(filled("other/KEY.txt", F.col("c_custkey")))
         return joins.resolve_imports(imports, table(spark, sf_dir, "customer").select(here.alias("path")))
 
 
@@ -204,3 +210,120 @@ def union_ignoring_case(spark, sf_dir):
 @query("q301_symbol_tokens", "SELECT p_partkey, list_sort(['foo.bar::baz' || p_partkey, 'foo.bar.baz' || p_partkey, 'foo', 'bar', 'baz' || p_partkey]) AS tokens FROM part")
 def symbol_tokens(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", F.array_sort(text.symbol_tokens(filled("`Foo.Bar::bazKEY(x, y)`", F.col("p_partkey")))).alias("tokens"))
+
+
+@query("q122_import_match", "SELECT s_suppkey AS id, o_orderkey AS line, 0.95::DOUBLE AS confidence, 'import' AS kind FROM orders JOIN supplier ON s_suppkey = o_custkey % 200")
+def import_match(spark, sf_dir):
+    """External imports with the packages that they mean."""
+    packages = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), filled("PkgKEY", F.col("s_suppkey")).alias("name"), F.lit("npm").alias("ecosystem"))
+    imports = table(spark, sf_dir, "orders").select(F.lit("a.js").alias("source_file"), filled("pkgKEY/sub", F.col("o_custkey") % 200).alias("import_module"), F.col("o_orderkey").alias("line"), F.lit(True).alias("is_external"))
+    return joins.imports_of_packages(packages, imports).select("id", "line", "confidence", "kind")
+
+
+@query("q215_files_importing", "SELECT 'f' || o_orderkey % 100 AS source_file, min(o_orderkey) AS line FROM orders WHERE contains('app.mod' || o_custkey, 'mod7') GROUP BY 1 ORDER BY 1 LIMIT 30")
+def files_importing(spark, sf_dir):
+    imports = table(spark, sf_dir, "orders").select(filled("fKEY", F.col("o_orderkey") % 100).alias("source_file"), F.col("o_orderkey").alias("line"), filled("app.ModKEY", F.col("o_custkey")).alias("import_module"), F.lit(None).cast("string").alias("resolved_path"))
+    return planning.files_importing(imports, "mod7").select("source_file", "line")
+
+
+@query("q295_dependency_boosts", "SELECT 'f' || l_suppkey AS file_path, sum(CASE WHEN l_returnflag = 'R' THEN 6 ELSE 4 END)::DOUBLE AS boost, count(*) AS n FROM lineitem GROUP BY 1")
+def dependency_boosts(spark, sf_dir):
+    evidence = table(spark, sf_dir, "lineitem").select(filled("fKEY", F.col("l_suppkey")).alias("file"), F.when(F.col("l_returnflag") == "R", "vulnerable_function").otherwise("import").alias("kind"))
+    return planning.dependency_boosts(evidence).groupBy("file_path").agg(F.sum("boost").alias("boost"), F.count("*").alias("n"))
+
+
+@query("q296_finding_boosts", "SELECT file_path, sum(boost)::DOUBLE AS boost FROM (SELECT 'src/f' || l_suppkey || '.py' AS file_path, 5 AS boost FROM lineitem UNION ALL SELECT 'lib/g' || l_linenumber || '.js', 3 FROM lineitem) GROUP BY 1")
+def finding_boosts(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select(filled("src/fKEY.py", F.col("l_suppkey")).alias("file_path"), F.array(filled("body of a request (lib/gKEY.js), unchecked", F.col("l_linenumber"))).alias("input_sources"))
+    return planning.finding_boosts(rows).groupBy("file_path").agg(F.sum("boost").alias("boost"))
+
+
+@query(
+    "q119_vulnerable_calls",
+    """
+WITH h AS (SELECT o_orderkey % 50 AS f, s_suppkey AS s, min(o_orderkey) AS line FROM orders JOIN supplier ON o_custkey = s_suppkey GROUP BY 1, 2),
+g AS (SELECT *, CASE WHEN f <> s % 50 THEN 'weak' WHEN s % 2 = 0 THEN 'strong' ELSE 'medium' END AS evidence_strength, CASE WHEN f <> s % 50 THEN 1 WHEN s % 2 = 0 THEN 3 ELSE 2 END AS k FROM h)
+SELECT 'f' || f AS file, 'A' || lpad(s::VARCHAR, 8, '0') AS advisory_id, line, evidence_strength FROM (SELECT *, row_number() OVER (PARTITION BY f ORDER BY k DESC, line, s) AS r FROM g) WHERE r <= 10""",
+)
+def vulnerable_calls(spark, sf_dir):
+    """Calls of functions that advisories name, the ten best of each file."""
+    s, people = F.col("s_suppkey"), table(spark, sf_dir, "supplier")
+    advisories = people.select(F.concat(F.lit("A"), F.lpad(s.cast("string"), 8, "0")).alias("id"), filled("pkgKEY", s).alias("package"), F.lit("npm").alias("ecosystem"), F.lit("high").alias("severity"), F.array(filled("Lib.fnKEY(x)", s)).alias("vulnerable_functions"))
+    # the qualifier is a key as well, but nothing calls it
+    calls = table(spark, sf_dir, "orders").select(filled("fKEY", F.col("o_orderkey") % 50).alias("file"), filled("FnKEY", F.col("o_custkey")).alias("function"), F.col("o_orderkey").alias("line"))
+    imports = people.select(filled("fKEY", s % 50).alias("source_file"), filled("pkgKEY", s).alias("import_module"), F.lit(True).alias("is_external"))
+    dependencies = people.select(F.when(s % 2 == 0, filled("pkgKEY", s)).otherwise(filled("otherKEY", s)).alias("name"), F.lit("npm").alias("ecosystem"))
+    return joins.vulnerable_calls(calls, joins.function_index(advisories), imports, dependencies).select("file", "advisory_id", "line", "evidence_strength")
+
+
+@query("q189_merge_advisories", "SELECT l_orderkey AS finding_id, 'A' || l_suppkey % 5 AS display_id, list_sort(list_distinct(list(l_returnflag))) AS evidence_types FROM lineitem GROUP BY 1, 2")
+def merge_advisories(spark, sf_dir):
+    flag = F.col("l_returnflag")
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("finding_id"), filled("AKEY", F.col("l_suppkey") % 5).alias("display_id"), F.when(flag == "A", "strong").otherwise("weak").alias("evidence_strength"), F.lit(0.5).alias("package_match_confidence"), F.lit("high").alias("severity"), flag.alias("evidence_type"), F.lit("lockfile").alias("package_evidence_source"), F.lit("f").alias("function"), F.col("l_linenumber").alias("line"))
+    return findings.merge_advisories(rows, ["finding_id"]).select("finding_id", "display_id", "evidence_types")
+
+
+OSV_RECORD = '{"id":"X-KEY","aliases":["CVE-KEY"],"summary":"s","severity":[{"type":"CVSS_V3","score":"CVSS:3.1/AV:N/AC:L/PR:N/UI:N/S:U/C:H/I:H/A:H"}],"database_specific":{"severity":"LOW","cwe_ids":["CWE-79"]},"affected":[{"package":{"ecosystem":"npm","name":"pKEY"},"ranges":[{"type":"SEMVER","events":[{"introduced":"0"},{"fixed":"SIZE.0.0"}]},{"type":"GIT","events":[{"introduced":"abc"}]}]},{"package":{"ecosystem":"npm","name":"pKEY"},"ranges":[{"type":"SEMVER","events":[{"introduced":"90.0.0"},{"last_affected":"91.0.0"}]}]},{"package":{"ecosystem":"PyPI","name":"q"},"versions":["1.0"]}]}'
+
+
+@query("q016_convert_osv", "SELECT 'X-' || p_partkey AS id, 'npm' AS ecosystem, 'p' || p_partkey AS package, 'critical' AS severity, 9.8::DOUBLE AS cvss_score, '>=0,<' || p_size || '.0.0 || >=90.0.0,<=91.0.0' AS affected_range, p_size || '.0.0' AS fixed_version FROM part UNION ALL SELECT 'X-' || p_partkey, 'pypi', 'q', 'critical', 9.8, '', NULL FROM part")
+def convert_osv(spark, sf_dir):
+    """One advisory for each record and package."""
+    records = table(spark, sf_dir, "part").select(F.from_json(filled(OSV_RECORD, F.col("p_partkey"), F.col("p_size")), advisories.OSV).alias("r")).select("r.*")
+    return advisories.from_osv(records).select("id", "ecosystem", "package", "severity", "cvss_score", "affected_range", "fixed_version")
+
+
+ANDROID_MANIFEST = '<manifest xmlns:android="http://schemas.android.com/apk/res/android" package="p.KEY"><uses-permission android:name="CAMERA"/><application android:debuggable="true"><activity android:name=".AKEY" android:exported="true"/><service android:name=".S"/></application></manifest>'
+
+
+@query("q012_android_manifest", "SELECT 'm' || p_partkey || '/AndroidManifest.xml' AS path, unnest(['package', 'permission', 'flag', 'exported']) AS kind, unnest(['p.' || p_partkey, 'CAMERA', 'debuggable', '.A' || p_partkey]) AS name, unnest([NULL, NULL, 'true', 'activity']) AS detail FROM part")
+def android_manifest(spark, sf_dir):
+    return structure.android(files_of_parts(spark, sf_dir, "AndroidManifest.xml", ANDROID_MANIFEST))
+
+
+@query("q242_python_structure", "SELECT 'm' || p_partkey || '/a.py' AS path, unnest(['import', 'function', 'call']) AS kind, unnest(['os', 'f' || p_partkey, 'system']) AS name, unnest([NULL, NULL, 'f' || p_partkey]) AS owner, unnest([1, 3, 4])::INT AS line FROM part")
+def python_structure(spark, sf_dir):
+    files = files_of_parts(spark, sf_dir, "a.py", "import os\n\ndef fKEY(a):\n    return os.system(a)\n")
+    return structure.facts(files.withColumn("language", F.lit("python"))).select("path", "kind", "name", "owner", "line")
+
+
+@query("q250_security_tags", "SELECT doc_id, list_filter([" + ", ".join(f"CASE WHEN regexp_matches(text, '({p})', 'i') THEN '{t}' END" for t, p in structure.TAGS.items()) + "], lambda x: x IS NOT NULL) AS tags FROM documents WHERE text IS NOT NULL")
+def security_tags(spark, sf_dir):
+    return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", structure.tags(F.col("text")).alias("tags"))
+
+
+@query("q236_labelled_lines", "WITH l AS (SELECT doc_id, content, line::INT AS line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS content, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line FROM documents)), h AS (SELECT 'licence' AS type, * FROM l WHERE regexp_matches(content, 'licen[sc]e', 'i') UNION ALL SELECT 'assigned', * FROM l WHERE regexp_matches(content, '(token|password)\\s*=', 'i')) SELECT type, 'd' || lpad(doc_id::VARCHAR, 9, '0') || '.java' AS path, line FROM (SELECT *, row_number() OVER (PARTITION BY type ORDER BY doc_id, line) AS r FROM h) WHERE r <= 10")
+def labelled_lines(spark, sf_dir):
+    """The first lines of each labelled pattern."""
+    files = table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), F.lpad(F.col("doc_id").cast("string"), 9, "0"), F.lit(".java")).alias("path"), F.col("text").alias("content"))
+    return patterns.labelled(files, [("licence", "licen[sc]e"), ("assigned", r"(token|password)\s*=")], ["java"], 10).select("type", "path", "line")
+
+
+@query("q019_rule_counts", "SELECT 'm' || p_partkey || '/r.yaml' AS path, 1 + p_partkey % 2 AS rules FROM part")
+def rule_counts(spark, sf_dir):
+    """Rules of each file that are not known to fail."""
+    files = files_of_parts(spark, sf_dir, "r.yaml", "rules:\n- id: a\n  languages: [python]\n  message: m\n- id: b\n  languages: [go]\n")
+    key = F.col("p_partkey")
+    bad = table(spark, sf_dir, "part").select(filled("mKEY/r.yaml", key).alias("path"), F.when(key % 2 == 0, "b").otherwise("none").alias("id"))
+    return rules.counts(rules.without(rules.read(files), bad))
+
+
+@query("q167_languages", "SELECT " + "CASE lower(regexp_extract(path, '[^/.][^/]*(\\.[^./]+)$', 1)) " + " ".join(f"WHEN '{e}' THEN '{v}'" for e, v in repo.LANGUAGES.items()) + f" END AS language, count(*) AS n FROM {sql(FILES)} GROUP BY 1 HAVING language IS NOT NULL")
+def languages(spark, sf_dir):
+    return repo.languages(frame(spark, sf_dir, FILES).withColumn("language", lookup(paths.extension(F.col("path")), repo.LANGUAGES)))
+
+
+@query("q011_workspaces", "SELECT CASE p_partkey % 3 WHEN 0 THEN 'apps/a' WHEN 1 THEN 'py/a' ELSE 'cmd/a' END || p_partkey AS path, CASE p_partkey % 3 WHEN 0 THEN 'convention' WHEN 1 THEN 'python' ELSE 'go' END AS kind FROM part")
+def workspaces(spark, sf_dir):
+    key = F.col("p_partkey")
+    path = F.when(key % 3 == 0, filled("apps/aKEY/package.json", key)).when(key % 3 == 1, filled("py/aKEY/pyproject.toml", key)).otherwise(filled("cmd/aKEY/go.mod", key))
+    return repo.workspaces(table(spark, sf_dir, "part").select(path.alias("path")))
+
+
+@query("q064_hit_paths", "SELECT o_orderkey AS hit_id, CASE WHEN o_orderkey % 3 = 2 OR c_custkey IS NULL THEN 'gone/x.py' ELSE 'src/d' || c_custkey || '/f' || c_custkey || '.py' END AS path FROM orders LEFT JOIN customer ON o_custkey = c_custkey")
+def hit_paths(spark, sf_dir):
+    """Raw paths of hits: as they stand, by the only file of that name, or left as they are."""
+    key = F.col("o_custkey")
+    raw = F.when(F.col("o_orderkey") % 3 == 0, filled("./src/dKEY/fKEY.py", key)).when(F.col("o_orderkey") % 3 == 1, filled("file:///builds/1/src/dKEY/fKEY.py", key)).otherwise("gone/x.py")
+    files = table(spark, sf_dir, "customer").select(filled("src/dKEY/fKEY.py", F.col("c_custkey")).alias("path"))
+    return joins.unique_basename(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("hit_id"), raw.alias("raw")), files)
