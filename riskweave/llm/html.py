@@ -6,7 +6,9 @@ lines. Text lengths are summed over sliding windows of lines. Where the sum surg
 a run of text begins, where it dives to nothing the run ends; the lines between are kept. On a page
 that marks its article, the lines outside it are blank and any text is a surge, so short blocks of
 the article stay; elsewhere lines that are mostly links count as blank, and only runs of some size
-next to the longest are kept (all lines, where none surges).
+next to the longest are kept (all lines, where none surges), with the other lines of the innermost
+element (other than the body) that holds most of their text: a notice inside an article makes a
+dive, but does not end the article.
 
 Defined cases: null or empty HTML gives an empty text; broken markup is read as far as it goes;
 nothing is cut or capped; repeated rows each give a row. All input columns stay, but one named
@@ -23,7 +25,7 @@ from pyspark.sql import types as T
 
 from . import common
 
-WINDOW, SURGE, SHARE, LINKS = 3, 80, 0.25, 0.6
+WINDOW, SURGE, SHARE, LINKS, MOST = 3, 80, 0.25, 0.6, 0.6
 
 _tag = re.compile(r"<(?:!--.*?(?:-->|\Z)|[!?][^>]*>|(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>)", re.S)
 _attribute = re.compile(r"""(class|id|role|itemprop|hidden|aria-hidden)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
@@ -31,6 +33,7 @@ _part = re.compile(r"[a-z0-9]+")
 RAW = frozenset("script style textarea xmp iframe noembed noframes title template noscript".split())
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody tfoot thead tr ul".split())
 DROPPED = frozenset("aside button datalist dialog footer form head input map math menu nav noscript object select svg".split())
+HOLDERS = frozenset("div section".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Words of a class, id or role that mark what is not the article.
 WORDS = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments contentinfo cookie cookies complementary consent dialog disclaimer disqus footer gdpr header masthead menu menubar modal nav navbar navigation navigationbar newsletter notice notices notification pager pagination popup promo promotion promoted related replies search share sharing sidebar sidebars sidenav signup social sponsor sponsored subscribe toolbar topbar widget widgets login alert respond discussion".split())
@@ -70,21 +73,27 @@ def _marks(attributes: str, words: frozenset) -> tuple[bool, bool]:
     return drop, article
 
 
-def lines(page: str, words: frozenset = WORDS) -> list[tuple[str, int, bool]]:
-    """(text, characters inside links, in a marked article) of each block; blank ones for what is
-    stripped: by its tag, or by the words in its class, id or role."""
-    out: list[tuple[str, int, bool]] = []
+Line = tuple[str, int, bool, int]
+
+
+def lines(page: str, words: frozenset = WORDS) -> tuple[list[Line], dict[int, int]]:
+    """(text, characters inside links, in a marked article, innermost holder) of each block; blank
+    ones for what is stripped: by its tag, or by the words in its class, id or role. Also, what holds
+    each holder: they are numbered as they open, 0 is none."""
+    out: list[Line] = []
     buffer: list[str] = []
     link = linked = articles = 0
     skip, depth = "", 0
     closing: list[str] = []
+    holders: list[tuple[str, int]] = [("", 0)]
+    open_, within = dict.fromkeys(HOLDERS, 0), {0: 0}
 
     def end():
         nonlocal linked
         text = " ".join(entities.unescape("".join(buffer)).split())
         buffer.clear()
         if text:
-            out.append((text, linked, articles > 0))
+            out.append((text, linked, articles > 0, holders[-1][1]))
         linked = 0
 
     at, n, lower = 0, len(page), None
@@ -128,6 +137,10 @@ def lines(page: str, words: frozenset = WORDS) -> list[tuple[str, int, bool]]:
         if name == "a":
             link = 0 if close else 1
         if close:
+            if name in HOLDERS and open_[name]:
+                while (last := holders.pop()[0]) != name:
+                    open_[last] -= 1
+                open_[name] -= 1
             if closing and name in ("article", "main", *closing) and closing[-1] == name:
                 closing.pop()
                 articles -= 1
@@ -138,9 +151,13 @@ def lines(page: str, words: frozenset = WORDS) -> list[tuple[str, int, bool]]:
             drop = drop or not articles
         if name not in VOID and not (attributes.endswith("/") and name not in BLOCKS) and name not in ("html", "body") and (drop or name in DROPPED):
             end()
-            out += [("", 0, False)] * WINDOW
+            out += [("", 0, False, 0)] * WINDOW
             skip, depth = name, 1
             continue
+        if name in HOLDERS and not attributes.endswith("/"):
+            within[len(within)] = holders[-1][1]
+            holders.append((name, len(within) - 1))
+            open_[name] += 1
         if name in ("article", "main") or article:
             closing.append(name)
             articles += 1
@@ -149,13 +166,29 @@ def lines(page: str, words: frozenset = WORDS) -> list[tuple[str, int, bool]]:
             closing.append(name)
             articles += 1
     end()
+    return out, within
+
+
+def innermost(rows: list[Line], within: dict[int, int], size: list[int]) -> set[int]:
+    """The innermost holder of most of some lines' text, and the holders in it."""
+    held = dict.fromkeys(within, 0)
+    for r, n in zip(rows, size, strict=True):
+        held[r[3]] += n
+    for i in range(len(within) - 1, 0, -1):
+        held[within[i]] += held[i]
+    # a holder that opens later and has most of the text stands inside the earlier ones
+    found = max((i for i, n in held.items() if n >= MOST * held[0]), default=0)
+    out = {found} if found else set()
+    for i in range(found + 1, len(within) if found else 0):
+        if within[i] in out:
+            out.add(i)
     return out
 
 
-def kept(rows: list[tuple[str, int, bool]], window: int = WINDOW, surge: int = SURGE) -> list[str]:
+def kept(rows: list[Line], within: dict[int, int], window: int = WINDOW, surge: int = SURGE) -> list[str]:
     """The lines between surge and dive points."""
-    marked = any(a for t, _, a in rows if t)
-    size = [len(t) if (a if marked else t and k < LINKS * len(t)) else 0 for t, k, a in rows]
+    marked = any(a for t, _, a, _ in rows if t)
+    size = [len(t) if (a if marked else t and k < LINKS * len(t)) else 0 for t, k, a, _ in rows]
     if marked:
         surge = 1
     sums, total = [0] * len(size), 0
@@ -173,19 +206,24 @@ def kept(rows: list[tuple[str, int, bool]], window: int = WINDOW, surge: int = S
         else:
             i += 1
     if not runs:
-        return [t for (t, _, _), s in zip(rows, size, strict=True) if s] or [t for t, _, _ in rows if t]
+        return [r[0] for r, s in zip(rows, size, strict=True) if s] or [r[0] for r in rows if r[0]]
     weight = [sum(size[a:b]) for a, b in runs]
     least = 0 if marked else SHARE * max(weight)
-    return [rows[i][0] for (a, b), w in zip(runs, weight, strict=True) if w >= least for i in range(a, b) if size[i]]
+    chosen = [0] * len(size)
+    for (a, b), w in zip(runs, weight, strict=True):
+        if w >= least:
+            chosen[a:b] = size[a:b]
+    inside = set() if marked else innermost(rows, within, chosen)
+    return [r[0] for r, n, c in zip(rows, size, chosen, strict=True) if c or n and r[3] in inside]
 
 
 def main_text(page: str | None) -> str:
     if not page:
         return ""
-    found = kept(lines(page))
+    found = kept(*lines(page))
     if not found and not re.search("<(?:article|main)[\\s>]", page, re.I):
         # a page all of whose text stands in a part of a vague name
-        found = kept(lines(page, WORDS - VAGUE))
+        found = kept(*lines(page, WORDS - VAGUE))
         found = found if sum(map(len, found)) >= LEAST_VAGUE else []
     return "\n\n".join(found)
 
