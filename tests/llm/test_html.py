@@ -21,7 +21,7 @@ def test_unmarked_page():
 
 def test_notice_inside_an_unmarked_article():
     one = " ".join(LONG.split())
-    page = f"<body><div>Home</div><nav>N</nav><div class=post><section><p>{LONG}</p></section><div class=advert>{LONG}</div><div><p>After it.</p></div><p>End.</p></div><div>Imprint"
+    page = f"<body><div>Home</div><nav>N</nav><div class=post><p>{LONG}</p><div class=advert>{LONG}</div><div><p>After it.</p></div><p>End.</p></div><div>Imprint"
     assert H.main_text(page) == "\n\n".join([one, "After it.", "End."])
     assert H.main_text("<div><p>x" * 30000 + "</section>") == "\n\n".join(["x"] * 30000)
 
