@@ -91,3 +91,15 @@ def same_directory(a: Column, b: Column) -> Column:
     """Equal parent directories; files at the root are unrelated."""
     parent = lambda p: F.regexp_extract(F.translate(p, "\\", "/"), "^(.*)/[^/]*$", 1)
     return (parent(a) != "") & (parent(a) == parent(b))
+
+
+def low_context(path: Column) -> Column:
+    """Is a file a test, an example or a document?"""
+    low = F.concat(F.lit("/"), F.lower(normalise(F.coalesce(path, F.lit("")))))
+    return F.exists(F.array(*[F.lit(m) for m in fixed.LOW_CONTEXT]), lambda m: low.contains(m))
+
+
+def declaring_manifest(path: Column) -> Column:
+    """The manifest beside a lockfile; null for other files."""
+    beside = F.try_element_at(F.create_map(*[F.lit(x) for pair in fixed.DECLARED_IN.items() for x in pair]), name(path))
+    return F.concat(F.regexp_extract(path, "^(.*/)?[^/]*$", 1), beside)

@@ -176,3 +176,8 @@ def top_factors(factors: Column, limit: int = 3) -> Column:
     entries = F.filter(F.map_entries(factors), lambda e: ~e["key"].isin("base", "final") & (e["value"] != 0))
     ordered = F.array_sort(F.transform(entries, lambda e: F.struct((-F.abs(e["value"])).alias("o"), e["key"].alias("k"), e["value"].alias("v"))))
     return F.array_join(F.transform(F.slice(ordered, 1, limit), lambda e: F.concat_ws("=", e["k"], e["v"].cast("string"))), ", ")
+
+
+def candidate_confidence(value: Column) -> Column:
+    """A confidence written as text: a half where it is no number, none where it is missing."""
+    return F.when(value.isNull(), 0.0).otherwise(F.coalesce(value.try_cast("double"), F.lit(0.5)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import fixed, scores, text
+from ..functions import fixed, paths, scores, text
 from ..functions.columns import empty, lookup
 from ..lineage import streamed_groups
 
@@ -232,7 +232,7 @@ def guardrails(findings: DataFrame, context: Column) -> DataFrame:
     """Severe data-flow findings without a context are lowered to medium, or dismissed where their
     path is a test, an example or a document."""
     gap = (F.coalesce("status", F.lit("")) != "dismissed") & F.col("severity").isin("critical", "high") & F.col("needs_context") & ~context
-    low = F.concat(F.lit("/"), F.lower("file_path")).rlike("/(?:test|tests|example|examples|docs|fixtures|samples|demo)/")
+    low = paths.low_context(F.col("file_path"))
     return findings.withColumns({
         "status": F.when(gap & low, "dismissed").otherwise(F.col("status")),
         "severity": F.when(gap & low, "info").when(gap, "medium").otherwise(F.col("severity")),

@@ -5,3 +5,4 @@ from . import finding_queries  # noqa: F401
 from . import text_queries  # noqa: F401
 from . import planning_queries  # noqa: F401
 from . import source_queries  # noqa: F401
+from . import fact_queries  # noqa: F401

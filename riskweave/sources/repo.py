@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import paths
+from ..functions import fixed, paths
 from ..functions.columns import lookup
 
 MOST_BYTES, MOST_FILES = 1_000_000, 10_000
@@ -71,3 +71,18 @@ def workspaces(files: DataFrame) -> DataFrame:
     kind = F.when((base == "package.json") & home.rlike("^(apps|packages|services|libs)/[^/]+$"), F.struct(F.lit(1), F.lit("convention"))).when(base == "pyproject.toml", F.struct(F.lit(2), F.lit("python"))).when(base == "go.mod", F.struct(F.lit(3), F.lit("go"))).when(base == "package.json", F.struct(F.lit(4), F.lit("node")))
     rows = files.select(home.alias("path"), kind.alias("k")).where("k is not null and path <> ''")
     return rows.groupBy("path").agg(F.min("k").alias("k")).select("path", F.col("k.col2").alias("kind"))
+
+
+def documents(files: DataFrame, limit: int = 15, each: int = 10) -> DataFrame:
+    """(path) of the documents to read first: known names in order, other READMEs of the root, then
+    the first Markdown files of each directory of documents."""
+    path, base = F.col("path"), paths.name(F.col("path"))
+    home = F.regexp_extract("path", "^(.*)/[^/]*$", 1)
+    place = lambda values, c: F.array_position(F.array(*[F.lit(v) for v in values]), c)
+    known, directory = place(fixed.DOCUMENTS, path), place(fixed.DOCUMENT_DIRECTORIES, home)
+    rows = files.where(~paths.skipped(path)).select("path", base.alias("base"), known.alias("known"), F.when(base.endswith(".md"), directory).otherwise(0).alias("directory"), (~path.contains("/") & F.lower(base).startswith("readme")).alias("readme"))
+    rows = rows.where("known > 0 or readme or directory > 0").distinct()
+    rows = rows.withColumn("r", F.row_number().over(Window.partitionBy("directory").orderBy("path")))
+    useful = ~F.col("base").isin(*fixed.NO_DOCUMENTS)
+    rank = F.when(F.col("known") > 0, F.col("known")).when(F.col("readme") & useful, 100).when((F.col("directory") > 0) & (F.col("r") <= each) & useful, F.col("directory") + 100)
+    return rows.withColumn("rank", rank).where("rank is not null").orderBy("rank", "path").limit(limit).select("path")
