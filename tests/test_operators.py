@@ -123,3 +123,19 @@ def test_rollups(spark):
     assert len(f) == 1 and f[0].sanitised and f[0].intermediaries == ["x"]
     c = spark.createDataFrame([(1, 1, "a/x.py", "k"), (1, 2, "a/y.py", "l"), (1, 3, "z.py", "l"), (1, 4, "q.py", "m"), (2, 5, "z.py", "k")], "scan_id long, finding_id long, file_path string, category string")
     assert sorted((r.cluster, r.finding_id) for r in findings.clusters(c).collect()) == [(0, 1), (0, 2)]
+
+
+def test_imports_of_other_languages(spark):
+    files = spark.createDataFrame([(p,) for p in ("src/a/b.rs", "src/net/mod.rs", "net.rs", "lib/x.rb", "lib/sub/y.rb", "com/app/One.java", "pkg/db/q.go", "other/db/q.go", "u/only.py", "two/same.py", "three/same.py", "top.rb")], "path string")
+    rows = [
+        (1, "src/a/c.rs", "super::lib", "rust"), (2, "src/x/c.rs", "super::a::b", "rust"), (3, "a.rs", "crate::net", "rust"), (4, "lib/z.rb", "./sub/y", "ruby"), (5, "lib/sub/z.rb", "../x", "ruby"), (6, "q.rb", "top", "ruby"),
+        (7, "A.java", "com.app.*", "java"), (8, "a.go", "ex.com/m/pkg/db", "go"), (9, "a.go", "ex.com/m/db", "go"), (10, "a.go", "fmt", "go"), (11, "a.swift", "M.only", "swift"), (12, "a.swift", "M.same", "swift"),
+    ]
+    imports = spark.createDataFrame(rows, "id int, source_file string, module string, language string")
+    got = {r.id: (r.resolved_path, r.confidence, r.is_external) for r in joins.resolve_imports(imports, files).collect()}
+    assert len(got) == len(rows)
+    assert got[1] == got[10] == got[12] == (None, 0.0, True)
+    assert got[2] == ("src/a/b.rs", 0.9, False) and got[3] == ("src/net/mod.rs", 0.8, False)
+    assert got[4] == ("lib/sub/y.rb", 1.0, False) and got[5] == ("lib/x.rb", 1.0, False) and got[6] == ("top.rb", 0.6, False)
+    assert got[7] == ("com/app", 0.7, False) and got[8] == ("pkg/db", 0.7, False) and got[9] == ("other/db", 0.7, False)
+    assert got[11] == ("u/only.py", 0.4, False)
