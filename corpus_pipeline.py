@@ -29,12 +29,15 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document, that of the least id, of each group of near-duplicates."""
-    found = simhash.near_duplicates(docs)
-    name = lambda c: F.coalesce(F.concat(F.lit("i"), F.col(c).cast("string")), F.lit("none")).alias("_name")
-    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(name("doc_id")).distinct()
-    kept = docs.withColumn("_name", name("doc_id")).join(first, "_name", "left_semi")
-    return kept.dropDuplicates(["_name"]).select(*docs.columns)
+    """Keeps one document, that of the least id, of each group of near-duplicates. Rows stand for
+    themselves: a null or repeated id does not make rows of different texts one."""
+    key = common.row_key("doc_id", "text")
+    # an id that is null is never the least; rows of one id go by their keys
+    row = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), key.alias("key"))
+    found = simhash.near_duplicates(docs.select(row.alias("_row"), "text"), "_row")
+    first = found.where(F.col("_row") == F.col("component_id")).select(F.col("_row.key").alias("_key")).distinct()
+    kept = docs.withColumn("_key", key).join(first, "_key", "left_semi")
+    return kept.dropDuplicates(["_key"]).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -63,3 +63,13 @@ def test_stages_on_edges(spark, sf):
     masked = corpus_pipeline.personal_data(spark, df, sf).where(F.col("text").contains("mail")).first()
     assert masked.text == "the of and to mail [EMAIL]" and masked.n_chars == 26 and masked.score == 2.0
     assert simhash.near_duplicates(df).where("doc_id = 1").first().component_id == 1
+
+
+def test_rows_without_own_ids_stay(spark, sf):
+    texts = ["the red fox runs over a wide green field", "some ships sail past an old stone harbour wall", "seven cooks boil soup in one large copper pot", "a clock strikes nine in the empty market hall"]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[1]), (5, texts[2]), (5, texts[3]), (7, texts[3]), (None, texts[2]), (8, None), (None, None), (9, "")]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.near_duplicates(spark, df, sf)
+    assert out.columns == df.columns
+    got = sorted([(r.doc_id, r.text) for r in out.collect()], key=str)
+    assert got == sorted([(None, texts[0]), (None, texts[1]), (5, texts[2]), (5, texts[3]), (8, None)], key=str)
