@@ -16,15 +16,21 @@ from riskweave.llm import bpe, common, decontaminate, langid, pii, simhash
 from riskweave.llm.queries import multilingual_vocabulary
 from riskweave.session import table
 
-#: A document is rejected if no language is found in it, or none with this much certainty.
-LEAST_SCORE = 0.25
+#: A document is rejected if no language is found in it, or none with this much certainty: the share
+#: of the way from chance (1 / languages, the least that the likeliest can score) to 1.
+CERTAINTY = 0.75
+
+
+def least_score(languages: int) -> float:
+    chance = 1 / max(1, languages)
+    return chance + (1 - chance) * CERTAINTY
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents whose language is recognised."""
     network = langid.train(langid.sample(docs))
     kept = langid.predict(docs.withColumns({f"_kept_{c}": F.col(c) for c in docs.columns if c in ("lang_pred", "score")}), network)
-    kept = kept.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
+    kept = kept.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= least_score(len(network.langs))))
     return kept.select(*[F.col(f"_kept_{c}").alias(c) if f"_kept_{c}" in kept.columns else F.col(c) for c in docs.columns])
 
 

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import random
 
 import public_tokenizers as P
 import tiktoken
@@ -12,6 +13,8 @@ from riskweave.llm import decontaminate, langid, pii, simhash
 from riskweave.session import table
 
 from .test_decontaminate import brute as tiling
+from .test_langid import WORDS
+from .test_langid import text as words_of
 from .test_pii import brute as base_spans
 from .test_simhash import brute_components, brute_fingerprint
 
@@ -73,3 +76,14 @@ def test_rows_without_own_ids_stay(spark, sf):
     assert out.columns == df.columns
     got = sorted([(r.doc_id, r.text) for r in out.collect()], key=str)
     assert got == sorted([(None, texts[0]), (None, texts[1]), (5, texts[2]), (5, texts[3]), (8, None)], key=str)
+
+
+def test_uncertain_languages_go(spark, sf):
+    r = random.Random(6)
+    langs = list(WORDS)
+    rows = [(i, words_of(langs[i % 3], r.randint(20, 200), r), langs[i % 3]) for i in range(600)]
+    rows += [(1000 + i, "".join(r.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(600)), None) for i in range(100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = [x.doc_id for x in corpus_pipeline.language(spark, df, sf).collect()]
+    assert sum(i < 600 for i in got) >= 597 and sum(i >= 1000 for i in got) <= 40
+    assert corpus_pipeline.least_score(1) == 1.0 and corpus_pipeline.least_score(4) == 0.8125
