@@ -35,7 +35,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document, that of the least id, of each group of near-duplicates. Rows stand for
+    """Keeps one document, that of the least id, of each group of near-duplicates (fingerprints
+    at 3 bits or fewer; the README has what share of edited copies that reaches). Rows stand for
     themselves: a null or repeated id does not make rows of different texts one."""
     key = common.row_key("doc_id", "text")
     # an id that is null is never the least; rows of one id go by their keys
