@@ -4,8 +4,9 @@ The fixed patterns find e-mail addresses, IP addresses, card numbers and phone n
 the seeds. The two words before an identifier are its lexical pattern; tokens with digits are the
 candidate instances. Spark scores the graph of patterns and instances iteratively: a pattern is as
 good as its instances are on average, an instance as its patterns together (noisy or), seeds stay
-certain. Candidates behind a pattern of confidence CONFIDENT that SUPPORT different seeds have
-induced are new identifiers (kind ``id``).
+certain. Candidates behind a pattern of confidence CONFIDENT that SUPPORT different instances have
+induced are new identifiers (kind ``id``). Seeds and new identifiers give support, so these find
+further patterns, until there are no more.
 
 Spans count code points, the end is exclusive. Defined cases: null and empty texts have no spans;
 repeated rows each give a row and add nothing to a pattern's support; an empty table gives an
@@ -118,19 +119,35 @@ def extract(df: DataFrame, text_col: str = "text") -> DataFrame:
     return common.with_columns(df, fields, run, text_col)
 
 
+def induced(edges: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(instance, score): the noisy or of each instance's patterns; without those that have none."""
+    doubt = edges.join(patterns.where("confidence > 0"), "pattern").groupBy("instance").agg(F.sum(F.log1p(-F.least(F.col("confidence"), F.lit(0.999999)))).alias("doubt"))
+    return doubt.select("instance", (1 - F.exp("doubt")).alias("score"))
+
+
 def confident(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """The patterns of confidence CONFIDENT and more, from edges (pattern, instance, seed)."""
+    """The patterns of confidence CONFIDENT and more, from edges (pattern, instance, seed). Each
+    generation starts from the seeds and from what the patterns found so far induce, and scores for
+    some rounds; the last is the one that finds no more patterns."""
     edges = common.written(edges.groupBy("pattern", "instance").agg(F.max("seed").alias("seed")))
-    # a pattern without a seed has nothing to start from; it can gain through shared instances
-    sure = edges.groupBy("instance").agg(F.max(F.col("seed").cast("double")).alias("score"))
-    for i in range(rounds):
-        scored = edges.join(sure, "instance")
-        patterns = scored.groupBy("pattern").agg(F.sum("score").alias("sum"), F.count("*").alias("n"), F.count_if("seed").alias("support"))
-        patterns = common.written(patterns.select("pattern", (F.col("sum") / (F.col("n") + SMOOTH)).alias("confidence"), "support"))
-        if i < rounds - 1:
-            doubt = edges.join(patterns.where("confidence > 0"), "pattern").groupBy("instance").agg(F.max("seed").alias("seed"), F.sum(F.log1p(-F.least(F.col("confidence"), F.lit(0.999999)))).alias("doubt"))
-            sure = common.written(doubt.select("instance", F.when(F.col("seed"), 1.0).otherwise(1 - F.exp("doubt")).alias("score")))
-    return patterns.where((F.col("confidence") >= CONFIDENT) & (F.col("support") >= SUPPORT))
+    seeds = edges.where("seed").select("instance", F.lit(1.0).alias("score"))
+    held, known = seeds, 0
+    while True:
+        # what is held at a generation's start gives support; the rounds' own scores do not
+        own = held.groupBy("instance").agg(F.max("score").alias("held"))
+        own = common.written(edges.join(own, "instance", "left").select("pattern", "instance", F.coalesce("held", F.lit(0.0)).alias("held")))
+        scored = own.withColumn("score", F.col("held"))
+        for i in range(rounds):
+            patterns = scored.groupBy("pattern").agg(F.sum("score").alias("sum"), F.count("*").alias("n"), F.count_if(F.col("held") >= CONFIDENT).alias("support"))
+            patterns = common.written(patterns.select("pattern", (F.col("sum") / (F.col("n") + SMOOTH)).alias("confidence"), "support"))
+            if i < rounds - 1:
+                # an instance without a scored pattern stays, with 0: it counts against its pattern
+                scored = own.join(common.written(induced(own, patterns)), "instance", "left").withColumn("score", F.greatest("held", "score"))
+        good = patterns.where((F.col("confidence") >= CONFIDENT) & (F.col("support") >= SUPPORT))
+        # scores and support only rise from one generation to the next, so no pattern is lost
+        if (n := good.count()) == known:
+            return good
+        known, held = n, seeds.unionByName(induced(edges, good))
 
 
 def discovered(extracted: DataFrame, key: str) -> DataFrame:

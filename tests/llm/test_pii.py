@@ -44,6 +44,19 @@ def test_bootstrapping(spark):
     assert P.redact(df).columns == df.columns and P.redact(df.limit(0)).count() == 0
 
 
+def test_identifiers_find_further_ones(spark):
+    x, y, z = ([f"{c}{i}x-{i * 37 % 91}q" for i in range(9)] for c in "kmz")
+    texts = [f"hello, reach me: user{i}@mail.org or not" for i in range(40)]
+    texts += [f"hello, reach me: {v} or not" for v in x]
+    # met after a seeded context, then after two that no seed stands in
+    texts += [f"the badge number {v} here" for v in (*x, *y)]
+    texts += [f"a locker code {v} here" for v in (*y, *z[:3])]
+    texts += ["a weight of 12345kg here", f"a weight of {x[0]} here"] + [f"a weight of {i}99kg here" for i in range(100, 112)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.text: [s.kind for s in r.spans] for r in P.with_spans(df).collect()}
+    assert all(got[t] == (["email"] if "@" in t else [] if "weight" in t else ["id"]) for t in texts), [t for t in texts if not got[t]]
+
+
 def test_masking_joins_overlaps():
     assert P.masked("abcdefgh", [("card", 1, 4), ("phone", 3, 6), ("ip", 7, 8)]) == "a[CARD]g[IP]"
     assert P.masked("abc", []) == "abc"
