@@ -116,8 +116,9 @@ def train(samples: list[tuple[str, str]], seed: int = 9) -> Network:
     x, n = windows([a for a, _ in samples])
     y = np.repeat([net.langs.index(b) for _, b in samples], n)
     full = np.count_nonzero(x, axis=1) >= 24
-    if full.any():
-        x, y = x[full], y[full]
+    # short windows teach little, but a language that has no others keeps them
+    use = full | (np.bincount(y, full, len(net.langs)) == 0)[y]
+    x, y = x[use], y[use]
     r = np.random.default_rng(seed)
     params = [*net.filters, net.bias, net.out, net.out_bias]
     m, v, step = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0

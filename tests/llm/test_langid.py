@@ -29,6 +29,14 @@ def test_held_out_accuracy_and_edges(spark):
     assert L.identify(df.limit(0)).count() == 0
 
 
+def test_language_of_short_texts_only():
+    r = random.Random(8)
+    rows = [(text(l, 60, r), l) for l in ("en", "fr") for _ in range(60)]
+    rows += [(text("de", 3, r)[:23], "de") for _ in range(120)]
+    got, _ = L.train(rows).ready().predict([text("de", 3, r)[:23] for _ in range(60)] + [text("en", 40, r) for _ in range(20)])
+    assert got[:60].count("de") >= 50 and got[60:] == ["en"] * 20
+
+
 def test_pooling_equals_sliding_filters():
     r = random.Random(1)
     net = L.train([(text(l, 60, r), l) for l in WORDS for _ in range(20)]).ready()
