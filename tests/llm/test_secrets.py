@@ -50,3 +50,15 @@ def test_candidates_and_allow_list(spark):
     got = {x.doc_id: [tuple(s) for s in x.spans] for x in S.scan(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
     assert got[0] == [("entropy", 4, 28)] and got[5] == [("assign", 0, 30)]
     assert all(got[i] == [] for i in (1, 2, 3, 4, 6))
+
+
+def test_recall_of_random_keys(spark):
+    r = random.Random(9)
+    low, up, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    kinds = {"lower": low + digits, "upper": up + digits, "base32": up + "234567", "mixed": low + up + digits}
+    rows = [(k, n, "key " + "".join(r.choice(a) for _ in range(n)) + " end") for k, a in kinds.items() for n in (20, 24, 32, 40) for _ in range(150)]
+    found = S.scan(spark.createDataFrame(rows, "kind string, n int, text string")).groupBy("kind", "n").agg(F.avg((F.size("spans") > 0).cast("double")).alias("share"))
+    share = {(x.kind, x.n): x.share for x in found.collect()}
+    assert len(share) == 16 and all(v >= (0.9 if n < 32 else 0.97) for (_, n), v in share.items()), share
+    slugs = ["how-to-build-a-search-index-in-10-easy-steps", "ubuntu-22-04-jammy-amd64-server-20230516", "kubernetesdeployment2024production", "THE_QUICK_BROWN_FOX_JUMPS_2_TIMES", "s3-bucket-name-logs-archive-2021-q4-v2", "ip-10-0-12-214-compute-internal", "sha256withrsaencryptionalgorithm"]
+    assert all(not x.spans for x in S.scan(spark.createDataFrame([(f"see {x} there",) for x in slugs], "text string")).collect())
