@@ -16,21 +16,26 @@ from riskweave.llm import bpe, common, decontaminate, langid, pii, simhash
 from riskweave.llm.queries import multilingual_vocabulary
 from riskweave.session import table
 
-#: A document is rejected if no language is found in it, or none with this much certainty: the share
-#: of the way from chance (1 / languages, the least that the likeliest can score) to 1.
-CERTAINTY = 0.75
+#: A document is rejected if no language is found in it, or none with enough certainty. Enough is what
+#: all but LOSS of the labelled documents that the network has not learnt from reach, and at most
+#: CERTAINTY of the way from chance (1 / languages, the least that the likeliest can score) to 1.
+LOSS, CERTAINTY = 0.001, 0.75
 
 
-def least_score(languages: int) -> float:
-    chance = 1 / max(1, languages)
-    return chance + (1 - chance) * CERTAINTY
+def least_score(docs: DataFrame, network: langid.Network) -> float:
+    known = langid.predict(docs.where(F.col("lang").isNotNull() & langid.held_out()).select("text"), network)
+    reached = known.where(F.col("lang_pred") != langid.UNKNOWN).agg(F.percentile_approx("score", LOSS, 10000)).first()[0]
+    chance = 1 / max(1, len(network.langs))
+    most = chance + (1 - chance) * CERTAINTY
+    return most if reached is None else min(most, reached)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents whose language is recognised."""
     network = langid.train(langid.sample(docs))
+    least = least_score(docs, network)
     kept = langid.predict(docs.withColumns({f"_kept_{c}": F.col(c) for c in docs.columns if c in ("lang_pred", "score")}), network)
-    kept = kept.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= least_score(len(network.langs))))
+    kept = kept.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= least))
     return kept.select(*[F.col(f"_kept_{c}").alias(c) if f"_kept_{c}" in kept.columns else F.col(c) for c in docs.columns])
 
 

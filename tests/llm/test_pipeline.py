@@ -86,4 +86,10 @@ def test_uncertain_languages_go(spark, sf):
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     got = [x.doc_id for x in corpus_pipeline.language(spark, df, sf).collect()]
     assert sum(i < 600 for i in got) >= 597 and sum(i >= 1000 for i in got) <= 40
-    assert corpus_pipeline.least_score(1) == 1.0 and corpus_pipeline.least_score(4) == 0.8125
+
+
+def test_labelled_documents_of_unsure_languages_stay(spark, sf):
+    r = random.Random(7)
+    rows = [(i, words_of("en", r.randint(20, 200), r), ["en", "sco"][i % 2]) for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert corpus_pipeline.language(spark, df, sf).count() >= 590
