@@ -4,8 +4,10 @@ A text longer than a chunk is cut into chunks that overlap. Each chunk is split
 pre-tokens on its own, in parallel. The pattern looks only ahead, so from any true boundary
 on, the split of a chunk is the split of the text: two neighbours are stitched at the first
 boundary in their overlap that both have, and what lies between two stitches is encoded on
-its own. Where the overlap holds no common boundary (one word longer than it, say) the text is
-encoded in one piece. Decoding concatenates the bytes of the ids.
+its own. Where the overlap holds no common boundary (one word longer than it, say) its chunks
+stay together; a piece that is longer than a chunk for that reason is encoded match by match of
+the pattern, because the library's own splitter fails on very long runs of white space. Decoding
+concatenates the bytes of the ids.
 
 Defined cases: a null text counts as empty and has no tokens; repeated rows each give a row;
 an empty table gives an empty table; all input columns stay, but those named like an output
@@ -79,23 +81,32 @@ def chunk_starts(n: int, size: int) -> range:
     return range(0, max(n, 1), size)
 
 
+def encode_piece(encoding, pattern, text: str, longest: int):
+    """Ids of a piece between two boundaries."""
+    import numpy as np
+
+    if len(text) <= longest:
+        return encoding.encode_to_numpy(text, disallowed_special=())
+    one = encoding._core_bpe.encode_single_piece
+    return np.array([i for m in pattern.finditer(text) for i in one(m[0].encode("utf-8", "replace"))], np.uint32)
+
+
 def encode_text(encoding, pattern, text: str, size: int = CHUNK, overlap: int = OVERLAP):
     """Ids of a text, through chunks and stitches, in one process."""
     import numpy as np
 
     if len(text) <= size:
         return encoding.encode_to_numpy(text, disallowed_special=()).astype(np.int32)
-    cuts, at = [0], []
+    cuts, before = [0], []
     for s in chunk_starts(len(text), size):
-        chunk = text[s : s + size + overlap]
-        at.append(ends_of_chunk(pattern, chunk, s, size, overlap, s + size >= len(text)))
-    for (_, tail), (head, _) in zip(at, at[1:], strict=False):
-        common_marks = sorted(set(tail) & set(head))
-        if not common_marks:
-            return encoding.encode_to_numpy(text, disallowed_special=()).astype(np.int32)
-        cuts.append(common_marks[0])
+        head, tail = ends_of_chunk(pattern, text[s : s + size + overlap], s, size, overlap, s + size >= len(text))
+        shared = set(before) & set(head)
+        if shared:
+            cuts.append(min(shared))
+        before = tail
     cuts.append(len(text))
-    return np.concatenate([encoding.encode_to_numpy(text[a:b], disallowed_special=()) for a, b in zip(cuts, cuts[1:], strict=False)]).astype(np.int32)
+    longest = 2 * (size + overlap)
+    return np.concatenate([encode_piece(encoding, pattern, text[a:b], longest) for a, b in zip(cuts, cuts[1:], strict=False)]).astype(np.int32)
 
 
 def _ids_array(found) -> pa.Array:
@@ -113,7 +124,7 @@ def encode(df: DataFrame, vocabulary: Vocabulary, text_col: str = "text", with_b
     encoded by the task that reads them; the chunks of longer ones are dealt over the cluster."""
     spread = 8 * size if spread is None else spread
     fields = [IDS, DECODED] if with_bytes else [IDS]
-    df = df.drop(*[f.name for f in (IDS, DECODED) if f.name in df.columns])
+    df = df.drop(*[c for c in df.columns if c.lower() in (IDS.name, DECODED.name)])
     text = F.coalesce(F.col(text_col), F.lit(""))
 
     def one(texts):
@@ -128,6 +139,7 @@ def encode(df: DataFrame, vocabulary: Vocabulary, text_col: str = "text", with_b
 
 def _encode_long(df: DataFrame, vocabulary: Vocabulary, text_col: str, with_bytes: bool, size: int, overlap: int) -> DataFrame:
     """The same for long texts, a chunk at a time: cut, split, stitch, encode, join."""
+    (name,) = common.free(df, "_uid")
     uid = [T.StructField("_uid", T.StringType())]
     schema = T.StructType([*uid, T.StructField("_k", T.IntegerType()), T.StructField("_last", T.BooleanType()), T.StructField("_chunk", T.StringType())])
 
@@ -149,15 +161,14 @@ def _encode_long(df: DataFrame, vocabulary: Vocabulary, text_col: str, with_byte
         for batch in batches:
             for part in common.steps(batch, text_col):
                 names = named([tuple(r.values()) for r in part.to_pylist()], seen, TaskContext.get().partitionId())
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names, pa.string())], schema=pa.schema([*part.schema, pa.field("_uid", pa.string())]))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names, pa.string())], schema=pa.schema([*part.schema, pa.field(name, pa.string())]))
 
     # Written, because both the chunks and the last join read the names: a row must keep its own.
-    rows = common.written(df.mapInArrow(tag, T.StructType([*df.schema.fields, *uid])))
+    rows = common.written(df.mapInArrow(tag, T.StructType([*df.schema.fields, T.StructField(name, T.StringType())])))
 
     def cut(batches):
         for batch in batches:
-            texts, names = batch.column(batch.schema.get_field_index(text_col)), batch.column(batch.schema.get_field_index("_uid"))
-            for x, u in zip(texts, names, strict=True):
+            for x, u in zip(*batch.columns, strict=True):
                 x, u = x.as_py() or "", u.as_py()
                 for k, s in enumerate(chunk_starts(len(x), size)):
                     yield pa.RecordBatch.from_pydict({"_uid": [u], "_k": pa.array([k], pa.int32()), "_last": [s + size >= len(x)], "_chunk": [x[s : s + size + overlap]]})
@@ -170,7 +181,7 @@ def _encode_long(df: DataFrame, vocabulary: Vocabulary, text_col: str, with_byte
             yield pa.RecordBatch.from_arrays([*batch.columns, *marks], names=[*batch.schema.names, "_head", "_tail"])
 
     ints = T.ArrayType(T.IntegerType())
-    chunks = rows.select(text_col, "_uid").mapInArrow(cut, schema).repartition("_uid", "_k")
+    chunks = rows.select(text_col, name).mapInArrow(cut, schema).repartition("_uid", "_k")
     chunks = chunks.mapInArrow(split, T.StructType([*schema.fields, T.StructField("_head", ints), T.StructField("_tail", ints)]))
     w, doc = Window.partitionBy("_uid").orderBy("_k"), Window.partitionBy("_uid")
     stitch = F.array_min(F.array_intersect("_tail", F.lead("_head").over(w)))
@@ -191,14 +202,14 @@ def _encode_long(df: DataFrame, vocabulary: Vocabulary, text_col: str, with_byte
     def join(pdf):
         import pandas as pd
 
-        encoding, _, names = vocabulary.codec()
+        encoding, pattern, names = vocabulary.codec()
         pdf = pdf.sort_values("_k")
         rest = "".join(pdf["_rest"])
-        ids = encoding.encode_ordinary(rest) if rest else [int(i) for x in pdf["_ids"] for i in x]
+        ids = encode_text(encoding, pattern, rest, size, overlap).tolist() if rest else [int(i) for x in pdf["_ids"] for i in x]
         return pd.DataFrame({"_uid": [pdf["_uid"].iloc[0]], "ids": [ids], "decoded": [b"".join([names[i] for i in ids]) if with_bytes else b""]})
 
     joined = done.groupBy("_uid").applyInPandas(join, T.StructType([*uid, IDS, DECODED]))
-    out = rows.join(joined, "_uid").drop("_uid")
+    out = rows.join(joined.withColumnRenamed("_uid", name), name).drop(name)
     return out if with_bytes else out.drop("decoded")
 
 

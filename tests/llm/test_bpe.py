@@ -46,3 +46,27 @@ def test_frames(spark, plain, spread):
     again = bpe.decode(out.drop("decoded"), bpe.Vocabulary(spark, PATH, P.PATTERN)).collect()
     assert all(bytes(r.decoded) == (r.text or "").encode() for r in again)
     assert bpe.encode(df.limit(0), bpe.Vocabulary(spark, PATH, P.PATTERN)).count() == 0
+
+
+def test_long_runs_reach_no_library_limit(plain):
+    with open(PATH, "rb") as f:
+        encoding, pattern, names = bpe.codec(f.read(), P.PATTERN)
+    for text in (" " * 100_000, "\n" * 90_000 + "w" * 80_000, "ab " * 9 + "x" * 120_000 + " y", " " * 70_000 + "word"):
+        assert bpe.encode_text(encoding, pattern, text).tolist() == plain.encode_ordinary(text)
+    # the library panics on these as a whole; a match of the pattern is encoded as the library encodes one
+    for text, last in ((" " * 2_000_000, " "), ("\n" * 2_000_000, "\n"), (" " * 2_000_000 + "word", " word"), ("a" + "\n" * 1_500_000 + "word, and more", "word, and more")):
+        got = bpe.encode_text(encoding, pattern, text).tolist()
+        assert b"".join(names[i] for i in got).decode() == text
+        want = plain.encode_ordinary(last)
+        assert got[-len(want) :] == want
+
+
+def test_runs_of_white_space_in_frames(spark, plain):
+    texts = [" " * 1_000_000, "a" + "\n" * 1_000_000 + "b c", "word " * 20_000]
+    df = spark.createDataFrame([(i, t, "u") for i, t in enumerate(texts)], "doc_id long, text string, _uid string")
+    for spread in (0, None):
+        out = bpe.encode(df, bpe.Vocabulary(spark, PATH, P.PATTERN), with_bytes=True, spread=spread)
+        assert set(out.columns) == {"doc_id", "text", "_uid", "ids", "decoded"}
+        got = {r.doc_id: r for r in out.collect()}
+        assert all(bytes(got[i].decoded).decode() == t and got[i]._uid == "u" for i, t in enumerate(texts))
+        assert list(got[2].ids) == plain.encode_ordinary(texts[2])
