@@ -17,11 +17,14 @@ STEP_ROWS, STEP_BYTES = 512, 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; only where none is set, a local one."""
+    """The folder that driver and executors share. Where none is set, a local one serves a session
+    whose tasks run on the driver's machine; a cluster must set it."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         kept = spark.sparkContext.getCheckpointDir()
         if not kept:
+            if spark.sparkContext.master.split("[")[0] != "local":
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="riskweave-"))
             kept = spark.sparkContext.getCheckpointDir()
         path = kept
@@ -88,5 +91,18 @@ def _arrow(fields: list[T.StructField]) -> pa.Schema:
 
 
 def row_key(doc_id: str, text: str):
-    """A key that tells apart rows of one id with different texts."""
-    return F.xxhash64(F.col(doc_id), F.col(text))
+    """A key of 128 bits that tells apart rows of one id with different texts."""
+    half = lambda salt: F.lpad(F.hex(F.xxhash64(F.lit(salt), F.col(doc_id), F.col(text))), 16, "0")
+    return F.concat(half(1), half(2))
+
+
+def free(df: DataFrame, *names: str) -> list[str]:
+    """The names, or where the table has such a column, others that it has not."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out

@@ -60,3 +60,102 @@ def test_identifiers_find_further_ones(spark):
 def test_masking_joins_overlaps():
     assert P.masked("abcdefgh", [("card", 1, 4), ("phone", 3, 6), ("ip", 7, 8)]) == "a[CARD]g[IP]"
     assert P.masked("abc", []) == "abc"
+
+
+def test_long_numbers_and_far_contexts():
+    # zeros before a part count for nothing, however many they are
+    for text in ("0" * 5000 + ".1.1.1", "1.2.3." + "0" * 9000 + "255", "1.2.3." + "0" * 9000 + "256", "9" * 6000 + ".1.1.1", "0" * 5000):
+        want = [] if "256" in text or text.startswith("9") or "." not in text else [("ip", 0, len(text))]
+        assert P.base_spans(text) == want
+    assert P.pattern_before("call " + "x" * 500 + " ab1", 506) == "call " + "x" * 500
+    assert P.pattern_before("x" * 5000 + " ab1", 5001) is None
+    assert P.patterns_of("my badge #: ab1 here", 12, 15) == ["w my badge", "l badge #:", "f badge aa9 here"]
+    assert P.patterns_of("ab1", 0, 3) == P.patterns_of("call 12 ab1", 8, 11) == []
+
+
+def scores(edges):
+    """The generations of the graph, in plain Python."""
+    own = {}
+    for p, i, seed, out in edges:
+        s, o = own.get((p, i), (False, False))
+        own[p, i] = (s or seed, o or out)
+    held, known = {i: 1.0 for (_, i), (s, _) in own.items() if s}, 0
+
+    def doubt(conf):
+        score = {}
+        for (p, i), (_, out) in own.items():
+            if not out and conf.get(p, 0) > 0:
+                score[i] = score.get(i, 1.0) * (1 - min(conf[p], 0.999999))
+        return {i: 1 - d for i, d in score.items()}
+
+    while True:
+        score = dict(held)
+        for k in range(P.ROUNDS):
+            conf, support = {}, {}
+            for p in {p for p, _ in own}:
+                mine = [i for q, i in own if q == p]
+                conf[p] = sum(score.get(i, 0.0) for i in mine) / (len(mine) + P.SMOOTH)
+                support[p] = sum(held.get(i, 0.0) >= P.CONFIDENT for i in mine)
+            if k < P.ROUNDS - 1:
+                more = doubt(conf)
+                score = {i: max(held.get(i, 0.0), more.get(i, 0.0)) for _, i in own}
+        good = {p: c for p, c in conf.items() if c >= P.CONFIDENT and support[p] >= P.SUPPORT}
+        if len(good) == known:
+            return good
+        known = len(good)
+        held = {i: 1.0 for (_, i), (s, _) in own.items() if s}
+        for i, s in doubt(good).items():
+            held[i] = max(held.get(i, 0.0), s)
+
+
+def test_scores_against_brute_force(spark):
+    for seed in range(3):
+        r = random.Random(seed)
+        edges = [(f"p{r.randrange(8)}", f"i{r.randrange(60)}") for _ in range(160)]
+        kind = {i: r.random() for _, i in edges}
+        edges = [(p, i, kind[i] < 0.75, kind[i] > 0.97) for p, i in edges]
+        got = {x.pattern: x.confidence for x in P.confident(spark.createDataFrame(edges, "pattern string, instance string, seed boolean, refuted boolean")).collect()}
+        want = scores(edges)
+        assert set(got) == set(want) and all(abs(got[p] - want[p]) < 1e-9 for p in got)
+
+
+def planted():
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(5))
+    code = lambda: f"{r.choice('xyz')}{r.randrange(10**5):05}-{r.choice('qrs')}"
+    phone = lambda: f"+1 (555) {r.randrange(100, 999)}-{r.randrange(1000, 9999)}"
+    texts, hidden = [], set()
+    for i in range(20):
+        # each form has its own seeds: a label, and a frame of one word before and one after
+        texts += [f"{word()} {word()} member: {phone()} {word()}", f"{word()} hereby u{i}@mail.org attends {word()}", f"{word()} number of 99{i}00x pieces, {word()}"]
+    for i in range(6):
+        hidden.add(len(texts))
+        texts.append(f"{word()} {word()} member: {code()} {word()}")
+    for i in range(4):
+        # a refuted card number stays, even in a good context
+        texts.append(f"{word()} {word()} member: 411111111111111{'02345'[i]} {word()}")
+    return texts, hidden
+
+
+def test_labels_find_unseen_identifiers(spark, monkeypatch):
+    texts, hidden = planted()
+    df = spark.createDataFrame([(i, t, "a", "b", "c", "d") for i, t in enumerate(texts)], "doc_id long, text string, found string, more string, _key string, key string")
+    for most in (1 << 16, 0):
+        monkeypatch.setattr(P, "MOST_PATTERNS", most)
+        out = P.with_spans(df)
+        assert out.columns == [*df.columns, "base", "spans"]
+        got = {x.doc_id: x for x in out.collect()}
+        assert {i for i, x in got.items() if any(s.kind == "id" for s in x.spans)} == hidden
+        assert all({tuple(s) for s in x.base} <= {tuple(s) for s in x.spans} and x.found == "a" and x._key == "c" for x in got.values())
+        masked = P.redact(df).collect()
+        assert all(("[ID]" in x.text) == (x.doc_id in hidden) and (x.found, x.more, x._key, x.key) == ("a", "b", "c", "d") for x in masked)
+
+
+def test_clean_texts_gain_nothing(spark):
+    r = random.Random(5)
+    words = "the of and to in for with on at by from up about into over after".split()
+    clean = [" ".join(r.choice([*words, *words, f"{r.randrange(10**6)}kg", f"v{r.randrange(99)}.{r.randrange(99)}"]) for _ in range(60)) for _ in range(200)]
+    others = [" ".join(r.choice([*words, f"u{r.randrange(10**4)}@m.org"]) for _ in range(10)) for _ in range(30)]
+    df = spark.createDataFrame(list(enumerate(clean + others)), "doc_id long, text string")
+    got = {x.doc_id: [s.kind for s in x.spans] for x in P.with_spans(df).collect()}
+    assert not any(got[i] for i in range(len(clean))) and sum(map(len, got.values())) > 10
