@@ -34,22 +34,22 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents whose language is recognised."""
     network = langid.train(langid.sample(docs))
     least = least_score(docs, network)
-    kept = langid.predict(docs.withColumns({f"_kept_{c}": F.col(c) for c in docs.columns if c in ("lang_pred", "score")}), network)
-    kept = kept.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= least))
-    return kept.select(*[F.col(f"_kept_{c}").alias(c) if f"_kept_{c}" in kept.columns else F.col(c) for c in docs.columns])
+    lang, score = common.free(docs, "lang_pred", "score")
+    kept = langid.predict(docs, network, outputs=(lang, score))
+    return kept.where((F.col(lang) != langid.UNKNOWN) & (F.col(score) >= least)).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document, that of the least id, of each group of near-duplicates (fingerprints
     at 3 bits or fewer; the README has what share of edited copies that reaches). Rows stand for
     themselves: a null or repeated id does not make rows of different texts one."""
-    key = common.row_key("doc_id", "text")
+    name, key = *common.free(docs, "_key"), common.row_key("doc_id", "text")
     # an id that is null is never the least; rows of one id go by their keys
     row = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), key.alias("key"))
-    found = simhash.near_duplicates(docs.select(row.alias("_row"), "text"), "_row")
-    first = found.where(F.col("_row") == F.col("component_id")).select(F.col("_row.key").alias("_key")).distinct()
-    kept = docs.withColumn("_key", key).join(first, "_key", "left_semi")
-    return kept.dropDuplicates(["_key"]).select(*docs.columns)
+    found = simhash.near_duplicates(docs.select(row.alias("row"), "text"), "row")
+    first = found.where(F.col("row") == F.col("component_id")).select(F.col("row.key").alias(name)).distinct()
+    kept = docs.withColumn(name, key).join(first, name, "left_semi")
+    return kept.dropDuplicates([name]).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
