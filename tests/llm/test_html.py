@@ -1,3 +1,6 @@
+import random
+import time
+
 from riskweave.llm import html as H
 
 LONG = "A sentence of some length that belongs to the article and says something. " * 3
@@ -40,7 +43,7 @@ def test_broken_and_empty():
     assert H.main_text(None) == H.main_text("") == H.main_text("<nav>x</nav>") == ""
     assert H.main_text("<p>a < b &amp; c &am") == "a < b & c &am"
     assert H.main_text("<p>x<script>never closed") == "x"
-    assert H.main_text("<p " * 3 + "x") .strip() != None  # noqa: E711
+    assert H.main_text("<p " * 3 + "x") == "<p <p <p x"
     assert H.main_text("<!-- open <p>x") == ""
     assert len(H.main_text("<article>" + "<p>word</p>" * 50000 + "</article>")) == 50000 * 6 - 2
 
@@ -49,3 +52,59 @@ def test_frame(spark):
     df = spark.createDataFrame([(1, "<p>a", "t"), (1, "<p>a", "t"), (2, None, None)], "page_id long, html string, text string")
     assert sorted((r.page_id, r.text) for r in H.extract(df).collect()) == [(1, "a"), (1, "a"), (2, "")]
     assert H.extract(df.limit(0)).count() == 0
+
+
+EIGHT = "".join(f"<p>{i} {LONG}</p>" for i in range(8))
+WANT = "\n\n".join(f"{i} {' '.join(LONG.split())}" for i in range(8))
+
+
+def test_layout_names_do_not_erase_the_article():
+    for before, after in [
+        ('<form action="/x"><nav><a href="/m">Menu</a></nav>', "<input></form>"),
+        ('<div class="wrapper sidebar-right">', '<div class="sidebar">Side</div></div>'),
+        ('<div class="content ad-free">', "</div>"),
+        ('<div class="page cookie-accepted">', "</div>"),
+        ('<div class="entry-header-wrap">', "</div>"),
+        ('<div id="comment-policy-article">', "</div>"),
+        ('<nav><ul><li><a href="/m">Menu</a></ul>', "<footer>Foot</footer>"),
+        ('<div class="comments">', "</div>"),
+        ('<div class="widget">', "</div>"),
+    ]:
+        assert H.main_text(f"<body>{before}{EIGHT}{after}") == WANT, before
+    one = " ".join(LONG.split())
+    assert H.main_text(f'<article><p>{LONG}</p></article><div class="comments">{EIGHT}</div>') == one
+    assert H.main_text(f'<div><p>{LONG}</p></div><div class="comment-list">{EIGHT}</div><form>Name <input></form>') == one
+    assert H.main_text(f'<p>{LONG}</p><div class="ad">Buy</div><p>End.</p>') == f"{one}\n\nEnd."
+    assert H.main_text('<div class="widget">W</div>') == "W"
+
+
+def test_weights_decide_on_marked_pages():
+    # a teaser that calls itself an article against an article that does not
+    assert H.main_text(f"<article><p>Top</p></article><div>{EIGHT}</div>") == WANT
+    one = " ".join(LONG.split())
+    assert H.main_text(f"<article><p>{LONG}</p><p>x</p></article><div><p>{LONG}</p></div>") == f"{one}\n\nx"
+    assert H.main_text(f"<article><p>{LONG}</p></article><article><p>Two</p></article><p>Imprint</p>") == f"{one}\n\nTwo"
+    assert H.main_text("<article>x</article><p>Imprint</p>") == "x"
+
+
+def test_windows_surges_and_dives():
+    r = random.Random(4)
+    for _ in range(400):
+        size = [r.choice([0, 0, 0, 1, 5, 30, 79, 80, 200]) for _ in range(r.randint(0, 40))]
+        window, surge = r.randint(1, 5), r.choice([1, 50, 80, 160])
+        sums = [sum(size[i : i + window]) for i in range(len(size))]
+        assert H.window_sums(size, window) == sums
+        kept, on = [], False
+        for i, n in enumerate(sums):
+            on = n > 0 if on else n >= surge and size[i] > 0
+            kept.append(on)
+        found = H.runs(size, window, surge)
+        assert [any(a <= i < b for a, b in found) for i in range(len(size))] == kept
+        assert all(a < b for a, b in found) and all(p[1] <= q[0] for p, q in zip(found, found[1:]))
+
+
+def test_hostile_markup_takes_time_in_proportion():
+    start = time.process_time()
+    for page in ("<a " * 300_000, '<a ">" ' * 100_000, "<a \"'>' " * 100_000, "<" * 500_000 + ">", "<!" * 300_000, '<a "' * 200_000 + ">", "<b class" + " " * 500_000 + ">x", "<nav><p>x" * 50_000, "<div>" * 100_000 + "</nav>" * 100_000):
+        H.main_text(page)
+    assert time.process_time() - start < 20
