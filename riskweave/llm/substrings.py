@@ -7,8 +7,8 @@ anchor's count is never below its windows' counts, and the sketch never below ei
 repeated window is lost. Partitions count their anchors in sketches that are merged block by
 block; only whether a cell holds two or more is kept (a bitmap of a size fixed by parameter).
 
-The second pass takes the windows whose anchor is estimated repeated and groups them exactly,
-by 96-bit hashes. Each task groups its own first, so a window that is common everywhere sends
+The second pass takes the windows whose anchor is estimated repeated and groups them by 96 bits
+of hashes of their words' 64-bit hashes. Rows are told apart by keys of 128 bits. Each task groups its own first, so a window that is common everywhere sends
 one row per task and no key grows hot; what is unique in a task meets the other tasks' windows
 in buckets of packed arrays. Positions of repeated windows return to their texts in buckets of
 rows. Beyond the largest bitmap the sketch lets more windows pass; the result stays the same.
@@ -136,18 +136,17 @@ def sketch(docs: DataFrame, chars: int, window: int = WINDOW, gram: int = GRAM)
 def _windows(sent, window: int, gram: int, buckets: int):
     """Pass 2 of a partition: its windows estimated repeated, grouped among themselves."""
 
-    def rows(held):
-        h1, h2, key, pos = (np.concatenate(x) for x in zip(*held, strict=True))
+    def rows(held, tables):
+        h1, h2, idx, pos = (np.concatenate(x) for x in zip(*held, strict=True))
+        table = np.concatenate(tables)
         order = np.lexsort((h2, h1))
         a, b = h1[order], h2[order]
         new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
         group = np.cumsum(new) - 1
         many = np.empty(len(order), bool)
         many[order] = np.bincount(group)[group] > 1
-        table, idx = np.unique(key, return_inverse=True)
         lead = np.zeros(len(order), bool)
         lead[order[new]] = True
-        idx = idx.astype(np.uint16)
         bucket = (h1 % np.uint64(buckets)).astype(np.int64)
         bucket[many & ~lead] = -1
         spread = np.argsort(bucket, kind="stable")
@@ -169,7 +168,7 @@ def _windows(sent, window: int, gram: int, buckets: int):
         yield pa.RecordBatch.from_pydict({k: pa.array(v, pa.int32() if k == "bucket" else pa.binary()) for k, v in out.items()})
 
     def run(batches):
-        seen, held, n, docs = sent.value, [], 0, 0
+        seen, held, tables, n, docs = sent.value, [], [], 0, 0
         for batch in batches:
             for part in common.steps(batch, "text"):
                 hashes, first = W.words(_texts(part, 0))
@@ -182,14 +181,15 @@ def _windows(sent, window: int, gram: int, buckets: int):
                 a = W.runs(W.prefix(hashes, W.RUN_A), W.RUN_A, window)[starts]
                 b = W.runs(W.prefix(hashes, W.RUN_B), W.RUN_B, window)[starts].astype(np.uint32)
                 doc = np.searchsorted(first, starts, "right") - 1
-                keys = part.column(1).to_numpy(zero_copy_only=False)
-                held.append((a, b, keys[doc], (starts - first[doc]).astype(np.int32)))
+                held.append((a, b, (doc + docs).astype(np.uint16), (starts - first[doc]).astype(np.int32)))
+                tables.append(np.stack([part.column(k).to_numpy() for k in (1, 2)], 1))
                 n, docs = n + len(starts), docs + part.num_rows
+                # a step's rows and these stay under what 16 bits can number
                 if n > HELD or docs > 60_000:
-                    yield from rows(held)
-                    held, n, docs = [], 0, 0
+                    yield from rows(held, tables)
+                    held, tables, n, docs = [], [], 0, 0
         if n:
-            yield from rows(held)
+            yield from rows(held, tables)
 
     return run
 
@@ -201,7 +201,7 @@ def _grouped(places: int):
         h1, h2, key, pos, known = [], [], [], [], []
         out_key, out_pos = [], []
         for r in pdf.itertuples(index=False):
-            idx, p, table = np.frombuffer(r.idx, np.uint16), np.frombuffer(r.pos, np.int32), np.frombuffer(r.keys, np.int64)
+            idx, p, table = np.frombuffer(r.idx, np.uint16), np.frombuffer(r.pos, np.int32), np.frombuffer(r.keys, np.int64).reshape(-1, 2)
             k = table[np.where(idx == KNOWN, 0, idx)]
             if r.h1:
                 h1.append(np.frombuffer(r.h1, np.uint64))
@@ -221,30 +221,34 @@ def _grouped(places: int):
             out_key.append(key[hit])
             out_pos.append(pos[hit])
         key, pos = np.concatenate(out_key), np.concatenate(out_pos)
-        place = np.mod(key, places)
-        order = np.lexsort((pos, key, place))
+        place = np.mod(key[:, 0], places)
+        order = np.lexsort((pos, key[:, 1], key[:, 0], place))
         key, pos, place = key[order], pos[order], place[order]
+        # a key's rows stand together, a place's keys too
+        starts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(1)])) if len(key) else np.empty(0, np.int64)
+        sizes = np.diff(np.append(starts, len(key))).astype(np.int32)
         rows = []
-        for at in np.split(np.arange(len(key)), np.flatnonzero(np.diff(place)) + 1) if len(key) else []:
-            used, n = np.unique(key[at], return_counts=True)
-            rows.append((int(place[at[0]]), used.tobytes(), n.astype(np.int32).tobytes(), pos[at].tobytes()))
+        for at in np.split(np.arange(len(starts)), np.flatnonzero(np.diff(place[starts])) + 1) if len(key) else []:
+            a, b = starts[at[0]], starts[at[-1]] + sizes[at[-1]]
+            rows.append((int(place[a]), key[starts[at]].tobytes(), sizes[at].tobytes(), pos[a:b].tobytes()))
         return pd.DataFrame(rows, columns=["place", "keys", "n", "pos"]).astype({"place": "int32"})
 
     return run
 
 
-def _cut(window: int, id_type: str):
+def _cut(window: int):
     """The texts of a place without the words that repeated windows cover."""
 
     def run(docs: pd.DataFrame, marks: pd.DataFrame) -> pd.DataFrame:
-        key = np.concatenate([np.repeat(np.frombuffer(k, np.int64), np.frombuffer(n, np.int32)) for k, n in zip(marks["keys"], marks["n"], strict=True)] or [np.empty(0, np.int64)])
+        key = np.concatenate([np.repeat(np.frombuffer(k, np.int64).reshape(-1, 2), np.frombuffer(n, np.int32), axis=0) for k, n in zip(marks["keys"], marks["n"], strict=True)] or [np.empty((0, 2), np.int64)])
         pos = np.concatenate([np.frombuffer(p, np.int32) for p in marks["pos"]] or [np.empty(0, np.int32)])
-        order = np.argsort(key, kind="stable")
-        key, pos = key[order], pos[order]
+        order = np.lexsort((key[:, 1], key[:, 0]))
+        key, low, pos = key[order, 0], key[order, 1], pos[order]
         kept, n_words, n_removed = [], [], []
-        for text, k in zip(docs["text"], docs["key"].to_numpy(), strict=True):
+        for text, k, k2 in zip(docs["text"], docs["key"].to_numpy(), docs["key2"].to_numpy(), strict=True):
             w = (text or "").encode("utf-8", "surrogatepass").split()
-            at = pos[np.searchsorted(key, k) : np.searchsorted(key, k, "right")]
+            a, b = np.searchsorted(key, k), np.searchsorted(key, k, "right")
+            at = pos[a:b][low[a:b] == k2]
             n_words.append(len(w))
             if len(at):
                 edge = np.zeros(len(w) + 1, np.int32)
@@ -264,12 +268,13 @@ def remove_repeated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     if not 0 < gram <= window:
         raise ValueError("an anchor must fit its window")
     spark, id_type = df.sparkSession, df.schema[id_col].dataType.simpleString()
-    docs = df.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), common.row_key(id_col, text_col).alias("key"), F.col(id_col).cast("string").alias("id"))
+    half = lambda salt: F.xxhash64(F.lit(salt), F.col(id_col), F.col(text_col))
+    docs = df.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), half(1).alias("key"), half(2).alias("key2"), F.col(id_col).cast("string").alias("id"))
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     places = max(64, chars // BUCKET_CHARS)
     sent = spark.sparkContext.broadcast(sketch(docs, chars, window, gram))
-    found = docs.select("text", "key").mapInArrow(_windows(sent, window, gram, places), "bucket int, h1 binary, h2 binary, idx binary, pos binary, keys binary")
+    found = docs.select("text", "key", "key2").mapInArrow(_windows(sent, window, gram, places), "bucket int, h1 binary, h2 binary, idx binary, pos binary, keys binary")
     marks = found.groupBy("bucket").applyInPandas(_grouped(places), "place int, keys binary, n binary, pos binary")
     placed = docs.withColumn("place", F.pmod("key", F.lit(places)).cast("int"))
-    out = placed.groupBy("place").cogroup(marks.groupBy("place")).applyInPandas(_cut(window, id_type), "id string, kept string, n_words long, n_removed long")
+    out = placed.groupBy("place").cogroup(marks.groupBy("place")).applyInPandas(_cut(window), "id string, kept string, n_words long, n_removed long")
     return out.select(F.col("id").cast(id_type).alias(id_col), "kept", "n_words", "n_removed")

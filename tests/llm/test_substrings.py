@@ -45,3 +45,13 @@ def test_segments(monkeypatch):
     monkeypatch.setattr(wordhash, "SEGMENT", 16)
     parts, again = wordhash.words(texts)
     assert (whole == parts).all() and (first == again).all() and first.tolist() == [0, 3, 3, 53, 55, 56]
+
+
+def test_rows_of_one_half_key_stay_apart():
+    import numpy as np
+    import pandas as pd
+
+    docs = pd.DataFrame({"id": ["1", "2"], "text": ["a b c d e f", "g h i"], "key": np.array([7, 7]), "key2": np.array([1, 2])})
+    marks = pd.DataFrame({"keys": [np.array([[7, 1]]).tobytes()], "n": [np.array([2], np.int32).tobytes()], "pos": [np.array([0, 3], np.int32).tobytes()]})
+    out = S._cut(3)(docs, marks)
+    assert out["kept"].tolist() == ["", "g h i"] and out["n_removed"].tolist() == [6, 0]
