@@ -5,13 +5,15 @@ runs of 20 and more characters of letters, digits and ``+/_-`` with a digit are
 slides over a candidate; the counts of its characters and the sum of c log2 c change by the
 character that enters and the one that leaves, which gives each window's Shannon entropy. A
 candidate whose best window reaches the threshold of its character class is a span of kind
-``entropy``, unless it overlaps a fixed span or is on the allow-list (UUIDs, plain numbers and
-dates, paths, runs and series, documentation samples).
+``entropy``, unless fixed spans cover it already or it is on the allow-list (UUIDs, plain numbers
+and dates, paths, runs and series, documentation samples). A candidate that goes beyond a fixed span
+is reported beside it.
 
 Spans count code points, the end is exclusive. The fixed patterns take the leftmost matches, and
 matches too short for a kind are dropped. Every pattern takes time in proportion to the text.
 Defined cases: null and empty texts have no spans; repeated rows each give a row; an empty table
-gives an empty table. All input columns stay, but those named ``base`` or ``spans`` are replaced.
+gives an empty table. All input columns stay, but those named ``base`` or ``spans`` are replaced;
+inner columns take names that are free.
 """
 
 from __future__ import annotations
@@ -19,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import common
+
 KINDS = ("assign", "access", "hex")
 WORDS = ("password", "passwd", "secret", "token", "api_?key")
 WINDOW = 20
@@ -116,21 +120,38 @@ def _secret(value: Column) -> Column:
     return value.rlike("[0-9]") & ~allowed & (best_window(value) >= least)
 
 
+def _outside(candidates: Column, fixed: Column) -> Column:
+    """The candidates that no run of overlapping fixed spans covers. Both are in order of their
+    starts, so the fixed spans are first joined into runs."""
+    span = "struct<start:int,end:int>"
+    start = F.struct(_empty(span).alias("done"), F.lit(None).cast(span).alias("now"))
+    own = lambda b: F.struct(b["start"].alias("start"), b["end"].alias("end"))
+
+    def join(s, b):
+        over = b["start"] <= s["now"]["end"]
+        longer = F.struct(s["now"]["start"].alias("start"), F.greatest(s["now"]["end"], b["end"]).alias("end"))
+        done = F.when(s["now"].isNull() | over, s["done"]).otherwise(F.array_append(s["done"], s["now"]))
+        return F.struct(done.alias("done"), F.when(s["now"].isNull(), own(b)).when(over, longer).otherwise(own(b)).alias("now"))
+
+    joined = F.aggregate(fixed, start, join, lambda s: F.when(s["now"].isNull(), s["done"]).otherwise(F.array_append(s["done"], s["now"])))
+    return F.when(F.size(candidates) > 0, F.filter(candidates, lambda m: ~F.exists(joined, lambda b: (b["start"] <= m["start"]) & (b["end"] >= m["end"])))).otherwise(candidates)
+
+
 def scan(df: DataFrame, text_col: str = "text") -> DataFrame:
     """Adds ``base`` and ``spans``: arrays of (kind, start, end) by start, then by kind as listed."""
-    df = df.drop(*[c for c in ("base", "spans") if c in df.columns])
-    columns = df.columns
-    df = df.withColumn("_text", F.coalesce(F.col(text_col), F.lit("")))
+    df = df.drop(*[c for c in df.columns if c.lower() in ("base", "spans")])
+    columns, names = df.columns, (*KINDS, "entropy")
+    text, fixed, all_, *places = common.free(df, "s_text", "s_base", "s_all", *[f"s_{k}" for k in names])
+    at = dict(zip(names, places, strict=True))
+    df = df.withColumn(text, F.coalesce(F.col(text_col), F.lit("")))
     for name, pattern in PATTERNS.items():
-        df = located(df, "_text", f"_{name}", pattern, 2 if name == "assign" else 0)
-    df = df.withColumn("_assign", F.filter("_assign", lambda m: F.length(m["part"]) >= 6))
-    df = located(df, "_text", "_entropy", CANDIDATE)
-    names = (*KINDS, "entropy")
-    ranked = lambda name: F.transform(f"_{name}", lambda m: F.struct(m["start"].alias("start"), F.lit(names.index(name)).alias("rank"), m["end"].alias("end")))
-    df = df.withColumn("_base", F.array_sort(F.concat(*[ranked(k) for k in KINDS])))
-    apart = lambda m: ~F.exists("_base", lambda b: (b["start"] < m["end"]) & (b["end"] > m["start"]))
-    df = df.withColumn("_entropy", F.filter("_entropy", lambda m: apart(m) & _secret(m["value"])))
-    df = df.withColumn("_all", F.array_sort(F.concat("_base", ranked("entropy"))))
+        df = located(df, text, at[name], pattern, 2 if name == "assign" else 0)
+    df = df.withColumn(at["assign"], F.filter(at["assign"], lambda m: F.length(m["part"]) >= 6))
+    df = located(df, text, at["entropy"], CANDIDATE)
+    ranked = lambda name: F.transform(at[name], lambda m: F.struct(m["start"].alias("start"), F.lit(names.index(name)).alias("rank"), m["end"].alias("end")))
+    df = df.withColumn(fixed, F.array_sort(F.concat(*[ranked(k) for k in KINDS])))
+    df = df.withColumn(at["entropy"], F.filter(_outside(F.col(at["entropy"]), F.col(fixed)), lambda m: _secret(m["value"])))
+    df = df.withColumn(all_, F.array_sort(F.concat(fixed, ranked("entropy"))))
     kind = F.array(*[F.lit(k) for k in names])
     plain = lambda c: F.transform(c, lambda s: F.struct(F.element_at(kind, s["rank"] + 1).alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
-    return df.select(*columns, plain("_base").alias("base"), plain("_all").alias("spans"))
+    return df.select(*columns, plain(fixed).alias("base"), plain(all_).alias("spans"))
