@@ -1,4 +1,5 @@
 import random
+import time
 
 from riskweave.llm import decontaminate as D
 
@@ -65,3 +66,33 @@ def test_frame(spark):
     kept = D.clean(df, bench)
     assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == [3, 4, 5, 8]
     assert D.clean(df, bench.limit(0)).count() == len(docs) and D.clean(df.limit(0), bench).count() == 0
+
+
+def test_repetitive_texts_match_brute_force():
+    r = random.Random(9)
+    for trial in range(60):
+        word = lambda: r.choice("ab"[: r.randint(1, 2)])
+        item, doc = " ".join(word() for _ in range(r.randint(5, 30))), " ".join(word() for _ in range(r.randint(5, 40)))
+        want = brute(item, doc)
+        found = D.Index([(1, item)]).leaks([doc], 0.0001)[0]
+        assert (found[0]["coverage"], found[0]["tiles"]) == want if found else want[0] == 0, trial
+
+
+def test_repeated_words_take_time_in_proportion():
+    start = time.process_time()
+    same = D.Index([(1, "x " * 20_000), (2, "x y " * 9_000)]).leaks(["x " * 30_000, "y x " * 20_000 + "x " * 500, "z " * 9], 0.5)
+    assert [[(x["item_id"], x["tiles"]) for x in row] for row in same] == [[(1, 1)], [(2, 1)], []]
+    assert time.process_time() - start < 20
+
+
+def test_ids_of_other_types_and_clashing_names(spark):
+    r = random.Random(2)
+    items = [(f"item-{i}", " ".join(f"w{r.randrange(10**6)}" for _ in range(20))) for i in range(3)]
+    rows = [(i, t, ["kept", str(i)], "m", "n") for i, (_, t) in enumerate(items[:2])] + [(9, "nothing of that", ["x"], "m", "n")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, leaks array<string>, more string, _leaks string")
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    for block in (1 << 20, 21):
+        got = {x.doc_id: [y.item_id for y in x.leaks] for x in D.with_leaks(df, bench, block_words=block).collect()}
+        assert got == {0: ["item-0"], 1: ["item-1"], 9: []}
+        kept = D.clean(df, bench, block_words=block).collect()
+        assert [(x.doc_id, x.leaks, x.more, x._leaks) for x in kept] == [(9, ["x"], "m", "n")]
