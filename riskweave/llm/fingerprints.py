@@ -7,20 +7,25 @@ hash instead, so that equal short texts still have equal fingerprints.
 
 Defined cases: null and empty texts, or those without words, have an empty sketch; two empty
 sketches are alike (1), an empty and another one are not (0); a text of fewer than five words is
-one shingle; repeated rows each give a row; an empty table gives an empty table.
+one shingle; repeated rows each give a row; an empty table gives an empty table. Ids are whole
+numbers, or texts in their own order; null is before all. Of the input only id and text are read.
 """
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SHINGLE, SHARE = 5, 8
 #: Signed numbers in order; the threshold cuts off one of SHARE parts.
 LEAST = -(2**63)
 THRESHOLD = LEAST + 2**64 // SHARE
-#: Parts of the table for each shuffle partition; most parts; parts of one step of the search.
-PARTS, MOST_PARTS, STEP = 4, 4096, 64
+#: Parts of the table for each shuffle partition, and for so many code points; parts of one step of
+#: the search.
+PARTS, PART_CHARS, STEP = 4, 64 << 20, 64
 
 
 def shingle_hashes(df: DataFrame, text_col: str, out: str) -> DataFrame:
@@ -65,29 +70,62 @@ def as_text(a: Column) -> Column:
     return F.array_join(F.transform(a, lambda h: F.lpad(F.lower(F.hex(h)), 16, "0")), ",")
 
 
+def _fixed(values: list, kind: str) -> Column:
+    """A constant array, of whatever length, as one small expression."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
+
+
+def _count_upto(value: Column, heads: list[int], step: int) -> Column:
+    """How many of some sorted numbers are at most this one: by every step-th first, and so on."""
+    levels = [heads]
+    while len(levels[0]) > step:
+        levels.insert(0, levels[0][::step])
+    upto = lambda part: F.size(F.filter(part, lambda h: h <= value))
+    n = upto(_fixed(levels[0], "bigint"))
+    for values in levels[1:]:
+        base = F.greatest(n - 1, F.lit(0)) * step
+        n = base + upto(F.slice(_fixed(values, "bigint"), base + 1, F.lit(step)))
+    return n
+
+
+def _rank(df: DataFrame, id_col: str) -> tuple[Column, Column]:
+    """What orders an id, and a number that never contradicts that order."""
+    if not isinstance(df.schema[id_col].dataType, T.StringType):
+        order = F.coalesce(F.col(id_col).cast("bigint"), F.lit(LEAST))
+        return order, order
+    order = F.coalesce(F.col(id_col), F.lit(""))
+    ends = df.agg(F.min(order).alias("a"), F.max(order).alias("b")).first()
+    shared = len(os.path.commonprefix([ends.a or "", ends.b or ""]))
+    # the seven bytes after what all ids begin with
+    digits = F.rpad(F.substring(F.hex(F.substring(order, shared + 1, 7)), 1, 14), 14, "0")
+    return order, F.conv(digits, 16, 10).cast("bigint")
+
+
 def with_next(df: DataFrame, id_col: str, carried: list[str]) -> DataFrame:
     """Adds ``next_<c>`` of the row with the next id (after the last one, the first; equal ids by
-    text). The table is cut at quantiles of the id into parts of like size; the first rows of a
-    part go to the part before, too, so one shuffle by part is enough."""
+    text). The table is cut at quantiles of the id into parts of like size, as many as its code
+    points need; the first rows of a part go to the part before, too, so one shuffle by part is
+    enough."""
     spark = df.sparkSession
-    order = F.coalesce(F.col(id_col).cast("bigint"), F.lit(LEAST))
-    parts = min(MOST_PARTS, PARTS * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    cuts = F.percentile_approx(order, [i / parts for i in range(1, parts)], F.lit(max(10_000, 10 * parts)))
-    found = df.agg(F.min(order).alias("least"), cuts.alias("cuts")).first()
+    order, rank = _rank(df, id_col)
+    chars = df.agg(F.sum(F.length(carried[0]))).first()[0] or 0
+    parts = max(PARTS * int(spark.conf.get("spark.sql.shuffle.partitions")), chars // PART_CHARS)
+    cuts = F.percentile_approx(rank, _fixed([i / parts for i in range(1, parts)], "double"), F.lit(max(10_000, 10 * parts)))
+    found = df.agg(F.min(rank).alias("least"), cuts.alias("cuts")).first()
     if found.least is None:
         return df.select("*", *[F.col(c).alias(f"next_{c}") for c in carried])
-    heads = sorted({found.least, *found.cuts})
-    array = lambda xs: F.array(*[F.lit(x).cast("bigint") for x in xs])
-    upto = lambda xs: F.size(F.filter(xs, lambda h: h <= F.col("_order")))
-    rows = df.withColumn("_order", order).withColumn("_step", upto(array(heads[::STEP])) - 1)
-    rows = rows.withColumn("_part", F.col("_step") * STEP + upto(F.slice(array(heads), F.col("_step") * STEP + 1, STEP)))
-    place = lambda part, rank: F.struct(part.alias("part"), F.lit(rank).alias("rank"))
-    first, head = F.col("_order") == heads[0], F.col("_order").isin(heads) if len(heads) <= STEP else F.array_contains(array(heads), F.col("_order"))
+    # the quantiles are near values of the table (they pass through doubles): each part's least is exact
+    near = _count_upto(rank, sorted({found.least, *found.cuts}), STEP)
+    heads = sorted(r.head for r in df.groupBy(near.alias("part")).agg(F.min(rank).alias("head")).collect())
+    rows = df.withColumn("_order", order).withColumn("_rank", rank)
+    rows = rows.withColumn("_part", _count_upto(F.col("_rank"), heads, STEP))
+    place = lambda part, at: F.struct(part.alias("part"), F.lit(at).alias("rank"))
+    first, head = F.col("_rank") == heads[0], F.col("_rank") == F.get(_fixed(heads, "bigint"), F.col("_part") - 1)
     places = F.when(first, F.array(place(F.col("_part"), 0), place(F.lit(len(heads)), 2))).when(head, F.array(place(F.col("_part"), 0), place(F.col("_part") - 1, 1))).otherwise(F.array(place(F.col("_part"), 0)))
     rows = rows.withColumn("_place", F.explode(places)).select("*", "_place.part", "_place.rank")
     w = Window.partitionBy("part").orderBy("rank", "_order", *carried[:1])
     rows = rows.select("*", *[F.lead(c).over(w).alias(f"next_{c}") for c in carried]).where("rank = 0")
-    return rows.drop("_order", "_step", "_part", "_place", "part", "rank")
+    return rows.drop("_order", "_rank", "_part", "_place", "part", "rank")
 
 
 def edited(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
