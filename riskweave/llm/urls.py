@@ -4,13 +4,15 @@ The longest rule that fits a URL decides. Where none fits, the URL is blocked if
 canonical forms (a suffix of its host with a prefix of its path that ends at a slash, or the whole
 path) is listed. The list's blocked Bloom filter (64-bit blocks, three bits for each form) is
 broadcast: it has at most 2**MOST_BLOCKS rows whatever the list's size. Forms that it passes meet
-the list in an exact hash join, which removes false positives. No URL is shuffled otherwise than
-by equality, and pages find their URL's verdict by a join with the distinct hits.
+the list in an exact hash join, which removes false positives. Each distinct URL and form is probed
+once; a form that very many URLs have, or a URL that very many rows have, is dealt over SALTS keys,
+against which the list, or the hits, are repeated. Only rows that no rule decides are joined.
 
 Defined cases: a null URL, or one without ``://``, has empty host and path; no rule fits it and no
 listed form does, so it is allowed. An empty path counts as ``/`` for listed forms, not for rules.
-Repeated rows each give a row; an empty list blocks nothing. All input columns stay, but those
-named like an output (``host``, ``path``, ``rule``, ``verdict``) are replaced.
+Of rules of one length that fit, the last in the alphabet decides. Repeated rows each give a row; an empty list blocks nothing. All input columns stay, but those
+named like an output (``host``, ``path``, ``rule``, ``verdict``) are replaced; inner columns take names
+that are free.
 """
 
 from __future__ import annotations
@@ -18,7 +20,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MOST_BLOCKS, FORMS_PER_BLOCK = 20, 4
+from . import common
+
+MOST_BLOCKS, FORMS_PER_BLOCK, SALTS = 20, 4, 32
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 OUTPUTS = ("host", "path", "rule", "verdict")
 
@@ -86,9 +90,14 @@ def listed_forms(listed: DataFrame, column: str) -> DataFrame:
     return listed.select(F.concat(host, F.when(path == "", "/").otherwise(path)).alias("form")).where("form is not null and form <> '/'").distinct()
 
 
+def salted(df: DataFrame, key: str, *more: str) -> DataFrame:
+    """The rows once for each salt."""
+    return df.select(key, *more, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+
+
 def judge(df: DataFrame, listed: DataFrame, rules: list[tuple[str, str, str]], url_col: str = "url", listed_col: str = "form") -> DataFrame:
     """Adds ``host``, ``path``, ``rule`` and ``verdict``."""
-    df = df.drop(*[c for c in df.columns if c in OUTPUTS and c != url_col])
+    df = df.drop(*[c for c in df.columns if c.lower() in OUTPUTS and c != url_col])
     listed = listed_forms(listed, listed_col)
     size = listed.agg(F.count("*").alias("n"), F.max(F.size(F.split(F.substring_index("form", "/", 1), r"\."))).alias("labels"), F.max(F.size(F.split("form", "/")) - 1).alias("depth")).first()
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
@@ -97,8 +106,16 @@ def judge(df: DataFrame, listed: DataFrame, rules: list[tuple[str, str, str]], u
     if not size.n:
         return df.withColumn("verdict", F.coalesce("verdict", F.lit("allow")))
     blocks = min(1 << MOST_BLOCKS, 1 << max(6, (size.n // FORMS_PER_BLOCK).bit_length()))
-    open_urls = df.where("rule is null and host <> ''").select(F.col(url_col).alias("_url"), F.explode(forms(F.col("host"), F.col("path"), size.labels, size.depth)).alias("form"))
-    hits = possible(open_urls, listed, blocks).join(listed, "form", "left_semi").select("_url", F.lit(True).alias("_hit")).distinct()
-    out = df.join(hits, F.col(url_col) == F.col("_url"), "left")
-    method = F.when(F.col("_hit") & F.col("rule").isNull(), "block").otherwise("allow")
-    return out.withColumn("verdict", F.coalesce("verdict", method)).drop("_url", "_hit")
+    open_urls = df.where("rule is null and host <> ''").select(F.col(url_col).alias("url"), "host", "path").distinct()
+    probes = open_urls.select("url", F.explode(forms(F.col("host"), F.col("path"), size.labels, size.depth)).alias("form"))
+    probes = possible(probes, listed, blocks).withColumn("salt", F.pmod(F.xxhash64("url"), F.lit(SALTS)).cast("int"))
+    hits = probes.join(salted(listed, "form"), ["form", "salt"], "left_semi").select("url").distinct()
+    link, salt, hit = common.free(df, "link", "salt", "hit")
+    # rows that a rule decides, and null URLs, need no partner: each goes where its own number says
+    row = F.monotonically_increasing_id()
+    out = df.withColumn(salt, F.pmod(row, F.lit(SALTS)).cast("int"))
+    out = out.withColumn(link, F.when(F.col("rule").isNull() & (F.col("host") != ""), F.col(url_col)).otherwise(F.concat(F.lit("\n"), row.cast("string"))))
+    own = salted(hits, "url").select(F.col("url").alias(link), F.col("salt").alias(salt), F.lit(True).alias(hit))
+    out = out.join(own, [link, salt], "left")
+    method = F.when(F.col(hit), "block").otherwise("allow")
+    return out.select(*[c for c in df.columns if c != "verdict"], F.coalesce("verdict", method).alias("verdict"))
