@@ -7,7 +7,8 @@ are verified by their distance and linked.
 
 Only distinct fingerprints are indexed, so copies cost nothing. Fingerprints of one key stand
 together in a sorted partition and are linked by a star for each connected part: a key never
-emits all its pairs. A segment value that more than max(HOT, N / HOT_SHARE) fingerprints share
+emits all its pairs, and where it has many fingerprints only those that agree in a block of the other
+bits are compared. A segment value that more than max(HOT, N / HOT_SHARE) fingerprints share
 is hot (there are at most HOT_SHARE of those for each segment, which bounds what is broadcast);
 below its keys, the other segment's halves are indexed the same way, which spreads the key
 and loses no pair: of 3 differing bits one half has at most one.
@@ -30,6 +31,8 @@ from . import common, components
 DISTANCE, SHINGLE, SEED = 3, 3, 42
 HOT, HOT_SHARE = 4096, 100_000
 EXACT = 32
+#: So many fingerprints of one key are compared with each other; more are split by blocks of their bits.
+DIRECT = 512
 
 
 def fingerprint(text: str | None, width: int = SHINGLE) -> int:
@@ -86,15 +89,64 @@ def keys(fps: np.ndarray, hot: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray
     return np.concatenate(out_k).view(np.int64), np.concatenate(out_f).view(np.int64)
 
 
+def _roots(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Labels after the edges a, b: the least index of each connected part."""
+    while True:
+        x, y = label[a], label[b]
+        apart = x != y
+        if not apart.any():
+            return label
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while (label != label[label]).any():
+            label = label[label]
+
+
+def _near(values: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links of a few values, enough to connect their parts: each value is compared with those that
+    are not yet reached, so a group of near ones costs little and memory follows the values."""
+    left, a, b, queue = np.arange(len(values)), [], [], []
+    while len(left):
+        if not queue:
+            queue, left = [int(left[0])], left[1:]
+        i = queue.pop()
+        near = np.bitwise_count(values[left] ^ values[i]) <= distance
+        if near.any():
+            found = left[near]
+            a.append(np.full(len(found), i))
+            b.append(found)
+            queue.extend(found.tolist())
+            left = left[~near]
+    none = np.empty(0, np.int64)
+    return (np.concatenate(a), np.concatenate(b)) if a else (none, none)
+
+
+def _links(values: np.ndarray, at: np.ndarray, bits: list[int], distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links among many values that differ at most in these bits. Values at the distance agree in one
+    of distance + 1 blocks of the bits, so only those that share a block's value are compared."""
+    if len(at) <= DIRECT or len(bits) <= distance:
+        a, b = _near(values[at], distance)
+        return at[a], at[b]
+    out_a, out_b = [], []
+    for k in range(distance + 1):
+        block = bits[k :: distance + 1]
+        own = values[at] & np.uint64(sum(1 << x for x in block))
+        order = np.argsort(own, kind="stable")
+        rest = [x for x in bits if x not in block]
+        for part in np.split(order, np.flatnonzero(np.diff(own[order])) + 1):
+            if len(part) > 1:
+                a, b = _links(values, at[part], rest, distance)
+                out_a.append(a)
+                out_b.append(b)
+    none = np.empty(0, np.int64)
+    return (np.concatenate(out_a), np.concatenate(out_b)) if out_a else (none, none)
+
+
 def star(values: np.ndarray, distance: int = DISTANCE) -> tuple[np.ndarray, np.ndarray]:
     """Edges from each of some distinct fingerprints to the least of its connected part."""
-    label = np.arange(len(values))
-    for i in range(0, len(values), 256):
-        near = np.bitwise_count(values[i : i + 256, None] ^ values[None, :]) <= distance
-        for row in near:
-            found = np.unique(label[row])
-            if len(found) > 1:
-                label[np.isin(label, found)] = found[0]
+    differ = np.bitwise_or.reduce(values ^ values[0]) if len(values) else 0
+    a, b = _links(values, np.arange(len(values)), [x for x in range(64) if int(differ) >> x & 1], distance)
+    label = _roots(np.arange(len(values)), a, b)
     leaf = np.flatnonzero(label != np.arange(len(values)))
     return values[leaf], values[label[leaf]]
 
@@ -173,9 +225,10 @@ def links(fps: DataFrame) -> DataFrame:
     return index.repartition("k").sortWithinPartitions("k", "f").mapInArrow(_link, "a long, b long")
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, ``fingerprint``, ``component_id``: the least id that links of DISTANCE bits reach."""
-    docs = common.written(fingerprints(df.select(id_col, text_col), text_col).select(id_col, "fingerprint"))
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE) -> DataFrame:
+    """id, ``fingerprint``, ``component_id``: the least id that links of DISTANCE bits reach; width is
+    the words of a shingle."""
+    docs = common.written(fingerprints(df.select(id_col, text_col), text_col, width).select(id_col, "fingerprint"))
     fps = common.written(docs.groupBy("fingerprint").agg(F.min(id_col).alias("least")))
     found = components.labels(links(fps))
     joined = found.join(fps.withColumnRenamed("fingerprint", "node"), "node")

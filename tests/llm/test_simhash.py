@@ -103,3 +103,28 @@ def test_chains_and_stars_settle(spark):
     groups = [set(range(n + 1)), {1000 + i for i in range(n)}, {5000 - i for i in range(1, n)} | {6000}]
     assert set(got) == set().union(*groups)
     assert all(len({got[x] for x in g}) == 1 for g in groups) and len(set(got.values())) == 3
+
+
+def test_star_by_blocks_of_bits(monkeypatch):
+    for seed, direct in ((1, 4), (2, 16), (3, 4)):
+        monkeypatch.setattr(S, "DIRECT", direct)
+        values = make(90, seed)
+        # a crowded key: one segment is shared
+        values += [v & 0xFFFFFFFF00000000 | 7 for v in values]
+        values = sorted(set(values))
+        want, got = brute_components(values), {v: v for v in values}
+        a, b = S.star(np.array(values, np.uint64))
+        got.update(zip(a.tolist(), b.tolist()))
+        assert got == want
+
+
+def test_star_of_very_many_values():
+    import time
+
+    r = np.random.default_rng(1)
+    values = np.unique(r.integers(0, 2**32, 60_000, dtype=np.uint64) << np.uint64(32) | np.uint64(9))
+    dense = np.unique(np.bitwise_or.reduce(np.uint64(1) << r.integers(0, 32, (9000, 2), dtype=np.uint64), axis=1))
+    start = time.process_time()
+    S.star(values)
+    a, _ = S.star(dense)
+    assert len(a) == len(dense) - 1 and time.process_time() - start < 30
