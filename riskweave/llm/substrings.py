@@ -5,13 +5,16 @@ fill any sketch, so each window is counted through its anchor: of the 16 runs of
 it, the one of the least hash. Equal windows have equal anchors at different places, so an
 anchor's count is never below its windows' counts, and the sketch never below either: no
 repeated window is lost. Partitions count their anchors in sketches that are merged block by
-block; only whether a cell holds two or more is kept (a bitmap of a size fixed by parameter).
+block, spread over the cluster, so the sketch has CELLS_PER_ANCHOR cells for each anchor whatever
+their number. Only whether a cell holds two or more is kept, in bitmaps of at most 2**MOST_BITS
+bits; of a larger sketch, cells that differ in their last bits share one, so what fills the bitmaps
+is the number of repeated anchors, not of all.
 
 The second pass takes the windows whose anchor is estimated repeated and groups them by 96 bits
 of hashes of their words' 64-bit hashes. Rows are told apart by keys of 128 bits. Each task groups its own first, so a window that is common everywhere sends
 one row per task and no key grows hot; what is unique in a task meets the other tasks' windows
 in buckets of packed arrays. Positions of repeated windows return to their texts in buckets of
-rows. Beyond the largest bitmap the sketch lets more windows pass; the result stays the same.
+rows. Beyond some 2**MOST_BITS repeated anchors more windows pass; the result stays the same.
 
 Defined cases: a null or empty text has no words; texts under 35 words keep all; repeated rows
 and repeated ids count as separate texts; an empty table gives an empty result. Of the input,
@@ -31,8 +34,9 @@ from . import common
 from . import wordhash as W
 
 WINDOW, GRAM = 35, 20
-#: Cells of a sketch for each expected anchor; log2 of the most cells; cells of a block.
-CELLS_PER_ANCHOR, MOST_BITS, BLOCK = 8, 28, 1 << 16
+#: Cells of a sketch for each expected anchor, also where the bitmaps hold fewer; log2 of the most
+#: bits of a bitmap, and of the most cells; cells of a block.
+CELLS_PER_ANCHOR, CELLS_BEYOND, MOST_BITS, MOST_CELLS, BLOCK = 8, 4, 28, 40, 1 << 16
 #: Anchors, or windows, that a task holds before it passes them on; code points of a bucket.
 HELD, BUCKET_CHARS = 1 << 20, 4 << 20
 KNOWN = 65_535
@@ -73,7 +77,7 @@ def _counted(window: int, gram: int, bits: int):
             cuts = np.flatnonzero(np.diff(block)) + 1
             low = cell.astype(np.uint16)
             parts = [(int(b[0]), c[m < 2].tobytes(), c[m > 1].tobytes()) for b, c, m in zip(np.split(block, cuts), np.split(low, cuts), np.split(n, cuts), strict=True)]
-            yield pa.RecordBatch.from_pydict({"part": pa.array([(t << 20 | b) >> 5 for b, _, _ in parts], pa.int32()), "at": pa.array([t << 20 | b for b, _, _ in parts], pa.int32()), "once": [x for _, x, _ in parts], "more": [x for _, _, x in parts]})
+            yield pa.RecordBatch.from_pydict({"part": pa.array([(t << 32 | b) >> 5 for b, _, _ in parts], pa.int64()), "at": pa.array([t << 32 | b for b, _, _ in parts], pa.int64()), "once": [x for _, x, _ in parts], "more": [x for _, _, x in parts]})
 
     def run(batches):
         held, n = [], 0
@@ -92,18 +96,32 @@ def _counted(window: int, gram: int, bits: int):
     return run
 
 
-def _merged(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Adds up sketches: the bitmap of cells counted twice or more, for each block."""
-    out = []
-    for at, rows in pdf.groupby("at"):
-        n = np.zeros(BLOCK, np.uint8)
-        for once, more in zip(rows["once"], rows["more"], strict=True):
-            c = np.frombuffer(once, np.uint16)
-            n[c] = np.minimum(n[c] + 1, 2)
-            n[np.frombuffer(more, np.uint16)] = 2
-        if (n > 1).any():
-            out.append((at, np.packbits(n > 1).tobytes()))
-    return pd.DataFrame(out, columns=["at", "bits"]).astype({"at": "int32"})
+def _merged(fold: int):
+    """Adds up sketches: the bitmap of cells counted twice or more, for each block; 2**fold cells
+    share a bit."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        out: dict = {}
+        for at, rows in pdf.groupby("at"):
+            n = np.zeros(BLOCK, np.uint8)
+            for once, more in zip(rows["once"], rows["more"], strict=True):
+                c = np.frombuffer(once, np.uint16)
+                n[c] = np.minimum(n[c] + 1, 2)
+                n[np.frombuffer(more, np.uint16)] = 2
+            found = np.flatnonzero(n > 1)
+            if len(found):
+                t, block = at >> 32, at & 0xFFFFFFFF
+                bit = (block * BLOCK + found) >> fold
+                held = out.setdefault(int(t << 32 | int(bit[0]) // BLOCK), np.zeros(BLOCK, bool))
+                held[bit % BLOCK] = True
+        return pd.DataFrame([(k, np.packbits(v).tobytes()) for k, v in out.items()], columns=["at", "bits"]).astype({"at": "int64"})
+
+    return run
+
+
+def _joined(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Bitmaps of one block together."""
+    return pd.DataFrame({"at": pdf["at"].iloc[:1], "bits": [np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in pdf["bits"]]).tobytes()]})
 
 
 class Sketch:
@@ -113,7 +131,7 @@ class Sketch:
         self.bits = bits
         self.maps = np.zeros((2, (1 << bits) // BLOCK * (BLOCK // 8)), np.uint8)
         for at, packed in rows:
-            t, b = at >> 20, at & 0xFFFFF
+            t, b = at >> 32, at & 0xFFFFFFFF
             self.maps[t, b * (BLOCK // 8) : (b + 1) * (BLOCK // 8)] = np.frombuffer(packed, np.uint8)
 
     def repeated(self, grams: np.ndarray) -> np.ndarray:
@@ -126,11 +144,15 @@ class Sketch:
 
 def sketch(docs: DataFrame, chars: int, window: int = WINDOW, gram: int = GRAM) -> Sketch:
     """Merges the partitions' sketches of a table (columns text, key)."""
-    expected = chars / 6 * 2 / (window - gram + 2)
-    bits = int(min(MOST_BITS, max(16, np.ceil(np.log2(max(1, CELLS_PER_ANCHOR * expected))))))
-    rows = docs.select("text").mapInArrow(_counted(window, gram, bits), "part int, at int, once binary, more binary")
-    merged = rows.groupBy("part").applyInPandas(_merged, "at int, bits binary")
-    return Sketch([(r.at, bytes(r.bits)) for r in merged.toLocalIterator()], bits)
+    expected = max(1, chars / 6 * 2 / (window - gram + 2))
+    log2 = lambda cells: int(max(16, np.ceil(np.log2(max(1, cells * expected)))))
+    kept = min(MOST_BITS, log2(CELLS_PER_ANCHOR))
+    bits = max(kept, min(MOST_CELLS, log2(CELLS_BEYOND)))
+    rows = docs.select("text").mapInArrow(_counted(window, gram, bits), "part long, at long, once binary, more binary")
+    merged = rows.groupBy("part").applyInPandas(_merged(bits - kept), "at long, bits binary")
+    if bits > kept:
+        merged = merged.groupBy("at").applyInPandas(_joined, "at long, bits binary")
+    return Sketch([(r.at, bytes(r.bits)) for r in merged.toLocalIterator()], kept)
 
 
 def _windows(sent, window: int, gram: int, buckets: int):

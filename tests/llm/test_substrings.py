@@ -55,3 +55,28 @@ def test_rows_of_one_half_key_stay_apart():
     marks = pd.DataFrame({"keys": [np.array([[7, 1]]).tobytes()], "n": [np.array([2], np.int32).tobytes()], "pos": [np.array([0, 3], np.int32).tobytes()]})
     out = S._cut(3)(docs, marks)
     assert out["kept"].tolist() == ["", "g h i"] and out["n_removed"].tolist() == [6, 0]
+
+
+def test_sketch_larger_than_its_bitmaps(spark, monkeypatch):
+    import numpy as np
+
+    r = random.Random(3)
+    words = lambda n: " ".join(f"w{r.randrange(10**6)}" for _ in range(n))
+    shared = words(60)
+    texts = [words(4000) for _ in range(40)] + [f"{words(30)} {shared} {words(30)}" for _ in range(9)]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(6)
+    hashes, first = wordhash.words([t.encode() for t in texts])
+    _, at, grams = S.anchors(hashes, first, S.WINDOW, S.GRAM)
+    many = Counter(grams[np.unique(at)].tolist())
+    for beyond, least in ((0.001, 0.0), (64, 0.9)):
+        monkeypatch.setattr(S, "MOST_BITS", 16)
+        monkeypatch.setattr(S, "CELLS_BEYOND", beyond)
+        found = S.sketch(docs, sum(map(len, texts)))
+        own = np.array(sorted(many), np.uint64)
+        passed = dict(zip(own.tolist(), found.repeated(own).tolist()))
+        assert all(passed[k] for k, n in many.items() if n > 1) and max(many.values()) > 5
+        # cells for each anchor, not bits, decide how many anchors of one place are sorted out
+        assert sum(not passed[k] for k, n in many.items() if n == 1) >= least * sum(n == 1 for n in many.values())
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = Counter((x.doc_id, x.n_words, x.n_removed, x.kept) for x in S.remove_repeated(df).collect())
+    assert got == Counter((i, *x) for i, x in enumerate(brute(texts, S.WINDOW)))
