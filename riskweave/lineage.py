@@ -9,10 +9,14 @@ from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """A checkpoint in the folder that the cluster shares; only where none is set, a local one."""
+    """A checkpoint in the folder that the cluster shares. Where none is set, a local one serves a
+    session whose tasks run on the driver's machine; a cluster must set it."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="riskweave-"))
+        path = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not path and context.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(path or tempfile.mkdtemp(prefix="riskweave-"))
     return df.checkpoint()
 
 

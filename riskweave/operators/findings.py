@@ -58,16 +58,29 @@ def merged_provenance(values: Column) -> Column:
 
 
 def merge_by_key(findings: DataFrame, keys: list[str]) -> DataFrame:
-    """Findings of one canonical key as one: highest severity and confidence, longest hypothesis,
-    sources united in order of rank, counted titles. Aggregates merge before the shuffle."""
-    rank = F.struct(scores.severity_rank(F.col("severity")), "confidence")
-    return findings.groupBy(*keys).agg(
-        F.max_by("severity", scores.severity_rank(F.col("severity"))).alias("severity"),
+    """Findings of one canonical key as one: highest severity and confidence, the title of the first
+    by severity, confidence and id, the longest hypothesis (of equal ones the one of the least id),
+    and how many titles there were. Titles are counted by a first group of key and title, so all that
+    is shuffled is aggregated before."""
+    rank, lowered = scores.severity_rank(F.col("severity")), F.lower(F.trim("title"))
+    given = F.lower(F.trim(F.coalesce("provenance", F.lit(""))))
+    one = findings.groupBy(*keys, lowered.alias("_title")).agg(
+        F.max(F.struct(rank.alias("rank"), F.col("severity").alias("severity"))).alias("top"),
         F.max("confidence").alias("confidence"),
-        F.max_by("title", rank).alias("title"),
-        F.sort_array(F.collect_set("provenance")).alias("_provenances"),
-        F.count_distinct(F.lower(F.trim("title"))).alias("merged_count"),
-    ).withColumn("provenance", merged_provenance(F.col("_provenances"))).drop("_provenances")
+        F.min(F.struct((-rank).alias("rank"), (-F.col("confidence")).alias("low"), F.col("finding_id").alias("id"), F.col("title").alias("title"))).alias("first"),
+        F.min(F.struct((-F.length(F.coalesce("hypothesis", F.lit("")))).alias("size"), F.col("finding_id").alias("id"), F.col("hypothesis").alias("hypothesis"))).alias("said"),
+        F.min(F.nullif(given, F.lit(""))).alias("from"),
+        F.max(F.nullif(given, F.lit(""))).alias("to"),
+    )
+    mixed = F.when(F.min("from") != F.max("to"), "hybrid").otherwise(F.coalesce(F.min("from"), F.lit("llm")))
+    return one.groupBy(*keys).agg(
+        F.max("top")["severity"].alias("severity"),
+        F.max("confidence").alias("confidence"),
+        F.min("first")["title"].alias("title"),
+        F.min("said")["hypothesis"].alias("hypothesis"),
+        F.count("_title").alias("merged_count"),
+        mixed.alias("provenance"),
+    )
 
 
 #: What the greedy merge reads of a finding; lists and texts may be null.

@@ -61,13 +61,15 @@ def imports_of_packages(dependencies: DataFrame, imports: DataFrame) -> DataFram
     return scored.select("id", "source_file", "import_module", "line", F.round("m.confidence", 2).alias("confidence"), "m.kind", "m.alias")
 
 
-def function_index(advisories: DataFrame, cap: int = 20) -> DataFrame:
-    """(function, advisory_id, ...) of vulnerable functions; of a function with very many advisories
-    the first in order stay, so that common names do not multiply calls."""
+def function_index(advisories: DataFrame, cap: int | None = None) -> DataFrame:
+    """(function, advisory_id, ...) of vulnerable functions; with a cap, of a function the first so
+    many advisories in order (the studied system keeps 20)."""
     rows = advisories.select(F.explode("vulnerable_functions").alias("symbol"), F.col("id").alias("advisory_id"), "package", F.lower("ecosystem").alias("ecosystem"), "severity")
-    keys = rows.withColumn("function", F.explode(packages.function_keys(F.col("symbol"))))
+    keys = rows.withColumn("function", F.explode(packages.function_keys(F.col("symbol")))).dropDuplicates(["function", "advisory_id"]).drop("symbol")
+    if cap is None:
+        return keys
     w = Window.partitionBy("function").orderBy("ecosystem", "advisory_id")
-    return keys.dropDuplicates(["function", "advisory_id"]).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= cap).drop("_r", "symbol")
+    return keys.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= cap).drop("_r")
 
 
 def vulnerable_calls(calls: DataFrame, index: DataFrame, imports: DataFrame, dependencies: DataFrame, limit: int = 10) -> DataFrame:
@@ -91,14 +93,23 @@ def vulnerable_calls(calls: DataFrame, index: DataFrame, imports: DataFrame, dep
     return out.select("file", "function", "line", "advisory_id", "package", "ecosystem", "severity", "evidence_type", "evidence_strength")
 
 
-def by_weakness(findings: DataFrame, advisories: DataFrame, limit: int = 5, cap: int = 10) -> DataFrame:
-    """Advisories that share a weakness with a finding, in the order of the finding's weaknesses; of a
-    weakness the first advisories of each ecosystem."""
-    w = Window.partitionBy("cwe", "ecosystem").orderBy("advisory_id")
+def by_weakness(findings: DataFrame, advisories: DataFrame, limit: int = 5, cap: int | None = None) -> DataFrame:
+    """Advisories that share a weakness with a finding, in the order of the finding's weaknesses. With
+    a cap, of a weakness the first advisories of each ecosystem (the studied system keeps 10).
+
+    Without one, a finding's best are looked for in each weakness's first ``limit`` advisories only:
+    of the advisories under one weakness no later one can be among a finding's first ``limit``, unless
+    an earlier weakness of the finding has it already, in which case it counts there."""
     index = advisories.select(F.explode("cwes").alias("cwe"), F.lower("ecosystem").alias("ecosystem"), F.col("id").alias("advisory_id")).distinct()
-    index = index.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= cap).drop("_r")
-    rows = findings.select("finding_id", F.posexplode("cwe_ids").alias("place", "cwe")).join(index, "cwe")
-    first = rows.groupBy("finding_id", "advisory_id").agg(F.min("place").alias("place"))
+    if cap is not None:
+        w = Window.partitionBy("cwe", "ecosystem").orderBy("advisory_id")
+        index = index.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= cap).drop("_r")
+    rows = findings.select("finding_id", F.posexplode("cwe_ids").alias("place", "cwe"))
+    most = rows.agg(F.max("place")).first()[0]
+    # under the n-th weakness the first n * limit suffice: limit of them stand under no earlier one
+    first_few = Window.partitionBy("cwe").orderBy("advisory_id")
+    named = index.select("cwe", "advisory_id").distinct().withColumn("_r", F.row_number().over(first_few)).where(F.col("_r") <= limit * ((most or 0) + 1)).drop("_r")
+    first = rows.join(named, "cwe").groupBy("finding_id", "advisory_id").agg(F.min("place").alias("place"))
     order = Window.partitionBy("finding_id").orderBy("place", "advisory_id")
     return first.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
 

@@ -33,10 +33,8 @@ def risk_scores(findings: DataFrame, *keys: str) -> DataFrame:
 
 def owasp_code(cwes: Column, category: Column) -> Column:
     """The OWASP code of a finding: of its first known weakness, else of its category, else A04."""
-    by_cwe = {f"CWE-{n}": code for code, ns in fixed.OWASP_CWES.items() for n in ns.split()}
-    by_category = {c: code for code, cs in fixed.OWASP_CATEGORIES.items() for c in cs.split()}
-    known = F.filter(F.transform(F.coalesce(cwes, F.array().cast("array<string>")), lambda c: lookup(c, by_cwe)), lambda c: c.isNotNull())
-    return F.coalesce(F.try_element_at(known, F.lit(1)), lookup(category, by_category), F.lit("A04"))
+    known = F.filter(F.transform(F.coalesce(cwes, F.array().cast("array<string>")), lambda c: lookup(c, fixed.OWASP_OF_CWE)), lambda c: c.isNotNull())
+    return F.coalesce(F.try_element_at(known, F.lit(1)), lookup(category, fixed.OWASP_OF_CATEGORY), F.lit("A04"))
 
 
 def owasp(findings: DataFrame, *keys: str) -> DataFrame:

@@ -48,8 +48,8 @@ def severity_counts(spark, sf_dir):
 
 
 OWASP_SQL = (
-    "coalesce(CASE cwe " + " ".join(f"WHEN 'CWE-{n}' THEN '{code}'" for code, ns in fixed.OWASP_CWES.items() for n in ns.split()) + " END, "
-    "CASE category " + " ".join(f"WHEN '{c}' THEN '{code}'" for code, cs in fixed.OWASP_CATEGORIES.items() for c in cs.split()) + " END, 'A04')"
+    "coalesce(CASE cwe " + " ".join(f"WHEN '{cwe}' THEN '{code}'" for cwe, code in fixed.OWASP_OF_CWE.items()) + " END, "
+    "CASE category " + " ".join(f"WHEN '{c}' THEN '{code}'" for c, code in fixed.OWASP_OF_CATEGORY.items()) + " END, 'A04')"
 )
 
 
@@ -140,11 +140,15 @@ def keyed(spark, sf_dir):
 @query(
     "q187_merge_by_key",
     f"""
-SELECT canonical_key, arg_max(severity, {RANK}) AS severity, max(confidence) AS confidence, count(DISTINCT lower(title)) AS merged_count, CASE WHEN count(DISTINCT provenance) > 1 THEN 'hybrid' ELSE min(provenance) END AS provenance
-FROM (SELECT *, {KEY_SQL} AS canonical_key FROM {FIND}) GROUP BY 1""",
+WITH k AS (SELECT *, {KEY_SQL} AS canonical_key, repeat('h', (finding_id % 5)::INT) || title AS hypothesis, {RANK} AS r FROM {FIND})
+SELECT canonical_key, arg_max(severity, r) AS severity, max(confidence) AS confidence,
+  first(title ORDER BY r DESC, confidence DESC, finding_id) AS title, first(hypothesis ORDER BY length(hypothesis) DESC, finding_id) AS hypothesis,
+  count(DISTINCT lower(title)) AS merged_count, CASE WHEN count(DISTINCT provenance) > 1 THEN 'hybrid' ELSE min(provenance) END AS provenance
+FROM k GROUP BY 1""",
 )
 def merge_by_key(spark, sf_dir):
-    return ops.merge_by_key(keyed(spark, sf_dir), ["canonical_key"]).drop("title")
+    rows = keyed(spark, sf_dir).withColumn("hypothesis", F.expr("concat(repeat('h', cast(finding_id % 5 as int)), title)"))
+    return ops.merge_by_key(rows, ["canonical_key"])
 
 
 @query("q183_greedy_merge")
