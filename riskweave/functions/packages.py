@@ -84,6 +84,12 @@ def import_aliases(name: Column, ecosystem: Column) -> Column:
     return F.when(low == "", empty()).otherwise(_present(F.concat(F.array(low, canon, F.try_element_at(curated, F.concat_ws(" ", eco, canon))), per, under, pub, hexes)))
 
 
+def usage_tokens(name: Column, ecosystem: Column) -> Column:
+    """What a text may call a package by: its aliases, and its name with _ or / for -."""
+    low = clean(name)
+    return _present(F.concat(import_aliases(name, ecosystem), F.array(low, F.replace(low, F.lit("-"), F.lit("_")), F.replace(low, F.lit("-"), F.lit("/")))))
+
+
 def import_candidates(module: Column) -> Column:
     """A module and its prefixes at slashes and dots, each less specific."""
     low = clean(module)

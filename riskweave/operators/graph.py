@@ -105,3 +105,15 @@ def verify_flows(flows: DataFrame, edges: DataFrame, symbols: DataFrame, hops: i
 def chain_text(path):
     """A chain as text, caller first."""
     return F.array_join(path, " -> ")
+
+
+def calls_of(edges: DataFrame, node: str) -> DataFrame:
+    """The calls into a node and out of it (side, other), each with its edge."""
+    into = edges.where(F.col("callee") == node).select(F.lit("incoming").alias("side"), F.col("caller").alias("other"), "edge_id")
+    return into.unionByName(edges.where(F.col("caller") == node).select(F.lit("outgoing").alias("side"), F.col("callee").alias("other"), "edge_id"))
+
+
+def call_totals(edges: DataFrame) -> DataFrame:
+    """How many calls go into each node and out of it."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("callee").alias("node"), F.lit(1).alias("i")), F.struct(F.col("caller").alias("node"), F.lit(0).alias("i")))).alias("e"))
+    return ends.groupBy("e.node").agg(F.count_if(F.col("e.i") == 1).alias("incoming"), F.count_if(F.col("e.i") == 0).alias("outgoing"))

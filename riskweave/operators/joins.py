@@ -227,12 +227,17 @@ def transitive_only(locked: DataFrame, declared: DataFrame) -> DataFrame:
     return keyed(locked).join(keyed(declared).select("_dir", "ecosystem", "_key").distinct(), ["_dir", "ecosystem", "_key"], "left_anti").drop("_dir", "_key")
 
 
+def distinct_hits(hits: DataFrame) -> DataFrame:
+    """Usage hits of a dependency, one for each file, kind and symbol."""
+    return hits.dropDuplicates(["id", "file", "kind", "symbol"])
+
+
 def usage(dependencies: DataFrame, hits: DataFrame) -> DataFrame:
     """Relevance of dependencies (id, is_dev, transitive) from usage hits (id, file, kind)."""
     from ..functions.scores import relevance
 
     test = paths.in_tests(F.col("file"))
-    seen = hits.dropDuplicates(["id", "file", "kind", "symbol"]).groupBy("id").agg(
+    seen = distinct_hits(hits).groupBy("id").agg(
         F.bool_or(~test & (F.col("kind") == "import")).alias("direct"), F.bool_or(~test & (F.col("kind") == "reference")).alias("referenced"), F.bool_and(test).alias("tested"), F.bool_or(F.col("kind") == "vulnerable_function").alias("function_hit")
     )
     flag = lambda c: F.coalesce(F.col(c), F.lit(False))

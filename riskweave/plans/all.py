@@ -6,3 +6,4 @@ from . import text_queries  # noqa: F401
 from . import planning_queries  # noqa: F401
 from . import source_queries  # noqa: F401
 from . import fact_queries  # noqa: F401
+from . import read_queries  # noqa: F401

@@ -73,7 +73,10 @@ def test_paths(spark, sf_dir):
     return frame(spark, sf_dir, FILES).select("file_id", paths.in_tests(p).alias("strict"), paths.indexed_as_test(p).alias("loose"))
 
 
-@query("q088_safe_path")
+_STEPS = "list_transform(list_filter(string_split(replace(path, chr(92), '/'), '/'), lambda x: x NOT IN ('', '.')), lambda x: CASE WHEN x = '..' THEN -1 ELSE 1 END)"
+
+
+@query("q088_safe_path", f"SELECT file_id, NOT starts_with(path, '/') AND coalesce(list_min(list_transform(range(1, len(steps) + 1), lambda i: list_sum(steps[1:i]))), 0) >= 0 AS safe FROM (SELECT *, {_STEPS} AS steps FROM {sql(FILES)})")
 def safe_path(spark, sf_dir):
     return frame(spark, sf_dir, FILES).select("file_id", paths.is_safe(F.col("path")).alias("safe"))
 
@@ -165,7 +168,7 @@ def estimate_tokens(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.estimate_tokens(F.col("text")).alias("tokens"))
 
 
-@query("q281_truncate_to_budget")
+@query("q281_truncate_to_budget", r"WITH c AS (SELECT doc_id, text, substr(text, 1, 640) AS cut, length(regexp_extract(substr(text, 1, 640), '(?s)^(.*)\n', 1)) AS whole FROM documents) SELECT doc_id, CASE WHEN length(text) <= 640 THEN text WHEN contains(cut, chr(10)) AND whole > 512 THEN substr(cut, 1, whole) ELSE cut END AS text FROM c")
 def truncate_to_budget(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.to_budget(F.col("text"), F.lit(200)).alias("text"))
 
@@ -251,13 +254,28 @@ def index_keys(spark, sf_dir):
     return frame(spark, sf_dir, DEPENDENCIES).select("id", F.array_join(F.array_sort(packages.index_keys(F.col("name"), F.col("ecosystem"))), " ").alias("keys"))
 
 
-@query("q263_lookup_keys")
+LOOKUP_SQL = f"""
+WITH n AS (SELECT id, ecosystem, {_CLEAN} AS low, {NORMAL_SQL} AS canon, {KEYS_SQL} AS keys FROM {sql(DEPENDENCIES)}),
+k AS (SELECT *, CASE WHEN ecosystem = 'maven' THEN [canon, low, string_split(canon, ':')[2]] WHEN ecosystem IN ('pypi', 'hex') THEN [low, canon] || list_sort(keys) ELSE [canon, low] END AS tried FROM n),
+d AS (SELECT *, list_filter(tried, lambda k, i: list_position(tried, k) = i) AS once FROM k),
+u AS (SELECT id, ecosystem, low, canon, unnest(once) AS key, unnest(range(0, len(once)))::INT AS place FROM d)
+SELECT id, place, key, CASE WHEN key = canon AND (place = 0 OR ecosystem NOT IN ('pypi', 'hex')) THEN 'exact_package_match' WHEN ecosystem = 'maven' AND key <> low THEN 'artifact_alias_match' ELSE 'canonical_package_match' END AS match_type FROM u"""
+
+
+@query("q263_lookup_keys", LOOKUP_SQL)
 def lookup_keys(spark, sf_dir):
     keys = packages.lookup_keys(F.col("name"), F.col("ecosystem"))
     return frame(spark, sf_dir, DEPENDENCIES).select("id", F.posexplode(keys).alias("place", "k")).select("id", "place", "k.key", "k.match_type")
 
 
-@query("q264_import_aliases")
+ALIASES_SQL = f"""
+WITH n AS (SELECT id, ecosystem, {_CLEAN} AS low, {NORMAL_SQL} AS canon FROM {sql(DEPENDENCIES)}),
+a AS (SELECT id, [low, canon] || CASE ecosystem WHEN 'npm' THEN [replace(low, '-', '_')] WHEN 'maven' THEN [string_split(canon, ':')[1], string_split(canon, ':')[2]]
+  WHEN 'hex' THEN [replace(canon, '-', '_'), replace(low, '-', '_'), replace(canon, '-', '.'), replace(canon, '-', '')] ELSE [replace(canon, '-', '_'), replace(low, '-', '_')] END AS names FROM n)
+SELECT id, array_to_string(list_sort(list_distinct(names)), ' ') AS aliases FROM a"""
+
+
+@query("q264_import_aliases", ALIASES_SQL)
 def import_aliases(spark, sf_dir):
     return frame(spark, sf_dir, DEPENDENCIES).select("id", F.array_join(F.array_sort(packages.import_aliases(F.col("name"), F.col("ecosystem"))), " ").alias("aliases"))
 
@@ -309,6 +327,15 @@ def dependency_risk(spark, sf_dir):
     return dependency_risks(spark, sf_dir).select("id", "risk.score")
 
 
-@query("q288_risk_factors")
+_FACTOR = "{{'o': -abs({v}::DOUBLE), 'k': '{k}', 'v': {v}::DOUBLE}}"
+FACTORS_SQL = f"""
+WITH d AS (SELECT *, {_RELEVANCE} AS relevance, id % 3 = 0 AS hit FROM {sql(DEPENDENCIES)}),
+r AS (SELECT *, CASE WHEN is_dev OR relevance = 'test_only' THEN 'not_applicable' WHEN hit THEN 'reachable' WHEN relevance IN ('used', 'likely_used') THEN 'potentially_reachable' ELSE 'no_path_found' END AS status FROM d),
+f AS (SELECT id, [{_FACTOR.format(k='reachability', v='(' + _case('status', fixed.REACHABILITY_BONUS, '0') + ')')}, {_FACTOR.format(k='relevance', v='(' + _case('relevance', fixed.RELEVANCE_BONUS, '0') + ')')}, {_FACTOR.format(k='vulnerable_function_match', v='(CASE WHEN hit THEN 120 ELSE 0 END)')},
+  {_FACTOR.format(k='dev_dependency', v='(CASE WHEN is_dev THEN -120 ELSE 0 END)')}, {_FACTOR.format(k='fix_available', v="(CASE WHEN fixed_version <> '' THEN 25 ELSE 0 END)")}, {_FACTOR.format(k='hot_file_usage', v='(CASE WHEN id % 7 = 0 THEN 40 ELSE 0 END)')}] AS all_ FROM r)
+SELECT id, array_to_string(list_transform(list_sort(list_filter(all_, lambda x: x.v <> 0))[1:3], lambda x: x.k || '=' || CAST(x.v AS VARCHAR)), ', ') AS factors FROM f"""
+
+
+@query("q288_risk_factors", FACTORS_SQL)
 def risk_factors(spark, sf_dir):
     return dependency_risks(spark, sf_dir).select("id", scores.top_factors(F.col("risk.factors")).alias("factors"))

@@ -126,7 +126,15 @@ def hit_context(spark, sf_dir):
     return findings.hit_context(hits).select("hit_id")
 
 
-@query("q313_state_machine")
+_OK = "(s.state = 'pending' AND e.want IN ('running', 'cancelled') OR s.state = 'running' AND e.want IN ('completed', 'failed', 'cancelled'))"
+STATES_SQL = f"""
+WITH RECURSIVE e AS (SELECT user_id AS scan_id, event_id, CASE event_id % 4 WHEN 0 THEN 'running' WHEN 1 THEN 'completed' WHEN 2 THEN 'failed' ELSE 'cancelled' END AS want, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+s AS (SELECT DISTINCT user_id AS scan_id, 0::BIGINT AS n, NULL::BIGINT AS event_id, 'pending' AS state, false AS accepted FROM events
+  UNION ALL SELECT e.scan_id, e.n, e.event_id, CASE WHEN {_OK} THEN e.want ELSE s.state END, {_OK} FROM s JOIN e ON e.scan_id = s.scan_id AND e.n = s.n + 1)
+SELECT scan_id, event_id, state, accepted FROM s WHERE n > 0"""
+
+
+@query("q313_state_machine", STATES_SQL)
 def state_machine(spark, sf_dir):
     """State requests of scans, each with the state that it leaves."""
     state = F.expr("CASE event_id % 4 WHEN 0 THEN 'running' WHEN 1 THEN 'completed' WHEN 2 THEN 'failed' ELSE 'cancelled' END")

@@ -26,15 +26,24 @@ def secret_terms(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", patterns.mentions(t, patterns.SECRET_TERMS).alias("secret"), patterns.mentions(t, patterns.DATA_FLOW_TERMS).alias("needs_flow"))
 
 
-@query("q253_assigned_secrets")
+def _all(pattern: str) -> str:
+    return "regexp_extract_all(text, '" + pattern.replace("'", "''") + "', 2)"
+
+
+@query("q253_assigned_secrets", f"SELECT doc_id, unnest({_all(patterns.ASSIGNED_QUOTED)} || {_all(patterns.ASSIGNED_BARE)}) AS value FROM documents")
 def assigned_secrets(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", patterns.assigned_values(F.col("text")).alias("v"))
     return docs.select("doc_id", F.explode("v").alias("value"))
 
 
-@query("q055_technologies")
+#: What stands at the very end of every text: two mentions of one package, and one of another.
+MENTIONS = "concat(coalesce(text, ''), ' built with jQuery v', cast(doc_id % 5 as string), '.2.1 (not jquery ', cast(doc_id % 3 as string), '.0) and Django/', cast(doc_id % 4 as string), '.1.')"
+
+
+@query("q055_technologies", "SELECT DISTINCT doc_id, package, ecosystem, version FROM (SELECT doc_id, 'jquery' AS package, 'npm' AS ecosystem, doc_id % 5 || '.2.1' AS version FROM documents UNION ALL SELECT doc_id, 'jquery', 'npm', doc_id % 3 || '.0' FROM documents UNION ALL SELECT doc_id, 'django', 'pypi', doc_id % 4 || '.1' FROM documents)")
 def technologies(spark, sf_dir):
-    return patterns.technologies(table(spark, sf_dir, "documents"), "text", ["doc_id"])
+    """Versions are found wherever a text mentions them: whole texts are read."""
+    return patterns.technologies(table(spark, sf_dir, "documents").selectExpr("doc_id", f"{MENTIONS} AS text"), "text", ["doc_id"])
 
 
 RANGES = "(SELECT CAST(p_partkey AS BIGINT) AS id, concat(cast(p_size % 5 as string), '.', cast(p_size % 12 as string), '.', cast(p_partkey % 3 as string)) AS version, concat('>=1.', cast(p_partkey % 10 as string), '.0,<3.', cast(p_partkey % 7 as string), '.0') AS affected FROM part)"

@@ -41,18 +41,29 @@ def rates(events: DataFrame, delay: str = "10 minutes", width: str = "5 minutes"
     return events.withWatermark("ts", delay).groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("value")).select(F.col("w.start").alias("start"), "event_type", "n", "value")
 
 
+def _depth(state: str) -> int:
+    """How many transitions may follow a state; the states have no cycle."""
+    return max((1 + _depth(s) for s in TRANSITIONS[state]), default=0)
+
+
 def checked_transitions(requests: DataFrame) -> DataFrame:
     """State requests (scan_id, event_id, state) with the state each leaves its scan in and whether it
-    was allowed; a scan begins pending."""
-    table = F.create_map(*[x for k, v in TRANSITIONS.items() for x in (F.lit(k), F.array(*[F.lit(s) for s in v]) if v else F.array().cast("array<string>"))])
-    steps = requests.groupBy("scan_id").agg(F.array_sort(F.collect_list(F.struct("event_id", "state"))).alias("steps"))
-    empty = F.array().cast("array<struct<event_id:bigint,state:string,accepted:boolean>>")
-
-    def step(s, x):
-        ok = F.array_contains(table[s["now"]], x["state"])
-        now = F.when(ok, x["state"]).otherwise(s["now"])
-        done = F.struct(x["event_id"].alias("event_id"), now.alias("state"), ok.alias("accepted"))
-        return F.struct(now.alias("now"), F.array_append(s["log"], done).alias("log"))
-
-    log = F.aggregate("steps", F.struct(F.lit("pending").alias("now"), empty.alias("log")), step, lambda s: s["log"])
-    return steps.select("scan_id", F.explode(log).alias("l")).select("scan_id", "l.*")
+    was allowed; a scan begins pending.
+
+    A scan takes few transitions however many requests it has, so each is the least event after the
+    one before that asks for a state that may follow: an aggregate, not a walk over the scan."""
+    allowed = F.create_map(*[x for k, v in TRANSITIONS.items() for x in (F.lit(k), F.array(*[F.lit(s) for s in v]) if v else F.array().cast("array<string>"))])
+    taken = requests.select("scan_id").distinct().withColumns({"now": F.lit("pending"), "last": F.lit(None).cast("bigint"), "log": F.array().cast("array<struct<event_id:bigint,state:string>>")})
+    for _ in range(_depth("pending")):
+        after = requests.join(taken.select("scan_id", "now", "last"), "scan_id").where((F.col("last").isNull() | (F.col("event_id") > F.col("last"))) & F.array_contains(allowed[F.col("now")], F.col("state")))
+        step = after.groupBy("scan_id").agg(F.min(F.struct(F.col("event_id").cast("bigint").alias("event_id"), "state")).alias("step"))
+        taken = taken.join(step, "scan_id", "left").select(
+            "scan_id",
+            F.coalesce("step.state", "now").alias("now"),
+            F.coalesce("step.event_id", "last").alias("last"),
+            F.when(F.col("step").isNotNull(), F.array_append("log", F.col("step"))).otherwise(F.col("log")).alias("log"),
+        )
+    before = F.filter("log", lambda x: x["event_id"] <= F.col("event_id"))
+    out = requests.join(taken.select("scan_id", "log"), "scan_id")
+    state = F.coalesce(F.try_element_at(before, F.lit(-1))["state"], F.lit("pending"))
+    return out.select("scan_id", "event_id", state.alias("state"), F.exists("log", lambda x: x["event_id"] == F.col("event_id")).alias("accepted"))
