@@ -47,6 +47,12 @@ def union_ignoring_case(values: Column) -> Column:
     return F.filter(clean, lambda v, i: F.array_position(lowered, F.lower(v)) == i + 1)
 
 
+def first_distinct(values: Column, limit: int) -> Column:
+    """The first different values that are not blank, trimmed, in order."""
+    clean = F.filter(F.transform(values, lambda v: F.trim(v)), lambda v: v != "")
+    return F.slice(F.array_distinct(clean), 1, limit)
+
+
 def estimate_tokens(text: Column) -> Column:
     n = F.length(F.coalesce(text, F.lit("")))
     return F.when(n == 0, 0).otherwise(F.floor(n / CHARS_PER_TOKEN).cast("int") + 1)

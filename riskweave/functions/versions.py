@@ -132,3 +132,13 @@ def version_matches(version: pd.Series, ranges: pd.Series, affected: pd.Series,
 @F.pandas_udf(T.IntegerType())
 def compare_versions(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([compare(x or "", y or "") for x, y in zip(a, b, strict=True)], dtype="int32")
+
+
+@F.pandas_udf(T.StringType())
+def tidied(version: pd.Series) -> pd.Series:
+    return pd.Series([tidy(v or "") for v in version], dtype=object)
+
+
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def parsed(version: pd.Series) -> pd.Series:
+    return pd.Series([list(loose(v or "")) for v in version], dtype=object)

@@ -7,3 +7,5 @@ from . import planning_queries  # noqa: F401
 from . import source_queries  # noqa: F401
 from . import fact_queries  # noqa: F401
 from . import read_queries  # noqa: F401
+from . import advisory_queries  # noqa: F401
+from . import report_queries  # noqa: F401

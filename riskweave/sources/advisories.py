@@ -83,3 +83,65 @@ def read_osv(spark: SparkSession, path: str) -> DataFrame:
 def write_advisories(advisories: DataFrame, path: str) -> None:
     """By ecosystem, so that a scan reads those of its own languages only."""
     advisories.write.mode("overwrite").partitionBy("ecosystem").parquet(path)
+
+
+def text_symbols(advisories: DataFrame) -> DataFrame:
+    """(id, symbol, sources, confidence) of the functions that advisories' texts name."""
+    from ..functions import mining
+
+    both = F.concat(mining.text_symbols(F.col("summary"), "summary"), mining.text_symbols(F.col("details"), "details"))
+    rows = advisories.select("id", F.explode(both).alias("s")).select("id", "s.symbol", "s.source")
+    out = rows.groupBy("id", "symbol").agg(F.sort_array(F.collect_set("source")).alias("sources"))
+    return out.withColumn("confidence", mining.symbol_confidence(F.col("sources")))
+
+
+#: What an ecosystem says itself about what is vulnerable.
+SPECIFIC = "struct<affected_functions:array<string>,imports:array<struct<path:string,module:string,modules:array<string>,paths:array<string>,symbols:array<string>,affected_functions:array<string>,attributes:array<string>,attribute:string,name:string,symbol:string>>>"
+
+
+def structured_symbols(affected: DataFrame) -> DataFrame:
+    """(id, symbol, import_path, sources, confidence) of affected entries (id, specific): functions, and
+    every symbol of an import under every path of it. A path makes it certain."""
+    from ..functions import mining
+
+    none = lambda c: F.coalesce(c, empty())
+    one = lambda c: F.array_compact(F.array(c))
+    paths = lambda i: F.array_sort(F.array_distinct(F.array_compact(F.transform(F.concat(none(i["modules"]), none(i["paths"]), one(i["path"]), one(i["module"])), mining.import_path))))
+    named = lambda i: F.filter(F.concat(none(i["symbols"]), none(i["affected_functions"]), none(i["attributes"]), one(i["attribute"])), lambda s: F.trim(s) != "")
+    other = lambda i: F.filter(one(F.coalesce(F.nullif(i["name"], F.lit("")), i["symbol"])), lambda s: F.trim(s) != "")
+    symbols = lambda i: F.when(F.size(named(i)) > 0, named(i)).otherwise(other(i))
+    where = lambda i: F.when(F.size(paths(i)) > 0, paths(i)).otherwise(F.array(F.lit(None).cast("string")))
+    direct = affected.select("id", F.explode(none(F.col("specific.affected_functions"))).alias("token")).select("id", "token", F.lit(None).cast("string").alias("import_path"), F.lit("ecosystem_specific.affected_functions").alias("source"), F.lit(1.0).alias("confidence"))
+    each = affected.select("id", F.explode(F.col("specific.imports")).alias("i")).select("id", F.explode(symbols(F.col("i"))).alias("token"), where(F.col("i")).alias("at")).select("id", "token", F.explode_outer("at").alias("import_path"))
+    each = each.select("id", "token", "import_path", F.lit("ecosystem_specific.imports").alias("source"), F.when(F.col("import_path").isNull(), 0.95).otherwise(1.0).alias("confidence"))
+    rows = direct.unionByName(each).withColumn("symbol", mining.candidate(F.col("token"), F.lit(True))).where("symbol is not null")
+    return dedupe_symbols(rows)
+
+
+def dedupe_symbols(rows: DataFrame) -> DataFrame:
+    """Symbols of an advisory (id, symbol, import_path, source, confidence), each once: sources united,
+    the highest confidence."""
+    return rows.groupBy("id", "symbol", "import_path").agg(F.sort_array(F.collect_set("source")).alias("sources"), F.max("confidence").alias("confidence"))
+
+
+def enrichment_stats(advisories: DataFrame, mined: DataFrame) -> DataFrame:
+    """One row: how many advisories (id, vulnerable_functions) gain functions from what was mined (id,
+    symbol), and how many functions that are."""
+    known = advisories.select("id", F.explode("vulnerable_functions").alias("symbol"))
+    new = mined.select("id", "symbol").distinct().join(known, ["id", "symbol"], "left_anti")
+    return new.agg(F.count_distinct("id").alias("enriched"), F.count("*").alias("functions"))
+
+
+def read_shards(spark: SparkSession, root: str, schema: str) -> DataFrame:
+    """Advisories under ``<root>/ecosystem=<name>/``, one JSON array or object for each file, plain or
+    gzip; files that do not parse give no row. Partitions are pruned by ecosystem."""
+    rows = spark.read.schema(schema + ", _corrupt string").option("multiLine", True).option("columnNameOfCorruptRecord", "_corrupt").option("pathGlobFilter", "advisories.json*").json(root)
+    return rows.where("_corrupt is null").drop("_corrupt")
+
+
+def enrichment_rows(payloads: DataFrame) -> DataFrame:
+    """Enrichment payloads (payload: JSON with a map under ``advisories``) as rows by id; anything else
+    gives none."""
+    entry = f"struct<vulnerable_functions:array<string>,vulnerable_symbols:array<{SYMBOL}>,sources:array<string>>"
+    parsed = F.from_json("payload", f"struct<advisories:map<string,{entry}>>")
+    return payloads.select(F.explode(parsed["advisories"]).alias("id", "e")).where("e is not null").select("id", "e.*")
