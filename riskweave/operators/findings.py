@@ -200,6 +200,16 @@ def reprioritised(files: DataFrame, boosts: DataFrame, inspected: DataFrame) ->
     return rows.withColumn("effective", F.col("score") + F.coalesce("dynamic", F.lit(0.0))).withColumn("referenced", F.coalesce("referenced", F.lit(0)))
 
 
+def hit_boosts(hits: DataFrame, boost: float = 5.0) -> DataFrame:
+    """Boost events (file_path, boost) of new hits whose file is known."""
+    return hits.where("file_path is not null").select("file_path", F.lit(boost).alias("boost"))
+
+
+def accumulated(boosts: DataFrame) -> DataFrame:
+    """What all boost events add up to, by file."""
+    return boosts.groupBy("file_path").agg(F.sum("boost").alias("boost"), F.count("*").alias("events"))
+
+
 def hot_files(queue: DataFrame, limit: int = 10) -> DataFrame:
     return queue.where("dynamic > 0").orderBy(F.desc("effective"), "file_path").limit(limit)
 

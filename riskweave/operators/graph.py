@@ -39,6 +39,11 @@ def resolve_calls(calls: DataFrame, symbols: DataFrame, imports: DataFrame) -> D
     return out.withColumn("hit", hit).where("hit is not null").select("caller_file", caller.alias("caller_symbol"), F.col("line").alias("caller_line"), "hit.callee_file", F.col("callee_name").alias("callee_symbol"), "hit.resolution", "hit.confidence")
 
 
+def call_graph(edges: DataFrame) -> DataFrame:
+    """The edges of a graph from its calls: how many join two nodes, and the first of them."""
+    return edges.groupBy("caller", "callee").agg(F.count("*").alias("calls"), F.min("edge_id").alias("first_edge"))
+
+
 def in_degree(edges: DataFrame) -> DataFrame:
     return edges.groupBy("callee").agg(F.count("*").alias("calls"))
 

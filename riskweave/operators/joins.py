@@ -247,3 +247,12 @@ def usage(dependencies: DataFrame, hits: DataFrame) -> DataFrame:
 
 def title_words(a: str, b: str):
     return text.jaccard(text.tokens(F.col(a)), text.tokens(F.col(b)))
+
+
+def function_usage(symbols: DataFrame, calls: DataFrame) -> DataFrame:
+    """(id, file, function, line) of calls (file, function, object, line) that may be of a dependency's
+    vulnerable symbols (id, symbol): their tokens, or object and function together, meet by equality."""
+    wanted = symbols.select("id", F.explode(text.symbol_tokens(F.col("symbol"))).alias("token")).distinct()
+    low, owner = F.lower("function"), F.lower(F.coalesce("object", F.lit("")))
+    said = F.array_distinct(F.array(low, F.when(owner != "", F.concat_ws(".", owner, low)).otherwise(low)))
+    return calls.withColumn("token", F.explode(said)).join(wanted, "token").select("id", "file", "function", "line").distinct()

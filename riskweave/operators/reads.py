@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import fixed, packages, patterns
+from ..functions import fixed, packages, paths, patterns
 from ..functions.columns import any_of, lookup
 from .findings import top_per_group
 
@@ -220,6 +220,12 @@ def needs_flow(title: Column, category: Column, text: Column) -> Column:
     return patterns.mentions(F.concat_ws(" ", title, category, text), patterns.DATA_FLOW_TERMS)
 
 
+def gap_reason(severity: Column, needs_context: Column, context: Column, path: Column) -> Column:
+    """Why a severe finding that claims a flow lacks evidence; null where it does not."""
+    gap = severity.isin("critical", "high") & needs_context & ~context
+    return F.when(gap & paths.low_context(path), "low context").when(gap, "no flow")
+
+
 def merged_by_keys(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row, in order, of each combination of keys, compared without case and blanks."""
     plain = [F.lower(F.trim(F.coalesce(F.col(k).cast("string"), F.lit("")))).alias(f"_{k}") for k in keys]

@@ -306,15 +306,22 @@ def degree_boosts(spark, sf_dir):
 REACH_SQL = "WITH RECURSIVE e AS (SELECT DISTINCT {a} AS a, {b} AS b FROM {edge}), r(s, n, h) AS (SELECT s, s, 0 FROM {starts} UNION SELECT s, b, h + 1 FROM r JOIN e ON n = a WHERE h < {hops}) SELECT {out} FROM (SELECT s, n, min(h) AS hops FROM r GROUP BY 1, 2) WHERE {where}"
 
 
-@query("q224_find_path", REACH_SQL.format(a="caller", b="callee", edge=EDGE, starts="(SELECT unnest(['f1', 'f2', 'f3']) AS s)", hops=6, out="s AS source, n AS target, hops::INT AS hops", where="n IN ('f1', 'f10', 'f17', 'f59', 'f100')"))
+#: Pairs of functions, and functions, of a table; some are in no call.
+PATH_ENDS = {"source": "concat('f', cast(s_suppkey * 7 % 997 as string))", "target": "concat('f', cast((s_suppkey * 7 + 1 + s_suppkey % 25) % 998 as string))"}
+
+
+@query(
+    "q224_find_path",
+    f"WITH RECURSIVE e AS (SELECT DISTINCT caller AS a, callee AS b FROM {EDGE}), p AS (SELECT DISTINCT {PATH_ENDS['source']} AS source, {PATH_ENDS['target']} AS target FROM supplier), r(s, n, h) AS (SELECT DISTINCT source, source, 0 FROM p UNION SELECT s, b, h + 1 FROM r JOIN e ON n = a WHERE h < 6) SELECT source, target, min(h)::INT AS hops FROM p JOIN r ON s = source AND n = target GROUP BY 1, 2",
+)
 def find_path(spark, sf_dir):
-    pairs = spark.createDataFrame([(f"f{a}", f"f{b}") for a in (1, 2, 3) for b in (1, 10, 17, 59, 100)], "source string, target string")
+    pairs = table(spark, sf_dir, "supplier").selectExpr(*[f"{e} AS {n}" for n, e in PATH_ENDS.items()]).distinct()
     return graph.find_path(edges(spark, sf_dir), pairs, 6).select("source", "target", "hops")
 
 
-@query("q225_entry_points", REACH_SQL.format(a="callee", b="caller", edge=EDGE, starts="(SELECT unnest(['f5', 'f12', 'f20']) AS s)", hops=8, out="s AS target, n AS entry, hops::INT AS hops", where=f"hops > 0 AND hops < 8 AND n NOT IN (SELECT callee FROM {EDGE})"))
+@query("q225_entry_points", REACH_SQL.format(a="callee", b="caller", edge=EDGE, starts=f"(SELECT DISTINCT {PATH_ENDS['target']} AS s FROM supplier)", hops=8, out="s AS target, n AS entry, hops::INT AS hops", where=f"hops > 0 AND hops < 8 AND n NOT IN (SELECT callee FROM {EDGE})"))
 def entry_points(spark, sf_dir):
-    targets = spark.createDataFrame([("f5",), ("f12",), ("f20",)], "node string")
+    targets = table(spark, sf_dir, "supplier").selectExpr(f"{PATH_ENDS['target']} AS node").distinct()
     return graph.entry_points(edges(spark, sf_dir), targets, 8).select("target", "entry", "hops")
 
 

@@ -285,7 +285,7 @@ def upload_path(spark, sf_dir):
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), paths.skipped(F.expr("CASE p_partkey % 4 WHEN 0 THEN 'src/a.py' WHEN 1 THEN 'x\\\\node_modules\\\\y.js' WHEN 2 THEN '/dist/app.js' ELSE 'my_dist/app.js' END")).alias("ignored"))
 
 
-@query("q110_severity_order", f"SELECT finding_id, CASE severity WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 WHEN 'low' THEN 3 WHEN 'info' THEN 4 ELSE 5 END AS place FROM {sql(FINDINGS)}")
+@query("q204_severity_rank", f"SELECT finding_id, CASE severity WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 WHEN 'low' THEN 3 WHEN 'info' THEN 4 ELSE 5 END AS place FROM {sql(FINDINGS)}")
 def severity_order(spark, sf_dir):
     return frame(spark, sf_dir, FINDINGS).select("finding_id", finding_ops.severity_order(F.col("severity")).alias("place"))
 

@@ -99,7 +99,7 @@ def progress_snapshot(spark, sf_dir):
     return reports.snapshot(rows).select("scan_id", "phase", "done", "share")
 
 
-@query("q317_audit_log", "WITH n AS (SELECT DISTINCT l_orderkey AS scan_id, l_returnflag AS action, l_linenumber AS decided_at FROM lineitem WHERE l_linenumber > 2) SELECT l_orderkey AS scan_id, l_returnflag AS action, l_linenumber AS decided_at, l_linenumber::BIGINT AS ordinal FROM lineitem WHERE l_linenumber <= 2 UNION ALL SELECT scan_id, action, decided_at, 2 + row_number() OVER (PARTITION BY scan_id ORDER BY decided_at, action) FROM n")
+@query("q317_audit_log", "WITH n AS (SELECT DISTINCT l_orderkey AS scan_id, l_returnflag AS action, l_linenumber AS decided_at FROM lineitem WHERE l_linenumber > 2) SELECT l_orderkey AS scan_id, l_returnflag AS action, l_linenumber AS decided_at, l_linenumber::BIGINT AS ordinal FROM lineitem WHERE l_linenumber <= 2 UNION ALL SELECT scan_id, action, decided_at, coalesce((SELECT max(l_linenumber) FROM lineitem x WHERE x.l_orderkey = scan_id AND l_linenumber <= 2), 0) + row_number() OVER (PARTITION BY scan_id ORDER BY decided_at, action) FROM n")
 def audit_log(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS scan_id", "'planner' AS agent", "l_returnflag AS action", "l_linenumber AS decided_at", "cast(l_linenumber as bigint) AS ordinal")
     new = rows.drop("ordinal")

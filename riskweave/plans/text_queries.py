@@ -98,7 +98,7 @@ def event_props(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.try_element_at(F.from_json("props", "map<string,string>"), key).alias("v"))
 
 
-@query("q163_labels_by_source", "SELECT source, count(*) AS n, count(quality) AS labelled, sum(toxic)::BIGINT AS toxic FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1")
+@query("labels_by_source", "SELECT source, count(*) AS n, count(quality) AS labelled, sum(toxic)::BIGINT AS toxic FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1")
 def labels_of_documents(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "source").join(table(spark, sf_dir, "labels"), "doc_id", "left")
     return docs.groupBy("source").agg(F.count("*").alias("n"), F.count("quality").alias("labelled"), F.sum("toxic").alias("toxic"))

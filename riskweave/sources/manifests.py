@@ -272,3 +272,78 @@ def inventory(files: DataFrame) -> DataFrame:
     rows = dependencies(files).withColumn("_key", packages.normal(F.col("name"), F.col("ecosystem")))
     w = Window.partitionBy("ecosystem", "_key", "version", "source_file", "is_dev").orderBy("name")
     return rows.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r", "_key")
+
+
+def _json_names(*sections: str):
+    return lambda text: [n for s in sections for n in (json.loads(text).get(s) or {})]
+
+
+def _cargo_names(text: str) -> list[str]:
+    import tomllib
+
+    data = tomllib.loads(text)
+    tables = [data, *(data.get("target") or {}).values()]
+    return [n for t in tables for s in ("dependencies", "dev-dependencies", "build-dependencies") for n in (t.get(s) or {})]
+
+
+def _pubspec_names(text: str) -> list[str]:
+    import yaml
+
+    data = yaml.safe_load(text) or {}
+    return [n for s in ("dependencies", "dev_dependencies") for n in (data.get(s) or {})]
+
+
+#: Manifests, the ecosystem of each, and the names that it declares.
+DECLARING = {
+    "package.json": ("npm", _json_names("dependencies", "devDependencies", "optionalDependencies", "peerDependencies")),
+    "composer.json": ("packagist", lambda text: [n for n in _json_names("require", "require-dev")(text) if n != "php"]),
+    "pubspec.yaml": ("pub", _pubspec_names),
+    "Cargo.toml": ("crates.io", _cargo_names),
+    "go.mod": ("go", lambda text: re.findall(r"(?m)^\s*(?:require\s+)?(\S+)\s+v\S", text)),
+    "Gemfile": ("rubygems", lambda text: re.findall(r"""(?im)gem\s+["']([^"']+)["']""", text)),
+    "mix.exs": ("hex", lambda text: re.findall(r"\{\s*:(\w+)\s*,", text)),
+}
+
+
+def declared(files: DataFrame) -> DataFrame:
+    """(source_file, ecosystem, name) of what manifests (path, content) declare, whatever the version;
+    those that do not parse declare nothing."""
+
+    def run(frames):
+        for f in frames:
+            rows = []
+            for path, content in zip(f["path"], f["content"], strict=True):
+                ecosystem, names = DECLARING.get(path.rsplit("/", 1)[-1], (None, None))
+                try:
+                    rows += [(path, ecosystem, str(n)) for n in names(content or "")] if names else []
+                except (ValueError, TypeError, AttributeError):
+                    continue
+                except Exception as e:  # a YAML library's own errors
+                    if not type(e).__module__.startswith("yaml"):
+                        raise
+            yield pd.DataFrame(rows, columns=["source_file", "ecosystem", "name"])
+
+    base = F.element_at(F.split("path", "/"), -1)
+    return files.where(base.isin(*DECLARING)).select("path", "content").mapInPandas(run, "source_file string, ecosystem string, name string")
+
+
+def declares(asked: DataFrame, files: DataFrame) -> DataFrame:
+    """Questions (id, source_file, ecosystem, name) with whether the manifest declares the package under
+    any spelling."""
+    named = declared(files).select("source_file", "ecosystem", packages.normal(F.col("name"), F.col("ecosystem")).alias("_key")).distinct().withColumn("declared", F.lit(True))
+    rows = asked.withColumn("_key", packages.normal(F.col("name"), F.col("ecosystem"))).join(named, ["source_file", "ecosystem", "_key"], "left")
+    return rows.withColumn("declared", F.coalesce("declared", F.lit(False))).drop("_key")
+
+
+def pinned(files: DataFrame) -> DataFrame:
+    """(source_file, package, version) of dependencies that name one version of two numbers and more:
+    ``==`` in requirements, any operator before it in JSON manifests, all of lockfiles."""
+    base, text = F.element_at(F.split("path", "/"), -1), F.col("content")
+    entries = lambda *s: F.flatten(F.array_compact(F.array(*[F.map_entries(F.from_json(text, ", ".join(f"`{x}` map<string,string>" for x in s))[x]) for x in s])))
+    of_json = F.when(base == "package.json", entries("dependencies", "devDependencies")).when(base == "composer.json", F.filter(entries("require", "require-dev"), lambda e: e["key"] != "php"))
+    rows = files.where(base.isin("package.json", "composer.json")).select(F.col("path").alias("source_file"), F.explode(of_json).alias("e")).select("source_file", F.col("e.key").alias("package"), F.trim(F.regexp_replace("e.value", r"^[\^~>=<]+", "")).alias("version")).where(r"version rlike '^[0-9]+[.][0-9]+'")
+    line = r"(?m)^[ \t]*([A-Za-z0-9_-]+)\s*==\s*([0-9.]+)"
+    found = F.arrays_zip(F.regexp_extract_all(text, F.lit(line), F.lit(1)).alias("n"), F.regexp_extract_all(text, F.lit(line), F.lit(2)).alias("v"))
+    listed = files.where(base == "requirements.txt").select(F.col("path").alias("source_file"), F.explode(found).alias("r")).select("source_file", F.lower("r.n").alias("package"), F.col("r.v").alias("version"))
+    locked = dependencies(files.where(base.isin("pubspec.lock", "mix.lock"))).select("source_file", F.col("name").alias("package"), "version")
+    return rows.unionByName(listed).unionByName(locked).distinct()

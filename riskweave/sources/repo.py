@@ -86,3 +86,49 @@ def documents(files: DataFrame, limit: int = 15, each: int = 10) -> DataFrame:
     useful = ~F.col("base").isin(*fixed.NO_DOCUMENTS)
     rank = F.when(F.col("known") > 0, F.col("known")).when(F.col("readme") & useful, 100).when((F.col("directory") > 0) & (F.col("r") <= each) & useful, F.col("directory") + 100)
     return rows.withColumn("rank", rank).where("rank is not null").orderBy("rank", "path").limit(limit).select("path")
+
+
+def source_files(files: DataFrame, most_bytes: int = MOST_BYTES, most_files: int = MOST_FILES) -> DataFrame:
+    """The paths that a scan reads, in order: of what is not skipped, binary or too large the first."""
+    kept = files.where(~paths.skipped(F.col("path")) & ~paths.is_binary(F.col("path")) & (F.col("size_bytes") <= most_bytes))
+    return kept.orderBy("path").limit(most_files).select("path")
+
+
+def existing(wanted: DataFrame, files: DataFrame) -> DataFrame:
+    """Wanted paths with whether the tree has them."""
+    there = files.select("path").distinct().withColumn("found", F.lit(True))
+    return wanted.join(there, "path", "left").withColumn("found", F.coalesce("found", F.lit(False)))
+
+
+def readable(path: Column, content: Column, most: int) -> Column:
+    """A file's text where its path stays inside the tree and its bytes are few enough; else null."""
+    return F.when(paths.is_safe(path) & (F.octet_length(content) <= most), text_of(content))
+
+
+def ignore_policy(lines: DataFrame) -> DataFrame:
+    """(tree_id, kind, pattern): an ignore file's lines (tree_id, line) as prefixes and globs, sorted and
+    each once; comments and blanks are left out."""
+    pattern = paths.normalise(F.trim("line"))
+    rows = lines.where(~F.trim(F.col("line")).startswith("#")).select("tree_id", F.when(pattern.rlike(r"[*?\[\]]"), "glob").otherwise("prefix").alias("kind"), pattern.alias("pattern"))
+    return rows.where("pattern <> ''").distinct()
+
+
+def fingerprint(files: DataFrame, dependencies: DataFrame) -> DataFrame:
+    """One row for each tree (tree_id, path, size_bytes; dependencies: tree_id, name): how many files and
+    bytes, languages from the most common on, frameworks in order, and whether its size needs a warning."""
+    kept = files.where(~paths.skipped(F.col("path"))).withColumn("language", lookup(paths.extension(F.col("path")), LANGUAGES))
+    totals = kept.groupBy("tree_id").agg(F.count("*").alias("file_count"), F.sum("size_bytes").alias("total_size"))
+    counted = kept.where("language is not null").groupBy("tree_id", "language").agg(F.count("*").alias("n"))
+    ranked = counted.groupBy("tree_id").agg(F.transform(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("o"), "language"))), lambda x: x["language"]).alias("languages"))
+    by_file = kept.select("tree_id", lookup(paths.name(F.col("path")), FRAMEWORK_FILES).alias("framework"))
+    by_dir = kept.select("tree_id", F.when(F.concat(F.lit("/"), "path").contains("/k8s/"), "kubernetes").when(F.concat(F.lit("/"), "path").contains("/helm/"), "helm").alias("framework"))
+    by_kind = kept.select("tree_id", F.when(paths.extension(F.col("path")).isin(".csproj", ".sln"), "dotnet").alias("framework"))
+    by_package = dependencies.select("tree_id", lookup(F.lower("name"), FRAMEWORK_PACKAGES).alias("framework"))
+    found = by_file.unionByName(by_dir).unionByName(by_kind).unionByName(by_package).where("framework is not null")
+    frameworks = found.groupBy("tree_id").agg(F.sort_array(F.collect_set("framework")).alias("frameworks"))
+    out = totals.join(ranked, "tree_id", "left").join(frameworks, "tree_id", "left")
+    none = F.array().cast("array<string>")
+    return out.select(
+        "tree_id", "file_count", "total_size", F.coalesce("languages", none).alias("languages"), F.try_element_at("languages", F.lit(1)).alias("primary_language"),
+        F.coalesce("frameworks", none).alias("frameworks"), ((F.col("file_count") > MOST_FILES) | (F.col("total_size") > 500 * MOST_BYTES)).alias("large"),
+    )

@@ -5,7 +5,7 @@ caller's, so that a corpus of any layout can be used."""
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import any_of
@@ -111,3 +111,30 @@ def matches(files: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 MOST_RULES = 2000
+
+
+def expanded(selected: DataFrame, rule_dirs: DataFrame) -> DataFrame:
+    """Selected directories (path), those at the root replaced by the directories in them, if any."""
+    children = rule_dirs.select(F.regexp_extract("path", "^([^/]+)/[^/]+$", 1).alias("_root"), "path").where("_root <> ''").distinct()
+    roots = selected.where(~F.col("path").contains("/")).select(F.col("path").alias("_root")).distinct().join(children, "_root", "left")
+    return selected.where(F.col("path").contains("/")).select("path").unionByName(roots.select(F.coalesce("path", "_root").alias("path"))).distinct()
+
+
+def suite_matches(language: Column, suite: Column) -> Column:
+    """Is a query suite one of a language's? JavaScript takes TypeScript's, too."""
+    low = F.lower(suite)
+    of = lambda prefix: low.startswith(F.concat(prefix, F.lit("-"))) | low.contains(F.concat(F.lit("/"), prefix, F.lit("-"))) | low.contains(F.concat(F.lit("\\"), prefix, F.lit("-")))
+    return of(language) | ((language == "javascript") & of(F.lit("typescript")))
+
+
+def heuristic(languages: DataFrame, frameworks: DataFrame, choices: DataFrame) -> DataFrame:
+    """(tree_id, kind, value, place): what a tree's languages and frameworks call for, each value once, in
+    the order of the choices (ordinal, language, framework, kind, value); a choice without a framework
+    needs the language only."""
+    by_language = languages.select("tree_id", F.lower("language").alias("language")).distinct().join(choices, "language")
+    there = frameworks.select("tree_id", F.lower("framework").alias("framework")).distinct()
+    plain = by_language.where("framework is null").drop("framework")
+    called = by_language.where("framework is not null").join(there, ["tree_id", "framework"], "left_semi").drop("framework")
+    first = plain.unionByName(called).groupBy("tree_id", "kind", "value").agg(F.min("ordinal").alias("ordinal"))
+    place = F.row_number().over(Window.partitionBy("tree_id", "kind").orderBy("ordinal", "value"))
+    return first.select("tree_id", "kind", "value", place.alias("place"))

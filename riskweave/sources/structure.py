@@ -11,7 +11,7 @@ import re
 import xml.etree.ElementTree as ET
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SCHEMA = "path string, kind string, name string, detail string, owner string, line int, end_line int"
@@ -163,3 +163,52 @@ def android(manifests: DataFrame) -> DataFrame:
             yield pd.DataFrame([(p, *x) for p, c in zip(f["path"], f["content"], strict=True) for x in android_facts(c or "")], columns=["path", "kind", "name", "detail"])
 
     return manifests.select("path", "content").mapInPandas(run, "path string, kind string, name string, detail string")
+
+
+def block_end(content: Column, start_line: Column, indent: Column) -> Column:
+    """The last line of the Python block that begins at a line: what follows belongs to it until a line
+    that is no comment is indented as little."""
+    after = F.slice(F.split(content, "\n", -1), start_line + 1, F.lit(2**30))
+    lines = F.transform(after, lambda x, i: F.struct((i + 1).alias("at"), (F.length(x) - F.length(F.ltrim(F.translate(x, "\t", " ")))).alias("indent"), F.btrim(x, F.lit(" \t\r")).alias("text")))
+    told = F.filter(lines, lambda x: x["text"] != "")
+    stop = F.try_element_at(F.filter(told, lambda x: (x["indent"] <= indent) & ~x["text"].startswith("#")), F.lit(1))["at"]
+    last = F.try_element_at(F.filter(told, lambda x: stop.isNull() | (x["at"] < stop)), F.lit(-1))["at"]
+    return start_line + F.coalesce(last, F.lit(0))
+
+
+def android_summary(facts: DataFrame) -> DataFrame:
+    """One row for each manifest (path): its package, permissions, exported parts and flags, in order."""
+    of = lambda kind, value: F.sort_array(F.collect_set(F.when(F.col("kind") == kind, value)))
+    name, pair = F.col("name"), F.concat_ws("=", "name", "detail")
+    return facts.groupBy("path").agg(F.max(F.when(F.col("kind") == "package", name)).alias("package"), of("permission", name).alias("permissions"), of("exported", name).alias("exported"), of("flag", pair).alias("flags"))
+
+
+def component_sources(components: DataFrame, files: DataFrame, limit: int = 5) -> DataFrame:
+    """(component, path) of the source files of Android parts (component, package): files whose path ends
+    in the class's file name, else those that declare a class of that name, the first so many.
+
+    The ends of file names meet the wanted names by equality."""
+    full = F.when(F.col("component").startswith("."), F.concat(F.coalesce("package", F.lit("")), "component")).otherwise(F.trim("component"))
+    wanted = components.select("component", F.regexp_extract(full, r"([^.]+)$", 1).alias("class")).distinct()
+    named = wanted.select("component", F.explode(F.array(F.concat("class", F.lit(".java")), F.concat("class", F.lit(".kt")))).alias("end"))
+    base = F.regexp_extract("path", "([^/]*)$", 1)
+    ends = files.where(F.col("path").rlike(r"\.(java|kt)$")).select("path", F.explode(F.transform(F.sequence(F.lit(1), F.length(base)), lambda i: F.substring(base, i, F.length(base)))).alias("end"))
+    by_name = named.join(ends, "end").select("component", "path").distinct()
+    rest = wanted.join(by_name.select("component").distinct(), "component", "left_anti")
+    declared = files.where(F.col("path").endswith(".java")).select("path", F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(r"class\s+(\w+)\s"), F.lit(1)))).alias("class"))
+    by_class = rest.join(declared, "class").select("component", "path").distinct()
+    few = by_class.withColumn("_r", F.row_number().over(Window.partitionBy("component").orderBy("path"))).where(F.col("_r") <= limit).drop("_r")
+    return by_name.unionByName(few)
+
+
+def body(content: Column, line: Column, end_line: Column) -> Column:
+    """A symbol's own lines."""
+    from ..functions.text import lines_between
+
+    return lines_between(content, line, F.coalesce(end_line, line))
+
+
+def routes(facts: DataFrame) -> DataFrame:
+    """Routes with their methods and handlers, and how many a file has."""
+    w = Window.partitionBy("path")
+    return facts.where("kind = 'route'").select("path", F.col("name").alias("route"), F.col("detail").alias("method"), F.col("owner").alias("handler"), "line", F.count("*").over(w).alias("in_file"))
