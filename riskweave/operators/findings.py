@@ -232,19 +232,27 @@ def dedupe_flows(flows: DataFrame) -> DataFrame:
 def clusters(findings: DataFrame) -> DataFrame:
     """Greedy clusters of a scan: the first free finding gathers those of its file, category or
     directory. The order decides, so a scan is one group (its findings are a report's, not a
-    corpus's); clusters of one are left out."""
+    corpus's), gone through in time proportional to its findings; clusters of one are left out."""
 
     def of(scan, rows):
-        free, out, n = rows, [], 0
-        while free:
-            _, finding, path, category = free[0]
-            home = path.rsplit("/", 1)[0] if "/" in path else None
-            near = [f for f in free[1:] if f[2] == path or f[3] == category or home and f[2].startswith(home + "/") and "/" not in f[2][len(home) + 1 :]]
-            if near:
-                out += [(scan, n, f) for f in (finding, *[x[1] for x in near])]
+        home = lambda path: path.rsplit("/", 1)[0] if "/" in path else ""
+        keys = [(("file", r[2]), ("category", r[3]), ("home", home(r[2]))) for r in rows]
+        near: dict = {}
+        for i, own in enumerate(keys):
+            for k in own:
+                near.setdefault(k, []).append(i)
+        out, n, taken = [], 0, bytearray(len(rows))
+        for i, own in enumerate(keys):
+            if taken[i]:
+                continue
+            taken[i] = 1
+            # whoever looks at a key takes all of it, so each is gone through once
+            found = sorted({j for k in own if k != ("home", "") for j in near.pop(k, ()) if not taken[j]})
+            if found:
+                out += [(scan, n, rows[j][1]) for j in (i, *found)]
                 n += 1
-            taken = {id(f) for f in near}
-            free = [f for f in free[1:] if id(f) not in taken]
+                for j in found:
+                    taken[j] = 1
         return out
 
     rows = findings.select("scan_id", "finding_id", F.coalesce("file_path", F.lit("")).alias("file_path"), F.coalesce("category", F.lit("")).alias("category"))

@@ -12,7 +12,7 @@ from ..operators import planning
 from ..session import table
 from .bindings import DEPENDENCIES, FINDINGS, frame, sql
 from .column_queries import DEPENDENCY_RISK_SQL, dependency_risks
-from .finding_queries import FIND, _sbom, found
+from .finding_queries import FIND, _sbom, found, SBOM_SQL
 from .registry import query
 
 
@@ -134,7 +134,10 @@ def delete_scan(spark, sf_dir):
     return left.agg(F.count("*").alias("n"), F.sum("l_quantity").cast("bigint").alias("quantity"))
 
 
-@query("q321_sbom_export")
+_PURL = "CASE ecosystem " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in sinks.PURL.items()) + " ELSE 'generic' END"
+
+
+@query("q321_sbom_export", f"SELECT CAST(to_json({{'type': 'library', 'name': name, 'version': version, 'purl': 'pkg:' || {_PURL} || '/' || replace(name, ':', '/') || '@' || version, 'scope': CASE WHEN is_dev THEN 'optional' ELSE 'required' END, 'vulnerabilities': vulnerabilities}}) AS VARCHAR) AS component FROM ({SBOM_SQL})")
 def sbom_export(spark, sf_dir):
     return sinks.cyclonedx(_sbom(spark, sf_dir))
 

@@ -139,3 +139,103 @@ def test_imports_of_other_languages(spark):
     assert got[4] == ("lib/sub/y.rb", 1.0, False) and got[5] == ("lib/x.rb", 1.0, False) and got[6] == ("top.rb", 0.6, False)
     assert got[7] == ("com/app", 0.7, False) and got[8] == ("pkg/db", 0.7, False) and got[9] == ("other/db", 0.7, False)
     assert got[11] == ("u/only.py", 0.4, False)
+
+
+def test_clusters_against_brute_force(spark):
+    import random
+
+    r = random.Random(4)
+    rows = [(r.randrange(3), i, r.choice(["a/x.py", "a/y.py", "b/c/z.py", "b/w.py", "top.py", ""]), r.choice(["auth", "xss", "", None, f"k{i}"])) for i in range(150)]
+    want = []
+    for scan in range(3):
+        free, n = [(i, p, c or "") for s, i, p, c in rows if s == scan], 0
+        while free:
+            i, path, category = free[0]
+            home = path.rsplit("/", 1)[0] if "/" in path else None
+            near = [f for f in free[1:] if f[1] == path or f[2] == category or (home and f[1].rsplit("/", 1)[0] == home and "/" in f[1])]
+            if near:
+                want += [(scan, n, x) for x in (i, *[f[0] for f in near])]
+                n += 1
+            free = [f for f in free[1:] if f not in near]
+    got = findings.clusters(spark.createDataFrame(rows, "scan_id long, finding_id long, file_path string, category string")).collect()
+    assert sorted((x.scan_id, x.cluster, x.finding_id) for x in got) == sorted(want)
+
+
+def test_greedy_merge_against_brute_force(spark):
+    import random
+    import re
+
+    r = random.Random(7)
+    names = [c.split()[0] for c in findings.MERGE_SCHEMA.split(", ")]
+    words = ["sql", "query", "input", "user", "unsafe", "call", "path"]
+    rows = []
+    for i in range(120):
+        a = r.randint(1, 300)
+        rows.append((f"i{i:03}", " ".join(r.sample(words, 3)), r.choice(["xss", "sqli"]), r.choice(["high", "low", "critical"]), r.choice(["a.py", "./a.py", "b.py"]), r.choice([None, f"{a}", f"{a}-{a + 4}"]), "h" * r.randint(0, 9), round(r.random(), 2), r.choice(["llm", "scanner", None]), r.choice([[], ["CWE-1"], ["cwe-2", "CWE-3"]]), r.choice([[], ["eval"], [f"s{i}"]]), [], [r.choice(["x", "y"])], []))
+
+    def same(p, q):
+        p, q = dict(zip(names, p)), dict(zip(names, q))
+        span = lambda v: [int(x) for x in re.findall(r"\d+", v or "")]
+        x, y = span(p["line_range"]), span(q["line_range"])
+        if x and y and x[0] <= y[-1] and y[0] <= x[-1]:
+            return True
+        if set(p["cwe_ids"]) & set(q["cwe_ids"]) or set(p["sinks"]) & set(q["sinks"]):
+            return True
+        u, v = set(p["title"].split()), set(q["title"].split())
+        return len(u & v) / len(u | v) >= 0.55
+
+    order = sorted(rows, key=lambda x: (-{"critical": 5, "high": 4, "low": 2}[x[3]], -x[7], x[1], x[0]))
+    kept = []
+    for x in order:
+        home = lambda y: (y[4].lstrip("./"), y[2])
+        into = next((k for k in kept if home(k[0]) == home(x) and same(k[2], x)), None)
+        if into is None:
+            kept.append([x, [x[0]], list(x)])
+        else:
+            into[1].append(x[0])
+            for k in ("cwe_ids", "sinks"):
+                at = names.index(k)
+                into[2][at] = into[2][at] + [v for v in x[at] if v.lower() not in {w.lower() for w in into[2][at]}]
+    got = {g.finding_id: list(g.merged_ids) for g in findings.greedy_merge(spark.createDataFrame(rows, findings.MERGE_SCHEMA)).collect()}
+    assert got == {k[0][0]: k[1] for k in kept}
+
+
+def test_merge_by_key_is_whole_and_stable(spark):
+    rows = [(2, "k", "high", "Beta", 0.5, "llm", "long text"), (1, "k", "high", "Alpha", 0.5, " Scanner", "short"), (3, "k", "low", "beta ", 0.9, None, None), (4, "q", None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "finding_id long, canonical_key string, severity string, title string, confidence double, provenance string, hypothesis string")
+    for n in (1, 5):
+        got = {x.canonical_key: x for x in findings.merge_by_key(df.repartition(n), ["canonical_key"]).collect()}
+        x = got["k"]
+        assert (x.severity, x.title, x.confidence, x.hypothesis, x.merged_count, x.provenance) == ("high", "Alpha", 0.9, "long text", 2, "hybrid")
+        assert (got["q"].merged_count, got["q"].provenance) == (0, "llm")
+
+
+def test_reads_on_empty_tables_and_nulls(spark):
+    from riskweave.operators import reads
+
+    found = spark.createDataFrame([(1, None, None, None)], "finding_id long, title string, description string, code_snippet string")
+    links = spark.createDataFrame([], "finding_id long, file_id long")
+    files = spark.createDataFrame([(7, None)], "file_id long, path string")
+    assert reads.findings_of_file(found, links, files, "a.py").count() == 0
+    assert reads.with_paths(found, links, files).first().file_paths == []
+    assert reads.by_title(found, spark.createDataFrame([("x",)], "query string")).count() == 0
+    deps = spark.createDataFrame([(1, "requests", "pypi", None), (2, "", "pypi", 1.0)], "id long, package string, ecosystem string, risk_score double")
+    imports = spark.createDataFrame([("a.py", "requests.api", True), ("b.py", None, True)], "file string, import_module string, is_external boolean")
+    texts = spark.createDataFrame([("a.py", None), ("c.py", "x = 1\nfrom requests import get"), ("d.py", ""), ("e.py", None)], "path string, content string")
+    got = [(x.file, x.id, x.source) for x in reads.dependencies_of_files(deps, imports, texts).collect()]
+    assert sorted(got) == [("a.py", 1, "import_graph"), ("c.py", 1, "text_fallback")]
+    assert reads.dependencies_of_files(deps.limit(0), imports, texts).count() == 0
+
+
+def test_a_table_is_not_written_over_what_it_reads(spark, tmp_path):
+    import pytest
+
+    from riskweave import sinks
+
+    path = str(tmp_path / "t")
+    sinks.write_report(spark.range(5).toDF("x"), path)
+    again = spark.read.parquet(path)
+    with pytest.raises(ValueError):
+        sinks.write_json(again, path)
+    sinks.write_json(again, str(tmp_path / "u"))
+    assert spark.read.json(str(tmp_path / "u")).count() == 5 and spark.read.parquet(path).count() == 5
