@@ -108,3 +108,47 @@ def test_hostile_markup_takes_time_in_proportion():
     for page in ("<a " * 300_000, '<a ">" ' * 100_000, "<a \"'>' " * 100_000, "<" * 500_000 + ">", "<!" * 300_000, '<a "' * 200_000 + ">", "<b class" + " " * 500_000 + ">x", "<nav><p>x" * 50_000, "<div>" * 100_000 + "</nav>" * 100_000):
         H.main_text(page)
     assert time.process_time() - start < 20
+
+
+def test_query_against_another_parser(spark, sf):
+    """The pages of the table mark their article; the standard library's parser reads its blocks."""
+    from html.parser import HTMLParser
+
+    from riskweave.llm import queries
+
+    class Article(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.depth, self.parts, self.found = 0, [], []
+
+        def block(self):
+            text = " ".join("".join(self.parts).split())
+            self.parts = []
+            if text and self.depth:
+                self.found.append(text)
+
+        def handle_starttag(self, tag, attrs):
+            if tag in ("p", "h1", "h2", "h3", "li", "ul", "article", "div"):
+                self.block()
+            self.depth += tag == "article"
+            if tag == "br":
+                self.parts.append(" ")
+
+        def handle_endtag(self, tag):
+            if tag in ("p", "h1", "h2", "h3", "li", "ul", "article", "div"):
+                self.block()
+            self.depth -= tag == "article"
+
+        def handle_data(self, data):
+            if self.depth:
+                self.parts.append(data)
+
+    got = {x.page_id: x for x in queries.QUERIES["op7_html_text"](spark, sf).collect()}
+    pages = spark.read.parquet(f"{sf}/pages.parquet").collect()
+    assert len(got) == len(pages)
+    for p in pages:
+        parser = Article()
+        parser.feed(p.html or "")
+        parser.close()
+        want = "\n\n".join(parser.found)
+        assert got[p.page_id].text == want and got[p.page_id].n_chars == len(want), p.page_id

@@ -50,3 +50,31 @@ def test_sample_is_bounded(spark):
     df = spark.range(4000).selectExpr("id doc_id", "repeat('the of ', 400) text", "if(id % 10 = 0, 'de', 'en') lang")
     got = L.sample(df, per_lang=50)
     assert 60 < len(got) < 160 and {l for _, l in got} == {"de", "en"} and max(len(t) for t, _ in got) <= L.SNIPPET
+
+
+def test_query_against_an_unrounded_network(spark, sf):
+    from riskweave.llm import queries
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")
+    net = L.train(L.sample(docs))
+    texts = {x.doc_id: x.text for x in docs.collect()}
+    got = {x.doc_id: x for x in queries.QUERIES["op9_language_id"](spark, sf).collect()}
+    assert set(got) == set(texts)
+    same, off = 0, []
+    for i, t in texts.items():
+        assert got[i].held_out == (zlib.crc32(str(i).encode()) % 4 == 2)
+        if not L.has_letter(t):
+            assert (got[i].lang_pred, got[i].score) == ("und", 0.0)
+            continue
+        raw = t.encode()
+        logs = []
+        for a in range(0, len(raw), L.LENGTH):
+            row = np.frombuffer(raw[a : a + L.LENGTH].ljust(L.LENGTH, b"\0"), np.uint8)
+            kept = np.concatenate([np.max(sum(f[k][row[k : L.LENGTH - len(f) + 1 + k]] for k in range(len(f))), axis=0) for f in net.filters])
+            z = np.maximum(kept + net.bias, 0) @ net.out + net.out_bias
+            logs.append(z - z.max() - np.log(np.exp(z - z.max()).sum()))
+        mean = np.mean(logs, axis=0)
+        p = np.exp(mean - mean.max()) / np.exp(mean - mean.max()).sum()
+        same += net.langs[int(p.argmax())] == got[i].lang_pred
+        off.append(abs(float(p.max()) - got[i].score))
+    assert same >= 0.99 * len(off) and np.mean(off) < 0.02

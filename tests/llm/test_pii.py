@@ -159,3 +159,23 @@ def test_clean_texts_gain_nothing(spark):
     df = spark.createDataFrame(list(enumerate(clean + others)), "doc_id long, text string")
     got = {x.doc_id: [s.kind for s in x.spans] for x in P.with_spans(df).collect()}
     assert not any(got[i] for i in range(len(clean))) and sum(map(len, got.values())) > 10
+
+
+def test_query_against_brute_force(spark, sf):
+    import hashlib
+
+    from riskweave.llm import queries
+
+    docs = {x.doc_id: x.text for x in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    found = {i: P.instances(t, brute(t)) for i, t in docs.items()}
+    good = scores([(p, x, seed, out) for rows in found.values() for p, x, seed, out, _, _ in rows])
+    names = (*P.KINDS, "id")
+    written = lambda spans: ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
+    got = {x.doc_id: x for x in queries.QUERIES["op8_pii"](spark, sf).collect()}
+    assert set(got) == set(docs)
+    for i, t in docs.items():
+        base = brute(t)
+        new = {("id", a, b) for p, _, seed, out, a, b in found[i] if not seed and not out and p in good}
+        every = sorted([*base, *new], key=lambda s: (s[1], names.index(s[0]), s[2]))
+        assert got[i].base_sha256 == hashlib.sha256(written(base).encode()).hexdigest() and got[i].spans == written(every)
+        assert [got[i][f"n_{k}"] for k in P.KINDS] == [sum(s[0] == k for s in base) for k in P.KINDS]

@@ -93,3 +93,13 @@ def test_labelled_documents_of_unsure_languages_stay(spark, sf):
     rows = [(i, words_of("en", r.randint(20, 200), r), ["en", "sco"][i % 2]) for i in range(600)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     assert corpus_pipeline.language(spark, df, sf).count() >= 590
+
+
+def test_stages_keep_columns_of_any_name(spark, sf):
+    names = ["found", "more", "key", "_key", "base", "leaks", "_name", "row", "lang_pred", "ids", "_uid"]
+    rows = [(i, f"the of and to in {w} mail a{i}@b.co", "en", "s", 30, *[f"{n}{i}" for n in names]) for i, w in enumerate(["red fox runs", "old stone wall", "large copper pot"])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` string" for n in names))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, df, sf)
+        assert out.columns == df.columns
+        assert {(x.doc_id, *[x[n] for n in names]) for x in out.collect()} == {(i, *[f"{n}{i}" for n in names]) for i in range(3)}, name

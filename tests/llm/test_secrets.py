@@ -96,3 +96,32 @@ def test_candidates_outside_runs_of_spans(spark):
             else:
                 joined.append([a, b])
         assert out == [m for m in cands if not any(a <= m[0] and b >= m[1] for a, b in joined)]
+
+
+def test_query_against_brute_force(spark, sf):
+    import hashlib
+
+    from riskweave.llm import queries
+
+    docs = {x.doc_id: x.text or "" for x in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+
+    def secret(v):
+        kinds = sum(bool(re.search(p, v)) for p in ("[a-z]", "[A-Z]", "[0-9]"))
+        least = S.HEX_BITS if re.fullmatch("[0-9a-f]+|[0-9A-F]+", v) else S.THREE_BITS if kinds > 2 else S.MIXED_BITS if re.search(S.MIXED, v) else S.TWO_BITS
+        return bool(re.search("[0-9]", v)) and not any(re.search(p, v) for p in S.ALLOWED) and entropy(v) >= least - 1e-9
+
+    written = lambda spans: ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
+    names = (*S.KINDS, "entropy")
+    got = {x.doc_id: x for x in queries.QUERIES["op3_secrets"](spark, sf).collect()}
+    assert set(got) == set(docs)
+    for i, t in docs.items():
+        base, joined = brute(t), []
+        for _, a, b in base:
+            if joined and a <= joined[-1][1]:
+                joined[-1][1] = max(b, joined[-1][1])
+            else:
+                joined.append([a, b])
+        runs = [(m.start(), m.end()) for m in re.finditer(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}", t)]
+        new = [("entropy", a, b) for a, b in runs if not any(p <= a and q >= b for p, q in joined) and secret(t[a:b])]
+        every = sorted([*base, *new], key=lambda s: (s[1], names.index(s[0]), s[2]))
+        assert got[i].base_sha256 == hashlib.sha256(written(base).encode()).hexdigest() and got[i].spans == written(every), i
