@@ -83,6 +83,17 @@ def merge_by_key(findings: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+def duplicates(a: str, b: str) -> Column:
+    """Are two findings of one place probably one: do their lines overlap, do they share a weakness, or
+    most words of their titles? a and b name the sides of a join."""
+    span = lambda side: text.line_range(F.col(f"{side}.line_range"))
+    x, y = span(a), span(b)
+    near = text.ranges_overlap(x["start"], x["end"], y["start"], y["end"])
+    weak = F.arrays_overlap(F.col(f"{a}.cwe_ids"), F.col(f"{b}.cwe_ids"))
+    alike = text.jaccard(text.tokens(F.col(f"{a}.title")), text.tokens(F.col(f"{b}.title"))) >= 0.55
+    return F.coalesce(near, F.lit(False)) | F.coalesce(weak, F.lit(False)) | alike
+
+
 #: What the greedy merge reads of a finding; lists and texts may be null.
 MERGE_SCHEMA = "finding_id string, title string, category string, severity string, file_path string, line_range string, hypothesis string, confidence double, provenance string, cwe_ids array<string>, sinks array<string>, input_sources array<string>, source_scanners array<string>, source_rules array<string>"
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -25,6 +25,14 @@ def compaction(window: Column) -> Column:
     return F.struct(F.greatest(F.lit(2000), F.floor(window * 0.3)).cast("int").alias("threshold"), F.greatest(F.lit(1000), F.floor(window * 0.15)).cast("int").alias("target"))
 
 
+def kept_observations(observations: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """The newest observations that stay beside a summary: one for each 30,000 tokens of the model's
+    window, two at least and eight at most."""
+    many = F.least(F.lit(8), F.greatest(F.lit(2), F.floor(F.col("window") / 30000)))
+    newest = Window.partitionBy(*keys).orderBy(F.desc(order))
+    return observations.withColumn("_n", F.row_number().over(newest)).where(F.col("_n") <= many).drop("_n")
+
+
 def context_size(parts: DataFrame, text_col: str, *keys: str) -> DataFrame:
     return parts.groupBy(*keys).agg(F.sum(text.estimate_tokens(F.col(text_col))).alias("tokens"))
 

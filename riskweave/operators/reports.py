@@ -34,6 +34,12 @@ def export_order() -> list[Column]:
     return [rank, F.desc(F.coalesce("confidence", F.lit(0.0)))]
 
 
+def export_rows(findings: DataFrame) -> DataFrame:
+    """Live findings with their place in their scan's export."""
+    order = Window.partitionBy("scan_id").orderBy(*export_order(), "finding_id")
+    return findings.where(F.coalesce("status", F.lit("")) != "dismissed").withColumn("place", F.row_number().over(order))
+
+
 def run_rows(runs: DataFrame) -> DataFrame:
     """The runs of each scan with their place in an export: failed, degraded, completed, skipped, others."""
     order = Window.partitionBy("scan_id").orderBy(lookup(F.col("status"), RUN_ORDER, 9), F.lower(F.coalesce("scanner", F.lit(""))), "scanner")

@@ -150,6 +150,17 @@ def touchpoints(imports: DataFrame) -> DataFrame:
     return out.where("module <> ''")
 
 
+# Words of paths and imports, and what they have to do with.
+TOUCHPOINTS = {"auth": "auth", "login": "auth", "oauth": "auth", "jwt": "auth", "session": "auth", "permission": "authorization", "role": "authorization", "middleware": "middleware", "guard": "middleware", "config": "config", "settings": "config", "env": "config", "secret": "secrets", "credential": "secrets"}
+
+
+def security_touchpoints(facts: DataFrame) -> DataFrame:
+    """(path, labels) of files whose path or imported modules hold one of the words, labels in order."""
+    said = F.lower(F.concat_ws("\n", "path", F.when(F.col("kind") == "import", F.col("name"))))
+    labels = F.array_compact(F.array(*[F.when(said.contains(w), F.lit(label)) for w, label in TOUCHPOINTS.items()]))
+    return facts.select("path", F.explode(labels).alias("label")).groupBy("path").agg(F.sort_array(F.collect_set("label")).alias("labels"))
+
+
 def coverage_status(runs: DataFrame) -> DataFrame:
     """Scanner runs with their status: failed, degraded where there were errors, else completed."""
     return runs.withColumn("status", F.when(~F.col("success"), "failed").when(F.size("errors") > 0, "degraded").otherwise("completed"))

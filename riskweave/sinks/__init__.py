@@ -35,9 +35,10 @@ def _apart(df: DataFrame, path: str) -> None:
         raise ValueError(f"{path} is read by what is written to it")
 
 
-def write_json(df: DataFrame, path: str, compressed: bool = False) -> None:
+def write_json(df: DataFrame, path: str, compressed: bool = False, by: tuple[str, ...] = ()) -> None:
     _apart(df, path)
-    df.write.mode("overwrite").option("compression", "gzip" if compressed else "none").json(path)
+    writer = df.write.mode("overwrite").option("compression", "gzip" if compressed else "none")
+    (writer.partitionBy(*by) if by else writer).json(path)
 
 
 def write_report(df: DataFrame, path: str, *by: str) -> None:
@@ -52,7 +53,7 @@ def round_trip(df: DataFrame, kind: str, *by: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/artifact-{uuid.uuid4().hex}"
     if kind == "json":
-        write_json(df, path, compressed=True)
+        write_json(df, path, compressed=True, by=by)
     else:
         write_report(df, path, *by)
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -145,3 +145,14 @@ def enrichment_rows(payloads: DataFrame) -> DataFrame:
     entry = f"struct<vulnerable_functions:array<string>,vulnerable_symbols:array<{SYMBOL}>,sources:array<string>>"
     parsed = F.from_json("payload", f"struct<advisories:map<string,{entry}>>")
     return payloads.select(F.explode(parsed["advisories"]).alias("id", "e")).where("e is not null").select("id", "e.*")
+
+
+def parsed(payloads: DataFrame, schema: str) -> DataFrame:
+    """JSON texts (payload) as rows of a schema; those that do not parse give no row."""
+    read = F.from_json("payload", schema + ", _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"})
+    return payloads.select(read.alias("r")).where("r._corrupt is null and r is not null").select("r.*").drop("_corrupt")
+
+
+def version_of(texts: DataFrame) -> DataFrame:
+    """The version that a stamp file (value) holds: its first line, trimmed."""
+    return texts.select(F.trim(F.substring_index("value", "\n", 1)).alias("version"))

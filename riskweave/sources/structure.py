@@ -41,6 +41,8 @@ _go = {"import": r"(?m)^\s*(?:import\s+)?(?:\w+\s+)?\"([\w./-]+)\"\s*$", "class"
 _rust = {"import": r"(?m)^\s*(?:pub\s+)?use\s+([\w:]+)", "class": r"\b(?:struct|enum|trait)\s+(\w+)", "function": r"\bfn\s+(\w+)\s*[<(]"}
 _ruby = {"import": r"(?m)^\s*require(?:_relative)?\s+['\"]([^'\"]+)['\"]", "class": r"(?m)^\s*(?:class|module)\s+(\w+)", "function": r"(?m)^\s*def\s+(?:self\.)?(\w+[!?]?)"}
 RULES = {"javascript": _js, "typescript": _js, "java": _java, "kotlin": _java, "php": _php, "go": _go, "rust": _rust, "ruby": _ruby}
+#: Words that declare a function, also before the parenthesis of what it belongs to.
+DECLARING = frozenset("func fun fn".split())
 _call = re.compile(r"(?:(\$?\w+)\s*(?:\.|::|->)\s*)?(\w+)\s*\(")
 
 
@@ -108,7 +110,7 @@ def pattern_facts(content: str, language: str):
     for i, (pos, name) in enumerate(functions):
         yield "function", name, None, None, at(pos), at(starts[i + 1]) - 1 if i + 1 < len(functions) else len(ends) + 1
     for m in _call.finditer(content) if rules else ():
-        if m[2] not in NO_CALLS and not re.search(r"(?:function|func|fn|fun|def|class)\s+$", content[max(0, m.start(2) - 12) : m.start(2)]):
+        if m[2] not in NO_CALLS and m[2] not in DECLARING and not re.search(r"(?:function|func|fn|fun|def|class)\s+$", content[max(0, m.start(2) - 12) : m.start(2)]):
             i = bisect_left(starts, m.start(2) + 1) - 1
             if i < 0 or functions[i][1] != m[2] or at(starts[i]) != at(m.start(2)):
                 yield "call", m[2], m[1], functions[i][1] if i >= 0 else None, at(m.start(2)), None
