@@ -91,8 +91,9 @@ def listed_forms(listed: DataFrame, column: str) -> DataFrame:
 
 
 def salted(df: DataFrame, key: str, *more: str) -> DataFrame:
-    """The rows once for each salt."""
-    return df.select(key, *more, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    """The rows once for each salt, for a merge join: the plan's size of them is that before they are
+    repeated, by which they would be broadcast."""
+    return df.select(key, *more, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")).hint("merge")
 
 
 def judge(df: DataFrame, listed: DataFrame, rules: list[tuple[str, str, str]], url_col: str = "url", listed_col: str = "form") -> DataFrame:
@@ -115,7 +116,7 @@ def judge(df: DataFrame, listed: DataFrame, rules: list[tuple[str, str, str]], u
     row = F.monotonically_increasing_id()
     out = df.withColumn(salt, F.pmod(row, F.lit(SALTS)).cast("int"))
     out = out.withColumn(link, F.when(F.col("rule").isNull() & (F.col("host") != ""), F.col(url_col)).otherwise(F.concat(F.lit("\n"), row.cast("string"))))
-    own = salted(hits, "url").select(F.col("url").alias(link), F.col("salt").alias(salt), F.lit(True).alias(hit))
+    own = salted(hits, "url").select(F.col("url").alias(link), F.col("salt").alias(salt), F.lit(True).alias(hit)).hint("merge")
     out = out.join(own, [link, salt], "left")
     method = F.when(F.col(hit), "block").otherwise("allow")
     return out.select(*[c for c in df.columns if c != "verdict"], F.coalesce("verdict", method).alias("verdict"))
