@@ -241,7 +241,7 @@ def parse(path: str, content: str | None) -> list[tuple[str, str, object, bool]]
         return []
     try:
         return [(ecosystem, n, v, d) for n, v, d in parser(content)]
-    except (ValueError, TypeError, AttributeError, KeyError, SyntaxError, ImportError, ET.ParseError, configparser.Error):
+    except (ValueError, TypeError, AttributeError, KeyError, SyntaxError, ImportError, RecursionError, ET.ParseError, configparser.Error):
         return []
     except Exception as e:  # a YAML library's own errors
         if type(e).__module__.startswith("yaml"):
@@ -316,7 +316,7 @@ def declared(files: DataFrame) -> DataFrame:
                 ecosystem, names = DECLARING.get(path.rsplit("/", 1)[-1], (None, None))
                 try:
                     rows += [(path, ecosystem, str(n)) for n in names(content or "")] if names else []
-                except (ValueError, TypeError, AttributeError):
+                except (ValueError, TypeError, AttributeError, RecursionError):
                     continue
                 except Exception as e:  # a YAML library's own errors
                     if not type(e).__module__.startswith("yaml"):

@@ -24,7 +24,7 @@ def read(files: DataFrame) -> DataFrame:
             for path, content in zip(f["path"], f["content"], strict=True):
                 try:
                     found = (yaml.safe_load(content or "") or {}).get("rules") or []
-                except (yaml.YAMLError, AttributeError):
+                except (yaml.YAMLError, AttributeError, RecursionError):
                     found = []
                 for r in found:
                     if isinstance(r, dict):

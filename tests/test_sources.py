@@ -106,3 +106,44 @@ def test_repository(spark, tmp_path):
     assert {r.framework for r in repo.frameworks(files, found).collect()} == {"flask"}
     assert [r.name for r in repo.listing(files, "").collect()] == ["packages", "app.py", "config.py", "requirements.txt", "server.js"]
     assert [(r.path, r.kind) for r in repo.workspaces(files).collect()] == [("packages/a", "convention")]
+
+
+def test_malformed_and_empty_manifests_give_no_rows():
+    from riskweave.sources import manifests as M
+
+    for name in (*M.FORMATS, "x/App.csproj"):
+        for content in ("", None, "{", "[", "<a", "\x00", "null", "[]", "a:[", '{"dependencies":3}', "[[package]]", "<project/>", "require(", "setup(", "{" * 500):
+            assert [r for r in M.parse(name, content) if r[1] and r[2]] == [], (name, content)
+
+
+def test_nested_and_inherited_entries():
+    from riskweave.sources import manifests as M
+
+    lock = '{"dependencies":{"a":{"version":"1.0.0","dev":true,"dependencies":{"b":{"version":"2.0.0"}}},"c":{"version":"3.0.0"}}}'
+    assert sorted((n, v, bool(d)) for _, n, v, d in M.parse("package-lock.json", lock)) == [("a", "1.0.0", True), ("b", "2.0.0", True), ("c", "3.0.0", False)]
+
+
+def test_malformed_reports_give_no_hits(spark):
+    from riskweave.sources import scanners
+
+    texts = ["", "{", "null", "[]", "{}", '{"results": null}', '{"runs": [{}]}', '{"runs": [{"results": [{}]}]}', None]
+    df = spark.createDataFrame([(t,) for t in texts], "report string")
+    for reader in (scanners.semgrep, scanners.bandit, scanners.eslint):
+        assert reader(df).where("coalesce(rule_id, '') <> '' and rule_id <> 'parse-error'").count() == 0
+    assert scanners.sarif(df).where("file_path <> ''").count() == 0
+
+
+def test_declared_names_of_broken_manifests(spark):
+    from riskweave.sources import manifests as M
+
+    rows = [(f"m/{name}", c) for name in M.DECLARING for c in ("", None, "{", "[x", "a: [", "null", "3")]
+    assert M.declared(spark.createDataFrame(rows, "path string, content string")).count() == 0
+
+
+def test_mined_symbols_on_edges(spark):
+    from riskweave.sources import advisories
+
+    df = spark.createDataFrame([(1, None, None), (2, "", "`x`" * 3), (3, "method `Open`", "é `Naïve.call()` é")], "id int, summary string, details string")
+    assert [(x.id, x.symbol) for x in advisories.text_symbols(df).collect()] == []
+    broken = spark.createDataFrame([(1, None)], f"id int, specific {advisories.SPECIFIC}")
+    assert advisories.structured_symbols(broken).count() == 0
