@@ -315,7 +315,9 @@ def kept(page: Page, gone: list[bool], window: int = WINDOW, surge: int = SURGE)
         if w >= SHARE * max(weight) or marked and lines[a][2]:
             chosen[a:b] = size[a:b]
     inside = innermost(lines, page.holder, chosen)
-    return [x[0] for x, n, c in zip(lines, size, chosen, strict=True) if c or n and (x[3] in inside or marked and x[2])], True
+    # between the first and the last of them, lines of links belong to the article, too
+    at = [i for i, c in enumerate(chosen) if c]
+    return [x[0] for i, (x, n) in enumerate(zip(lines, size, strict=True)) if chosen[i] or (n or x[0] and at[0] < i < at[-1]) and (x[3] in inside or marked and x[2])], True
 
 
 def main_text(page: str | None) -> str:

@@ -152,3 +152,9 @@ def test_query_against_another_parser(spark, sf):
         parser.close()
         want = "\n\n".join(parser.found)
         assert got[p.page_id].text == want and got[p.page_id].n_chars == len(want), p.page_id
+
+
+def test_links_between_the_paragraphs_of_an_unmarked_article():
+    one = " ".join(LONG.split())
+    page = f'<body><ul><li><a href="/1">Menu</a></li></ul><div class=post><p>{LONG}</p><p><a href="/2">See this one</a></p><p>{LONG}</p><p><a href="/3">More</a></p></div>'
+    assert H.main_text(page) == "\n\n".join([one, "See this one", one])
