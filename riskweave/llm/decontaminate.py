@@ -12,7 +12,8 @@ them, is its coverage.
 The benchmark is the query set. It is read in blocks of at most BLOCK_WORDS words, whatever its
 size; each block's index is broadcast (that bound proves its size) and each adds its findings to
 the documents in a pass without a shuffle, so a passage that is in very many documents makes no
-hot key.
+hot key. After AT_ONCE blocks the rows are written and their indexes go, so memory does not grow
+with the benchmark.
 
 Words are lower-cased runs of ASCII letters and digits and of characters beyond ASCII. Defined
 cases: null and empty texts hold no leak; an item of fewer than 5 words is too short to prove one
@@ -32,7 +33,7 @@ from pyspark.sql import types as T
 from . import common
 from . import wordhash as W
 
-MIN_MATCH, COVERAGE, BLOCK_WORDS = 5, 0.6, 1 << 20
+MIN_MATCH, COVERAGE, BLOCK_WORDS, AT_ONCE = 5, 0.6, 1 << 20, 8
 
 
 def leaks_field(name: str, item_type: T.DataType) -> T.StructField:
@@ -183,9 +184,15 @@ def _leaks(df: DataFrame, benchmark: DataFrame, name: str, text_col: str, item_c
     """Adds what each text leaks under a free name."""
     field = leaks_field(name, benchmark.schema[item_col].dataType)
     kind = common._arrow([field])[0].type
-    found = None
+    found, held = None, []
     for items in blocks(benchmark, item_col, item_text, block_words):
+        if len(held) == AT_ONCE:
+            found = common.written(found)
+            for old in held:
+                old.unpersist()
+            held = []
         sent = df.sparkSession.sparkContext.broadcast(Index(items))
+        held.append(sent)
 
         def run(texts, sent=sent):
             return [pa.array(sent.value.leaks(texts, coverage), kind)]

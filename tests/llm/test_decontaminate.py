@@ -96,3 +96,13 @@ def test_ids_of_other_types_and_clashing_names(spark):
         assert got == {0: ["item-0"], 1: ["item-1"], 9: []}
         kept = D.clean(df, bench, block_words=block).collect()
         assert [(x.doc_id, x.leaks, x.more, x._leaks) for x in kept] == [(9, ["x"], "m", "n")]
+
+
+def test_many_blocks_are_written_between(spark, monkeypatch):
+    r = random.Random(8)
+    items = [(i, " ".join(f"w{r.randrange(10**6)}" for _ in range(20))) for i in range(12)]
+    df = spark.createDataFrame([(i, f"x {t} y") for i, t in items] + [(99, "none of that")], "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    monkeypatch.setattr(D, "AT_ONCE", 3)
+    got = {x.doc_id: [y.item_id for y in x.leaks] for x in D.with_leaks(df, bench, block_words=20).collect()}
+    assert got == {i: [i] for i, _ in items} | {99: []}
