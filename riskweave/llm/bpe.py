@@ -215,7 +215,7 @@ def _encode_long(df: DataFrame, vocabulary: Vocabulary, text_col: str, with_byte
 
 def decode(df: DataFrame, vocabulary: Vocabulary, ids_col: str = "ids") -> DataFrame:
     """Adds ``decoded``: the bytes of the ids, concatenated (null ids: none)."""
-    df = df.drop(*[c for c in ("decoded",) if c in df.columns])
+    df = df.drop(*[c for c in df.columns if c.lower() == DECODED.name])
 
     def run(batches):
         _, _, names = vocabulary.codec()

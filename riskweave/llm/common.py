@@ -66,10 +66,10 @@ def steps(batch: pa.RecordBatch, size_of: str | None = None) -> Iterator[pa.Reco
 def with_columns(df: DataFrame, fields: list[T.StructField], fn: Callable, text_col: str) -> DataFrame:
     """Adds fields computed from a text column by fn(list of str or None) -> a list of Arrow-able
     lists, one for each field. A field replaces an input column of the same name."""
-    names = {f.name for f in fields}
-    if text_col in names:
+    names = {f.name.lower() for f in fields}
+    if text_col.lower() in names:
         raise ValueError(f"{text_col} is both input and output")
-    df = df.drop(*[c for c in df.columns if c in names])
+    df = df.drop(*[c for c in df.columns if c.lower() in names])
     schema = T.StructType([*df.schema.fields, *fields])
     arrow = _arrow(fields)
 

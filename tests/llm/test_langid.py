@@ -78,3 +78,8 @@ def test_query_against_an_unrounded_network(spark, sf):
         same += net.langs[int(p.argmax())] == got[i].lang_pred
         off.append(abs(float(p.max()) - got[i].score))
     assert same >= 0.99 * len(off) and np.mean(off) < 0.02
+
+
+def test_outputs_replace_columns_in_any_case(spark):
+    df = spark.createDataFrame([(1, "the of and", "en", "x", "y")], "doc_id long, text string, lang string, Lang_Pred string, SCORE string")
+    assert L.identify(df).columns == ["doc_id", "text", "lang", "lang_pred", "score"]
