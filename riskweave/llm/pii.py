@@ -210,23 +210,40 @@ def _in_order(spans) -> list[dict]:
     return [{"kind": names[k], "start": a, "end": b} for a, k, b in sorted((s["start"], names.index(s["kind"]), s["end"]) for s in spans)]
 
 
-def _by_broadcast(rows: DataFrame, good: DataFrame, base: str, found: str, spans: str) -> DataFrame:
-    """Adds all spans, each row by its own instances."""
-    sent = rows.sparkSession.sparkContext.broadcast(frozenset(r.pattern for r in good.select("pattern").collect()))
-    at, where = rows.columns.index(base), rows.columns.index(found)
+def _in_rows(rows: DataFrame, known: frozenset, base: str, found: str, spans: str, mask: str | None) -> DataFrame:
+    """Adds all spans, each row by its own instances; or with mask, masks them in that column, in the
+    same pass."""
+    sent = rows.sparkSession.sparkContext.broadcast(known)
+    rows = rows if known else rows.drop(found)
+    at, where = rows.columns.index(base), rows.columns.index(found) if known else None
     field = T.StructField(spans, T.ArrayType(SPAN, False), False)
     kind = common._arrow([field])
 
+    def every(part):
+        own = part.column(at).to_pylist()
+        some = part.column(where).to_pylist() if known else [()] * len(own)
+        for x, y in zip(own, some, strict=True):
+            new = {(f["start"], f["end"]) for f in y if not f["seed"] and not f["refuted"] and f["pattern"] in sent.value}
+            yield _in_order([*x, *({"kind": "id", "start": a, "end": b} for a, b in new)])
+
     def run(batches):
         for batch in batches:
-            for part in common.steps(batch):
-                out = []
-                for own, some in zip(part.column(at).to_pylist(), part.column(where).to_pylist(), strict=True):
-                    new = {(f["start"], f["end"]) for f in some if not f["seed"] and not f["refuted"] and f["pattern"] in sent.value}
-                    out.append(_in_order([*own, *({"kind": "id", "start": a, "end": b} for a, b in new)]))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, kind[0].type)], schema=pa.schema([*part.schema, *kind]))
+            for part in common.steps(batch, mask):
+                if mask is None:
+                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(list(every(part)), kind[0].type)], schema=pa.schema([*part.schema, *kind]))
+                else:
+                    yield _mask(part, mask, every(part))
+
+    return rows.mapInArrow(run, rows.schema if mask else T.StructType([*rows.schema.fields, field]))
 
-    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, field]))
+
+def _mask(part: pa.RecordBatch, text_col: str, spans) -> pa.RecordBatch:
+    """A batch with the spans of each row masked in its text."""
+    at = part.schema.get_field_index(text_col)
+    texts = [x if x is None or not s else masked(x, [(y["kind"], y["start"], y["end"]) for y in s]) for x, s in zip(part.column(at).to_pylist(), spans, strict=True)]
+    columns = [*part.columns]
+    columns[at] = pa.array(texts, pa.string())
+    return pa.RecordBatch.from_arrays(columns, names=part.schema.names)
 
 
 def _by_join(rows: DataFrame, good: DataFrame, key: str, base: str, found: str, spans: str) -> DataFrame:
@@ -242,21 +259,31 @@ def _by_join(rows: DataFrame, good: DataFrame, key: str, base: str, found: str,
     return rows.join(new, key, "left").withColumn(spans, plain).drop(more)
 
 
-def _spans(df: DataFrame, id_col: str, text_col: str, keep_text: bool, base: str, spans: str) -> DataFrame:
-    """Adds the base spans and all spans under free names."""
+def _spans(df: DataFrame, id_col: str, text_col: str, keep_text: bool, base: str, spans: str, mask: bool = False) -> DataFrame:
+    """Adds the base spans and all spans under free names; with mask, masks the text instead."""
     key, found = common.free(df, "key", "found")
     rows = extract(df.withColumn(key, common.row_key(id_col, text_col)), text_col, base, found)
     rows = common.written(rows if keep_text else rows.drop(text_col))
     some = rows.where(F.size(found) > 0).select(F.explode(found).alias("f")).select("f.*")
     good = confident(some.select("pattern", "instance", "seed", "refuted"))
+    # patterns in which there is nothing to discover need no look at any row
+    good = common.written(good.join(some.where("not seed and not refuted").select("pattern").distinct(), "pattern", "left_semi"))
     size = good.agg(F.count("*").alias("n"), F.sum(F.length("pattern")).alias("chars")).first()
-    if not size.n:
-        out = rows.withColumn(spans, F.col(base))
-    elif size.n <= MOST_PATTERNS and size.chars <= MOST_CHARS:
-        out = _by_broadcast(rows, good, base, found, spans)
-    else:
-        out = _by_join(rows, good, key, base, found, spans)
-    return out.drop(key, found)
+    if size.n <= MOST_PATTERNS and (size.chars or 0) <= MOST_CHARS:
+        if not size.n and not mask:
+            return rows.withColumn(spans, F.col(base)).drop(key, found)
+        known = frozenset(r.pattern for r in good.select("pattern").collect()) if size.n else frozenset()
+        return _in_rows(rows.drop(key), known, base, found, spans, text_col if mask else None).drop(found)
+    out = _by_join(rows, good, key, base, found, spans).drop(key, found)
+    if not mask:
+        return out
+
+    def run(batches):
+        for batch in batches:
+            for part in common.steps(batch, text_col):
+                yield _mask(part, text_col, part.column(part.schema.get_field_index(spans)).to_pylist())
+
+    return out.mapInArrow(run, out.schema)
 
 
 def with_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True) -> DataFrame:
@@ -278,16 +305,4 @@ def masked(text: str, spans: list[tuple[str, int, int]]) -> str:
 def redact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows with all spans masked in the text; all columns stay, whatever their names."""
     base, spans = common.free(df, "base", "spans")
-    found = _spans(df, id_col, text_col, True, base, spans)
-    at, where, schema = found.columns.index(text_col), found.columns.index(spans), found.schema
-
-    def run(batches):
-        for batch in batches:
-            for part in common.steps(batch, text_col):
-                marks = part.column(where).to_pylist()
-                texts = [x if x is None or not s else masked(x, [(y["kind"], y["start"], y["end"]) for y in s]) for x, s in zip(part.column(at).to_pylist(), marks, strict=True)]
-                columns = [*part.columns]
-                columns[at] = pa.array(texts, pa.string())
-                yield pa.RecordBatch.from_arrays(columns, names=part.schema.names)
-
-    return found.mapInArrow(run, schema).select(*df.columns)
+    return _spans(df, id_col, text_col, True, base, spans, mask=True).select(*df.columns)
