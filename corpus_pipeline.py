@@ -19,15 +19,22 @@ from riskweave.session import table
 #: A document is rejected if no language is found in it, or none with enough certainty. Enough is what
 #: all but LOSS of the labelled documents that the network has not learnt from reach, and at most
 #: CERTAINTY of the way from chance (1 / languages, the least that the likeliest can score) to 1.
-LOSS, CERTAINTY = 0.001, 0.75
+LOSS, CERTAINTY, STEPS = 0.001, 0.75, 10_000
 
 
 def least_score(docs: DataFrame, network: langid.Network) -> float:
     known = langid.predict(docs.where(F.col("lang").isNotNull() & langid.held_out()).select("text"), network)
-    reached = known.where(F.col("lang_pred") != langid.UNKNOWN).agg(F.percentile_approx("score", LOSS, 10000)).first()[0]
+    # counts of scores in steps of 1/STEPS, which is all that comes here: the same whatever the tasks' order
+    rows = known.where(F.col("lang_pred") != langid.UNKNOWN).groupBy(F.floor(F.col("score") * STEPS).alias("step")).count().collect()
+    counts, seen = sorted((r["step"], r["count"]) for r in rows), 0
     chance = 1 / max(1, len(network.langs))
-    most = chance + (1 - chance) * CERTAINTY
-    return most if reached is None else min(most, reached)
+    least = chance + (1 - chance) * CERTAINTY
+    total = sum(n for _, n in counts)
+    for step, n in counts:
+        seen += n
+        if seen > LOSS * total:
+            return min(least, step / STEPS)
+    return least
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
