@@ -3,8 +3,8 @@
 Bytes of a text stand in windows of 256. Filters of widths 2, 3 and 4 slide over a window, the
 largest response of each is kept, and a softmax over the kept responses gives the window's
 language; a text's is that of its windows' mean log-probabilities, over the whole text. It is
-trained in numpy, on the driver, on at most PER_LANG texts of each language (chosen by a hash of
-the id) and SNIPPET code points of each: a bound fixed by parameter, whatever the table's size.
+trained in numpy, on the driver, on about PER_LANG different texts of each language, twice as many
+at most (chosen by a hash of id and text) and SNIPPET code points of each: a bound fixed by parameter, whatever the table's size.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; so is every text
 where nothing is labelled. Of equally likely languages the first in the alphabet is predicted. Equal texts get equal predictions; repeated rows each give a row. All
@@ -161,13 +161,14 @@ def held_out(id_col: str = "doc_id"):
 
 
 def sample(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = PER_LANG) -> list[tuple[str, str]]:
-    """About per_lang labelled texts of each language, and never more than twice that in all."""
+    """About per_lang different labelled texts of each language, and never more than twice that of one.
+    Rows that repeat an id and text count once, so they crowd out neither other rows nor a language."""
     labelled = df.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(id_col))
-    counts = {r[lang_col]: r["count"] for r in labelled.groupBy(lang_col).count().collect()}
+    luck = F.pmod(F.xxhash64(F.lit("sample"), F.col(id_col), F.col(text_col)), F.lit(2**30))
+    counts = {r[lang_col]: r["n"] for r in labelled.groupBy(lang_col).agg(F.approx_count_distinct(luck).alias("n")).collect()}
     if not counts:
         return []
-    share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(int(min(1, per_lang / n) * 2**30)))])
-    luck = F.pmod(F.xxhash64(F.lit("sample"), F.col(id_col), F.col(text_col)), F.lit(2**30))
+    share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(int(min(1, per_lang / max(1, n)) * 2**30)))])
     start = F.pmod(F.xxhash64(F.col(id_col), F.lit("start")), F.greatest(F.lit(1), F.length(text_col) - SNIPPET)) + 1
     picked = labelled.where(luck <= share[F.col(lang_col)]).select(F.substring(F.col(text_col), start.cast("int"), F.lit(SNIPPET)).alias("t"), F.col(lang_col).alias("l"), luck.alias("luck"))
     # repeated rows are one example; so few rows are left of a language that one task may rank them
@@ -175,100 +176,6 @@ def sample(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_c
     return [(r.t, r.l) for r in ranked.where(F.col("rank") <= 2 * per_lang).collect()]
 
 
-def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        langs, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
-        at = [i for i, x in enumerate(texts) if has_letter(x)] if self.langs else []
-        if not at:
-            return langs, scores
-        x, n = windows([texts[i] for i in at])
-        sums = np.add.reduceat(self.log_probabilities(x), np.concatenate([[0], np.cumsum(n)[:-1]]), axis=0)
-        p = np.exp(_log_softmax(sums / n[:, None]))
-        for i, row in zip(at, p, strict=True):
-            k = int(row.argmax())
-            langs[i], scores[i] = self.langs[k], float(min(1.0, row[k]))
-        return langs, scores
-
-
-def _largest(z: np.ndarray) -> np.ndarray:
-    """The largest of each byte of the 64-bit numbers in a row, by halving the row."""
-    n, z = z.shape[1], z.view(np.uint8)
-    while n > 1:
-        half = (n + 1) // 2
-        z, n = np.maximum(z[:, : half * 8], z[:, (n - half) * 8 : n * 8]), half
-    return z
-
-
-def _log_softmax(z: np.ndarray) -> np.ndarray:
-    z = z - z.max(1, keepdims=True)
-    return z - np.log(np.exp(z).sum(1, keepdims=True))
-
-
-def train(samples: list[tuple[str, str]], seed: int = 9) -> Network:
-    """Fits a network to (text, language) pairs by Adam; the same samples give the same one."""
-    samples = sorted(set(samples))
-    net = Network(sorted({b for _, b in samples}), seed)
-    if not samples:
-        return net
-    x, n = windows([a for a, _ in samples])
-    y = np.repeat([net.langs.index(b) for _, b in samples], n)
-    full = np.count_nonzero(x, axis=1) >= 24
-    # short windows teach little, but a language that has no others keeps them
-    use = full | (np.bincount(y, full, len(net.langs)) == 0)[y]
-    x, y = x[use], y[use]
-    r = np.random.default_rng(seed)
-    params = [*net.filters, net.bias, net.out, net.out_bias]
-    m, v, step = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
-    # each language weighs the same
-    weight = (len(y) / np.maximum(1, np.bincount(y, minlength=len(net.langs))) / len(net.langs))[y].astype(np.float32)
-    for _ in range(EPOCHS):
-        order = r.permutation(len(x))
-        for i in range(0, len(order), BATCH):
-            at = order[i : i + BATCH]
-            b, grads = x[at], [np.zeros_like(p) for p in params]
-            kept, where = [], []
-            for t in net.filters:
-                w = len(t)
-                z = sum(t[k][b[:, k : LENGTH - w + 1 + k]] for k in range(w))
-                where.append(z.argmax(1))
-                kept.append(np.take_along_axis(z, where[-1][:, None, :], 1)[:, 0])
-            h = np.concatenate(kept, 1) + net.bias
-            a = np.maximum(h, 0)
-            d = np.exp(_log_softmax(a @ net.out + net.out_bias))
-            d[np.arange(len(at)), y[at]] -= 1
-            d *= (weight[at] / len(at))[:, None]
-            grads[-2], grads[-1] = a.T @ d, d.sum(0)
-            dh = (d @ net.out.T) * (h > 0)
-            grads[-3] = dh.sum(0)
-            for f, (t, pos) in enumerate(zip(net.filters, where, strict=True)):
-                g = dh[:, f * FILTERS : (f + 1) * FILTERS]
-                for k in range(len(t)):
-                    np.add.at(grads[f][k], (np.take_along_axis(b, pos + k, 1), np.arange(FILTERS)[None, :]), g)
-            step += 1
-            for p, g, mm, vv in zip(params, grads, m, v, strict=True):
-                mm += 0.1 * (g - mm)
-                vv += 0.001 * (g * g - vv)
-                p -= RATE * (mm / (1 - 0.9**step)) / (np.sqrt(vv / (1 - 0.999**step)) + 1e-8)
-    return net
-
-
-def held_out(id_col: str = "doc_id"):
-    """The fold that is never learnt from."""
-    return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == 2, F.lit(False))
-
-
-def sample(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = PER_LANG) -> list[tuple[str, str]]:
-    """About per_lang labelled texts of each language, and never more than twice that in all."""
-    labelled = df.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(id_col))
-    counts = {r[lang_col]: r["count"] for r in labelled.groupBy(lang_col).count().collect()}
-    if not counts:
-        return []
-    share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(int(min(1, per_lang / n) * 2**30)))])
-    luck = F.pmod(F.xxhash64(F.col(id_col), F.lit("sample")), F.lit(2**30))
-    start = F.pmod(F.xxhash64(F.col(id_col), F.lit("start")), F.greatest(F.lit(1), F.length(text_col) - SNIPPET)) + 1
-    picked = labelled.where(luck <= share[F.col(lang_col)]).select(F.substring(F.col(text_col), start.cast("int"), F.lit(SNIPPET)).alias("t"), F.col(lang_col).alias("l"))
-    return [(r.t, r.l) for r in picked.limit(2 * per_lang * len(counts)).collect()]
-
-
 def predict(df: DataFrame, network: Network, text_col: str = "text", outputs: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """Adds ``lang_pred`` and ``score``, or under other names."""
     sent = df.sparkSession.sparkContext.broadcast(network)

@@ -83,3 +83,25 @@ def test_query_against_an_unrounded_network(spark, sf):
 def test_outputs_replace_columns_in_any_case(spark):
     df = spark.createDataFrame([(1, "the of and", "en", "x", "y")], "doc_id long, text string, lang string, Lang_Pred string, SCORE string")
     assert L.identify(df).columns == ["doc_id", "text", "lang", "lang_pred", "score"]
+
+
+def test_sample_with_a_repeated_id_in_any_partitioning(spark):
+    rows = [(8, f"the of and row {i}", "en") for i in range(6000)] + [(i, f"der die und zeile {i}", "de") for i in range(2000)]
+    rows += [(9, "le la et une phrase", "fr")] * 5000
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = [L.sample(df.repartition(n), per_lang=100) for n in (1, 5, 13)]
+    assert sorted(got[0]) == sorted(got[1]) == sorted(got[2])
+    n = {lang: sum(b == lang for _, b in got[0]) for lang in ("en", "de", "fr")}
+    assert 60 < n["en"] < 160 and 60 < n["de"] < 160 and n["fr"] == 1
+
+
+def test_no_module_defines_a_name_twice():
+    import ast
+    import pathlib
+
+    import riskweave
+
+    for path in pathlib.Path(riskweave.__file__).parent.rglob("*.py"):
+        for scope in [x for x in ast.walk(ast.parse(path.read_text())) if isinstance(x, ast.Module | ast.ClassDef)]:
+            names = [x.name for x in scope.body if isinstance(x, ast.FunctionDef | ast.ClassDef)]
+            assert len(names) == len(set(names)), path
