@@ -35,15 +35,20 @@ def written(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     """Writes a table to the shared folder and reads it back: it cuts lineage, survives lost
     executors, and goes when the driver's JVM ends."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/riskweave-{uuid.uuid4().hex}"
+    path = shared_path(spark)
     out = df.write.option("compression", "zstd")
     (out.partitionBy(partition_by) if partition_by else out).parquet(path)
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def shared_path(spark: SparkSession) -> str:
+    """A new path in the shared folder, which goes when the driver's JVM ends."""
+    path = f"{shared_dir(spark)}/riskweave-{uuid.uuid4().hex}"
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return path
+
+
 def steps(batch: pa.RecordBatch, size_of: str | None = None) -> Iterator[pa.RecordBatch]:
     """Cuts a batch into slices of bounded rows and bytes (of one column)."""
     if not size_of:

@@ -219,3 +219,38 @@ def op13(spark, sf_dir):
     out = infill.transform(table(spark, sf_dir, "documents").select("doc_id", "text"))
     digests = [F.sha2("output", 256).alias("output_sha256"), F.sha2(infill.restored("output", "form"), 256).alias("restored_sha256")]
     return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
+@query(
+    "op11_suffix_dedup",
+    r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+blocks AS (
+  SELECT r, a, substr(x, 2 * a + 1, 2 * (1024 + 399)) AS y
+  FROM (SELECT r, x, unnest(range(0, length(x) // 2 - 399, 1024)) AS a FROM d)),
+win AS (
+  SELECT r, a + j AS i, md5(substr(y, 2 * j + 1, 800)) AS h
+  FROM (SELECT r, a, y, unnest(range(0, least(1024, length(y) // 2 - 399))) AS j FROM blocks)),
+rep AS (
+  SELECT r, i FROM win WHERE h IN (SELECT h FROM win GROUP BY h HAVING count(*) > 1)),
+runs AS (
+  SELECT r, i, CASE WHEN i - lag(i) OVER (PARTITION BY r ORDER BY i) <= 400 THEN 0 ELSE 1 END AS new FROM rep),
+spans AS (
+  SELECT r, min(i) AS a, max(i) + 400 AS b
+  FROM (SELECT r, i, sum(new) OVER (PARTITION BY r ORDER BY i) AS k FROM runs) GROUP BY r, k),
+pieces AS (
+  SELECT r, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS f FROM spans
+  UNION ALL
+  SELECT d.r, length(x) // 2, length(x) // 2, coalesce(max(b), 0) FROM d LEFT JOIN spans ON d.r = spans.r GROUP BY d.r, x),
+kept AS (
+  SELECT d.r, any_value(doc_id) AS doc_id, any_value(length(x) // 2) AS n, sum(b - a) AS gone, count(*) - 1 AS spans,
+    string_agg(substr(x, 2 * f + 1, 2 * (a - f)), '' ORDER BY a, b) AS k
+  FROM d JOIN pieces ON d.r = pieces.r GROUP BY d.r)
+SELECT doc_id, n::BIGINT AS n_bytes, gone::BIGINT AS n_removed, spans::BIGINT AS n_spans, sha256(unhex(k)) AS kept_sha256 FROM kept""",
+)
+def op11(spark, sf_dir):
+    from . import suffixes
+
+    out = suffixes.remove_repeated(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
