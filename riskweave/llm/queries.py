@@ -254,3 +254,46 @@ def op11(spark, sf_dir):
 
     out = suffixes.remove_repeated(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query(
+    "op12_prefix_trie",
+    r"""
+WITH t AS (
+  SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i,
+    coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations WHERE conv_id IS NOT NULL),
+h AS (
+  SELECT c, c - c % 100 AS b, xor(list_reduce(list_prepend(4294967295::BIGINT,
+      list_transform(string_split(c::VARCHAR, ''), lambda s: ascii(s)::BIGINT)),
+    lambda a, s: list_reduce(list_prepend(xor(a, s), range(8)), lambda z, j: xor(z >> 1, 3988292384 * (z & 1)))), 4294967295) % 6 AS h
+  FROM (SELECT DISTINCT c FROM t)),
+m AS (
+  SELECT h.c, b, h, least(h, (SELECT count(*) FROM t WHERE t.c = h.b)) AS m FROM h),
+rows AS (
+  SELECT t.c, i - h + m AS d, r, x FROM t JOIN m ON t.c = m.c WHERE i > h
+  UNION ALL
+  SELECT m.c, i, r, x FROM m JOIN t ON t.c = m.b WHERE i <= h),
+p AS (
+  SELECT c, d, d || ':' || md5(string_agg(md5(r) || md5(x), '') OVER (PARTITION BY c ORDER BY d)) AS k, length(x) AS chars FROM rows
+  UNION ALL
+  SELECT c, 0, 'root', 0 FROM m),
+q AS (
+  SELECT *, lag(k) OVER (PARTITION BY c ORDER BY d) AS pk, d = max(d) OVER (PARTITION BY c) AS ends FROM p),
+node AS (
+  SELECT k, any_value(d) AS d, any_value(pk) AS pk, any_value(chars) AS chars, min(c) AS conv, count(*) AS n,
+    string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE ends) AS ids FROM q GROUP BY k),
+kids AS (
+  SELECT pk, count(*) AS n FROM node WHERE pk IS NOT NULL GROUP BY pk),
+sub AS (
+  SELECT q.k, count(*) FILTER (WHERE kids.pk IS NULL) AS leaves, sum((node.n - 1) * node.chars) AS saved
+  FROM node JOIN q ON q.c = node.conv AND q.d <= node.d LEFT JOIN kids ON kids.pk = node.k GROUP BY q.k)
+SELECT node.conv AS conv_id, node.d::BIGINT AS depth, parent.conv AS parent_conv_id, node.n::BIGINT AS n_convs,
+  coalesce(kids.n, 0)::BIGINT AS n_children, leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens,
+  sha256(coalesce(node.ids, '')) AS ends_sha256
+FROM node JOIN sub ON sub.k = node.k LEFT JOIN kids ON kids.pk = node.k LEFT JOIN node AS parent ON parent.k = node.pk""",
+)
+def op12(spark, sf_dir):
+    from . import tries
+
+    out = tries.prefix_trie(table(spark, sf_dir, "conversations"))
+    return out.drop("preorder", "subtree_end")
