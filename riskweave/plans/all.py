@@ -12,3 +12,4 @@ from . import report_queries  # noqa: F401
 from . import tree_queries  # noqa: F401
 from . import state_queries  # noqa: F401
 from . import patch_queries  # noqa: F401
+from . import reply_queries  # noqa: F401
