@@ -13,3 +13,4 @@ from . import tree_queries  # noqa: F401
 from . import state_queries  # noqa: F401
 from . import patch_queries  # noqa: F401
 from . import reply_queries  # noqa: F401
+from . import scope_queries  # noqa: F401

@@ -1,7 +1,7 @@
 """Symbols, imports, calls and routes of source files, and the parts of Android manifests.
 
-Python is parsed by its own grammar; other languages by the patterns of their declarations, which
-find fewer calls than a parser would. One Arrow pass yields facts of all kinds:
+Python is parsed by its own grammar; other languages by the patterns of their declarations in code
+without strings and comments, and by the brackets, or words, that end what is declared. One Arrow pass yields facts of all kinds:
 (path, kind, name, detail, owner, line, end_line)."""
 
 from __future__ import annotations
@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import scopes
+
 SCHEMA = "path string, kind string, name string, detail string, owner string, line int, end_line int"
 HTTP = "get post put delete patch"
 
@@ -37,10 +39,16 @@ _js = {"import": r"import\s+(?:([\w*{}\s,$]+?)\s+from\s+)?['\"]([^'\"]+)['\"]|(?
 _java = {"import": r"(?m)^\s*import\s+(?:static\s+)?([\w.*]+)\s*;?", "class": r"\b(?:class|interface|object)\s+(\w+)", "function": r"(?m)^\s*(?:(?:public|private|protected|static|final|override|suspend|abstract|synchronized)\s+)*(?:fun\s+|[\w<>\[\], ]+\s+)(\w+)\s*\([^;{}]*\)\s*[^;{}]*\{", "route": r"@(Get|Post|Put|Delete|Patch|Request)Mapping\s*\(\s*(?:value\s*=\s*)?['\"]([^'\"]+)['\"]"}
 _php = {"import": r"(?m)^\s*use\s+([\w\\]+)|(?:include|require)(?:_once)?\s*\(?\s*['\"]([^'\"]+)['\"]", "class": r"\bclass\s+(\w+)", "function": r"\bfunction\s+(\w+)\s*\(", "route": r"(?:\$app|\$router|Route)(?:::|->)\s*(get|post|put|delete|patch|map)\s*\(\s*['\"]([^'\"]+)['\"]"}
 # Patterns of the other languages' own grammars.
-_go = {"import": r"(?m)^\s*(?:import\s+)?(?:\w+\s+)?\"([\w./-]+)\"\s*$", "class": r"\btype\s+(\w+)\s+(?:struct|interface)", "function": r"(?m)^func\s+(?:\([^)]*\)\s*)?(\w+)\s*\("}
-_rust = {"import": r"(?m)^\s*(?:pub\s+)?use\s+([\w:]+)", "class": r"\b(?:struct|enum|trait)\s+(\w+)", "function": r"\bfn\s+(\w+)\s*[<(]"}
+_go = {"import": r"(?m)^\s*(?:import\s+)?(?:\w+\s+)?\"([\w./-]+)\"\s*$", "class": r"\btype\s+(\w+)\s+(?:struct|interface)", "function": r"(?m)^func\s+(?:\([^)]*\)\s*)?(\w+)\s*[\[(]"}
+_rust = {"import": r"(?m)^\s*(?:pub\s+)?use\s+([\w:]+)", "class": r"\b(?:struct|enum|trait)\s+(\w+)", "function": r"\bfn\s+(\w+)\s*[<(]", "block": r"\bimpl\b(?:\s*<[^<>{}]*>)?\s+(?:[\w:]+(?:<[^<>{}]*>)?\s+for\s+)?(\w+)"}
 _ruby = {"import": r"(?m)^\s*require(?:_relative)?\s+['\"]([^'\"]+)['\"]", "class": r"(?m)^\s*(?:class|module)\s+(\w+)", "function": r"(?m)^\s*def\s+(?:self\.)?(\w+[!?]?)"}
-RULES = {"javascript": _js, "typescript": _js, "java": _java, "kotlin": _java, "php": _php, "go": _go, "rust": _rust, "ruby": _ruby}
+_c = {"import": r"(?m)^\s*#\s*include\s*[<\"]([^>\"\n]+)[>\"]", "class": r"\b(?:struct|union|enum)\s+(\w+)\s*\{"}
+_cpp = {"import": _c["import"], "class": r"\b(?<!enum )(?:class|struct|union|enum(?:\s+class)?)\s+(\w+)(?=[^;(){}=<>]*\{)"}
+_csharp = {"import": r"(?m)^\s*(?:global\s+)?using\s+(?:static\s+)?([\w.]+)\s*;", "class": r"\b(?:class|struct|interface|record|enum)\s+(\w+)", "route": r"\[Http(Get|Post|Put|Delete|Patch)\s*\(\s*\"([^\"]+)\""}
+_kotlin = _java | {"function": r"\bfun\s+(?:<[^<>{}()]*>\s*)?(?:[\w<>?, ]+\.)?(\w+)\s*\("}
+_scala = {"import": r"(?m)^\s*import\s+([\w.]+)", "class": r"\b(?:class|object|trait)\s+(\w+)", "function": r"\bdef\s+(\w+)"}
+_swift = {"import": r"(?m)^\s*import\s+(?:(?:class|struct|enum|protocol|func|var)\s+)?([\w.]+)", "class": r"\b(?:class|struct|enum|protocol|actor)\s+(?!func\b|var\b|let\b)(\w+)", "function": r"\bfunc\s+(\w+)|(?<![.\w])(init)\s*[?!]?\s*\(", "block": r"\bextension\s+(\w+)"}
+RULES = {"javascript": _js, "typescript": _js, "java": _java, "kotlin": _kotlin, "php": _php, "go": _go, "rust": _rust, "ruby": _ruby, "c": _c, "cpp": _cpp, "csharp": _csharp, "scala": _scala, "swift": _swift}
 #: Words that declare a function, also before the parenthesis of what it belongs to.
 DECLARING = frozenset("func fun fn".split())
 _call = re.compile(r"(?:(\$?\w+)\s*(?:\.|::|->)\s*)?(\w+)\s*\(")
@@ -79,19 +87,28 @@ def python_facts(content: str):
 
 
 def pattern_facts(content: str, language: str):
-    """Facts by patterns. A function lasts until the next one begins."""
+    """Facts by patterns, of code only: what stands in strings and comments declares and calls nothing.
+    A function lasts until its body ends; its owner is the class around it, a call's owner the innermost
+    function around it."""
     rules = RULES.get(language, {})
-    ends = [m.start() for m in re.finditer("\n", content)]
+    if not rules:
+        return
     from bisect import bisect_left
 
+    ends = [m.start() for m in re.finditer("\n", content)]
     at = lambda pos: bisect_left(ends, pos) + 1
-    functions = []
+    code = scopes.blanked(content, language)
+    declared = []
     for kind, rule in rules.items():
-        for m in re.finditer(rule, content):
+        quoting = kind in ("import", "route")
+        for m in re.finditer(rule, content if quoting else code):
             groups = [g for g in m.groups() if g]
-            if not groups or groups[-1] in NO_CALLS:
+            # a word like new is a name where another word declares it
+            if not groups or groups[-1] in NO_CALLS and (kind != "function" or language in ("java", "javascript", "typescript", "php")):
                 continue
             first = m.start() + len(m[0]) - len(m[0].lstrip())
+            if quoting and code[first] != content[first]:
+                continue
             if kind == "route":
                 yield "route", groups[1], groups[0].upper(), None, at(first), None
             elif kind == "import" and language in ("javascript", "typescript"):
@@ -101,19 +118,32 @@ def pattern_facts(content: str, language: str):
                         yield "import", groups[-1], name, None, at(first), None
             elif kind == "import":
                 yield "import", groups[0], re.split(r"[./\\:]+", groups[0])[-1], None, at(first), None
-            elif kind == "function":
-                functions.append((first, groups[0]))
             else:
-                yield kind, groups[0], None, None, at(first), None
-    functions.sort()
-    starts = [f[0] for f in functions]
-    for i, (pos, name) in enumerate(functions):
-        yield "function", name, None, None, at(pos), at(starts[i + 1]) - 1 if i + 1 < len(functions) else len(ends) + 1
-    for m in _call.finditer(content) if rules else ():
-        if m[2] not in NO_CALLS and m[2] not in DECLARING and not re.search(r"(?:function|func|fn|fun|def|class)\s+$", content[max(0, m.start(2) - 12) : m.start(2)]):
-            i = bisect_left(starts, m.start(2) + 1) - 1
-            if i < 0 or functions[i][1] != m[2] or at(starts[i]) != at(m.start(2)):
-                yield "call", m[2], m[1], functions[i][1] if i >= 0 else None, at(m.start(2)), None
+                place = m.start(next(i for i, g in enumerate(m.groups(), 1) if g))
+                word = re.search(r"(\w+)\s+$", code[max(0, place - 40) : place])
+                if kind != "function" or not word or word[1] not in scopes.BEFORE_CALLS:
+                    declared.append((kind, groups[0], first, place))
+    found = scopes.scopes(code, language, declared, _call)
+    for s in found:
+        if s.kind == "function":
+            yield "function", s.name, None, s.around.owner("class") if s.around else _receiver(code, s, language), at(s.start), at(max(s.start, s.end - 1))
+        elif s.kind == "class":
+            yield "class", s.name, None, None, at(s.start), at(max(s.start, s.end - 1))
+    names, index, no_calls = {s.at for s in found}, scopes.Index(found), scopes.CONTROL_OF.get(language, set())
+    typed = language in scopes.BARE and language not in ("javascript", "typescript")
+    for m in _call.finditer(code):
+        if m.start(2) in names or m[2] in NO_CALLS or m[2] in DECLARING or m[2] in no_calls or re.search(r"(?:function|func|fn|fun|def|class)\s+$", code[max(0, m.start(2) - 12) : m.start(2)]):
+            continue
+        inner = index.around(m.start(2))
+        if typed and not (inner and inner.owner("function")) and not m[1] and scopes.declares(code, m.start(2)):
+            continue
+        yield "call", m[2], m[1], inner.owner("function") if inner else None, at(m.start(2)), None
+
+
+def _receiver(code: str, scope: scopes.Scope, language: str) -> str | None:
+    """The type that a Go method is declared for."""
+    m = re.match(r"func\s*\(\s*(?:\w+\s+)?\*?\s*(\w+)", code[scope.start : scope.at]) if language == "go" else None
+    return m[1] if m else None
 
 
 def facts(files: DataFrame) -> DataFrame:
