@@ -120,15 +120,23 @@ def good_rules(spark, sf_dir):
     return rules.without(rules.read(files), bad).select("path", "id")
 
 
-@query("q068_targeted_directories", f"SELECT path FROM {_LIST} WHERE path NOT LIKE 'python%' AND path <> 'go'")
+#: Directories of rules, two levels deep or at the root, made from parts.
+_PART_DIR = "concat(CASE p_partkey % 5 WHEN 0 THEN 'python' WHEN 1 THEN 'go' WHEN 2 THEN 'java' WHEN 3 THEN 'rust' ELSE 'ruby' END, '/d', cast(p_partkey % 11 as string))"
+_ROOT = "CASE p_partkey % 7 WHEN 0 THEN 'python' WHEN 1 THEN 'swift' WHEN 2 THEN 'rust' WHEN 3 THEN concat('go/d', cast(p_partkey % 4 as string)) ELSE 'ruby/none' END"
+
+
+def _part_dirs(spark, sf_dir, where="true", path=_PART_DIR):
+    return parts(spark, sf_dir).where(where).selectExpr(f"{path} AS path")
+
+
+@query("q068_targeted_directories", f"SELECT DISTINCT path FROM (SELECT {_PART_DIR} AS path FROM part) WHERE path NOT IN (SELECT {_PART_DIR} FROM part WHERE p_size % 10 = 3 AND p_partkey % 11 < 6) AND path NOT IN (SELECT {_PART_DIR} FROM part WHERE p_partkey % 5 = 1 AND p_size > 45)")
 def targeted_directories(spark, sf_dir):
-    all_ = _dirs(spark)
-    return rules.targeted(all_.union(all_), all_.where("path like 'python%'"), all_.where("path = 'go'"))
+    return rules.targeted(_part_dirs(spark, sf_dir), _part_dirs(spark, sf_dir, "p_size % 10 = 3 and p_partkey % 11 < 6"), _part_dirs(spark, sf_dir, "p_partkey % 5 = 1 and p_size > 45"))
 
 
-@query("q076_expanded_roots", "SELECT unnest(['go/lang', 'rust', 'python/flask', 'terraform/aws']) AS path")
+@query("q076_expanded_roots", f"WITH s AS (SELECT DISTINCT {_ROOT} AS path FROM part), d AS (SELECT DISTINCT {_PART_DIR} AS path FROM part) SELECT path FROM s WHERE path LIKE '%/%' UNION SELECT coalesce(d.path, s.path) FROM s LEFT JOIN d ON d.path LIKE s.path || '/%' WHERE s.path NOT LIKE '%/%'")
 def expanded_roots(spark, sf_dir):
-    return rules.expanded(spark.createDataFrame([("go",), ("rust",), ("python/flask",), ("terraform",)], "path string"), _dirs(spark))
+    return rules.expanded(_part_dirs(spark, sf_dir, path=_ROOT), _part_dirs(spark, sf_dir))
 
 
 @query("q075_accepted_languages", "SELECT p_partkey AS id, p_partkey % 4 IN (0, 1) AS accepted FROM part")
@@ -143,20 +151,23 @@ def suite_matches(spark, sf_dir):
     return parts(spark, sf_dir).select(F.col("p_partkey").alias("id"), rules.suite_matches(F.lit("javascript"), suite).alias("hit"))
 
 
-def _suites(spark, *names):
-    return spark.createDataFrame([(n,) for n in names], "suite string")
+_SUITE = "concat(CASE p_partkey % 3 WHEN 0 THEN 'python-' WHEN 1 THEN 'codeql/javascript-' ELSE 'go/' END, 's', cast(p_partkey % 17 as string), '.qls')"
+
+
+def _suites(spark, sf_dir, where):
+    return parts(spark, sf_dir).where(where).selectExpr(f"{_SUITE} AS suite")
 
 
-@query("q070_planned_suites", "SELECT unnest(['python-a.qls', 'python-b.qls']) AS suite")
+@query("q070_planned_suites", f"SELECT DISTINCT {_SUITE} AS suite FROM part WHERE p_size < 9 AND p_partkey % 3 = 0")
 def planned_suites(spark, sf_dir):
     """What is asked for, of the language, each once."""
-    return rules.planned_suites(_suites(spark, "python-a.qls", "go-x.qls", "python-b.qls", "python-a.qls"), _suites(spark, "python-c.qls"), _suites(spark, "none"), "python")
+    return rules.planned_suites(_suites(spark, sf_dir, "p_size < 9"), _suites(spark, sf_dir, "p_size > 20"), _suites(spark, sf_dir, "p_size > 30"), "python")
 
 
-@query("q080_targeted_suites", "SELECT 'python-b.qls' AS suite")
+@query("q080_targeted_suites", f"SELECT DISTINCT {_SUITE} AS suite FROM part WHERE p_partkey % 3 = 1 AND p_partkey % 17 < 12 AND {_SUITE} NOT IN (SELECT {_SUITE} FROM part WHERE p_partkey % 17 < 5)")
 def targeted_suites(spark, sf_dir):
-    """Nothing is asked for: the defaults that the baseline has not run."""
-    return rules.planned_suites(_suites(spark, "go-x.qls"), _suites(spark, "python-a.qls", "python-b.qls"), _suites(spark, "python-a.qls"), "python")
+    """Nothing of the language is asked for: the defaults that the baseline has not run."""
+    return rules.planned_suites(_suites(spark, sf_dir, "p_partkey % 3 = 2"), _suites(spark, sf_dir, "p_partkey % 17 < 12"), _suites(spark, sf_dir, "p_partkey % 17 < 5"), "typescript")
 
 
 _CHOICES = [(0, "python", "django", "dir", "python/django"), (1, "python", "flask", "dir", "python/flask"), (2, "python", None, "theme", "sqli"), (3, "javascript", None, "theme", "xss"), (4, "php", None, "theme", "sqli"), (5, "php", None, "theme", "xss")]

@@ -4,13 +4,47 @@ caller's, so that a corpus of any layout can be used."""
 
 from __future__ import annotations
 
+import uuid
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import any_of
-
-RULE = "path string, id string, languages array<string>, severity string, message string, pattern_regex string"
+from .literals import Rule, scanner
+
+RULE = "path string, id string, languages array<string>, severity string, message string, pattern_regex string, regexes array<string>, not_regexes array<string>, metavariables array<struct<name string, regex string>>, includes array<string>, excludes array<string>"
+RULE_COLUMNS = "path id languages severity message pattern_regex regexes not_regexes metavariables includes excludes".split()
+#: Rules whose expressions go to the tasks at once.
+BLOCK = 20_000
+#: Languages of rules that read files of every language.
+ANY_LANGUAGE = {"regex", "generic", "none"}
+
+
+def _texts(value) -> list[str]:
+    return [str(x) for x in value] if isinstance(value, list) else []
+
+
+def _expressions(rule: dict) -> tuple[list[str], list[str], list[tuple[str, str]]]:
+    """A rule's expressions, of which one must match, those that must not, and what its groups must match; no
+    expressions where a rule needs more than expressions."""
+    any_of_, not_, groups = [], [], []
+    parts = rule.get("patterns")
+    for part in parts if isinstance(parts, list) else [rule]:
+        if not isinstance(part, dict):
+            return [], [], []
+        for key, value in part.items():
+            if key == "pattern-regex" and isinstance(value, str) and not any_of_:
+                any_of_ = [value]
+            elif key == "pattern-either" and not any_of_ and isinstance(value, list) and all(isinstance(x, dict) and set(x) == {"pattern-regex"} for x in value):
+                any_of_ = [str(x["pattern-regex"]) for x in value]
+            elif key == "pattern-not-regex" and isinstance(value, str):
+                not_.append(value)
+            elif key == "metavariable-regex" and isinstance(value, dict):
+                groups.append((str(value.get("metavariable") or "").lstrip("$"), str(value.get("regex") or "")))
+            elif key.startswith(("pattern", "metavariable")) and key != "patterns":
+                return [], [], []
+    return any_of_, not_, groups
 
 
 def read(files: DataFrame) -> DataFrame:
@@ -28,9 +62,9 @@ def read(files: DataFrame) -> DataFrame:
                     found = []
                 for r in found:
                     if isinstance(r, dict):
-                        regex = r.get("pattern-regex")
-                        rows.append((path, str(r.get("id") or ""), [str(x) for x in r.get("languages") or []], r.get("severity"), r.get("message"), regex if isinstance(regex, str) else None))
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in RULE.split(", ")])
+                        regex, where = r.get("pattern-regex"), r.get("paths") if isinstance(r.get("paths"), dict) else {}
+                        rows.append((path, str(r.get("id") or ""), _texts(r.get("languages")), r.get("severity"), r.get("message"), regex if isinstance(regex, str) else None, *_expressions(r), _texts(where.get("include")), _texts(where.get("exclude"))))
+            yield pd.DataFrame(rows, columns=RULE_COLUMNS)
 
     return files.where(F.col("path").rlike(r"\.ya?ml$")).select("path", "content").mapInPandas(run, RULE)
 
@@ -97,20 +131,50 @@ def planned_suites(requested: DataFrame, defaults: DataFrame, baseline: DataFram
 
 
 def matches(files: DataFrame, rules: DataFrame) -> DataFrame:
-    """(path, line, rule_id, severity) of rules that are one regular expression, over lines. A text is
-    split only for a rule that matches it. The rules are the small side and their number is checked."""
-    regex = [(r.id, r.severity, r.pattern_regex) for r in rules.where("pattern_regex is not null").select("id", "severity", "pattern_regex").limit(MOST_RULES + 1).collect()]
-    if len(regex) > MOST_RULES:
-        raise ValueError(f"over {MOST_RULES} regular-expression rules; scan with parts of the corpus")
-    hits = [F.when(F.col("content").rlike(p), F.struct(F.lit(i).alias("rule_id"), F.lit(s).alias("severity"), F.lit(p).alias("p"))) for i, s, p in regex]
-    if not hits:
-        return files.select("path", F.lit(0).alias("line"), F.lit("").alias("rule_id"), F.lit("").alias("severity")).limit(0)
-    found = files.select("path", "content", F.explode(F.array_compact(F.array(*hits))).alias("r"))
-    lines = found.select("path", "r.rule_id", "r.severity", "r.p", F.posexplode(F.split("content", "\n", -1)).alias("at", "text"))
-    return lines.where(F.expr("regexp_like(text, p)")).select("path", (F.col("at") + 1).alias("line"), "rule_id", "severity")
-
-
-MOST_RULES = 2000
+    """(path, line, rule_id, severity) of the lines of files (path, content, and language if rules are
+    to be held against it) that rules of expressions match.
+
+    One scan of a text by an automaton of the literals that expressions cannot do without tells which
+    rules may match which lines; only those are tried. Rules come in blocks of a bounded number, each
+    one pass over the files, so their number has no limit."""
+    out = None
+    for block in _blocks(rules):
+        found = _scan(files, block)
+        out = found if out is None else out.unionByName(found)
+    return out if out is not None else files.select("path", F.lit(0).alias("line"), F.lit("").alias("rule_id"), F.lit("").alias("severity")).limit(0)
+
+
+def _blocks(rules: DataFrame):
+    """Rules with expressions, so many at a time. Rules of one expression may come without the columns
+    of the others."""
+    has = lambda name, kind: F.col(name) if name in rules.columns else F.lit(None).cast(kind)
+    one = F.when(F.col("pattern_regex").isNotNull(), F.array("pattern_regex"))
+    empty_ = F.array().cast("array<string>")
+    regexes = F.coalesce(F.when(F.size(has("regexes", "array<string>")) > 0, has("regexes", "array<string>")), one if "regexes" not in rules.columns else F.lit(None))
+    lists = [F.coalesce(has(n, "array<string>"), empty_).alias(n) for n in ("languages", "not_regexes", "includes", "excludes")]
+    groups = has("metavariables", "array<struct<name string, regex string>>").alias("metavariables")
+    rows = rules.select("id", "severity", regexes.alias("regexes"), *lists, groups).where("regexes is not null")
+    block: list[Rule] = []
+    for r in rows.toLocalIterator():
+        block.append(Rule(r.id, r.severity, list(r.regexes), list(r.not_regexes), [tuple(x) for x in r.metavariables or []], set(r.languages), list(r.includes), list(r.excludes)))
+        if len(block) == BLOCK:
+            yield block
+            block = []
+    if block:
+        yield block
+
+
+def _scan(files: DataFrame, block: list[Rule]) -> DataFrame:
+    sent, key = files.sparkSession.sparkContext.broadcast(block), uuid.uuid4().hex
+    language = F.col("language") if "language" in files.columns else F.lit(None).cast("string")
+
+    def run(frames):
+        held = scanner(key, lambda: sent.value)
+        for f in frames:
+            rows = [(p, *hit) for p, c, lang in zip(f["path"], f["content"], f["language"], strict=True) if c for hit in held.hits(p, c, lang)]
+            yield pd.DataFrame(rows, columns=["path", "line", "rule_id", "severity"]).astype({"line": "int32"})
+
+    return files.select("path", "content", language.alias("language")).mapInPandas(run, "path string, line int, rule_id string, severity string")
 
 
 def expanded(selected: DataFrame, rule_dirs: DataFrame) -> DataFrame:
