@@ -13,8 +13,6 @@ numbers, or texts in their own order; null is before all. Of the input only id a
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,6 +24,8 @@ THRESHOLD = LEAST + 2**64 // SHARE
 #: Parts of the table for each shuffle partition, and for so many code points; parts of one step of
 #: the search.
 PARTS, PART_CHARS, STEP = 4, 64 << 20, 64
+#: Rows of the sample for each part; code points of a text that order rows of one id.
+SAMPLE, TIE = 16, 16
 
 
 def shingle_hashes(df: DataFrame, text_col: str, out: str) -> DataFrame:
@@ -70,57 +70,64 @@ def as_text(a: Column) -> Column:
     return F.array_join(F.transform(a, lambda h: F.lpad(F.lower(F.hex(h)), 16, "0")), ",")
 
 
-def _fixed(values: list, kind: str) -> Column:
+def _fixed(values: list[str]) -> Column:
     """A constant array, of whatever length, as one small expression."""
-    return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
+    return F.split(F.lit(",".join(values)), ",")
 
 
-def _count_upto(value: Column, heads: list[int], step: int) -> Column:
-    """How many of some sorted numbers are at most this one: by every step-th first, and so on."""
+def _count_upto(value: Column, heads: list[str], step: int) -> Column:
+    """How many of some sorted texts are at most this one: by every step-th first, and so on."""
     levels = [heads]
     while len(levels[0]) > step:
         levels.insert(0, levels[0][::step])
     upto = lambda part: F.size(F.filter(part, lambda h: h <= value))
-    n = upto(_fixed(levels[0], "bigint"))
+    n = upto(_fixed(levels[0]))
     for values in levels[1:]:
         base = F.greatest(n - 1, F.lit(0)) * step
-        n = base + upto(F.slice(_fixed(values, "bigint"), base + 1, F.lit(step)))
+        n = base + upto(F.slice(_fixed(values), base + 1, F.lit(step)))
     return n
 
 
-def _rank(df: DataFrame, id_col: str) -> tuple[Column, Column]:
-    """What orders an id, and a number that never contradicts that order."""
+def _order(df: DataFrame, id_col: str) -> Column:
+    """What orders an id; null is before all."""
+    if isinstance(df.schema[id_col].dataType, T.StringType):
+        return F.coalesce(F.col(id_col), F.lit(""))
+    return F.coalesce(F.col(id_col).cast("bigint"), F.lit(LEAST))
+
+
+def _rank(df: DataFrame, id_col: str, text_col: str) -> Column:
+    """Hexadecimal digits that order rows as their ids do, and rows of one id as their texts begin, so
+    that a repeated or null id is cut, too."""
+    order = _order(df, id_col)
     if not isinstance(df.schema[id_col].dataType, T.StringType):
-        order = F.coalesce(F.col(id_col).cast("bigint"), F.lit(LEAST))
-        return order, order
-    order = F.coalesce(F.col(id_col), F.lit(""))
-    ends = df.agg(F.min(order).alias("a"), F.max(order).alias("b")).first()
-    shared = len(os.path.commonprefix([ends.a or "", ends.b or ""]))
-    # the seven bytes after what all ids begin with
-    digits = F.rpad(F.substring(F.hex(F.substring(order, shared + 1, 7)), 1, 14), 14, "0")
-    return order, F.conv(digits, 16, 10).cast("bigint")
+        order = F.unhex(F.lpad(F.hex(order.bitwiseXOR(F.lit(LEAST))), 16, "0"))
+    # the mark is before all digits
+    return F.concat_ws("!", F.hex(order), F.hex(F.substring(F.col(text_col), 1, TIE)))
 
 
 def with_next(df: DataFrame, id_col: str, carried: list[str]) -> DataFrame:
     """Adds ``next_<c>`` of the row with the next id (after the last one, the first; equal ids by
-    text). The table is cut at quantiles of the id into parts of like size, as many as its code
-    points need; the first rows of a part go to the part before, too, so one shuffle by part is
-    enough."""
+    text). The table is cut at quantiles of a sample of its ids, whatever they look like, into parts of
+    like size, as many as its code points need; the first rows of a part go to the part before, too, so
+    one shuffle by part is enough. Rows that repeat both id and text stand in one part."""
     spark = df.sparkSession
-    order, rank = _rank(df, id_col)
+    order, rank = _order(df, id_col), _rank(df, id_col, carried[0])
     chars = df.agg(F.sum(F.length(carried[0]))).first()[0] or 0
     parts = max(PARTS * int(spark.conf.get("spark.sql.shuffle.partitions")), chars // PART_CHARS)
-    cuts = F.percentile_approx(rank, _fixed([i / parts for i in range(1, parts)], "double"), F.lit(max(10_000, 10 * parts)))
-    found = df.agg(F.min(rank).alias("least"), cuts.alias("cuts")).first()
-    if found.least is None:
+    # the rows of least hash are a sample, the same in any partitioning; different rows only, so that rows
+    # that are repeated do not take all of it
+    luck = F.xxhash64(F.col(id_col), F.col(carried[0]))
+    sample = df.select(luck.alias("luck"), rank.alias("rank")).groupBy("luck").agg(F.min("rank").alias("rank")).orderBy("luck").limit(SAMPLE * parts)
+    ranks = sorted(r["rank"] for r in sample.collect())
+    if not ranks:
         return df.select("*", *[F.col(c).alias(f"next_{c}") for c in carried])
-    # the quantiles are near values of the table (they pass through doubles): each part's least is exact
-    near = _count_upto(rank, sorted({found.least, *found.cuts}), STEP)
-    heads = sorted(r.head for r in df.groupBy(near.alias("part")).agg(F.min(rank).alias("head")).collect())
+    cuts = sorted({ranks[i * len(ranks) // parts] for i in range(parts)})
+    # cuts are those of a sample: each part's least is exact
+    heads = sorted(r["head"] for r in df.groupBy(_count_upto(rank, cuts, STEP).alias("part")).agg(F.min(rank).alias("head")).collect())
     rows = df.withColumn("_order", order).withColumn("_rank", rank)
     rows = rows.withColumn("_part", _count_upto(F.col("_rank"), heads, STEP))
     place = lambda part, at: F.struct(part.alias("part"), F.lit(at).alias("rank"))
-    first, head = F.col("_rank") == heads[0], F.col("_rank") == F.get(_fixed(heads, "bigint"), F.col("_part") - 1)
+    first, head = F.col("_rank") == heads[0], F.col("_rank") == F.get(_fixed(heads), F.col("_part") - 1)
     places = F.when(first, F.array(place(F.col("_part"), 0), place(F.lit(len(heads)), 2))).when(head, F.array(place(F.col("_part"), 0), place(F.col("_part") - 1, 1))).otherwise(F.array(place(F.col("_part"), 0)))
     rows = rows.withColumn("_place", F.explode(places)).select("*", "_place.part", "_place.rank")
     w = Window.partitionBy("part").orderBy("rank", "_order", *carried[:1])

@@ -41,13 +41,19 @@ PATTERNS = {
     "hex": r"[0-9a-f]{24,}",
 }
 CANDIDATE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+"
+#: Of a path every part but the last is a word, or a number, in plain spelling.
+_part = r"(?:[A-Z]?[a-z]+[0-9]{0,3}(?:[_-](?:[A-Z]?[a-z]+|[0-9]+))*|[0-9]{1,4})"
+#: Each is held against a whole candidate, so that a long key is not let through for a part of it; samples
+#: alone count anywhere, which chance hardly makes.
 ALLOWED = (
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
     r"^[0-9+/_-]+$",
-    r"(.)\1{5}",
+    r"^.{0,24}(.)\1{5,}.{0,24}$",
     r"(?i)example|sample|placeholder|changeme|dummy|0123456789|abcdefgh|deadbeef",
     r"^[^0-9]+(?:[0-9]{1,4})?$",
-    r"//|^/|(?:/[a-z0-9_-]*){3}",
+    r"^//",
+    r"^[a-z0-9_-]*(?:/[a-z0-9_-]+){2,}/?$",
+    rf"^/?(?:{_part}/){{2,}}[A-Za-z0-9_-]*$",
 )
 _BLOCK = 256
 

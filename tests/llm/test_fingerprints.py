@@ -88,3 +88,35 @@ def test_query_against_brute_force(spark):
         assert (x.n_chars, x.edited_sha256) == (len(t), hashlib.sha256(edits[k].encode()).hexdigest())
         assert (x.fingerprint, x.edited_fingerprint) == (text(own[k]), text(edited[k]))
         assert abs(x.near_edited - like(own[k], edited[k])) < 1e-12 and abs(x.near_next - like(own[k], own[(k + 1) % len(rows)])) < 1e-12
+
+
+def test_null_and_odd_ids_do_not_gather_the_table(spark):
+    import re
+
+    rows = [(f"doc-{i:012}", f"text {i}") for i in range(20000)] + [(None, "null"), ("zzz", "odd"), ("", "none")]
+    df = spark.createDataFrame(rows, "id string, text string").repartition(6)
+    assert df.select(P._rank(df, "id", "text").alias("r")).distinct().count() == 20003
+    out = P.with_next(df, "id", ["text"])
+    ordered = sorted(((i or "").encode(), t) for i, t in rows)
+    assert sorted((x.id or "", x.text, x.next_text) for x in out.collect()) == sorted((i.decode(), t, ordered[(k + 1) % len(ordered)][1]) for k, (i, t) in enumerate(ordered))
+    largest = max_part(spark, df)
+    assert largest < 0.3 * len(rows), largest
+    # one id for a third of all rows
+    rows = [(None if i % 3 == 0 else i, f"{i * 7919 % 10**6:06} text") for i in range(20000)]
+    df = spark.createDataFrame(rows, "id long, text string").repartition(6)
+    assert max_part(spark, df) < 0.3 * len(rows)
+    got = sorted((x.id is not None, x.id or 0, x.text, x.next_text) for x in P.with_next(df, "id", ["text"]).collect())
+    ordered = sorted((i is not None, i or 0, t) for i, t in rows)
+    assert got == [(*x, ordered[(k + 1) % len(ordered)][2]) for k, x in enumerate(ordered)]
+    assert re.fullmatch("[0-9A-F]+![0-9A-F]*", df.select(P._rank(df, "id", "text")).first()[0])
+
+
+def max_part(spark, df):
+    """The rows of the largest part between the cuts of the sample."""
+    rank = P._rank(df, "id", "text")
+    parts = P.PARTS * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    luck = df.select(F.xxhash64("id", "text").alias("l"), rank.alias("r")).groupBy("l").agg(F.min("r").alias("r")).orderBy("l").limit(P.SAMPLE * parts)
+    sample = sorted(x.r for x in luck.collect())
+    cuts = sorted({sample[i * len(sample) // parts] for i in range(parts)})
+    counts = df.groupBy(P._count_upto(rank, cuts, P.STEP)).count().collect()
+    return max(x["count"] for x in counts)

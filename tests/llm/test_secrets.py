@@ -125,3 +125,17 @@ def test_query_against_brute_force(spark, sf):
         new = [("entropy", a, b) for a, b in runs if not any(p <= a and q >= b for p, q in joined) and secret(t[a:b])]
         every = sorted([*base, *new], key=lambda s: (s[1], names.index(s[0]), s[2]))
         assert got[i].base_sha256 == hashlib.sha256(written(base).encode()).hexdigest() and got[i].spans == written(every), i
+
+
+def test_recall_of_long_base64_keys(spark):
+    import base64
+
+    r = random.Random(10)
+    rows = [(n, "key " + base64.b64encode(r.randbytes(n)).decode().rstrip("=")[:n] + " end") for n in (40, 172, 344, 684, 1600, 4096) for _ in range(150)]
+    # zero bytes are a run of one letter inside a key
+    rows += [(1, "key " + base64.b64encode(r.randbytes(60) + bytes(9) + r.randbytes(60)).decode() + " end") for _ in range(50)]
+    found = S.scan(spark.createDataFrame(rows, "n int, text string")).groupBy("n").agg(F.avg((F.size("spans") > 0).cast("double")).alias("share"))
+    share = {x.n: x.share for x in found.collect()}
+    assert len(share) == 7 and min(share.values()) >= 0.95, share
+    paths = ["/usr/share/lib/python3/dist/a1b2", "github/Foo/src/lib/python3/dist", "//cdn7.net/lib/v2/main3/x", "home/user_1/projects/app-2/Main3", "/Users/Anna/Projects/app2/Sources9", "zzzzzzzzzzzzzzzzzzz1y2x3"]
+    assert all(not x.spans for x in S.scan(spark.createDataFrame([(f"see {x} there",) for x in paths], "text string")).collect())
