@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed, paths, scores, text
 from ..functions.columns import empty, lookup
 from ..lineage import streamed_groups
+from . import intervals
 
 
 def severity_order(severity: Column) -> Column:
@@ -188,13 +189,32 @@ def merge_advisories(matches: DataFrame, keys: list[str], limit: int = 5) -> Dat
 
 
 def match_hits(findings: DataFrame, hits: DataFrame, limit: int = 5) -> DataFrame:
-    """Scanner hits of a finding: in its file, with lines that overlap or words of its category.
-    The file is the key; the line test is what remains."""
-    a, b = findings.alias("a"), hits.alias("b")
-    near = text.ranges_overlap(F.col("a.start_line"), F.col("a.end_line"), F.col("b.start_line"), F.col("b.end_line"))
-    said = text.category_matches(F.col("a.category"), F.col("b.rule_id"), F.col("b.message"), F.col("b.scanner"))
-    rows = a.join(b, (F.col("a.file_path") == F.col("b.file_path")) & (near | said)).select("a.finding_id", "b.hit_id", "b.rule_id")
-    return top_per_group(rows, ["finding_id"], [F.col("hit_id")], limit)
+    """Scanner hits of a finding: in its file, with lines that overlap or words of its category; the
+    first so many by id.
+
+    Ranges that overlap hold each other's beginnings, so beginnings meet blocks of ranges; words meet by
+    category. Of each block, and of each category of a file, the first hits suffice, so a file with
+    very many findings and hits is no product. A range without an end is one line; ranges that end before
+    they begin are tested by file."""
+    order = [F.col("hit_id")]
+    start = lambda c: F.when(F.coalesce(c, F.lit(0)) != 0, c)
+    a = findings.select("finding_id", "file_path", F.lower(F.coalesce("category", F.lit(""))).alias("category"), start(F.col("start_line")).alias("a"), F.coalesce("end_line", "start_line").alias("b"))
+    b = hits.select("hit_id", "rule_id", "message", "scanner", F.col("file_path"), start(F.col("start_line")).alias("x"), F.coalesce("end_line", "start_line").alias("y"))
+    good_a, good_b = F.coalesce(F.col("b") >= F.col("a"), F.lit(False)), F.coalesce(F.col("y") >= F.col("x"), F.lit(False))
+    keys, hit = ["file_path", *intervals.KEYS], ["finding_id", "hit_id", "rule_id"]
+    good, whole = a.where(good_a), b.where(good_b)
+    # each pair comes about in one way: the hit begins in the finding, or before it, or is told by words alone
+    begun = intervals.first_of(intervals.at_place(whole, F.col("x"), intervals.top(good, F.col("a"), F.col("b"))), ["file_path"], order, limit)
+    over = intervals.in_blocks(good, F.col("a"), F.col("b")).join(begun, keys).select(*hit)
+    held = intervals.first_of(intervals.in_blocks(whole, F.col("x"), F.col("y")), ["file_path"], order, limit)
+    under = intervals.at_place(good, F.col("a"), intervals.top(whole, F.col("x"), F.col("y"))).join(held, keys).where(F.col("x") < F.col("a")).select(*hit)
+    near = F.coalesce((F.col("a") <= F.col("y")) & (F.col("x") <= F.col("b")), F.lit(False))
+    odd = [p.join(q, "file_path").where(near).select(*hit) for p, q in ((a.where(~good_a & F.col("a").isNotNull()), b), (good, b.where(~good_b)))]
+    words = F.array_compact(F.array(*[F.when(text.category_matches(F.lit(c), F.col("rule_id"), F.col("message"), F.col("scanner")), F.lit(c)) for c in fixed.CATEGORY_WORDS]))
+    said = top_per_group(b.select("file_path", F.explode(words).alias("category"), "hit_id", "rule_id", "x", "y"), ["file_path", "category"], order, limit)
+    by_words = a.join(said, ["file_path", "category"]).where(~near).select(*hit)
+    rows = over.unionByName(under).unionByName(odd[0]).unionByName(odd[1]).unionByName(by_words)
+    return top_per_group(rows, ["finding_id"], order, limit)
 
 
 def hit_context(hits: DataFrame, limit: int = 60) -> DataFrame:

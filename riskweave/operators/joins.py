@@ -189,9 +189,15 @@ def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
 
 def enclosing_symbols(lines: DataFrame, symbols: DataFrame, limit: int = 1) -> DataFrame:
     """Lines (line_id, file, line) to the narrowest symbols (file, name, start_line, end_line) around
-    them. The file is the key; spans are tested after it."""
-    rows = lines.join(symbols, "file").where((F.col("start_line") <= F.col("line")) & (F.col("line") <= F.col("end_line")))
-    w = Window.partitionBy("line_id").orderBy(F.col("end_line") - F.col("start_line"), F.desc("start_line"), "name")
+    them. A line meets the blocks of the symbols that hold it, and of a block's symbols the first few, so
+    a file of very many lines and symbols is no product."""
+    from . import intervals
+
+    order = lambda: [F.col("end_line") - F.col("start_line"), F.desc("start_line"), F.col("name")]
+    narrow = intervals.first_of(intervals.in_blocks(symbols, F.col("start_line"), F.col("end_line")), ["file"], order(), limit)
+    most = intervals.top(symbols, F.col("start_line"), F.col("end_line"))
+    rows = intervals.at_place(lines, F.col("line"), most).join(narrow, ["file", *intervals.KEYS]).drop(*intervals.KEYS)
+    w = Window.partitionBy("line_id").orderBy(*order())
     return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
 
 
