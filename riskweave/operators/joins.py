@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import packages, paths, text
-from ..functions.versions import version_in_range, version_matches
+from ..functions.versions import version_in_range
 
 
 def with_default_counts(left: DataFrame, right: DataFrame, key: str, name: str = "n") -> DataFrame:
@@ -28,8 +28,10 @@ def audit(dependencies: DataFrame, advisories: DataFrame) -> DataFrame:
     """Dependencies (id, ecosystem, name, version) with the advisories that affect them: keys of both
     sides meet, the version is tested, and the best kind of match of each advisory stays.
 
-    Versions are tested once for each distinct (version, advisory); a hot package is one key, which
-    the join splits, and the window holds a dependency's matches only."""
+    Versions and advisories are read once each, into keys in the order of versions; a pair is then a
+    comparison of keys. A hot package is one key, which the join splits, and the window holds a
+    dependency's matches only."""
+    from ..functions import versionkeys
     from ..functions.columns import lookup
 
     low = dependencies.withColumn("ecosystem", F.lower("ecosystem"))
@@ -37,8 +39,10 @@ def audit(dependencies: DataFrame, advisories: DataFrame) -> DataFrame:
     probes = probes.select("id", "ecosystem", "name", "version", "k.key", "k.match_type")
     built = advisory_keys(advisories.withColumn("ecosystem", F.lower("ecosystem")))
     pairs = probes.join(built.select("ecosystem", "key", F.col("id").alias("advisory_id")), ["ecosystem", "key"])
-    tested = pairs.select("version", "advisory_id").distinct().join(built.select(F.col("id").alias("advisory_id"), "ecosystem", "affected_ranges", "affected_range", "affected_versions").dropDuplicates(["advisory_id"]), "advisory_id")
-    holds = tested.where(version_matches("version", "affected_ranges", "affected_range", "affected_versions", "ecosystem")).select("version", "advisory_id")
+    bounds = versionkeys.advisory_bounds(built.select(F.col("id").alias("advisory_id"), "ecosystem", "affected_ranges", "affected_range", "affected_versions").dropDuplicates(["advisory_id"]))
+    keys = versionkeys.version_keys(probes)
+    tested = pairs.select("version", "advisory_id").distinct().join(bounds, "advisory_id").join(keys.select("version", F.struct(*[c for c in keys.columns if c != "version"]).alias("v")), "version")
+    holds = tested.where(versionkeys.affected(F.col("v"), F.col("ranges"), F.col("listed"))).select("version", "advisory_id")
     found = pairs.join(holds, ["version", "advisory_id"])
     w = Window.partitionBy("id", "advisory_id").orderBy(F.desc(lookup(F.col("match_type"), PRIORITY, 0)), "key")
     best = found.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r", "key")
