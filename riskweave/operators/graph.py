@@ -53,9 +53,10 @@ def boosts_by_degree(edges: DataFrame, least: int = 3) -> DataFrame:
     return in_degree(edges).where(F.col("calls") >= least).select(F.col("callee").alias("file_path"), (F.col("calls") * 2.0).alias("boost"))
 
 
-def reach(edges: DataFrame, starts: DataFrame, hops: int, backward: bool = False) -> DataFrame:
-    """(start, node, hops, path): every node within so many hops of each start, by a shortest path.
-    starts has one column, node; the path holds the nodes, start first."""
+def reach(edges: DataFrame, starts: DataFrame, hops: int, backward: bool = False, onward: bool = False) -> DataFrame:
+    """(start, node, hops, path, edges): every node within so many hops of each start, by a shortest path.
+    starts has one column, node; the path holds the nodes, start first. Of shortest paths the one of
+    the least edges counts, from the start on, or with onward in the direction of the calls."""
     a, b = ("callee", "caller") if backward else ("caller", "callee")
     steps = edges.groupBy(F.col(a).alias("at"), F.col(b).alias("to")).agg(F.min("edge_id").alias("edge_id"))
     seen = starts.select(F.col("node").alias("start"), "node", F.lit(0).alias("hops"), F.array("node").alias("path"), F.array().cast("array<bigint>").alias("edges")).distinct()
@@ -64,7 +65,7 @@ def reach(edges: DataFrame, starts: DataFrame, hops: int, backward: bool = False
     for i in range(1, hops + 1):
         if front.isEmpty():
             break
-        grown = front.join(steps, front.node == steps.at).select("start", F.col("to").alias("node"), F.lit(i).alias("hops"), F.array_append("path", F.col("to")).alias("path"), F.array_append("edges", F.col("edge_id")).alias("edges"))
+        grown = front.join(steps, front.node == steps.at).select("start", F.col("to").alias("node"), F.lit(i).alias("hops"), F.array_append("path", F.col("to")).alias("path"), (F.array_prepend if onward else F.array_append)("edges", F.col("edge_id")).alias("edges"))
         first = grown.withColumn("_r", F.row_number().over(Window.partitionBy("start", "node").orderBy("edges"))).where("_r = 1").drop("_r")
         # without the cut every hop would compute all hops before it again
         front = cut(first.join(seen.select("start", "node"), ["start", "node"], "left_anti").select(*seen.columns))
@@ -74,9 +75,22 @@ def reach(edges: DataFrame, starts: DataFrame, hops: int, backward: bool = False
 
 def find_path(edges: DataFrame, pairs: DataFrame, hops: int = 6) -> DataFrame:
     """(source, target, hops, path) of the pairs that a path of so many calls joins; a node reaches
-    itself by no call."""
-    found = reach(edges, pairs.select(F.col("source").alias("node")).distinct(), hops)
-    return pairs.join(found, (pairs.source == found.start) & (pairs.target == found.node)).select("source", "target", "hops", "path")
+    itself by no call.
+
+    The search goes half the way from both ends. On a shortest path every node is as far from the source
+    and from the target as the path says, so a path of each length is looked for at one node of it, its
+    middle; what is held is what lies within half the hops of an end."""
+    ahead = (hops + 1) // 2
+    ends = lambda c: pairs.select(F.col(c).alias("node")).where("node is not null").distinct()
+    out = reach(edges, ends("source"), ahead).select(F.col("start").alias("source"), "node", F.col("hops").alias("out_hops"), F.col("path").alias("out_path"), F.col("edges").alias("out_edges"))
+    back = reach(edges, ends("target"), hops - ahead, backward=True, onward=True).select(F.col("start").alias("target"), "node", F.col("hops").alias("back_hops"), F.col("path").alias("back_path"), F.col("edges").alias("back_edges"))
+    # the middle of a path of n calls is the node after the first half of them, rounded up
+    even = (F.col("out_hops") - F.col("back_hops")).isin(0, 1)
+    met = pairs.distinct().join(out, "source").join(back, ["target", "node"]).where(even)
+    total = F.col("out_hops") + F.col("back_hops")
+    path = F.concat("out_path", F.slice(F.reverse("back_path"), F.lit(2), F.greatest(F.size("back_path") - 1, F.lit(0))))
+    best = met.groupBy("source", "target").agg(F.min(F.struct(total.alias("hops"), F.concat("out_edges", "back_edges").alias("edges"), path.alias("path"))).alias("x"))
+    return pairs.join(best, ["source", "target"]).select("source", "target", "x.hops", "x.path")
 
 
 def entry_points(edges: DataFrame, targets: DataFrame, hops: int = 8) -> DataFrame:
