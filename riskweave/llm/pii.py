@@ -11,6 +11,10 @@ induced are new identifiers (kind ``id``). Seeds and new identifiers give suppor
 further patterns, until there are no more. What a fixed pattern looked at and refuted (a card
 number's length with a wrong check digit, say) is never an identifier; it counts against its patterns.
 
+Candidates are tokens with a digit, of LEAST characters and more: shorter numbers are counts, years and
+list marks far more often than identifiers. A frame's following word is looked for behind at most 16
+characters that belong to no word.
+
 The patterns found are broadcast if there are few (MOST_PATTERNS, MOST_CHARS), and then each row
 finds its own new identifiers; more of them meet their instances in joins.
 
@@ -31,7 +35,7 @@ from pyspark.sql import types as T
 from . import common
 
 KINDS = ("email", "ip", "card", "phone")
-ROUNDS, CONFIDENT, SUPPORT, SMOOTH = 3, 0.8, 5, 1.0
+ROUNDS, CONFIDENT, SUPPORT, SMOOTH, LEAST = 3, 0.8, 5, 1.0, 5
 #: Most patterns, and their code points together, that are broadcast.
 MOST_PATTERNS, MOST_CHARS = 1 << 16, 8 << 20
 
@@ -155,7 +159,7 @@ def instances(text: str | None, base: list[tuple[str, int, int]]) -> list[tuple[
         for m in _candidate.finditer(text):
             while i < len(taken) and taken[i][1] <= m.start():
                 i += 1
-            if m.end() - m.start() >= 5 and not (i < len(taken) and taken[i][0] < m.end()):
+            if m.end() - m.start() >= LEAST and not (i < len(taken) and taken[i][0] < m.end()):
                 out += [(p, m[0].lower(), False, refuted(m[0]), m.start(), m.end()) for p in patterns_of(text, m.start(), m.end())]
     return out
 

@@ -16,6 +16,9 @@ one row per task and no key grows hot; what is unique in a task meets the other
 in buckets of packed arrays. Positions of repeated windows return to their texts in buckets of
 rows. Beyond some 2**MOST_BITS repeated anchors more windows pass; the result stays the same.
 
+Copies of a text, whatever their ids, are one text for all this, so rows that repeat gather in no task:
+large classes of copies are folded before any shuffle.
+
 Defined cases: a null or empty text has no words; texts under 35 words keep all; repeated rows
 and repeated ids count as separate texts; an empty table gives an empty result. Of the input,
 only the id and the text are read; the output is the id, ``kept`` (the kept words, joined by
@@ -39,6 +42,8 @@ WINDOW, GRAM = 35, 20
 CELLS_PER_ANCHOR, CELLS_BEYOND, MOST_BITS, MOST_CELLS, BLOCK = 8, 4, 28, 40, 1 << 16
 #: Anchors, or windows, that a task holds before it passes them on; code points of a bucket.
 HELD, BUCKET_CHARS = 1 << 20, 4 << 20
+#: Classes of copies larger than rows / MOST_CLASSES are fewer than MOST_CLASSES, so their keys are broadcast.
+MOST_CLASSES = 1 << 18
 KNOWN = 65_535
 
 
@@ -280,11 +285,27 @@ def _cut(window: int):
                 w = [w[i] for i in keep]
             n_removed.append(n_words[-1] - len(w))
             kept.append(b" ".join(w).decode("utf-8", "surrogatepass"))
-        return pd.DataFrame({"id": docs["id"], "kept": kept, "n_words": np.array(n_words, np.int64), "n_removed": np.array(n_removed, np.int64)})
+        out = pd.DataFrame({"id": docs["id"], "kept": kept, "n_words": np.array(n_words, np.int64), "n_removed": np.array(n_removed, np.int64)})
+        return out[~docs["folded"].to_numpy(bool)] if "folded" in docs else out
 
     return run
 
 
+def _folded(docs: DataFrame, most: int, window: int) -> tuple[DataFrame, DataFrame]:
+    """Texts of which more than so many copies are there, as one folded row each, with all others; and the
+    copies' results, which need no search: a text with copies is repeated as a whole, or too short."""
+    same = {f"t{k}": F.xxhash64(F.lit(k), F.col("text")) for k in (1, 2)}
+    keyed = docs.withColumns(same)
+    large = F.broadcast(common.written(keyed.groupBy(*same).count().where(F.col("count") > most).select(*same)))
+    copies = keyed.join(large, list(same))
+    one = common.written(copies.groupBy(*same).agg(F.first("text").alias("text")))
+    one = one.select("text", F.col("t1").alias("key"), F.col("t2").alias("key2"), F.lit(None).cast("string").alias("id"), F.lit(True).alias("folded"))
+    rest = keyed.join(large, list(same), "left_anti").drop(*same).withColumn("folded", F.lit(False))
+    words = F.array_remove(F.split("text", "[\\x20\\x09-\\x0D]+", -1), "")
+    done = copies.select("id", words.alias("w")).select("id", F.when(F.size("w") >= window, "").otherwise(F.array_join("w", " ")).alias("kept"), F.size("w").cast("long").alias("n_words"), F.when(F.size("w") >= window, F.size("w")).otherwise(0).cast("long").alias("n_removed"))
+    return rest.unionByName(one), done
+
+
 def remove_repeated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """id, kept, n_words, n_removed of every row; see the module."""
     if not 0 < gram <= window:
@@ -292,11 +313,12 @@ def remove_repeated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     spark, id_type = df.sparkSession, df.schema[id_col].dataType.simpleString()
     half = lambda salt: F.xxhash64(F.lit(salt), F.col(id_col), F.col(text_col))
     docs = df.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), half(1).alias("key"), half(2).alias("key2"), F.col(id_col).cast("string").alias("id"))
-    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    rows, chars = docs.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+    docs, copied = _folded(docs, max(1, rows // MOST_CLASSES), window)
     places = max(64, chars // BUCKET_CHARS)
     sent = spark.sparkContext.broadcast(sketch(docs, chars, window, gram))
     found = docs.select("text", "key", "key2").mapInArrow(_windows(sent, window, gram, places), "bucket int, h1 binary, h2 binary, idx binary, pos binary, keys binary")
     marks = found.groupBy("bucket").applyInPandas(_grouped(places), "place int, keys binary, n binary, pos binary")
     placed = docs.withColumn("place", F.pmod("key", F.lit(places)).cast("int"))
     out = placed.groupBy("place").cogroup(marks.groupBy("place")).applyInPandas(_cut(window), "id string, kept string, n_words long, n_removed long")
-    return out.select(F.col("id").cast(id_type).alias(id_col), "kept", "n_words", "n_removed")
+    return out.unionByName(copied).select(F.col("id").cast(id_type).alias(id_col), "kept", "n_words", "n_removed")

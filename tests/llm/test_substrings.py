@@ -80,3 +80,18 @@ def test_sketch_larger_than_its_bitmaps(spark, monkeypatch):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = Counter((x.doc_id, x.n_words, x.n_removed, x.kept) for x in S.remove_repeated(df).collect())
     assert got == Counter((i, *x) for i, x in enumerate(brute(texts, S.WINDOW)))
+
+
+def test_rows_that_repeat_are_folded_or_not(spark, monkeypatch):
+    r = random.Random(6)
+    word = lambda n: " ".join(f"w{r.randrange(400)}" for _ in range(n))
+    texts = [word(60) for _ in range(40)]
+    texts += [None] * 300 + [texts[0]] * 200 + ["few\t words  here"] * 50 + [f"{word(9)} {texts[1]} {word(3)}", texts[2] + " x"]
+    df = spark.createDataFrame([(None if t is None else i % 7, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(6)
+    want = Counter((None if t is None else i % 7, *x) for i, (t, x) in enumerate(zip(texts, brute(texts, S.WINDOW))))
+    for classes in (1 << 18, 1):
+        monkeypatch.setattr(S, "MOST_CLASSES", classes)
+        assert Counter((x.doc_id, x.n_words, x.n_removed, x.kept) for x in S.remove_repeated(df).collect()) == want
+    docs = df.selectExpr("coalesce(text, '') text", "xxhash64(1, doc_id, text) key", "xxhash64(2, doc_id, text) key2", "cast(doc_id as string) id")
+    rest, done = S._folded(docs, 1, S.WINDOW)
+    assert rest.groupBy("key", "key2").count().agg({"count": "max"}).first()[0] == 1 and done.count() == 551
