@@ -15,3 +15,4 @@ from . import patch_queries  # noqa: F401
 from . import reply_queries  # noqa: F401
 from . import scope_queries  # noqa: F401
 from . import rule_queries  # noqa: F401
+from . import feed_queries  # noqa: F401
