@@ -1,9 +1,8 @@
-"""Lineage cuts and streamed groups for iterative and grouped operators."""
+"""Lineage cuts for iterative operators."""
 
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,29 +23,3 @@ def cut(df: DataFrame) -> DataFrame:
     """A checkpoint in the shared folder."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
-
-
-def streamed_groups(df: DataFrame, key: str, order: str, fn: Callable, schema: str) -> DataFrame:
-    """Applies fn(key, rows) -> rows to each key's rows in order, rows being lists of tuples. Groups
-    stream through sorted partitions, which costs far less than a call for each of many small groups."""
-
-    def run(frames):
-        import pandas as pd
-
-        names = [c.split()[0] for c in schema.split(", ")]
-        held, now = [], None
-        for pdf in frames:
-            out = []
-            for row in pdf.itertuples(index=False, name=None):
-                if held and row[0] != now:
-                    out += fn(now, held)
-                    held = []
-                now = row[0]
-                held.append(row)
-            if out:
-                yield pd.DataFrame(out, columns=names)
-        if held:
-            yield pd.DataFrame(fn(now, held), columns=names)
-
-    rows = df.select(key, *[c for c in df.columns if c != key])
-    return rows.repartition(key).sortWithinPartitions(key, order).mapInPandas(run, schema)

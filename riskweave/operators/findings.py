@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed, paths, scores, text
 from ..functions.columns import empty, lookup
-from ..lineage import streamed_groups
+from ..lineage import cut
 from . import intervals
 
 
@@ -261,33 +261,35 @@ def dedupe_flows(flows: DataFrame) -> DataFrame:
 
 
 def clusters(findings: DataFrame) -> DataFrame:
-    """Greedy clusters of a scan: the first free finding gathers those of its file, category or
-    directory. The order decides, so a scan is one group (its findings are a report's, not a
-    corpus's), gone through in time proportional to its findings; clusters of one are left out."""
-
-    def of(scan, rows):
-        home = lambda path: path.rsplit("/", 1)[0] if "/" in path else ""
-        keys = [(("file", r[2]), ("category", r[3]), ("home", home(r[2]))) for r in rows]
-        near: dict = {}
-        for i, own in enumerate(keys):
-            for k in own:
-                near.setdefault(k, []).append(i)
-        out, n, taken = [], 0, bytearray(len(rows))
-        for i, own in enumerate(keys):
-            if taken[i]:
-                continue
-            taken[i] = 1
-            # whoever looks at a key takes all of it, so each is gone through once
-            found = sorted({j for k in own if k != ("home", "") for j in near.pop(k, ()) if not taken[j]})
-            if found:
-                out += [(scan, n, rows[j][1]) for j in (i, *found)]
-                n += 1
-                for j in found:
-                    taken[j] = 1
-        return out
-
-    rows = findings.select("scan_id", "finding_id", F.coalesce("file_path", F.lit("")).alias("file_path"), F.coalesce("category", F.lit("")).alias("category"))
-    return streamed_groups(rows, "scan_id", "finding_id", of, "scan_id long, cluster int, finding_id long")
+    """Greedy clusters of a scan: the first free finding gathers the free ones of its file, category or
+    directory; clusters of one are left out, the others numbered in order. Rows that repeat are one; those without a
+    scan or an id belong to no cluster.
+
+    A finding leads a cluster if no earlier leader shares a key with it. So whoever comes first under all
+    of its keys leads, those that share a key with a leader are out, and so on: rounds of aggregates and
+    joins on keys, in which a scan or a key of any size is spread. Then each finding goes to its earliest
+    leader; under one key there is one leader at most."""
+    home = F.regexp_extract("file_path", "^(.*)/[^/]*$", 1)
+    key = lambda kind, value: F.concat(F.lit(kind), value)
+    # findings of one file share its directory; only at the root the file counts by itself
+    keys = F.array(key("c", F.col("category")), F.when(F.col("file_path").contains("/") & (home != ""), key("d", home)).otherwise(key("f", F.col("file_path"))))
+    rows = findings.where("scan_id is not null and finding_id is not null").select("scan_id", F.struct("finding_id", F.coalesce("file_path", F.lit("")).alias("file_path"), F.coalesce("category", F.lit("")).alias("category")).alias("row"))
+    rows = cut(rows.distinct().select("scan_id", "row", "row.file_path", "row.category").select("scan_id", "row", keys.alias("keys")))
+    under = lambda df: df.select("scan_id", "row", F.explode("keys").alias("key"))
+    active, leaders = rows, None
+    while not active.isEmpty():
+        first = under(active).groupBy("scan_id", "key").agg(F.min("row").alias("first"))
+        lead = under(active).join(first, ["scan_id", "key"]).groupBy("scan_id", "row").agg(F.bool_and(F.col("row") == F.col("first")).alias("leads")).where("leads").drop("leads")
+        lead = cut(active.join(lead, ["scan_id", "row"], "left_semi"))
+        leaders = lead if leaders is None else leaders.unionByName(lead)
+        out = under(active).join(under(lead).select("scan_id", "key").distinct(), ["scan_id", "key"], "left_semi").select("scan_id", "row").distinct()
+        active = cut(active.join(out, ["scan_id", "row"], "left_anti"))
+    if leaders is None:
+        return rows.select(F.col("scan_id").cast("long"), F.lit(0).alias("cluster"), F.col("row.finding_id").cast("long").alias("finding_id"))
+    led = under(rows).join(under(leaders).select("scan_id", "key", F.col("row").alias("leader")), ["scan_id", "key"]).groupBy("scan_id", "row").agg(F.min("leader").alias("leader"))
+    large = led.groupBy("scan_id", "leader").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    place = F.row_number().over(Window.partitionBy("scan_id").orderBy("leader")) - 1
+    return led.join(large.withColumn("cluster", place), ["scan_id", "leader"]).select(F.col("scan_id").cast("long"), F.col("cluster").cast("int"), F.col("row.finding_id").cast("long").alias("finding_id"))
 
 
 def guardrails(findings: DataFrame, context: Column) -> DataFrame:

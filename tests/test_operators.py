@@ -239,3 +239,25 @@ def test_a_table_is_not_written_over_what_it_reads(spark, tmp_path):
         sinks.write_json(again, path)
     sinks.write_json(again, str(tmp_path / "u"))
     assert spark.read.json(str(tmp_path / "u")).count() == 5 and spark.read.parquet(path).count() == 5
+
+
+def test_clusters_of_one_hot_scan(spark):
+    rows = spark.range(30_000).selectExpr("cast(1 as long) scan_id", "id finding_id", "concat('d', cast(id % 4000 as string), '/f.py') file_path", "concat('c', cast(id % 4001 as string)) category")
+    got = findings.clusters(rows).collect()
+    pairs = [(x % 4000, x % 4001) for x in range(30_000)]
+    homes, kinds, want, n, taken = {}, {}, [], 0, [False] * 30_000
+    for i, (h, c) in enumerate(pairs):
+        homes.setdefault(h, []).append(i)
+        kinds.setdefault(c, []).append(i)
+    for i, (h, c) in enumerate(pairs):
+        if not taken[i]:
+            near = sorted({j for j in homes[h] + kinds[c] if j > i and not taken[j]})
+            for j in near:
+                taken[j] = True
+            if near:
+                want += [(1, n, j) for j in (i, *near)]
+                n += 1
+    assert sorted((x.scan_id, x.cluster, x.finding_id) for x in got) == sorted(want) and n > 1000
+    odd = spark.createDataFrame([(None, 1, "a/b", "x"), (1, None, "a/b", "x"), (1, 2, None, None), (1, 3, None, None), (1, 3, None, None)], "scan_id long, finding_id long, file_path string, category string")
+    assert sorted((x.cluster, x.finding_id) for x in findings.clusters(odd).collect()) == [(0, 2), (0, 3)]
+    assert findings.clusters(odd.limit(0)).count() == 0
