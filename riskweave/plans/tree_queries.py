@@ -355,7 +355,7 @@ def exported_components(spark, sf_dir):
     """Exported parts of manifests with the files that their class is named by."""
     facts = structure.android(files_of_parts(spark, sf_dir, "AndroidManifest.xml", ANDROID_MANIFEST)).where("kind = 'exported'")
     named = structure.component_sources(facts.select(F.col("name").alias("component"), F.lit("p").alias("package")), _sources(spark, sf_dir).where("path like '%/My%'"))
-    return facts.select(F.col("name").alias("component"), F.col("detail").alias("kind")).join(named, "component")
+    return facts.select(F.col("name").alias("component"), F.col("detail").alias("kind")).join(named.hint("merge"), "component")
 
 
 def _labelled(name: str, kinds: list, content: str, found: list[tuple[str, int]]):

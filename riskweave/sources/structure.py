@@ -219,16 +219,19 @@ def component_sources(components: DataFrame, files: DataFrame, limit: int = 5) -
     """(component, path) of the source files of Android parts (component, package): files whose path ends
     in the class's file name, else those that declare a class of that name, the first so many.
 
-    The ends of file names meet the wanted names by equality."""
+    The ends of file names that are as long as a wanted name meet it by equality. Both sides may be as large as
+    the tree, whatever a plan expects of them, so neither is broadcast."""
     full = F.when(F.col("component").startswith("."), F.concat(F.coalesce("package", F.lit("")), "component")).otherwise(F.trim("component"))
     wanted = components.select("component", F.regexp_extract(full, r"([^.]+)$", 1).alias("class")).distinct()
     named = wanted.select("component", F.explode(F.array(F.concat("class", F.lit(".java")), F.concat("class", F.lit(".kt")))).alias("end"))
     base = F.regexp_extract("path", "([^/]*)$", 1)
-    ends = files.where(F.col("path").rlike(r"\.(java|kt)$")).select("path", F.explode(F.transform(F.sequence(F.lit(1), F.length(base)), lambda i: F.substring(base, i, F.length(base)))).alias("end"))
-    by_name = named.join(ends, "end").select("component", "path").distinct()
-    rest = wanted.join(by_name.select("component").distinct(), "component", "left_anti")
+    sizes = F.broadcast(named.agg(F.collect_set(F.length("end")).alias("_sizes")))
+    sources = files.where(F.col("path").rlike(r"\.(java|kt)$")).select("path", base.alias("_base")).crossJoin(sizes)
+    ends = sources.select("path", F.explode(F.transform(F.filter("_sizes", lambda n: n <= F.length("_base")), lambda n: F.right("_base", n))).alias("end"))
+    by_name = named.join(ends.hint("merge"), "end").select("component", "path").distinct()
+    rest = wanted.join(by_name.select("component").distinct().hint("merge"), "component", "left_anti")
     declared = files.where(F.col("path").endswith(".java")).select("path", F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(r"class\s+(\w+)\s"), F.lit(1)))).alias("class"))
-    by_class = rest.join(declared, "class").select("component", "path").distinct()
+    by_class = rest.join(declared.hint("merge"), "class").select("component", "path").distinct()
     few = by_class.withColumn("_r", F.row_number().over(Window.partitionBy("component").orderBy("path"))).where(F.col("_r") <= limit).drop("_r")
     return by_name.unionByName(few)
 
