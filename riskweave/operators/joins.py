@@ -58,12 +58,24 @@ def in_affected_range(versions: DataFrame, ranges: DataFrame, key: str) -> DataF
 
 def imports_of_packages(dependencies: DataFrame, imports: DataFrame) -> DataFrame:
     """External imports (source_file, import_module) with the dependencies they may mean, best alias
-    of each: aliases meet the import's prefixes by equality, then the pair is scored."""
-    alias = dependencies.select("id", "name", "ecosystem", F.explode(packages.import_aliases(F.col("name"), F.col("ecosystem"))).alias("alias"))
-    prefix = imports.where("is_external").withColumn("alias", F.explode(packages.import_candidates(F.col("import_module"))))
-    pairs = prefix.join(alias, "alias").select("id", "name", "ecosystem", "source_file", "import_module", "line").distinct()
-    scored = pairs.withColumn("m", packages.import_match(F.col("name"), F.col("ecosystem"), F.col("import_module"))).where("m is not null")
-    return scored.select("id", "source_file", "import_module", "line", F.round("m.confidence", 2).alias("confidence"), "m.kind", "m.alias")
+    of each: aliases meet the import's prefixes by equality, then the pair is scored.
+
+    Names and modules are met and scored once each; the product of the imports of a module and the
+    dependencies of its names is made last and shuffled nowhere."""
+    outside = imports.where("is_external").select("source_file", "import_module", "line").distinct()
+    named = dependencies.select("id", F.col("name").alias("package"), "ecosystem").distinct()
+    ids = packages_of_modules(named, outside).join(named, ["package", "ecosystem"])
+    meant = ids.select("import_module", F.struct("id", "package", "ecosystem", F.round("m.confidence", 2).alias("confidence"), "m.kind", "m.alias").alias("_d"))
+    return products.paired(outside, meant, ["import_module"], "_d").select("_d.id", "source_file", "import_module", "line", "_d.confidence", "_d.kind", "_d.alias")
+
+
+def packages_of_modules(named: DataFrame, imports: DataFrame) -> DataFrame:
+    """(package, ecosystem, import_module, m): the modules that may mean a package, scored. Each distinct package
+    and module meet by equality of an alias with a beginning of the module."""
+    alias = named.select("package", "ecosystem").distinct().withColumn("alias", F.explode(packages.import_aliases(F.col("package"), F.col("ecosystem"))))
+    begins = imports.select("import_module").distinct().withColumn("alias", F.explode(packages.import_reach(F.col("import_module"))))
+    pairs = begins.join(alias, "alias").select("package", "ecosystem", "import_module").distinct()
+    return pairs.withColumn("m", packages.import_match(F.col("package"), F.col("ecosystem"), F.col("import_module"))).where("m is not null")
 
 
 def function_index(advisories: DataFrame, cap: int | None = None) -> DataFrame:
@@ -78,13 +90,16 @@ def function_index(advisories: DataFrame, cap: int | None = None) -> DataFrame:
 
 
 def vulnerable_calls(calls: DataFrame, index: DataFrame, imports: DataFrame, dependencies: DataFrame, limit: int = 10) -> DataFrame:
-    """Calls (file, function, line) of functions that advisories name. Evidence is strong where the
+    """Calls (file, function, line) of functions that advisories name. Packages and modules meet once each by
+    equality of names, not in each file. Evidence is strong where the
     file imports the package and it is a vulnerable dependency, medium where it is imported, else
     weak; an advisory counts once for a file, at its best and first call."""
     hits = calls.withColumn("function", F.lower("function")).join(index, "function")
-    pairs = hits.select("file", "advisory_id", "package", "ecosystem").distinct().join(imports.where("is_external").select(F.col("source_file").alias("file"), "import_module"), "file")
-    sure = pairs.withColumn("m", packages.import_match(F.col("package"), F.col("ecosystem"), F.col("import_module"))).where("m is not null")
-    sure = sure.groupBy("file", "advisory_id").agg(F.max("m.confidence").alias("import_confidence"))
+    outside = imports.where("is_external").select(F.col("source_file").alias("file"), "import_module").distinct()
+    meant = packages_of_modules(index, outside).groupBy("import_module", "package", "ecosystem").agg(F.max("m.confidence").alias("confidence"))
+    told = outside.join(meant, "import_module").groupBy("file", "package", "ecosystem").agg(F.max("confidence").alias("confidence"))
+    sure = hits.select("file", "advisory_id", "package", "ecosystem").distinct().join(told, ["file", "package", "ecosystem"])
+    sure = sure.groupBy("file", "advisory_id").agg(F.max("confidence").alias("import_confidence"))
     low = dependencies.withColumn("ecosystem", F.lower("ecosystem"))
     owned = low.select("ecosystem", F.explode(packages.index_keys(F.col("name"), F.col("ecosystem"))).alias("key")).distinct()
     known = index.select("advisory_id", "ecosystem", F.explode(packages.index_keys(F.col("package"), F.col("ecosystem"))).alias("key")).join(owned, ["ecosystem", "key"], "left_semi").select("advisory_id").distinct()
