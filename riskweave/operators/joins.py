@@ -280,5 +280,7 @@ def function_usage(symbols: DataFrame, calls: DataFrame) -> DataFrame:
     vulnerable symbols (id, symbol): their tokens, or object and function together, meet by equality."""
     wanted = symbols.select("id", F.explode(text.symbol_tokens(F.col("symbol"))).alias("token")).distinct()
     low, owner = F.lower("function"), F.lower(F.coalesce("object", F.lit("")))
-    said = F.array_distinct(F.array(low, F.when(owner != "", F.concat_ws(".", owner, low)).otherwise(low)))
-    return calls.withColumn("token", F.explode(said)).join(wanted, "token").select("id", "file", "function", "line").distinct()
+    said = F.array(low, F.when(owner != "", F.concat_ws(".", owner, low)).otherwise(low))
+    spots = calls.withColumn("_said", F.explode(said)).groupBy("file", "function", "line").agg(F.sort_array(F.collect_set("_said")).alias("_said"))
+    ids = spots.select("_said").distinct().withColumn("token", F.explode("_said")).join(wanted, "token").select("_said", "id").distinct()
+    return products.paired(spots, ids, ["_said"], "id").select("id", "file", "function", "line")
