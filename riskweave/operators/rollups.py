@@ -71,7 +71,8 @@ def in_component(findings: DataFrame, components: DataFrame, separator: bool) ->
         lengths = parted.agg(F.sort_array(F.collect_set(F.length("_prefix"))).alias("ns")).first().ns
         cuts = F.array_compact(F.array(*[F.when(F.length(path) >= n, F.substring(path, 1, n)) for n in lengths])) if lengths else F.array().cast("array<string>")
     owners = files.withColumn("_prefix", F.explode(cuts)).join(parted, "_prefix").select("file_path", "component").distinct()
-    return findings.join(owners, "file_path").join(components.drop("files"), "component")
+    # a component's own columns are added to its paths, as a join of findings by component would gather each in a task
+    return findings.join(owners.join(components.drop("files"), "component"), "file_path")
 
 
 def component_scores(findings: DataFrame, components: DataFrame) -> DataFrame:
