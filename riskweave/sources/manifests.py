@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import packages
+from . import yamltext
 
 SCHEMA = "ecosystem string, name string, version string, source_file string, is_dev boolean"
 Found = Iterator[tuple[str, object, bool]]
@@ -168,9 +169,7 @@ def composer_json(text: str) -> Found:
 
 
 def pubspec_lock(text: str) -> Found:
-    import yaml
-
-    for name, p in (yaml.safe_load(text).get("packages") or {}).items():
+    for name, p in (yamltext.load(text).get("packages") or {}).items():
         if isinstance(p, dict) and p.get("source") not in ("path", "git"):
             about = p.get("description")
             yield (about.get("name") if isinstance(about, dict) else None) or name, str(p.get("version") or ""), "dev" in str(p.get("dependency") or "")
@@ -287,9 +286,7 @@ def _cargo_names(text: str) -> list[str]:
 
 
 def _pubspec_names(text: str) -> list[str]:
-    import yaml
-
-    data = yaml.safe_load(text) or {}
+    data = yamltext.load(text) or {}
     return [n for s in ("dependencies", "dev_dependencies") for n in (data.get(s) or {})]
 
 

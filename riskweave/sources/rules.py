@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import any_of
+from . import yamltext
 from .literals import Rule, scanner
 
 RULE = "path string, id string, languages array<string>, severity string, message string, pattern_regex string, regexes array<string>, not_regexes array<string>, metavariables array<struct<name string, regex string>>, includes array<string>, excludes array<string>"
@@ -57,7 +58,7 @@ def read(files: DataFrame) -> DataFrame:
             rows = []
             for path, content in zip(f["path"], f["content"], strict=True):
                 try:
-                    found = (yaml.safe_load(content or "") or {}).get("rules") or []
+                    found = (yamltext.load(content or "") or {}).get("rules") or []
                 except (yaml.YAMLError, AttributeError, RecursionError):
                     found = []
                 for r in found:
