@@ -30,8 +30,8 @@ def audit(dependencies: DataFrame, advisories: DataFrame) -> DataFrame:
     sides meet, the version is tested, and the best kind of match of each advisory stays.
 
     Versions and advisories are read once each, into keys in the order of versions; a pair is then a
-    comparison of keys. A hot package is one key, which the join splits, and the window holds a
-    dependency's matches only."""
+    comparison of keys. Names meet packages, and names and versions meet advisories, once each, however many
+    dependencies have them; the product of dependencies and advisories is made last and shuffled nowhere."""
     from ..functions import versionkeys
     from ..functions.columns import lookup
 
@@ -50,11 +50,11 @@ def audit(dependencies: DataFrame, advisories: DataFrame) -> DataFrame:
     meant = what.join(pairs, ["ecosystem", "name"])
     tested = meant.select("version", "advisory_id").distinct().join(bounds, "advisory_id").join(keys.select("version", F.struct(*[c for c in keys.columns if c != "version"]).alias("v")), "version")
     holds = tested.where(versionkeys.affected(F.col("v"), F.col("ranges"), F.col("listed"))).select("version", "advisory_id")
-    found = pairs.join(holds, ["version", "advisory_id"])
-    w = Window.partitionBy("id", "advisory_id").orderBy(F.desc(lookup(F.col("match_type"), PRIORITY, 0)), "key")
-    best = found.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r", "key")
+    first = F.min(F.struct("how", "name", "version", "ecosystem")).alias("b")
+    best = meant.join(holds, ["version", "advisory_id"]).groupBy("_is", "advisory_id").agg(first)
     facts = advisories.select(F.col("id").alias("advisory_id"), F.lower(F.coalesce("severity", F.lit("medium"))).alias("severity"), F.substring("details", 1, 500).alias("details"), F.slice("references", 1, 3).alias("references"))
-    return best.join(facts, "advisory_id")
+    told = F.struct("advisory_id", "b.ecosystem", "b.name", "b.version", "b.how.match_type", "severity", "details", "references")
+    return products.paired(each, best.join(facts, "advisory_id").select("_is", told.alias("_a")), ["_is"], "_a").select("id", "_a.*")
 
 
 def in_affected_range(versions: DataFrame, ranges: DataFrame, key: str) -> DataFrame:
@@ -283,7 +283,10 @@ def title_words(a: str, b: str):
 
 def function_usage(symbols: DataFrame, calls: DataFrame) -> DataFrame:
     """(id, file, function, line) of calls (file, function, object, line) that may be of a dependency's
-    vulnerable symbols (id, symbol): their tokens, or object and function together, meet by equality."""
+    vulnerable symbols (id, symbol): their tokens, or object and function together, meet by equality.
+
+    What is said is met with the symbols once; every call of it then has the same ids, each once, so the
+    product of calls and ids is made last and shuffled nowhere."""
     wanted = symbols.select("id", F.explode(text.symbol_tokens(F.col("symbol"))).alias("token")).distinct()
     low, owner = F.lower("function"), F.lower(F.coalesce("object", F.lit("")))
     said = F.array(low, F.when(owner != "", F.concat_ws(".", owner, low)).otherwise(low))
