@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..session import table
+from ..session import spread, table
 from ..sources import structure
 from .registry import query
 from .source_queries import filled
@@ -32,7 +32,7 @@ def _facts(spark, sf_dir):
     key, some = F.col("p_partkey"), (F.col("p_partkey") % len(_LANGUAGES)).cast("int")
     pick = lambda values: F.get(F.array(*[F.lit(v) for v in values]), some)
     path = F.concat(F.lit("m"), key.cast("string"))
-    return structure.facts(table(spark, sf_dir, "part").select(path.alias("path"), pick(_LANGUAGES).alias("language"), filled(pick([NESTED[n][0] for n in _LANGUAGES]), key).alias("content")))
+    return structure.facts(spread(table(spark, sf_dir, "part").select("p_partkey"), "p_partkey").select(path.alias("path"), pick(_LANGUAGES).alias("language"), filled(pick([NESTED[n][0] for n in _LANGUAGES]), key).alias("content")))
 
 
 def _values(rows, *types: str) -> str:

@@ -269,7 +269,7 @@ OSV_RECORD = '{"id":"X-KEY","aliases":["CVE-KEY"],"summary":"s","severity":[{"ty
 @query("q016_convert_osv", "SELECT 'X-' || p_partkey AS id, 'npm' AS ecosystem, 'p' || p_partkey AS package, 'critical' AS severity, 9.8::DOUBLE AS cvss_score, '>=0,<' || p_size || '.0.0 || >=90.0.0,<=91.0.0' AS affected_range, p_size || '.0.0' AS fixed_version FROM part UNION ALL SELECT 'X-' || p_partkey, 'pypi', 'q', 'critical', 9.8, '', NULL FROM part")
 def convert_osv(spark, sf_dir):
     """One advisory for each record and package."""
-    records = table(spark, sf_dir, "part").select(F.from_json(filled(OSV_RECORD, F.col("p_partkey"), F.col("p_size")), advisories.OSV).alias("r")).select("r.*")
+    records = spread(table(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_partkey").select(F.from_json(filled(OSV_RECORD, F.col("p_partkey"), F.col("p_size")), advisories.OSV).alias("r")).select("r.*")
     return advisories.from_osv(records).select("id", "ecosystem", "package", "severity", "cvss_score", "affected_range", "fixed_version")
 
 
