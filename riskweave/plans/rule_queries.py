@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..session import table
+from ..session import spread, table
 from ..sources import rules
 from .registry import query
 from .source_queries import filled
@@ -33,11 +33,11 @@ WHERE NOT (doc_id % 4 = 0 AND k % 2 = 0)""",
 )
 def rule_hits(spark, sf_dir):
     """Lines of documents that rules made from parts match: paths, groups and what must not match count."""
-    part = table(spark, sf_dir, "part")
+    part = spread(table(spark, sf_dir, "part").select("p_partkey"), "p_partkey")
     excluded = F.when(F.col("p_partkey") % 2 == 0, "vendor").otherwise("none")
     yaml = F.replace(filled(F.lit(_RULE), F.col("p_partkey")), F.lit("EXCLUDED"), excluded)
     corpus = rules.read(part.select(filled(F.lit("rKEY.yaml"), F.col("p_partkey")).alias("path"), yaml.alias("content")))
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
     text = F.lit(_SEEDED)
     for word, value in (("_A_", F.concat(F.lit("_"), (F.col("doc_id") % 500).cast("string"), F.lit("_"))), ("_B_", F.concat(F.lit("_"), (F.col("doc_id") % 7).cast("string"), F.lit("_"))), ("TEXT", F.coalesce("text", F.lit("")))):
         text = F.replace(text, F.lit(word), value)

@@ -12,12 +12,12 @@ from re import _parser
 #: Shorter literals tell too little.
 LEAST = 2
 #: Letters that match an ASCII letter when case does not count, though their lower case is another.
-_like = str.maketrans({"ſ": "s", "ı": "i", "İ": "i", "\u212a": "k"})
+LIKE = str.maketrans({"ſ": "s", "ı": "i", "İ": "i", "\u212a": "k"})
 
 
 def folded(text: str) -> str:
     """The text in lower case, letters at their places."""
-    return text.translate(_like).lower()
+    return text.translate(LIKE).lower()
 
 
 def _best(options: list[list[str]]) -> list[str] | None:
@@ -172,6 +172,77 @@ class Scanner:
                 yield k + 1, tried.rule.id, tried.rule.severity
 
 
+#: Lengths of the ends of literals that texts are searched for.
+ENDS = (2, 3, 4, 6, 8, 12, 16, 24)
+#: Code points of texts that are searched at once.
+STRETCH = 1 << 20
+_BASE, _MIX, _WORD = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, (1 << 64) - 1
+
+
+def end_of(literal: str) -> tuple[int, int, int]:
+    """The hash of a literal's end, how long that end is, and its last two characters as a number."""
+    size = max(n for n in ENDS if n <= len(literal))
+    value = size
+    for b in literal[-size:].encode():
+        value = (value * _BASE + b) & _WORD
+    return value - (1 << 64) if value >> 63 else value, size, ord(literal[-2]) << 8 | ord(literal[-1])
+
+
+def bits_of(ends, size: int):
+    """The two bits of a filter of so many (a power of two) that stand for each hash."""
+    h = ends.view("uint64")
+    h = (h ^ (h >> 31)) * _MIX
+    h ^= h >> 29
+    return h & (size - 1), (h >> 33) & (size - 1)
+
+
+class Ends:
+    """A filter of the ends of literals of any number: pairs of last characters by length, then bits for
+    hashes. It may take a place for an end that is none, never the other way round."""
+
+    def __init__(self, pairs: list[tuple[int, int]], bits: bytes):
+        import numpy as np
+
+        self.bits, self.pairs = np.frombuffer(bits, "uint8"), {}
+        for size, pair in pairs:
+            self.pairs.setdefault(size, np.zeros(1 << 16, bool))[pair] = True
+
+    def found(self, buffer):
+        """(first place, hash) of the ends in an array of bytes, as arrays for each length."""
+        import numpy as np
+
+        pair = buffer[:-1].astype("uint16") << 8 | buffer[1:]
+        for size, table in self.pairs.items():
+            at = np.flatnonzero(table[pair[size - 2 :]])
+            value = np.full(len(at), size, "uint64")
+            for j in range(size):
+                value = value * _BASE + buffer[at + j]
+            held = np.ones(len(at), bool)
+            for bit in bits_of(value, len(self.bits) * 8):
+                held &= self.bits[bit >> 3] >> (bit & 7).astype("uint8") & 1 == 1
+            yield at[held], value[held].view("int64")
+
+    def lines(self, texts: list[str]):
+        """(index of the text, line from 1, its text, hash) of the lines in which ends may stand, each once."""
+        import numpy as np
+
+        whole = "\n".join(texts)
+        buffer = np.frombuffer(folded(whole).encode("ascii", "replace"), "uint8")
+        breaks = np.flatnonzero(buffer == 10)
+        sizes = np.fromiter(map(len, texts), "int64", len(texts))
+        first = np.cumsum(sizes + 1) - sizes - 1
+        seen = []
+        for begin in range(0, len(buffer), STRETCH):
+            for at, value in self.found(buffer[begin : begin + STRETCH + max(ENDS) - 1]):
+                seen.append(np.stack([np.searchsorted(breaks, at + begin), value]))
+        if not seen:
+            return
+        for k, value in np.unique(np.concatenate(seen, axis=1), axis=1).T.tolist():
+            a, b = int(breaks[k - 1]) + 1 if k else 0, int(breaks[k]) if k < len(breaks) else len(whole)
+            i = int(np.searchsorted(first, a, "right")) - 1
+            yield i, k - int(np.searchsorted(breaks, first[i])) + 1, whole[a:b], value
+
+
 _scanners: dict[str, Scanner] = {}
 
 

@@ -4,20 +4,26 @@ caller's, so that a corpus of any layout can be used."""
 
 from __future__ import annotations
 
+import functools
+import json
 import uuid
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import any_of
+from ..lineage import cut
 from . import yamltext
-from .literals import Rule, scanner
+from .literals import LIKE, STRETCH, Ends, Rule, Tried, bits_of, end_of, literals, scanner
 
 RULE = "path string, id string, languages array<string>, severity string, message string, pattern_regex string, regexes array<string>, not_regexes array<string>, metavariables array<struct<name string, regex string>>, includes array<string>, excludes array<string>"
 RULE_COLUMNS = "path id languages severity message pattern_regex regexes not_regexes metavariables includes excludes".split()
-#: Rules whose expressions go to the tasks at once.
+#: Rules whose expressions go to the tasks at once, and that a worker keeps.
 BLOCK = 20_000
+#: Bits, as powers of two, of a filter's slice and of the largest filter (32 MB).
+SLICE, FILTER = 21, 28
 #: Languages of rules that read files of every language.
 ANY_LANGUAGE = {"regex", "generic", "none"}
 
@@ -135,26 +141,43 @@ def matches(files: DataFrame, rules: DataFrame) -> DataFrame:
     """(path, line, rule_id, severity) of the lines of files (path, content, and language if rules are
     to be held against it) that rules of expressions match.
 
-    One scan of a text by an automaton of the literals that expressions cannot do without tells which
-    rules may match which lines; only those are tried. Rules come in blocks of a bounded number, each
-    one pass over the files, so their number has no limit."""
-    out = None
-    for block in _blocks(rules):
+    Literals that expressions cannot do without tell which rules may match which lines: one pass over the
+    files finds the lines in which ends of literals may stand, and these meet the rules by equality, so
+    neither the passes nor what the driver holds grow with the rules. A filter of bounded size comes before
+    the join; it only spares rows. Rules without a literal must be tried on every line; they come
+    in blocks of a bounded number, each one pass over the files."""
+    rows = cut(_expressions_of(rules))
+    out = _by_literals(files, rows.where("literals is not null"))
+    for block in _blocks(rows.where("literals is null")):
         found = _scan(files, block)
         out = found if out is None else out.unionByName(found)
     return out if out is not None else files.select("path", F.lit(0).alias("line"), F.lit("").alias("rule_id"), F.lit("").alias("severity")).limit(0)
 
 
-def _blocks(rules: DataFrame):
-    """Rules with expressions, so many at a time. Rules of one expression may come without the columns
-    of the others."""
+def _expressions_of(rules: DataFrame) -> DataFrame:
+    """Rules with expressions, and the literals (with the hash of the end, how long it is and its last two
+    characters) of which a match has one. Rules of one expression may come without the columns of the others."""
     has = lambda name, kind: F.col(name) if name in rules.columns else F.lit(None).cast(kind)
     one = F.when(F.col("pattern_regex").isNotNull(), F.array("pattern_regex"))
     empty_ = F.array().cast("array<string>")
     regexes = F.coalesce(F.when(F.size(has("regexes", "array<string>")) > 0, has("regexes", "array<string>")), one if "regexes" not in rules.columns else F.lit(None))
     lists = [F.coalesce(has(n, "array<string>"), empty_).alias(n) for n in ("languages", "not_regexes", "includes", "excludes")]
     groups = has("metavariables", "array<struct<name string, regex string>>").alias("metavariables")
+
+    def needed(expressions: pd.Series) -> pd.Series:
+        out = []
+        for some in expressions:
+            each = [literals(p) for p in some]
+            out.append([(x, *end_of(x)) for x in sorted({x for found in each for x in found})] if all(each) else None)
+        return pd.Series(out)
+
+    found = F.pandas_udf(needed, "array<struct<literal:string,end:bigint,size:int,pair:int>>")
     rows = rules.select("id", "severity", regexes.alias("regexes"), *lists, groups).where("regexes is not null")
+    return rows.withColumn("literals", found("regexes"))
+
+
+def _blocks(rows: DataFrame):
+    """Rules, so many at a time."""
     block: list[Rule] = []
     for r in rows.toLocalIterator():
         block.append(Rule(r.id, r.severity, list(r.regexes), list(r.not_regexes), [tuple(x) for x in r.metavariables or []], set(r.languages), list(r.includes), list(r.excludes)))
@@ -165,6 +188,75 @@ def _blocks(rules: DataFrame):
         yield block
 
 
+def _filter(ends: DataFrame) -> Ends | None:
+    """A filter of the ends (end, size, pair), its bits set by tasks, each a slice of its own."""
+    n = ends.count()
+    if not n:
+        return None
+    size = 1 << min(max((64 * n - 1).bit_length(), SLICE), FILTER)
+
+    def bits(frames):
+        for f in frames:
+            at = np.concatenate(bits_of(f["end"].to_numpy(), size)).astype("int64")
+            yield pd.DataFrame({"slice": (at >> SLICE).astype("int32"), "bit": (at & ((1 << SLICE) - 1)).astype("int32")})
+
+    def packed(frame):
+        held = np.zeros(1 << SLICE, bool)
+        held[frame["bit"].to_numpy()] = True
+        return pd.DataFrame({"slice": frame["slice"].head(1), "bits": [np.packbits(held, bitorder="little").tobytes()]})
+
+    out = bytearray(size // 8)
+    for r in ends.select("end").mapInPandas(bits, "slice int, bit int").distinct().groupBy("slice").applyInPandas(packed, "slice int, bits binary").toLocalIterator():
+        out[r.slice << (SLICE - 3) : (r.slice + 1) << (SLICE - 3)] = r.bits
+    return Ends([tuple(r) for r in ends.select("size", "pair").distinct().collect()], bytes(out))
+
+
+def _by_literals(files: DataFrame, rules: DataFrame) -> DataFrame | None:
+    """What rules with literals match. A rule is tried on a line by the first of its literals in it."""
+    ends = rules.select(F.explode("literals").alias("x")).select("x.*")
+    known = _filter(ends)
+    if known is None:
+        return None
+    sent = files.sparkSession.sparkContext.broadcast(known)
+    language = F.col("language") if "language" in files.columns else F.lit(None).cast("string")
+
+    def seen(frames):
+        for f in frames:
+            f = f[f["content"].astype(bool)]
+            paths, texts, languages = (f[c].tolist() for c in ("path", "content", "language"))
+            sizes = np.cumsum([len(x) for x in texts]) // STRETCH
+            for k in np.unique(sizes):
+                a, b = np.searchsorted(sizes, k), np.searchsorted(sizes, k, "right")
+                rows = [(paths[a + i], languages[a + i], *rest) for i, *rest in sent.value.lines(texts[a:b])]
+                yield pd.DataFrame(rows, columns=["path", "language", "line", "content", "end"])
+
+    def held(frames):
+        for f in frames:
+            rows = []
+            for path, lang, line, content, rule in zip(f["path"], f["language"], f["line"], f["content"], f["rule"], strict=True):
+                one = _tried(rule)
+                if one.reads(path, lang) and one.matches(content):
+                    rows.append((path, line, one.rule.id, one.rule.severity))
+            yield pd.DataFrame(rows, columns=["path", "line", "rule_id", "severity"]).astype({"line": "int32"})
+
+    lines = files.select("path", "content", language.alias("language")).mapInPandas(seen, "path string, language string, line int, content string, end bigint")
+    rule = F.to_json(F.struct("id", "severity", "regexes", "not_regexes", "metavariables", "languages", "includes", "excludes"))
+    told = rules.select(rule.alias("rule"), F.col("literals.literal").alias("literals"), F.posexplode("literals").alias("place", "x")).select("rule", "literals", "place", "x.literal", "x.end")
+    low = F.lower(F.translate("content", "".join(map(chr, LIKE)), "".join(LIKE.values())))
+    said = lines.join(told, "end").withColumn("low", low)
+    earlier = F.exists(F.slice("literals", F.lit(1), F.col("place")), lambda x: F.contains(F.col("low"), x))
+    said = said.where(F.contains("low", F.col("literal")) & ~earlier).select("path", "language", "line", "content", "rule")
+    # a line that many rules may match, and a rule that may match many lines, are tried all over
+    return said.repartition("path", "line", "rule").mapInPandas(held, "path string, line int, rule_id string, severity string")
+
+
+@functools.lru_cache(BLOCK)
+def _tried(rule: str) -> Tried:
+    """A rule of a line, compiled once while a worker keeps it."""
+    r = json.loads(rule)
+    return Tried(Rule(r["id"], r.get("severity"), r["regexes"], r["not_regexes"], [(g.get("name"), g.get("regex")) for g in r.get("metavariables") or []], set(r["languages"]), r["includes"], r["excludes"]))
+
+
 def _scan(files: DataFrame, block: list[Rule]) -> DataFrame:
     sent, key = files.sparkSession.sparkContext.broadcast(block), uuid.uuid4().hex
     language = F.col("language") if "language" in files.columns else F.lit(None).cast("string")
