@@ -261,3 +261,20 @@ def test_clusters_of_one_hot_scan(spark):
     odd = spark.createDataFrame([(None, 1, "a/b", "x"), (1, None, "a/b", "x"), (1, 2, None, None), (1, 3, None, None), (1, 3, None, None)], "scan_id long, finding_id long, file_path string, category string")
     assert sorted((x.cluster, x.finding_id) for x in findings.clusters(odd).collect()) == [(0, 2), (0, 3)]
     assert findings.clusters(odd.limit(0)).count() == 0
+
+
+def test_clusters_of_small_scans_take_no_rounds(spark, monkeypatch):
+    import random
+
+    r = random.Random(3)
+    rows = [(r.choice([1, 2, 3, None]), r.choice([*range(70), None]), r.choice([f"d{r.randrange(9)}/f", "/f", "f", "g", None, f"a/b{r.randrange(9)}/x"]), r.choice([*(f"c{i}" for i in range(20)), "", None])) for _ in range(300)]
+    df = spark.createDataFrame(rows, "scan_id long, finding_id long, file_path string, category string")
+    cuts, cut = [], findings.cut
+    monkeypatch.setattr(findings, "cut", lambda x: cuts.append(1) or cut(x))
+    read = lambda x: sorted((y.scan_id, y.cluster, y.finding_id) for y in x.collect())
+    whole = read(findings.clusters(df))
+    assert len(cuts) == 1 and whole
+    monkeypatch.setattr(findings, "WHOLE_SCAN", 95)
+    assert read(findings.clusters(df)) == whole and len(cuts) > 1
+    monkeypatch.setattr(findings, "WHOLE_SCAN", 0)
+    assert read(findings.clusters(df)) == whole
