@@ -278,3 +278,11 @@ def test_clusters_of_small_scans_take_no_rounds(spark, monkeypatch):
     assert read(findings.clusters(df)) == whole and len(cuts) > 1
     monkeypatch.setattr(findings, "WHOLE_SCAN", 0)
     assert read(findings.clusters(df)) == whole
+
+
+def test_links_by_content_make_no_product(spark):
+    texts = spark.range(50).selectExpr("id AS finding_id", "'a line that all of them have' AS code_snippet", "id AS file_id", "'a line that all of them have' AS content")
+    got = joins.link_by_content(texts.select("finding_id", "code_snippet"), texts.select("file_id", "content"))
+    assert {(r.finding_id, r.file_id) for r in got.collect()} == {(i, 0) for i in range(50)}
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" in plan[plan.index("Join ") :]
