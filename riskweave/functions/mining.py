@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .columns import any_of, empty
+from .columns import any_of, empty, let
 
 # What in an advisory's text names a function, and what only looks like one.
 INLINE_CODE = r"`([^`\n]{2,160})`"
@@ -32,24 +32,28 @@ NEAR = 40
 def candidate(token: Column, explicit: Column) -> Column:
     """A token as a function's name; null where it is none. explicit: something else says it is one."""
     bare = F.regexp_replace(F.trim(F.coalesce(token, F.lit(""))), "^[`'\"]+|[`'\"]+$", "")
-    called = bare.contains("(")
-    name = F.regexp_replace(F.trim(F.regexp_replace(F.trim(F.substring_index(bare, "(", 1)), "<[^>]+>", "")), "[).,:;]+$", "")
-    wrong = (bare == "") | bare.rlike(r"\s") | (name == "") | F.lower(name).isin(GENERIC_NAMES) | name.contains("/")
-    wrong = wrong | any_of([name.rlike(p) for p in (VERSION_LIKE, FILE_LIKE, ENV_LIKE, HEADER_LIKE)]) | ~name.rlike(SYMBOL_LIKE)
-    qualified = any_of([name.contains(s) for s in ("::", ".", "->", "#")])
-    return F.when(~wrong & (explicit | qualified | called | name.contains("_") | F.substring(name, 2, 10**6).rlike("[A-Z]")), name)
+    name = lambda bare: F.regexp_replace(F.trim(F.regexp_replace(F.trim(F.substring_index(bare, "(", 1)), "<[^>]+>", "")), "[).,:;]+$", "")
+
+    def judged(bare, name):
+        wrong = (bare == "") | bare.rlike(r"\s") | (name == "") | F.lower(name).isin(GENERIC_NAMES) | name.contains("/")
+        wrong = wrong | any_of([name.rlike(p) for p in (VERSION_LIKE, FILE_LIKE, ENV_LIKE, HEADER_LIKE)]) | ~name.rlike(SYMBOL_LIKE)
+        qualified = any_of([name.contains(s) for s in ("::", ".", "->", "#")])
+        return F.when(~wrong & (explicit | qualified | bare.contains("(") | name.contains("_") | F.substring(name, 2, 10**6).rlike("[A-Z]")), name)
+
+    return let(bare, lambda b: let(name(b), lambda n: judged(b, n)))
 
 
 def _places(text: Column, pattern: str) -> Column:
     """(start, end, value) of a pattern's matches, counted from 0; value is group 1."""
-    found, values, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), F.split(text, pattern, -1)
+    pattern_ = F.lit(pattern)
+    parts = F.struct(F.regexp_extract_all(text, pattern_, F.lit(0)).alias("found"), F.regexp_extract_all(text, pattern_, F.lit(1)).alias("values"), F.split(text, pattern, -1).alias("gaps"))
     size = lambda a, n: F.length(F.array_join(F.slice(a, F.lit(1), n), ""))
 
-    def place(m, i):
-        start = size(gaps, i + 1) + size(found, i)
-        return F.struct(start.alias("start"), (start + F.length(m)).alias("end"), F.get(values, i).alias("value"))
+    def place(p, m, i):
+        start = size(p["gaps"], i + 1) + size(p["found"], i)
+        return let(start, lambda s: F.struct(s.alias("start"), (s + F.length(m)).alias("end"), F.get(p["values"], i).alias("value")))
 
-    return F.transform(found, place)
+    return let(parts, lambda p: F.transform(p["found"], lambda m, i: place(p, m, i)))
 
 
 def text_symbols(text: Column, field: str) -> Column:
@@ -62,7 +66,7 @@ def text_symbols(text: Column, field: str) -> Column:
     def inline(p):
         first = F.greatest(p["start"] - NEAR, F.lit(0))
         window = F.lower(F.substring(text, first + 1, p["end"] + NEAR - first))
-        return of(candidate(p["value"], any_of([window.contains(w) for w in NEAR_WORDS])), "inline_code")
+        return let(window, lambda w: of(candidate(p["value"], any_of([w.contains(x) for x in NEAR_WORDS])), "inline_code"))
 
     return F.array_distinct(F.filter(F.concat(context, F.transform(_places(text, INLINE_CODE), inline)), lambda s: s["symbol"].isNotNull()))
 

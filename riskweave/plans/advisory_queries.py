@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import mining, packages, scores
 from ..functions.versions import compare_versions, parsed, tidied, version_matches
 from ..operators import joins
-from ..session import table
+from ..session import spread, table
 from ..sources import advisories
 from .column_queries import _VECTOR
 from .registry import query
@@ -26,7 +26,7 @@ _DETAILS = "Calls `Obj.readKEY` and `plain` in `lib/a.js`, `X_TOKEN`, `v1.2`; "
     "SELECT p_partkey AS id, unnest(['load_' || p_partkey, 'Obj.read' || p_partkey, 'go']) AS symbol, unnest([['summary_context'], ['details_inline_code'], ['details_inline_code']]) AS sources, unnest([0.7, 0.45, 0.45])::DOUBLE AS confidence FROM part",
 )
 def text_symbols(spark, sf_dir):
-    rows = parts(spark, sf_dir).select(F.col("p_partkey").alias("id"), filled("Flaw in a method called load_KEY() here", F.col("p_partkey")).alias("summary"), filled(_DETAILS, F.col("p_partkey")).alias("details"))
+    rows = spread(parts(spark, sf_dir).select("p_partkey"), "p_partkey").select(F.col("p_partkey").alias("id"), filled("Flaw in a method called load_KEY() here", F.col("p_partkey")).alias("summary"), filled(_DETAILS, F.col("p_partkey")).alias("details"))
     return advisories.text_symbols(rows)
 
 

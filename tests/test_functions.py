@@ -122,3 +122,13 @@ def test_patterns(spark):
     assert patterns.labelled(files, patterns.STORAGE, ["java"], 8).count() == 0
     t = patterns.technologies(spark.createDataFrame([(1, "/* jQuery v3.4.1 */ and Django/2.2. flask 1.0"), (2, None)], "id int, t string"), "t", ["id"]).collect()
     assert {(x.package, x.version) for x in t} == {("jquery", "3.4.1"), ("django", "2.2"), ("flask", "1.0")}
+
+
+def test_a_token_is_cleaned_once(spark):
+    """A token's name is computed once, not for each of its tests."""
+    from riskweave.functions import mining
+
+    df = spark.createDataFrame([("`a.b_c(x)`,",), ("read",), ("see `X-Y`",), (None,)], "t string").repartition(2)
+    got = df.select("t", mining.candidate(F.col("t"), F.lit(True)).alias("n"))
+    assert {(r.t, r.n) for r in got.collect()} == {("`a.b_c(x)`,", "a.b_c"), ("read", None), ("see `X-Y`", None), (None, None)}
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(") <= 3
