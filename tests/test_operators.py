@@ -286,3 +286,12 @@ def test_links_by_content_make_no_product(spark):
     assert {(r.finding_id, r.file_id) for r in got.collect()} == {(i, 0) for i in range(50)}
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate" in plan[plan.index("Join ") :]
+
+
+def test_duplicate_pairs_read_findings_once(spark):
+    rows = [(1, 1, "one two three", "5-9", ["A"]), (1, 2, "other title", "9-7", []), (1, 3, "One, two: three!", "40", ["B"]), (1, 4, "more", "x", ["B"]), (2, 5, "one two three", "5", ["A"])]
+    df = spark.createDataFrame(rows, "scan_id long, finding_id long, title string, line_range string, cwe_ids array<string>")
+    got = findings.duplicate_pairs(df, "scan_id")
+    assert sorted(map(tuple, got.collect())) == [(1, 2), (1, 3), (3, 4)]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.split("\n") if "Join" in line and "split(" in line]
