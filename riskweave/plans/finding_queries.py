@@ -154,7 +154,8 @@ def merge_by_key(spark, sf_dir):
 @query("q183_greedy_merge")
 def greedy_merge(spark, sf_dir):
     none = F.array().cast("array<string>")
-    rows = found(spark, sf_dir).withColumns({"finding_id": F.col("finding_id").cast("string"), "line_range": F.format_string("%d-%d", "start_line", "end_line"), "hypothesis": F.col("title"), "cwe_ids": F.array_compact(F.array("cwe")), "sinks": none, "input_sources": none, "source_scanners": none, "source_rules": none})
+    line = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null"))
+    rows = found(spark, sf_dir).withColumns({"finding_id": F.col("finding_id").cast("string"), "line_range": F.concat(line("start_line"), F.lit("-"), line("end_line")), "hypothesis": F.col("title"), "cwe_ids": F.array_compact(F.array("cwe")), "sinks": none, "input_sources": none, "source_scanners": none, "source_rules": none})
     return ops.greedy_merge(rows).select("finding_id", "severity", "confidence", "provenance", "merged_count", F.size("merged_ids").alias("n"))
 
 

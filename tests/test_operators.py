@@ -263,6 +263,19 @@ def test_clusters_of_one_hot_scan(spark):
     assert findings.clusters(odd.limit(0)).count() == 0
 
 
+def test_greedy_merge_of_a_large_block(spark):
+    """Findings of one block, none like another, take no comparison of each with each; values that come by merging count."""
+    import time
+
+    rows = [(f"{i}", f"w{i}a w{i}b w{i}c common", "c", "high", "f", f"{i * 10 + 1}-{i * 10 + 2}", "h", 0.5, "llm", [f"C{i}"], [], [], [], []) for i in range(5000)]
+    begun = time.perf_counter()
+    got = findings.greedy_merge(spark.createDataFrame(rows, findings.MERGE_SCHEMA).repartition(1)).collect()
+    assert len(got) == 5000 and time.perf_counter() - begun < 25
+    chain = [("1", "t one", "c", "high", "f", "1", None, 0.9, "llm", ["A"], None, None, None, None), ("2", "t two", "c", "high", "f", "1", None, 0.8, None, [" B ", "a"], ["X", None], None, None, None), ("3", "t three", "c", "low", "f", "90", None, 0.7, "scanner", ["B"], None, None, None, None), ("4", "t four", "c", "low", "f", "99", None, float("nan"), "llm", None, ["X"], None, None, None)]
+    one = findings.greedy_merge(spark.createDataFrame(chain, findings.MERGE_SCHEMA)).collect()
+    assert [(r.finding_id, r.merged_ids, r.cwe_ids, r.sinks, r.provenance) for r in one] == [("1", ["1", "2", "3", "4"], ["A", "B"], ["X"], "hybrid")]
+
+
 def test_clusters_of_small_scans_take_no_rounds(spark, monkeypatch):
     import random
 
