@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import fixed
-from .columns import empty, lookup
+from .columns import any_of, empty, lookup
 
 #: Characters that a token stands for when a prompt's size is estimated.
 CHARS_PER_TOKEN = 3.2
@@ -97,6 +99,13 @@ def category_matches(category: Column, rule: Column, message: Column, scanner: C
     return (words != "") & F.exists(F.split(words, r"\|"), lambda w: said.contains(w))
 
 
+def categories_said(rule: Column, message: Column, scanner: Column) -> Column:
+    """The categories that a scanner hit speaks of: bit i for the category i of ``CATEGORY_WORDS``."""
+    said = F.lower(F.concat_ws(" ", *[F.coalesce(c, F.lit("")) for c in (rule, message, scanner)]))
+    bits = [F.when(any_of([said.contains(w) for w in words]), F.lit(1 << i)).otherwise(F.lit(0)) for i, words in enumerate(fixed.CATEGORY_WORDS.values())]
+    return functools.reduce(lambda p, q: p.bitwiseOR(q), bits).cast("long")
+
+
 def symbol_tokens(symbol: Column) -> Column:
     """A symbol, its dotted form and its parts, in lower case, of two characters and more."""
     clean = F.trim(F.regexp_replace(F.regexp_replace(F.trim(symbol), "^[`'\"]+|[`'\"]+$", ""), r"(?s)\(.*$", ""))

@@ -3,6 +3,7 @@
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from riskweave.functions import fixed
@@ -72,3 +73,31 @@ def test_hits_of_one_id_come_by_rule(spark):
     for rows in (b, b[::-1]):
         got = findings.match_hits(a, spark.createDataFrame(rows, schema).repartition(3))
         assert sorted((r.finding_id, r.rule_id) for r in got.collect()) == want
+
+
+def test_findings_and_hits_are_shuffled_once(spark):
+    rows = spark.range(3000).select(F.col("id").alias("finding_id"), F.concat(F.lit("f"), F.col("id") % 7).alias("file_path"), F.lit("crypto").alias("category"), (F.col("id") % 50).alias("a"), (F.col("id") % 50 + 9).alias("b"))
+    hits = rows.select(F.col("finding_id").alias("hit_id"), F.lit("r").alias("rule_id"), F.lit("m").alias("message"), F.lit("s").alias("scanner"), "file_path", F.col("a").alias("x"), F.col("b").alias("y"))
+    got = findings._hits_in_order(rows, hits, 5)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan and "Window" not in plan
+    assert got.count() == 5 * 3000
+
+
+@pytest.mark.parametrize("whole", [30, 20_000])
+def test_hits_of_ids_that_repeat(spark, monkeypatch, whole):
+    monkeypatch.setattr(findings, "WHOLE_FILE", whole)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    r = random.Random(4)
+    a = [(r.choice([None, *range(150)]), r.choice(["x", "y", f"z{i % 60}"]), r.choice(["crypto", "none"]), n := r.choice([None, 0, r.randint(1, 40)]), n and n + r.choice([0, 3, -2])) for i in range(200)]
+    b = [(r.randint(0, 90), r.choice(["x", "y", f"z{i % 60}"]), f"r{i % 4}", r.choice(["weak cipher", "note"]), "semgrep", n := r.choice([None, 0, r.randint(1, 40)]), n and n + r.choice([0, 3, -2])) for i in range(200)]
+    near = lambda p, q, s, t: p and s and p <= t and s <= q
+    want = []
+    for one in {x[0] for x in a}:
+        found = sorted((h, rule) for i, f, c, p, q in a if i == one for h, g, rule, m, _, s, t in b if f == g and (near(p, q, s, t) or (c == "crypto" and "cipher" in m)))
+        want += [(one, *x) for x in found[:5]]
+    try:
+        rows = findings.match_hits(spark.createDataFrame(a, "finding_id int, file_path string, category string, start_line int, end_line int"), spark.createDataFrame(b, "hit_id int, file_path string, rule_id string, message string, scanner string, start_line int, end_line int")).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(((x.finding_id, x.hit_id, x.rule_id) for x in rows), key=lambda x: (-1 if x[0] is None else x[0], x[1:])) == sorted(want, key=lambda x: (-1 if x[0] is None else x[0], x[1:])) and len(want) > 100
