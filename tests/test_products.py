@@ -31,6 +31,20 @@ def test_paired(spark):
     assert {(r.id, r.n, r.d) for r in got.groupBy("id").agg(F.count("*").alias("n"), F.count_distinct("m").alias("d")).collect()} == {(1, 4800, 2400), (2, 100, 100)}
 
 
+def test_paired_in_lots(spark, monkeypatch):
+    monkeypatch.setattr(products, "LOT", 10)
+    monkeypatch.setattr(products, "PRODUCT", 400)
+    key = F.when(F.col("id") % 9 < 6, "a").when(F.col("id") % 9 < 7, "b").when(F.col("id") % 9 < 8, "none")
+    rows = spark.range(270).select(key.alias("k"), F.when(F.col("id") % 4 > 0, F.col("id") % 60).alias("r"))
+    members = spark.range(50).select(F.when(F.col("id") < 35, "a").otherwise("b").alias("k"), (F.col("id") % 2).alias("side"), F.col("id").alias("m"))
+    got = products.paired(rows, members, ["k"], "m", "side")
+    want = rows.join(members, "k").select("k", "r", "side", "m")
+    assert got.columns == want.columns and got.count() == want.count() == 180 * 35 + 30 * 15
+    assert not got.exceptAll(want).count() and not want.exceptAll(got).count()
+    # as many tasks as the session has, however few bytes there are
+    assert products.paired(rows, members, ["k"], "m")._jdf.queryExecution().executedPlan().toString().count("REPARTITION_BY_NUM") == 2
+
+
 def made_last(df) -> bool:
     """Does the product come about after all that is shuffled?"""
     p = plan(df)
